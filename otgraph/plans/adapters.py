@@ -80,8 +80,9 @@ CTES = {
 DEPENDS = {"telemetry": [], "triples": ["telemetry"]}
 
 
-def with_ctes(body: str, *names: str) -> str:
-    """Prefix ``body`` with the named adapter CTEs and everything they depend on."""
+def with_ctes(body: str, *names: str, extra: str | None = None, recursive: bool = False) -> str:
+    """Prefix ``body`` with the named adapter CTEs and everything they depend on; ``extra`` is
+    appended as further CTE text (``recursive`` marks the list WITH RECURSIVE)."""
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -92,9 +93,184 @@ def with_ctes(body: str, *names: str) -> str:
 
     for n in names:
         visit(n)
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order) + "\n" + body
+    parts = [f"{n} AS ({CTES[n]})" for n in order] + ([extra.strip()] if extra else [])
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" + body
 
 
 def register_cte(name: str, sql: str, depends: list[str] | None = None) -> None:
     CTES[name] = sql
     DEPENDS[name] = depends or []
+
+
+# ---------------------------------------------------------------- tag events ------------------
+
+SOURCE_SYSTEM = "gateway-1"
+
+
+def tag_payload_lines(events: DataFrame) -> DataFrame:
+    """One JSON payload line per event: click events come as a one-element array, error events
+    above 340 are truncated (corrupt) lines, values are numbers, strings, booleans, null or
+    arrays depending on the event type, quality is missing below 5."""
+    et, v, uid = F.col("event_type"), F.col("value"), F.col("user_id")
+    site = F.concat(F.lit("Site/L"), (uid % 3).cast("string"))
+    u = F.concat(F.lit("/U"), uid.cast("string"))
+    tag_path = (F.when(et == "error", F.concat(site, F.lit("/error")))
+                .when(et == "click", F.concat(F.lit("[]"), site, u, F.lit("/click")))
+                .otherwise(F.concat(F.lit("["), et, F.lit("]"), site, u, F.lit("/"), et)))
+    vt = v.cast("string")
+    value_json = (F.when(et == "view", F.concat(F.lit('"v'), vt, F.lit('"')))
+                  .when(et == "purchase", F.when(v > 100, F.lit("true")).otherwise(F.lit("false")))
+                  .when(et == "error", F.when(v > 300, F.lit("null"))
+                        .when(v > 200, F.concat(F.lit("["), vt, F.lit("]"))).otherwise(vt))
+                  .otherwise(vt))
+    quality = F.when(v >= 300, F.lit("Bad")).when(v < 5, F.lit(None)).otherwise(F.lit("Good"))
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    obj = F.concat(F.lit('{"tagPath":"'), tag_path, F.lit('","value":'), value_json,
+                   F.lit(',"quality":'),
+                   F.coalesce(F.concat(F.lit('"'), quality, F.lit('"')), F.lit("null")),
+                   F.lit(',"timestamp":'), ms.cast("string"), F.lit("}"))
+    line = (F.when((et == "error") & (v > 340), F.concat(F.lit('{"tagPath":"'), tag_path,
+                                                         F.lit('",')))
+            .when(et == "click", F.concat(F.lit("["), obj, F.lit("]"))).otherwise(obj))
+    return events.select("event_id", line.alias("line"))
+
+
+def ot_events_from(events: DataFrame) -> DataFrame:
+    """Payload lines → parsed → defaults → 14-column OT events, ids taken from the source."""
+    from otgraph.sources.events import (map_ot_event, parse_tag_payloads, payload_defaults,
+                                        split_corrupt)
+    good, _dead = split_corrupt(tag_payload_lines(events))
+    parsed = parse_tag_payloads(good, keep=("event_id",))
+    d = payload_defaults(parsed, now=F.to_timestamp(F.lit(NOW)), source="http")
+    return map_ot_event(d, SOURCE_SYSTEM, include_quality=True, event_id=F.col("event_id"),
+                        ingest_ts=F.col("event_ts") + F.expr("INTERVAL 1 SECOND"))
+
+
+def tag_dimensions(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(signal mapping, asset registry) derived from the tags seen in the events."""
+    et, uid = F.col("event_type"), F.col("user_id")
+    site = F.concat(F.lit("Site/L"), (uid % 3).cast("string"))
+    tag_path = (F.when(et == "error", F.concat(site, F.lit("/error")))
+                .otherwise(F.concat(F.lit("["), et, F.lit("]"), site, F.lit("/U"),
+                                    uid.cast("string"), F.lit("/"), et)))
+    asset = F.when(et == "error", F.concat(F.lit("line-"), (uid % 3).cast("string"))) \
+        .otherwise(F.concat(F.lit("asset-"), uid.cast("string")))
+    base = events.filter(et != "click").select(
+        tag_path.alias("tag_path"), asset.alias("asset_id"), et.alias("signal_name"),
+        F.when(et == "purchase", "USD").otherwise("count").alias("unit"),
+        F.when(et == "signup", 2.0).when(et == "error", 0.5).cast("double").alias("scale"),
+        F.when(et == "signup", None).when(et == "error", 1.0).otherwise(2.0).cast("double")
+        .alias("offset"),
+        (~((et == "error") & (uid % 3 == 0))).alias("active"),
+        site.alias("site"),
+    ).distinct()
+    extra = base.filter(F.col("signal_name") == "purchase").select(
+        "tag_path", "asset_id", F.lit("purchase_flag").alias("signal_name"),
+        F.lit("flag").alias("unit"), F.lit(None).cast("double").alias("scale"),
+        F.lit(None).cast("double").alias("offset"), F.lit(True).alias("active"), "site")
+    mapping = base.unionByName(extra)
+    registry = base.select(
+        "asset_id", F.when(F.col("signal_name") == "error", "line").otherwise("user")
+        .alias("asset_type"), "site",
+        F.concat(F.lit("Asset "), F.col("asset_id")).alias("display_name"),
+        F.lit(True).alias("active")).distinct()
+    return mapping.drop("site"), registry
+
+
+_SITE = "'Site/L' || CAST(user_id % 3 AS VARCHAR)"
+_U = "'/U' || CAST(user_id AS VARCHAR)"
+_VT = "CAST(value AS VARCHAR)"
+register_cte("payload", f"""
+SELECT event_id, event_type, user_id, value,
+  CASE WHEN event_type = 'error' THEN {_SITE} || '/error'
+       WHEN event_type = 'click' THEN '[]' || {_SITE} || {_U} || '/click'
+       ELSE '[' || event_type || ']' || {_SITE} || {_U} || '/' || event_type END AS tag_path,
+  CASE WHEN event_type = 'view' THEN '"v' || {_VT} || '"'
+       WHEN event_type = 'purchase' THEN CASE WHEN value > 100 THEN 'true' ELSE 'false' END
+       WHEN event_type = 'error' THEN CASE WHEN value > 300 THEN 'null'
+            WHEN value > 200 THEN '[' || {_VT} || ']' ELSE {_VT} END
+       ELSE {_VT} END AS value_json,
+  CASE WHEN value >= 300 THEN 'Bad' WHEN value < 5 THEN NULL ELSE 'Good' END AS quality,
+  epoch_us(ts) // 1000 AS ms,
+  (event_type = 'error' AND value > 340) AS corrupt
+FROM events""")
+
+register_cte("ot_events", f"""
+SELECT CAST(event_id AS VARCHAR) AS event_id, make_timestamp(ms * 1000) AS event_time, tag_path,
+  CASE WHEN regexp_extract(tag_path, '^\\[([^\\]]+)\\]', 1) = '' THEN 'default'
+       ELSE regexp_extract(tag_path, '^\\[([^\\]]+)\\]', 1) END AS tag_provider,
+  CASE WHEN json_type(value_json::JSON) IN ('UBIGINT', 'BIGINT', 'DOUBLE')
+       THEN CAST(value_json AS DOUBLE) END AS numeric_value,
+  CASE WHEN json_type(value_json::JSON) = 'VARCHAR' THEN value_json::JSON ->> '$' END AS string_value,
+  CASE WHEN json_type(value_json::JSON) = 'BOOLEAN' THEN CAST(value_json AS BOOLEAN) END AS boolean_value,
+  coalesce(quality, 'GOOD') AS quality,
+  CASE WHEN contains(lower(coalesce(quality, 'GOOD')), 'good') THEN 192 ELSE 0 END AS quality_code,
+  '{SOURCE_SYSTEM}' AS source_system,
+  ms * 1000 + 1000000 AS ingestion_timestamp,
+  CASE WHEN json_type(value_json::JSON) IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'DOUBLE'
+       WHEN json_type(value_json::JSON) = 'VARCHAR' THEN 'STRING'
+       WHEN json_type(value_json::JSON) = 'BOOLEAN' THEN 'BOOLEAN' ELSE 'UNKNOWN' END AS data_type,
+  '' AS alarm_state, 0 AS alarm_priority
+FROM payload WHERE NOT corrupt""", ["payload"])
+
+_MAP_TAG = (f"CASE WHEN event_type = 'error' THEN {_SITE} || '/error' ELSE '[' || event_type || ']'"
+            f" || {_SITE} || {_U} || '/' || event_type END")
+register_cte("mapping_base", f"""
+SELECT DISTINCT {_MAP_TAG} AS tag_path,
+  CASE WHEN event_type = 'error' THEN 'line-' || CAST(user_id % 3 AS VARCHAR)
+       ELSE 'asset-' || CAST(user_id AS VARCHAR) END AS asset_id,
+  event_type AS signal_name,
+  CASE WHEN event_type = 'purchase' THEN 'USD' ELSE 'count' END AS unit,
+  CAST(CASE WHEN event_type = 'signup' THEN 2.0 WHEN event_type = 'error' THEN 0.5 END AS DOUBLE) AS scale,
+  CAST(CASE WHEN event_type = 'signup' THEN NULL WHEN event_type = 'error' THEN 1.0 ELSE 2.0 END AS DOUBLE) AS "offset",
+  NOT (event_type = 'error' AND user_id % 3 = 0) AS active,
+  {_SITE} AS site
+FROM events WHERE event_type <> 'click'""")
+register_cte("signal_mapping", """
+SELECT tag_path, asset_id, signal_name, unit, scale, "offset", active FROM mapping_base
+UNION ALL
+SELECT tag_path, asset_id, 'purchase_flag', 'flag', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), true
+FROM mapping_base WHERE signal_name = 'purchase'""", ["mapping_base"])
+register_cte("asset_registry", """
+SELECT DISTINCT asset_id, CASE WHEN signal_name = 'error' THEN 'line' ELSE 'user' END AS asset_type,
+  site, 'Asset ' || asset_id AS display_name, true AS active FROM mapping_base""", ["mapping_base"])
+register_cte("normalized", """
+SELECT b.event_time, b.ingestion_timestamp, b.source_system, m.asset_id, m.signal_name, m.unit,
+  CASE WHEN b.numeric_value IS NOT NULL THEN b.numeric_value * coalesce(m.scale, 1.0) + coalesce(m."offset", 0.0)
+       WHEN b.boolean_value IS NOT NULL THEN CAST(b.boolean_value AS DOUBLE) END AS value_numeric,
+  b.string_value, b.quality, b.quality_code, b.tag_path
+FROM ot_events b LEFT JOIN signal_mapping m ON b.tag_path = m.tag_path AND m.active = true""",
+             ["ot_events", "signal_mapping"])
+
+
+def fold_sql(source: str, threshold: float) -> str:
+    """Recursive-CTE oracle of the change filter over ``source`` (an OT-event CTE)."""
+    def changed(e: str, f: str) -> str:
+        return (f"(CASE WHEN {e}.kind = 'NULL' AND {f}.lk = 'NULL' THEN false "
+                f"WHEN {e}.kind = 'NULL' OR {f}.lk = 'NULL' THEN true "
+                f"WHEN {e}.kind = 'NUMBER' AND {f}.lk = 'NUMBER' THEN (NOT isnan({e}.num) AND "
+                f"NOT isnan({f}.ln) AND abs({e}.num - {f}.ln) > {threshold}) "
+                f"WHEN {e}.kind = 'NUMBER' OR {f}.lk = 'NUMBER' THEN true "
+                f"ELSE {e}.key <> {f}.lkey END)")
+    seed = "(SELECT 'NULL' AS lk, CAST(NULL AS DOUBLE) AS ln, CAST(NULL AS VARCHAR) AS lkey)"
+    ch0, ch = changed("e", "z"), changed("e", "f")
+    return f"""
+fev AS (SELECT *, row_number() OVER (PARTITION BY tag_path ORDER BY event_time, event_id) AS rn,
+  CASE data_type WHEN 'DOUBLE' THEN 'NUMBER' WHEN 'STRING' THEN 'STRING'
+       WHEN 'BOOLEAN' THEN 'BOOLEAN' ELSE 'NULL' END AS kind,
+  numeric_value AS num,
+  CASE WHEN data_type = 'STRING' THEN 'STRING:' || string_value
+       WHEN data_type = 'BOOLEAN' THEN 'BOOLEAN:' || CAST(boolean_value AS VARCHAR) END AS key
+  FROM {source}),
+fold AS (
+  SELECT e.tag_path, e.rn, {ch0} AS keep,
+    CASE WHEN {ch0} THEN e.kind ELSE z.lk END AS lk,
+    CASE WHEN {ch0} THEN e.num ELSE z.ln END AS ln,
+    CASE WHEN {ch0} THEN e.key ELSE z.lkey END AS lkey
+  FROM fev e, {seed} z WHERE e.rn = 1
+  UNION ALL
+  SELECT e.tag_path, e.rn, {ch},
+    CASE WHEN {ch} THEN e.kind ELSE f.lk END,
+    CASE WHEN {ch} THEN e.num ELSE f.ln END,
+    CASE WHEN {ch} THEN e.key ELSE f.lkey END
+  FROM fold f JOIN fev e ON e.tag_path = f.tag_path AND e.rn = f.rn + 1)"""
