@@ -274,3 +274,99 @@ fold AS (
     CASE WHEN {ch} THEN e.num ELSE f.ln END,
     CASE WHEN {ch} THEN e.key ELSE f.lkey END
   FROM fold f JOIN fev e ON e.tag_path = f.tag_path AND e.rn = f.rn + 1)"""
+
+
+# ---------------------------------------------------------------- plant graph -----------------
+
+from otgraph.functions.iri import (DEPENDS_ON, HAS_STATE, PART_OF, PROPAGATES,  # noqa: E402
+                                   RDF_TYPE, RDFS_COMMENT, RDFS_LABEL, RDFS_NS, SUB_PROPERTY_OF)
+
+EX = NS + "/schema/"
+LOCATED_IN = EX + "locatedIn"
+SHIPPED_FROM = EX + "shippedFrom"
+PLACED_BY = EX + "placedBy"
+BALANCE = EX + "balance"
+
+# The schema triples of the plant graph.
+SCHEMA_TRIPLES = [
+    (LOCATED_IN, SUB_PROPERTY_OF, PART_OF),
+    (SHIPPED_FROM, SUB_PROPERTY_OF, LOCATED_IN),
+    (PLACED_BY, SUB_PROPERTY_OF, DEPENDS_ON),
+    (LOCATED_IN, RDF_TYPE, RDFS_NS + "Property"),
+    (SHIPPED_FROM, RDF_TYPE, RDFS_NS + "Property"),
+    (PLACED_BY, RDF_TYPE, RDFS_NS + "Property"),
+    (NS + "/type/Region", RDF_TYPE, RDFS_NS + "Class"),
+    (NS + "/type/Nation", RDF_TYPE, RDFS_NS + "Class"),
+    (NS + "/type/Customer", RDF_TYPE, RDFS_NS + "Class"),
+    (NS + "/type/Supplier", RDF_TYPE, RDFS_NS + "Class"),
+    (NS + "/type/Order", RDF_TYPE, RDFS_NS + "Class"),
+    (NS + "/type/Region", RDFS_LABEL, "Region"),
+]
+
+
+def _iri(kind: str, key) -> F.Column:
+    return F.concat(F.lit(f"{NS}/{kind}-"), F.col(key).cast("string"))
+
+
+def plant_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """(s, p, o) plant graph from the TPC-H tables, built with triple mappings."""
+    maps = [
+        ("region", TripleMapping(_iri("region", "r_regionkey"), {RDFS_LABEL: F.col("r_name")},
+                                 type_iri("Region"))),
+        ("nation", TripleMapping(_iri("nation", "n_nationkey"), {
+            RDFS_LABEL: F.col("n_name"), PART_OF: _iri("region", "n_regionkey"),
+            PROPAGATES: _iri("region", "n_regionkey")}, type_iri("Nation"))),
+        ("customer", TripleMapping(_iri("customer", "c_custkey"), {
+            RDFS_LABEL: F.col("c_name"), LOCATED_IN: _iri("nation", "c_nationkey"),
+            PROPAGATES: _iri("nation", "c_nationkey"),
+            HAS_STATE: F.when(F.col("c_acctbal") < 0, F.lit(f"{NS}/status/degraded")),
+            BALANCE: F.col("c_acctbal"), RDFS_COMMENT: F.col("c_mktsegment")},
+            type_iri("Customer"))),
+        ("supplier", TripleMapping(_iri("supplier", "s_suppkey"), {
+            RDFS_LABEL: F.col("s_name"), SHIPPED_FROM: _iri("nation", "s_nationkey")},
+            type_iri("Supplier"))),
+        ("orders", TripleMapping(_iri("order", "o_orderkey"), {
+            PLACED_BY: _iri("customer", "o_custkey"), PROPAGATES: _iri("customer", "o_custkey")},
+            type_iri("Order"))),
+    ]
+    out = spark.createDataFrame(SCHEMA_TRIPLES, "s string, p string, o string")
+    for name, m in maps:
+        out = out.unionByName(m.apply(table(spark, sf, name)))
+    return out
+
+
+def _sql_lit(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
+
+def _sql_map(tab: str, subj: str, typ: str, pos: list[tuple[str, str]]) -> list[str]:
+    parts = [f"SELECT {subj} AS s, 'rdf:type' AS p, '{NS}/type/{typ}' AS o FROM {tab}"]
+    for p, o in pos:
+        parts.append(f"SELECT {subj}, {_sql_lit(p)}, CAST({o} AS VARCHAR) FROM {tab} "
+                     f"WHERE {o} IS NOT NULL")
+    return parts
+
+
+def _sql_iri(kind: str, key: str) -> str:
+    return f"'{NS}/{kind}-' || CAST({key} AS VARCHAR)"
+
+
+register_cte("plant_graph", " UNION ALL ".join(
+    [f"SELECT * FROM (VALUES " + ", ".join(
+        f"({_sql_lit(s)}, {_sql_lit(p)}, {_sql_lit(o)})" for s, p, o in SCHEMA_TRIPLES)
+     + ") v(s, p, o)"]
+    + _sql_map("region", _sql_iri("region", "r_regionkey"), "Region", [(RDFS_LABEL, "r_name")])
+    + _sql_map("nation", _sql_iri("nation", "n_nationkey"), "Nation", [
+        (RDFS_LABEL, "n_name"), (PART_OF, _sql_iri("region", "n_regionkey")),
+        (PROPAGATES, _sql_iri("region", "n_regionkey"))])
+    + _sql_map("customer", _sql_iri("customer", "c_custkey"), "Customer", [
+        (RDFS_LABEL, "c_name"), (LOCATED_IN, _sql_iri("nation", "c_nationkey")),
+        (PROPAGATES, _sql_iri("nation", "c_nationkey")),
+        (HAS_STATE, f"CASE WHEN c_acctbal < 0 THEN '{NS}/status/degraded' END"),
+        (BALANCE, "c_acctbal"), (RDFS_COMMENT, "c_mktsegment")])
+    + _sql_map("supplier", _sql_iri("supplier", "s_suppkey"), "Supplier", [
+        (RDFS_LABEL, "s_name"), (SHIPPED_FROM, _sql_iri("nation", "s_nationkey"))])
+    + _sql_map("orders", _sql_iri("order", "o_orderkey"), "Order", [
+        (PLACED_BY, _sql_iri("customer", "o_custkey")),
+        (PROPAGATES, _sql_iri("customer", "o_custkey"))])
+))

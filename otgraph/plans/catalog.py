@@ -23,5 +23,5 @@ def register(name: str, sql: str | None):
 
 def load_all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     # Importing the modules registers their queries.
-    from otgraph.plans import q_events, q_triples  # noqa: F401
+    from otgraph.plans import q_events, q_graph, q_triples  # noqa: F401
     return REGISTRY
