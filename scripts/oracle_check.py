@@ -42,10 +42,26 @@ def norm(v):
     return v
 
 
+def coarse(v):
+    if isinstance(v, float):
+        return round(v, 3)
+    if isinstance(v, tuple):
+        return tuple(coarse(x) for x in v)
+    return v
+
+
 def rows_of(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     out = [tuple(norm(r[i]) for i in order) for r in rows]
-    return sorted(out, key=lambda t: repr(t))
+    return sorted(out, key=lambda t: repr(coarse(t)))
+
+
+def close(a, b):
+    if isinstance(a, float) and isinstance(b, float):
+        return abs(a - b) <= 1e-9 * max(1.0, abs(a), abs(b)) + 2e-6
+    if isinstance(a, tuple) and isinstance(b, tuple):
+        return len(a) == len(b) and all(close(x, y) for x, y in zip(a, b))
+    return a == b
 
 
 def main():
@@ -89,7 +105,7 @@ def main():
             bad += 1
             continue
         a, b = rows_of(scols, srows), rows_of(dcols, drows)
-        if a != b:
+        if len(a) != len(b) or not all(close(x, y) for x, y in zip(a, b)):
             bad += 1
             print(f"FAIL  {name}: rows {len(a)} vs {len(b)}")
             sa, sb = set(a), set(b)
