@@ -10,7 +10,7 @@ Every change of value class (NULL / number / other) is always kept (except leadi
 the history of a tag falls into independent *runs*. Inside a run, with a zero deadband the
 relation is an equivalence (NaN aside), so the last kept value equals the previous value and
 plain window functions give the exact answer (``only_on_change``). A positive deadband is a
-true fold; it runs per (tag, run) in ``applyInPandas`` (``deadband``).
+true fold; it streams through tag-sorted partitions in ``mapInPandas`` (``deadband``).
 """
 
 from __future__ import annotations
@@ -91,50 +91,52 @@ def only_on_change(df: DataFrame, tag: str = "tag_path", order: list[str] | None
     return out.filter(keep).select(*df.columns)
 
 
-def _fold(pdf: pd.DataFrame, order: list[str], threshold: float) -> list[bool]:
-    pdf = pdf.sort_values(order, kind="mergesort")
-    keep = []
-    last_kind, last_num, last_key = "NULL", None, None
-    for k, n, s, force in zip(pdf["_kind"], pdf["_num"], pdf["_key"], pdf["_force"]):
-        if force:
-            changed = True
-        elif k == "NULL" and last_kind == "NULL":
-            changed = False
-        elif k == "NULL" or last_kind == "NULL":
-            changed = True
-        elif k == "NUMBER" and last_kind == "NUMBER":
-            changed = (not (math.isnan(n) or math.isnan(last_num))) and abs(n - last_num) > threshold
-        elif k == "NUMBER" or last_kind == "NUMBER":
-            changed = True
-        else:
-            changed = s != last_key
-        keep.append(changed)
-        if changed:
-            last_kind, last_num, last_key = k, n, s
-    return pdf[keep]
+def _changed(k, n, s, lk, ln, lkey, threshold: float) -> bool:
+    if k == "NULL" and lk == "NULL":
+        return False
+    if k == "NULL" or lk == "NULL":
+        return True
+    if k == "NUMBER" and lk == "NUMBER":
+        return (not (math.isnan(n) or math.isnan(ln))) and abs(n - ln) > threshold
+    if k == "NUMBER" or lk == "NUMBER":
+        return True
+    return s != lkey
 
 
 def deadband(df: DataFrame, threshold: float, tag: str = "tag_path",
              order: list[str] | None = None, kind: Column | None = None,
-             num: Column | None = None, key: Column | None = None) -> DataFrame:
+             num: Column | None = None, key: Column | None = None,
+             partitions: int | None = None) -> DataFrame:
     """Keep an event when ``|v - last kept| > threshold``; other types by equality.
 
-    The fold is sequential, so it runs per (tag, run) — runs restart at every change of value
-    class, where the kept state is known without history — in an Arrow-batched
-    ``applyInPandas``. Example: 1.0, 1.4, 1.8, 3.0 with 0.5 keeps 1.0, 1.8, 3.0.
+    The fold is sequential per tag. Events are hash-partitioned by tag (one shuffle) and sorted
+    by (tag, time) inside each partition; an Arrow-batched ``mapInPandas`` then walks the sorted
+    stream carrying the last kept value across batch boundaries, so memory stays at one batch
+    however long a tag's history is. Example: 1.0, 1.4, 1.8, 3.0 with 0.5 keeps 1.0, 1.8, 3.0.
     """
     order = order or ["event_time", "event_id"]
     cols = change_columns_from_typed() if kind is None else {"kind": kind, "num": num, "key": key}
     base = df.withColumns({"_kind": cols["kind"], "_num": cols["num"], "_key": cols["key"]})
-    runs, _w = _with_runs(base, tag, order)
-    # The first element of a run is kept on the class change alone (leading NULLs excepted).
-    runs = runs.withColumn("_force", F.col("_run_start")
-                           & ~((F.col("_cls") == 0) & F.col("_prev_cls").isNull()))
-    work = runs.select(*df.columns, "_kind", "_num", "_key", "_force", "_run")
+    n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = base.repartition(n_parts, tag).sortWithinPartitions(tag, *order)
+    out_cols = list(df.columns)
+    schema = df.schema
     thr = float(threshold)
-    folded = work.groupBy(tag, "_run").applyInPandas(
-        lambda pdf: _fold(pdf, order, thr), schema=work.schema)
-    return folded.select(*df.columns)
+
+    def fold(batches):
+        cur_tag, lk, ln, lkey = object(), "NULL", None, None
+        for pdf in batches:
+            keep = []
+            for t, k, n, s in zip(pdf[tag], pdf["_kind"], pdf["_num"], pdf["_key"]):
+                if t != cur_tag:
+                    cur_tag, lk, ln, lkey = t, "NULL", None, None
+                ch = _changed(k, n, s, lk, ln, lkey, thr)
+                keep.append(ch)
+                if ch:
+                    lk, ln, lkey = k, n, s
+            yield pdf.loc[keep, out_cols]
+
+    return ordered.mapInPandas(fold, schema=schema)
 
 
 def rate_cap(df: DataFrame, n: int, ts: str = "ingest_ts", unit: str = "second",

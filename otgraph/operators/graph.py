@@ -19,14 +19,18 @@ def _ends(c: str, suffix: str):
     return F.col(c).endswith(suffix)
 
 
-def skip_schema_triples(df: DataFrame) -> DataFrame:
-    """Drop metadata and schema triples before building elements (F13): sub-property,
-    state, comment, label, range and domain triples, class and property declarations and
-    objects ending in 'state'."""
+def skipped():
+    """True for metadata and schema triples (F13): sub-property, state, comment, label, range
+    and domain triples, class and property declarations, objects ending in 'state'."""
     meta = (_ends("p", "subPropertyOf") | _ends("p", "hasState") | _ends("p", "comment")
             | _ends("p", "label") | _ends("p", "range") | _ends("p", "domain"))
     decl = is_type_predicate("p") & (_ends("o", "Property") | _ends("o", "Class"))
-    return df.filter(~(meta | decl | _ends("o", "state")))
+    return meta | decl | _ends("o", "state")
+
+
+def skip_schema_triples(df: DataFrame) -> DataFrame:
+    """Drop metadata and schema triples before building elements."""
+    return df.filter(~skipped())
 
 
 def sub_properties(df: DataFrame, target: str, transitive: bool = False) -> DataFrame:
@@ -73,26 +77,37 @@ def parents(df: DataFrame, target: str = PART_OF, transitive: bool = False) -> D
     return e.groupBy(F.col("s").alias("node")).agg(F.min("o").alias("parent"))
 
 
-def node_attributes(df: DataFrame) -> DataFrame:
+def node_attributes(df: DataFrame, with_parent: bool = False, part_of: str = PART_OF,
+                    transitive: bool = False) -> DataFrame:
     """One row per (typed subject, type) with label (fallback local name), state (local name
-    of ``hasState``, fallback 'operational') and comment (fallback '') (J4)."""
-    label = df.filter(_ends("p", "label") & ~_ends("p", "subPropertyOf")) \
-        .groupBy("s").agg(F.min("o").alias("_label"))
-    state = df.filter(_ends("p", "hasState")).groupBy("s").agg(
-        F.min(local_name("o")).alias("_state"))
-    comment = df.filter(_ends("p", "comment")).groupBy("s").agg(F.min("o").alias("_comment"))
-    typed = skip_schema_triples(df).filter(is_type_predicate("p")) \
-        .select(F.col("s"), F.col("o").alias("type")).distinct()
-    return (typed.join(label, "s", "left").join(state, "s", "left").join(comment, "s", "left")
-            .select(F.col("s").alias("id"), F.coalesce("_label", local_name("s")).alias("label"),
-                    "type", F.coalesce("_state", F.lit("operational")).alias("state"),
-                    F.coalesce("_comment", F.lit("")).alias("comment")))
+    of ``hasState``, fallback 'operational') and comment (fallback '') (J4); with
+    ``with_parent`` also the least ``partOf`` parent (G1). One aggregation per subject over the
+    triples — types per subject are bounded by the vocabulary, never by the data."""
+    base = df
+    if with_parent:
+        preds = sub_properties(df, part_of, transitive).withColumn("_is_part", F.lit(True))
+        base = df.join(F.broadcast(preds), on="p", how="left")
+    keep = ~skipped()
+    aggs = [
+        F.min(F.when(_ends("p", "label") & ~_ends("p", "subPropertyOf"), F.col("o"))).alias("_label"),
+        F.min(F.when(_ends("p", "hasState"), local_name("o"))).alias("_state"),
+        F.min(F.when(_ends("p", "comment"), F.col("o"))).alias("_comment"),
+        F.collect_set(F.when(is_type_predicate("p") & keep, F.col("o"))).alias("_types"),
+    ]
+    if with_parent:
+        aggs.append(F.min(F.when(F.col("_is_part") & keep, F.col("o"))).alias("parent"))
+    g = base.groupBy("s").agg(*aggs).filter(F.size("_types") > 0)
+    return g.select(
+        F.col("s").alias("id"), F.coalesce("_label", local_name("s")).alias("label"),
+        F.explode("_types").alias("type"),
+        F.coalesce("_state", F.lit("operational")).alias("state"),
+        F.coalesce("_comment", F.lit("")).alias("comment"),
+        *(["parent"] if with_parent else []))
 
 
 def structure_nodes(df: DataFrame, part_of: str = PART_OF) -> DataFrame:
     """Typed nodes with attributes and their parent (G1)."""
-    return node_attributes(df).join(
-        parents(df, part_of).withColumnRenamed("node", "id"), "id", "left")
+    return node_attributes(df, with_parent=True, part_of=part_of)
 
 
 def node_types(nodes: DataFrame) -> DataFrame:

@@ -20,30 +20,38 @@ def _cut(df: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None,
-              checkpoint_every: int = 1, start_depth: int = 0) -> DataFrame:
+              start_depth: int = 0) -> DataFrame:
     """All (root, node, depth) with ``node`` reachable from ``root`` along ``edges(src, dst)``;
     ``depth`` is the fewest hops. ``seeds`` holds (root, node) pairs at ``start_depth``. Cycles end
-    because visited pairs are never expanded again."""
-    e = edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst")).distinct()
+    because visited pairs are never expanded again.
+
+    Every new frontier is checkpointed once; the visited set is the union of those checkpoints,
+    so no step rewrites earlier results and each lineage is one step deep."""
+    # the edge list is read by every step: materialise it once
+    e = _cut(edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst")).distinct())
     frontier = _cut(seeds.select("root", "node").distinct()
                     .withColumn("depth", F.lit(start_depth)))
-    visited = frontier
+    levels = [frontier]
     depth = start_depth
     while max_depth is None or depth < max_depth:
         depth += 1
+        seen = levels[0].select("root", "node")
+        for lv in levels[1:]:
+            seen = seen.unionByName(lv.select("root", "node"))
         step = (frontier.join(e, frontier["node"] == e["_src"])
                 .select("root", F.col("_dst").alias("node"))
                 .distinct()
-                .join(visited.select("root", "node"), ["root", "node"], "left_anti")
+                .join(seen, ["root", "node"], "left_anti")
                 .withColumn("depth", F.lit(depth)))
-        step = _cut(step) if depth % checkpoint_every == 0 else step
+        step = _cut(step)
         if step.isEmpty():
             break
-        visited = visited.unionByName(step)
-        if depth % checkpoint_every == 0:
-            visited = _cut(visited)
+        levels.append(step)
         frontier = step
-    return visited
+    out = levels[0]
+    for lv in levels[1:]:
+        out = out.unionByName(lv)
+    return out
 
 
 def walk_up(parents: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -52,7 +60,7 @@ def walk_up(parents: DataFrame, max_depth: int | None = None) -> DataFrame:
     Returns (node, path) with ``path`` ordered root first, ending with the direct parent;
     a node without a parent gets an empty path. A cycle stops at the first repeated node.
     """
-    par = parents.select(F.col("node").alias("_n"), F.col("parent").alias("_p"))
+    par = _cut(parents.select(F.col("node").alias("_n"), F.col("parent").alias("_p")))
     nodes = parents.select("node").unionByName(parents.select(F.col("parent").alias("node"))) \
         .distinct()
     state = (nodes.join(par, nodes["node"] == par["_n"], "left")
@@ -60,10 +68,11 @@ def walk_up(parents: DataFrame, max_depth: int | None = None) -> DataFrame:
                      .otherwise(F.array(F.col("_p"))).alias("path"),
                      F.col("_p").alias("tip")))
     state = _cut(state)
+    done = [state.filter(F.col("tip").isNull())]
+    active = state.filter(F.col("tip").isNotNull())
     steps = 0
     while max_depth is None or steps < max_depth:
         steps += 1
-        active = state.filter(F.col("tip").isNotNull())
         if active.isEmpty():
             break
         moved = (active.join(par, active["tip"] == par["_n"], "left")
@@ -71,9 +80,14 @@ def walk_up(parents: DataFrame, max_depth: int | None = None) -> DataFrame:
         # stop at the root (no parent), at a revisit (cycle) or at the node itself
         cont = F.col("nxt").isNotNull() & ~F.array_contains("path", F.col("nxt")) \
             & (F.col("nxt") != F.col("node"))
-        moved = moved.select(
+        moved = _cut(moved.select(
             "node",
             F.when(cont, F.concat("path", F.array("nxt"))).otherwise(F.col("path")).alias("path"),
-            F.when(cont, F.col("nxt")).alias("tip"))
-        state = _cut(state.filter(F.col("tip").isNull()).unionByName(moved))
+            F.when(cont, F.col("nxt")).alias("tip")))
+        done.append(moved.filter(F.col("tip").isNull()))
+        active = moved.filter(F.col("tip").isNotNull())
+    state = done[0]
+    for d in done[1:]:
+        state = state.unionByName(d)
+    state = state.unionByName(active)   # only non-empty when max_depth stopped the walk
     return state.select("node", F.reverse("path").alias("path"))

@@ -172,7 +172,7 @@ def template_fields(file_name, content) -> dict[str, F.Column]:
     name = F.initcap(F.replace(F.replace(fn, F.lit(".ttl"), F.lit("")), F.lit("_"), F.lit(" ")))
     lines = F.filter(F.split(content, "\n"),
                      lambda x: F.trim(x).startswith("# ") & ~F.lower(x).contains("prefix"))
-    desc = F.coalesce(F.substring(F.trim(F.element_at(lines, 1)), 3, 1 << 20),
+    desc = F.coalesce(F.substring(F.trim(F.try_element_at(lines, F.lit(1))), 3, 1 << 20),
                       F.lit("Local TTL file template"))
     low = F.lower(fn)
     cat = (F.when(low.contains("oil") | low.contains("rig"), "oil-gas")

@@ -10,25 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from otgraph.operators.changes import change_columns_from_typed
+from otgraph.operators.changes import _changed, change_columns_from_typed
 
 __all__ = ["deadband_stream"]
 
 _STATE = "kind string, num double, key string"
 
 
-def _changed(k, n, s, lk, ln, lkey, thr) -> bool:
-    if k == "NULL" and lk == "NULL":
-        return False
-    if k == "NULL" or lk == "NULL":
-        return True
-    if k == "NUMBER" and lk == "NUMBER":
-        return (not (math.isnan(n) or math.isnan(ln))) and abs(n - ln) > thr
-    if k == "NUMBER" or lk == "NUMBER":
-        return True
-    return s != lkey
-
-
 def deadband_stream(stream: DataFrame, threshold: float, tag: str = "tag_path",
                     order: tuple[str, ...] = ("event_time", "event_id"),
                     timeout: str | None = None) -> DataFrame:
