@@ -140,24 +140,33 @@ def bess_metrics(df: DataFrame, keys: Sequence[str], ts: str, net_kw: str, capac
 
 
 def bess_soc_clamped(df: DataFrame, key: str, ts: str, net_kw: str, capacity_kwh: float,
-                     soc0: float = 50.0, lo: float = 5.0, hi: float = 95.0) -> DataFrame:
-    """SOC walk clamped to [lo, hi] after every step (W4) — a fold, run per key in
-    ``applyInPandas``; output (key, ts, soc)."""
-    sub = df.select(F.col(key), F.col(ts), F.col(net_kw).cast("double").alias("net"))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts, kind="mergesort")
-        t = pd.to_datetime(pdf[ts])
-        dt_h = t.diff().dt.total_seconds().fillna(0.0).to_numpy() / 3600.0
-        soc, out = soc0, []
-        for n, h in zip(pdf["net"].to_numpy(), dt_h):
-            soc = min(max(soc - (n * h) / capacity_kwh * 100.0, lo), hi)
-            out.append(soc)
-        return pd.DataFrame({key: pdf[key].to_numpy(), ts: pdf[ts].to_numpy(), "soc": out})
+                     soc0: float = 50.0, lo: float = 5.0, hi: float = 95.0,
+                     partitions: int | None = None) -> DataFrame:
+    """SOC walk clamped to [lo, hi] after every step (W4) — a fold. Rows are hash-partitioned
+    by key and sorted by (key, ts) inside each partition; ``mapInPandas`` walks the sorted
+    stream batch by batch carrying the SOC, so memory is one Arrow batch per task.
+    Output (key, ts, soc)."""
+    sub = df.select(F.col(key), F.col(ts), F.col(net_kw).cast("double").alias("_net"))
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = sub.repartition(n, key).sortWithinPartitions(key, ts)
+
+    def walk(batches):
+        cur, soc, prev_t = object(), soc0, None
+        for pdf in batches:
+            t = pd.to_datetime(pdf[ts]).to_numpy()
+            out = []
+            for k, tt, net in zip(pdf[key].to_numpy(), t, pdf["_net"].to_numpy()):
+                if k != cur:
+                    cur, soc, prev_t = k, soc0, None
+                h = 0.0 if prev_t is None else (tt - prev_t) / pd.Timedelta(hours=1)
+                soc = min(max(soc - (net * h) / capacity_kwh * 100.0, lo), hi)
+                prev_t = tt
+                out.append(soc)
+            yield pd.DataFrame({key: pdf[key], ts: pdf[ts], "soc": out})
 
     schema = f"{key} {sub.schema[key].dataType.simpleString()}, {ts} " \
              f"{sub.schema[ts].dataType.simpleString()}, soc double"
-    return sub.groupBy(key).applyInPandas(walk, schema=schema)
+    return ordered.mapInPandas(walk, schema=schema)
 
 
 # ------------------------------------------------------------------ sequences -----------------

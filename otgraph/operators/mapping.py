@@ -56,3 +56,11 @@ def union_mapped(frames: list[DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
+
+
+def concat_batches(frames: list[DataFrame], allow_missing: bool = False) -> DataFrame:
+    """Union of batches (lines, days, sources) by column name."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=allow_missing)
+    return out

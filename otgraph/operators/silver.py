@@ -98,3 +98,10 @@ def latest_signals(df: DataFrame, keys: Sequence[str] = ("asset_id", "signal_nam
                    tie: Sequence[str] = ("ingestion_timestamp",)) -> DataFrame:
     """Newest normalised value per asset and signal."""
     return latest_by(df, list(keys), ts, list(values), tie=list(tie))
+
+
+def top_sources(counts: DataFrame, n: int, count_col: str = "events",
+                last_col: str = "last_ingested_at") -> DataFrame:
+    """The ``n`` busiest sources, most events first, then most recent ingest (L2). A top-k
+    report: Spark plans it as TakeOrderedAndProject (per-task top n, then a merge)."""
+    return counts.orderBy(F.col(count_col).desc(), F.col(last_col).desc()).limit(int(n))

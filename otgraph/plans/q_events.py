@@ -181,3 +181,13 @@ def q_rollup(spark, sf):
 def q_latest_signals(spark, sf):
     mapping, _reg = _dims(spark, sf)
     return V.latest_signals(V.normalize_events(_ot(spark, sf), mapping))
+
+
+@register("top_sources", with_ctes(
+    "SELECT source_system, tag_provider, count(*) AS events,"
+    f" max({_INGEST_SQL}) AS last_ingested_at FROM ot_events"
+    " GROUP BY source_system, tag_provider ORDER BY events DESC, last_ingested_at DESC LIMIT 3",
+    "ot_events"))
+def q_top_sources(spark, sf):
+    counts = V.event_counts(_ot(spark, sf), ["source_system", "tag_provider"], NOW, "3650 days")
+    return V.top_sources(counts, 3)

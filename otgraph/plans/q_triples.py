@@ -109,8 +109,10 @@ def q_iri_parts(spark, sf):
                     local_name("p").alias("p_name")).distinct()
 
 
-@register("clean_uris", None)
+@register("clean_uris", with_ctes(
+    "SELECT DISTINCT s AS s_clean, p AS p_clean FROM triples", "triples"))
 def q_clean_uris(spark, sf):
     t = triples(table(spark, sf, "events"))
+    # the namespace IRIs need no quoting, so cleaning must leave them unchanged
     return t.select("s", "p").distinct().select(clean_uri("s").alias("s_clean"),
                                                clean_uri("p").alias("p_clean"))

@@ -243,3 +243,12 @@ def test_iri_helpers(spark):
     df2 = spark.createDataFrame([("http://x/component-12",), ("http://x/y#z/",)], "u string")
     assert [r[0] for r in df2.select(component_id_from_iri("u")).collect()][0] == "12"
     assert [r[0] for r in df2.select(local_name("u")).collect()] == ["component-12", "z"]
+
+
+def test_soc_clamped(spark):
+    from otgraph.operators.gold import bess_soc_clamped
+    rows = [("b", ts(minutes=60 * i), v) for i, v in enumerate([0.0, -600.0, -600.0, 900.0])]
+    df = spark.createDataFrame(rows, "k string, t timestamp, net double")
+    got = [r.soc for r in bess_soc_clamped(df, "k", "t", "net", 1000.0).orderBy("t").collect()]
+    # 50 → +60 (clamped to 95) → 95 → 95 − 90 = 5
+    assert got == [50.0, 95.0, 95.0, 5.0]

@@ -22,5 +22,4 @@ def test_registered_queries_have_oracles():
     import __spark_entry__ as E
     q, o = E.queries(), E.oracle_sql()
     missing = sorted(set(q) - set(o))
-    # only outputs that DuckDB cannot produce identically lack an oracle
-    assert missing == ["clean_uris"]
+    assert missing == []
