@@ -185,26 +185,25 @@ def flag_intervals(df: DataFrame, keys: Sequence[str], ts: str, flag: str,
                    reason: str | None = None, tie: Sequence[str] = ()) -> DataFrame:
     """Episodes of consecutive flagged readings per key (W6): start (first flagged reading),
     end (first following unflagged reading, NULL while open), duration in seconds, readings,
-    reason (of the first reading)."""
+    reason (of the first reading).
+
+    Gaps and islands in one pass: every row is labelled with the last *unflagged* row strictly
+    before it (a skew-safe forward fill); an episode is the flagged rows sharing a label, and
+    its end is the unflagged row carrying the same label."""
     keys, tie = list(keys), list(tie)
-    p = with_prev(df, keys, ts, [flag], tie=tie)
     f = F.coalesce(F.col(flag).cast("boolean"), F.lit(False))
-    pf = F.coalesce(F.col(f"prev_{flag}").cast("boolean"), F.lit(False))
-    starts = p.withColumn("_start", F.when(f & ~pf, F.struct(F.col(ts).alias("t"),
-                                                             *[F.col(c) for c in tie])))
-    # the episode a row belongs to: last episode start at or before it
-    s2 = ffill(starts, keys, ts, F.col("_start"), "_ep", order=tie)
-    flagged = s2.filter(f)
-    ends = s2.filter(~f & pf)   # first unflagged reading after an episode
-    agg = flagged.groupBy(*keys, F.col("_ep").alias("_ep")).agg(
-        F.count(F.lit(1)).alias("readings"),
-        *([F.min_by(F.col(reason), F.struct(F.col(ts), *[F.col(c) for c in tie]))
-           .alias("reason")] if reason else []))
-    endt = ends.select(*keys, F.col("_ep"), F.col(ts).alias("end_ts"))
-    out = agg.join(endt, on=keys + ["_ep"], how="left")
-    return out.select(*keys, F.col("_ep.t").alias("start_ts"), "end_ts",
-                      seconds_between("end_ts", F.col("_ep.t")).alias("duration_s"), "readings",
-                      *(["reason"] if reason else []))
+    pos = F.struct(F.col(ts).alias("t"), *[F.col(c) for c in tie])
+    labelled = ffill(df, keys, ts, F.when(~f, pos), "_ep", order=tie, strict=True)
+    aggs = [F.count_if(f).alias("readings"),
+            F.min(F.when(f, F.col(ts))).alias("start_ts"),
+            F.min(F.when(~f, F.col(ts))).alias("end_ts")]
+    if reason:
+        aggs.append(F.min(F.when(f, F.struct(pos.alias("o"), F.col(reason).alias("r"))))["r"]
+                    .alias("reason"))
+    ep = labelled.groupBy(*keys, "_ep").agg(*aggs).filter(F.col("readings") > 0)
+    return ep.select(*keys, "start_ts", "end_ts",
+                     seconds_between("end_ts", "start_ts").alias("duration_s"), "readings",
+                     *(["reason"] if reason else []))
 
 
 def tracking_error(df: DataFrame, keys: Sequence[str], ts: str, actual: str, target: str,

@@ -49,20 +49,15 @@ def ffill(df: DataFrame, keys: Sequence[str], ts: str, value: Column, name: str,
     w = Window.partitionBy(*keys, BUCKET).orderBy(*[F.col(c) for c in [ts] + order])
     frame = w.rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
     inner = b.withColumn("_in", F.last("_v", ignorenulls=True).over(frame))
-    # last non-null value per bucket, then the latest one of the earlier buckets
-    lastv = (b.filter(F.col("_v").isNotNull())
-             .groupBy(*keys, BUCKET)
-             .agg(F.max(F.struct(*[F.col(c) for c in [ts] + order], F.col("_v").alias("_v")))
-                  .alias("_l"))
-             .select(*keys, BUCKET, F.col("_l._v").alias("_v"), F.lit(1).alias("_side")))
-    marks = b.select(*keys, BUCKET).distinct().select(
-        *keys, BUCKET, F.lit(None).cast(lastv.schema["_v"].dataType).alias("_v"),
-        F.lit(0).alias("_side"))
-    wb = Window.partitionBy(*keys).orderBy(BUCKET, "_side") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    carry = (marks.unionByName(lastv)
-             .withColumn("_carry", F.last("_v", ignorenulls=True).over(wb))
-             .filter(F.col("_side") == 0).select(*keys, BUCKET, "_carry"))
+    # one row per (key, bucket): the bucket's last non-NULL value (NULL when it has none) ...
+    per_bucket = b.groupBy(*keys, BUCKET).agg(
+        F.max(F.when(F.col("_v").isNotNull(),
+                     F.struct(*[F.col(c) for c in [ts] + order], F.col("_v").alias("_v"))))
+        .alias("_l"))
+    # ... and, over the (small) bucket table, the latest value of the earlier buckets
+    wb = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_bucket.select(*keys, BUCKET,
+                              F.last(F.col("_l._v"), ignorenulls=True).over(wb).alias("_carry"))
     j = inner.join(carry, on=keys + [BUCKET], how="left")
     return j.withColumn(name, F.coalesce("_in", "_carry")).drop("_in", "_carry", "_v", BUCKET)
 
