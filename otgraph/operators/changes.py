@@ -9,7 +9,7 @@ otherwise → the values differ. No kept value yet counts as NULL.
 Every change of value class (NULL / number / other) is always kept (except leading NULLs), so
 the history of a tag falls into independent *runs*. Inside a run, with a zero deadband the
 relation is an equivalence (NaN aside), so the last kept value equals the previous value and
-plain window functions give the exact answer (``only_on_change``). A positive deadband is a
+window functions give the exact answer, split by (tag, day) (``only_on_change``). A positive deadband is a
 true fold; it streams through tag-sorted partitions in ``mapInPandas`` (``deadband``).
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+
 from otgraph.functions.events import variant_kind
 
 
@@ -51,44 +52,78 @@ def change_columns_from_typed(data_type="data_type", numeric="numeric_value",
     }
 
 
-def _with_runs(df: DataFrame, tag: str, order: list[str]) -> tuple[DataFrame, Window]:
-    w = Window.partitionBy(tag).orderBy(*order)
-    cls = F.when(F.col("_kind") == "NULL", 0).when(F.col("_kind") == "NUMBER", 1).otherwise(2)
-    out = df.withColumn("_cls", cls).withColumn("_prev_cls", F.lag("_cls").over(w))
-    out = out.withColumn("_run_start", F.col("_prev_cls").isNull()
-                         | (F.col("_prev_cls") != F.col("_cls")))
-    out = out.withColumn("_run", F.sum(F.col("_run_start").cast("long"))
-                         .over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return out, w
-
-
 def only_on_change(df: DataFrame, tag: str = "tag_path", order: list[str] | None = None,
                    kind: Column | None = None, num: Column | None = None,
-                   key: Column | None = None) -> DataFrame:
-    """Drop repeats of the last kept value per tag (deadband 0) — exact, window-only."""
+                   key: Column | None = None, unit: str = "day") -> DataFrame:
+    """Drop repeats of the last kept value per tag (deadband 0) — exact, window-only.
+
+    One window pass per (tag, day) computes everything a row can see inside its day plus the
+    day's end state; a small one-row-per-(tag, day) table carries that state to the next day
+    (including whether the run in progress began with NaN) and is joined back. One shuffle of
+    the events (reused for the summary), and a chatty tag is split by day.
+    """
     order = order or ["event_time", "event_id"]
+    ts, tie = order[0], list(order[1:])
     cols = change_columns_from_typed() if kind is None else {"kind": kind, "num": num, "key": key}
-    base = df.withColumns({"_kind": cols["kind"], "_num": cols["num"], "_key": cols["key"]})
-    out, w = _with_runs(base, tag, order)
-    upto_prev = w.rowsBetween(Window.unboundedPreceding, -1)
-    upto_cur = w.rowsBetween(Window.unboundedPreceding, 0)
+    cls = F.when(cols["kind"] == "NULL", 0).when(cols["kind"] == "NUMBER", 1).otherwise(2)
+    b = "_bucket"
+    base = df.withColumns({"_cls": cls, "_num": cols["num"], "_key": cols["key"],
+                           b: F.date_trunc(unit, F.col(ts))})
+    w = Window.partitionBy(tag, b).orderBy(*[F.col(c) for c in [ts] + tie])
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     is_nan = F.isnan(F.col("_num"))
-    prev_num = F.last(F.when((F.col("_cls") == 1) & ~is_nan, F.struct(F.col("_run").alias("r"),
-                                                                      F.col("_num").alias("n"))),
-                      ignorenulls=True).over(upto_prev)
-    run_first_nan = F.last(F.when(F.col("_run_start"), is_nan & (F.col("_cls") == 1)),
-                           ignorenulls=True).over(upto_cur)
-    out = out.withColumns({"_prev_num": prev_num, "_run_first_nan": run_first_nan,
-                           "_prev_key": F.lag("_key").over(w)})
-    same_run_prev = F.when(F.col("_prev_num.r") == F.col("_run"), F.col("_prev_num.n"))
+    nan_num = (F.col("_cls") == 1) & is_nan
+    # last non-NaN number seen; any non-number row resets it
+    marker = (F.when(F.col("_cls") != 1, F.struct(F.lit(True).alias("reset"),
+                                                  F.lit(None).cast("double").alias("n")))
+              .when(~is_nan, F.struct(F.lit(False).alias("reset"), F.col("_num").alias("n"))))
+    lag_cls = F.lag("_cls").over(w)
+    inner = base.select(
+        *df.columns, "_cls", "_num", "_key", b,
+        lag_cls.alias("_lag_cls"), F.lag("_key").over(w).alias("_lag_key"),
+        F.last(marker, ignorenulls=True).over(before).alias("_in_mark"),
+        F.last(marker, ignorenulls=True).over(upto).alias("_end_mark"),
+        # run start inside the day (rows after the first): the run's first-is-NaN flag
+        F.last(F.when(lag_cls.isNotNull() & (lag_cls != F.col("_cls")), nan_num),
+               ignorenulls=True).over(upto).alias("_in_fnan"),
+        F.first("_cls").over(upto).alias("_first_cls"),
+        F.first(nan_num).over(upto).alias("_first_nan_row"),
+        F.lead(F.lit(1)).over(w).isNull().alias("_is_last"))
+    # day summaries: end state, then carried to the following day
+    wb = Window.partitionBy(tag).orderBy(b)
+    days = inner.filter("_is_last").select(
+        tag, b, F.col("_cls").alias("_last_cls"), F.col("_key").alias("_last_key"),
+        "_end_mark", "_in_fnan", "_first_cls", "_first_nan_row")
+    days = days.withColumn("_prev_last_cls", F.lag("_last_cls").over(wb))
+    first_is_start = F.col("_prev_last_cls").isNull() | (F.col("_prev_last_cls") != F.col("_first_cls"))
+    local_end = F.coalesce(F.col("_in_fnan"), F.when(first_is_start, F.col("_first_nan_row")))
+    days = days.withColumn("_fnan_end", F.last(local_end, ignorenulls=True)
+                           .over(wb.rowsBetween(Window.unboundedPreceding, 0)))
+    carry = days.select(
+        tag, b, F.col("_prev_last_cls").alias("_c_cls"),
+        F.lag("_last_key").over(wb).alias("_c_key"),
+        F.last("_end_mark", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, -1))
+        .alias("_c_mark"),
+        F.lag("_fnan_end").over(wb).alias("_c_fnan"))
+    j = inner.join(carry, on=[tag, b], how="left")
+    first_in_day = F.col("_lag_cls").isNull()
+    prev_cls = F.when(first_in_day, F.col("_c_cls")).otherwise(F.col("_lag_cls"))
+    prev_key = F.when(first_in_day, F.col("_c_key")).otherwise(F.col("_lag_key"))
+    run_start = prev_cls.isNull() | (prev_cls != F.col("_cls"))
+    day_first_is_start = F.col("_c_cls").isNull() | (F.col("_c_cls") != F.col("_first_cls"))
+    first_nan = F.coalesce(F.col("_in_fnan"), F.when(day_first_is_start, F.col("_first_nan_row")),
+                           F.col("_c_fnan"))
+    mark = F.coalesce(F.col("_in_mark"), F.col("_c_mark"))
+    prev_num = F.when(~mark["reset"], mark["n"])
     keep = (
-        F.when(F.col("_run_start"), ~((F.col("_cls") == 0) & F.col("_prev_cls").isNull()))
+        F.when(run_start, ~((F.col("_cls") == 0) & prev_cls.isNull()))
         .when(F.col("_cls") == 0, F.lit(False))
-        .when(F.col("_cls") == 1, ~F.col("_run_first_nan") & ~is_nan
-              & ~F.coalesce(same_run_prev == F.col("_num"), F.lit(False)))
-        .otherwise(~F.col("_key").eqNullSafe(F.col("_prev_key")))
+        .when(F.col("_cls") == 1, ~F.coalesce(first_nan, F.lit(False)) & ~is_nan
+              & ~F.coalesce(prev_num == F.col("_num"), F.lit(False)))
+        .otherwise(~F.col("_key").eqNullSafe(prev_key))
     )
-    return out.filter(keep).select(*df.columns)
+    return j.filter(keep).select(*df.columns)
 
 
 def _changed(k, n, s, lk, ln, lkey, threshold: float) -> bool:

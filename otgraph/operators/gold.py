@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from otgraph.operators.series import BUCKET, ffill, seconds_between, with_prev
+from otgraph.operators.series import ffill, seconds_between, with_context, with_prev
 
 
 # ------------------------------------------------------------------ joins ---------------------
@@ -210,30 +210,38 @@ def tracking_error(df: DataFrame, keys: Sequence[str], ts: str, actual: str, tar
                    window_seconds: int) -> DataFrame:
     """Actual minus target and its moving average over the last ``window_seconds``.
 
-    The RANGE frame is bounded in time, so each row reads only its own window."""
+    The RANGE frame runs per (key, day); rows from the last ``window_seconds`` of a day are
+    also given to the next day as context, so the frame is exact across midnight and a hot key
+    is split by day."""
     keys = list(keys)
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(*keys).orderBy(micros).rangeBetween(-int(window_seconds) * 1_000_000, 0)
     err = F.col(actual) - F.col(target)
-    return df.withColumn("error", err).withColumn("ma_error", F.avg(err).over(w))
+    x = with_context(df.withColumn("error", err), keys, ts, window_seconds)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    w = Window.partitionBy(*keys, "_cb").orderBy(micros) \
+        .rangeBetween(-int(window_seconds) * 1_000_000, 0)
+    return x.withColumn("ma_error", F.avg("error").over(w)).filter(~F.col("_ctx")) \
+        .drop("_cb", "_ctx")
 
 
 def first_change(changes: DataFrame, events: DataFrame, keys: Sequence[str], ts: str,
                  signal: str, lookback_seconds: int, event_id: str) -> DataFrame:
     """For each event, the signal that changed first within ``lookback_seconds`` before it.
 
-    Changes and events share one time-ordered stream per key; a RANGE frame ending just
-    before the event gives the earliest change in the window."""
+    Changes and events share one time-ordered stream per (key, day) — changes near the end
+    of a day are also copied into the next day — and a RANGE frame ending just before the
+    event gives the earliest change in the window."""
     keys = list(keys)
     c = changes.select(*keys, F.col(ts), F.struct(F.col(ts).alias("t"),
                                                   F.col(signal).alias("s")).alias("_c"),
                        F.lit(None).cast(events.schema[event_id].dataType).alias(event_id))
     e = events.select(*keys, F.col(ts), F.lit(None).cast(c.schema["_c"].dataType).alias("_c"),
                       F.col(event_id))
-    u = c.unionByName(e)
+    u = with_context(c.unionByName(e), keys, ts, lookback_seconds)
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(*keys).orderBy(micros).rangeBetween(-lookback_seconds * 1_000_000, -1)
-    out = u.withColumn("_first", F.min("_c").over(w)).filter(F.col(event_id).isNotNull())
+    w = Window.partitionBy(*keys, "_cb").orderBy(micros) \
+        .rangeBetween(-lookback_seconds * 1_000_000, -1)
+    out = u.withColumn("_first", F.min("_c").over(w)) \
+        .filter(F.col(event_id).isNotNull() & ~F.col("_ctx"))
     return out.select(*keys, event_id, F.col(ts).alias("event_ts"),
                       F.col("_first.s").alias("first_signal"),
                       F.col("_first.t").alias("first_change_ts"))

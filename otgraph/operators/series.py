@@ -1,8 +1,10 @@
 """Exact, skew-safe building blocks for per-key time series.
 
 A window partitioned by the key alone puts a hot key's whole history in one task. These
-helpers partition by (key, time bucket) instead and carry the boundary value from the previous
-non-empty bucket through a per-bucket table (one row per key and bucket), so results stay exact
+helpers partition by (key, time bucket) instead. The boundary value a bucket needs from the
+previous non-empty bucket is read off the last row of each bucket of the same windowed pass
+(Spark reuses that shuffle), carried forward over the small one-row-per-bucket table, and
+joined back on (key, bucket) — a join the big side needs no new shuffle for. Results are exact
 while a hot key is split over as many tasks as it has buckets.
 """
 
@@ -21,23 +23,28 @@ def _bucket(ts: str, unit: str) -> Column:
     return F.date_trunc(unit, F.col(ts))
 
 
+def _bucket_window(keys, ts, order):
+    return Window.partitionBy(*keys, BUCKET).orderBy(*[F.col(c) for c in [ts] + list(order)])
+
+
 def with_prev(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str],
               tie: Sequence[str] = (), unit: str = "day", prefix: str = "prev_") -> DataFrame:
     """Add ``prev_<c>`` for ``ts`` and each column: the previous row of the same key in
     (ts, *tie) order, NULL for the first row."""
     keys, cols, tie = list(keys), list(cols), list(tie)
     carried = [ts] + [c for c in tie if c != ts] + [c for c in cols if c not in tie and c != ts]
-    b = df.withColumn(BUCKET, _bucket(ts, unit))
-    w = Window.partitionBy(*keys, BUCKET).orderBy(*[F.col(c) for c in [ts] + tie])
+    w = _bucket_window(keys, ts, tie)
     rec = F.struct(*[F.col(c).alias(c) for c in carried])
-    inner = b.withColumn("_prev", F.lag(rec).over(w))
-    last = b.groupBy(*keys, BUCKET).agg(F.max(rec).alias("_last"))
+    inner = (df.withColumn(BUCKET, _bucket(ts, unit))
+             .withColumn("_prev", F.lag(rec).over(w))
+             .withColumn("_is_last", F.lead(F.lit(1)).over(w).isNull()))
     wb = Window.partitionBy(*keys).orderBy(BUCKET)
-    carry = last.select(*keys, BUCKET, F.lag("_last").over(wb).alias("_carry"))
+    carry = (inner.filter("_is_last").select(*keys, BUCKET, rec.alias("_last"))
+             .select(*keys, BUCKET, F.lag("_last").over(wb).alias("_carry")))
     j = inner.join(carry, on=keys + [BUCKET], how="left")
     prev = F.coalesce(F.col("_prev"), F.col("_carry"))
     out = j.withColumns({f"{prefix}{c}": prev[c] for c in [ts] + cols})
-    return out.drop("_prev", "_carry", BUCKET)
+    return out.drop("_prev", "_carry", "_is_last", BUCKET)
 
 
 def ffill(df: DataFrame, keys: Sequence[str], ts: str, value: Column, name: str,
@@ -45,21 +52,36 @@ def ffill(df: DataFrame, keys: Sequence[str], ts: str, value: Column, name: str,
     """Add ``name``: the last non-NULL ``value`` (any type) of the same key at or before each
     row (strictly before with ``strict``), in (ts, *order) order."""
     keys, order = list(keys), list(order)
-    b = df.withColumn(BUCKET, _bucket(ts, unit)).withColumn("_v", value)
-    w = Window.partitionBy(*keys, BUCKET).orderBy(*[F.col(c) for c in [ts] + order])
-    frame = w.rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
-    inner = b.withColumn("_in", F.last("_v", ignorenulls=True).over(frame))
-    # one row per (key, bucket): the bucket's last non-NULL value (NULL when it has none) ...
-    per_bucket = b.groupBy(*keys, BUCKET).agg(
-        F.max(F.when(F.col("_v").isNotNull(),
-                     F.struct(*[F.col(c) for c in [ts] + order], F.col("_v").alias("_v"))))
-        .alias("_l"))
-    # ... and, over the (small) bucket table, the latest value of the earlier buckets
+    w = _bucket_window(keys, ts, order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    frame = w.rowsBetween(Window.unboundedPreceding, -1) if strict else upto
+    inner = (df.withColumn(BUCKET, _bucket(ts, unit)).withColumn("_v", value)
+             .withColumn("_in", F.last("_v", ignorenulls=True).over(frame))
+             .withColumn("_upto", F.last("_v", ignorenulls=True).over(upto))
+             .withColumn("_is_last", F.lead(F.lit(1)).over(w).isNull()))
     wb = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_bucket.select(*keys, BUCKET,
-                              F.last(F.col("_l._v"), ignorenulls=True).over(wb).alias("_carry"))
+    carry = (inner.filter("_is_last").select(*keys, BUCKET, "_upto")
+             .select(*keys, BUCKET, F.last("_upto", ignorenulls=True).over(wb).alias("_carry")))
     j = inner.join(carry, on=keys + [BUCKET], how="left")
-    return j.withColumn(name, F.coalesce("_in", "_carry")).drop("_in", "_carry", "_v", BUCKET)
+    return j.withColumn(name, F.coalesce("_in", "_carry")) \
+        .drop("_in", "_upto", "_carry", "_v", "_is_last", BUCKET)
+
+
+def with_context(df: DataFrame, keys: Sequence[str], ts: str, seconds: int,
+                 unit_seconds: int = 86_400) -> DataFrame:
+    """Rows tagged with a bucket (``_cb``) plus, for rows in the last ``seconds`` of their
+    bucket, a context copy (``_ctx`` true) in the next bucket — so a RANGE frame reaching
+    ``seconds`` back can run per (key, bucket) and stay exact (needs seconds ≤ bucket)."""
+    if seconds > unit_seconds:
+        raise ValueError("the look-back must not exceed the bucket size")
+    sec = F.unix_seconds(F.col(ts).cast("timestamp"))
+    b = F.floor(sec / unit_seconds)
+    near_end = (sec - b * unit_seconds) >= (unit_seconds - seconds)
+    copies = F.when(near_end, F.array(F.struct(b.alias("cb"), F.lit(False).alias("ctx")),
+                                      F.struct((b + 1).alias("cb"), F.lit(True).alias("ctx")))) \
+        .otherwise(F.array(F.struct(b.alias("cb"), F.lit(False).alias("ctx"))))
+    return df.withColumn("_copy", F.explode(copies)) \
+        .withColumn("_cb", F.col("_copy.cb")).withColumn("_ctx", F.col("_copy.ctx")).drop("_copy")
 
 
 def seconds_between(later: str | Column, earlier: str | Column) -> Column:

@@ -88,3 +88,22 @@ def test_change_filters_match_reference_fold(spark):
     assert {r.event_id for r in C.only_on_change(df).collect()} == expect0
     assert {r.event_id for r in C.deadband(df, 0.0).collect()} == expect0
     assert {r.event_id for r in C.deadband(df, 1.0).collect()} == expect1
+
+
+def test_change_filter_across_days(spark):
+    """Runs, NaN-led runs and repeats that straddle midnight must match the reference fold."""
+    rnd = random.Random(11)
+    rows, expect = [], set()
+    for tag in range(12):
+        vals = [rnd.choice([None, float("nan"), "a", 1.0, 1.0, 2.0]) for _ in range(40)]
+        for i, v in enumerate(vals):
+            t = T0 + dt.timedelta(hours=7 * i)   # several readings per day, many days
+            rows.append((f"{tag}-{i:03d}", t, f"t{tag}", v if isinstance(v, float) else None,
+                         v if isinstance(v, str) else None, None,
+                         "UNKNOWN" if v is None else ("DOUBLE" if isinstance(v, float) else "STRING")))
+        expect |= {f"{tag}-{i:03d}" for i in _reference_fold(vals, 0.0)}
+    df = spark.createDataFrame(rows, "event_id string, event_time timestamp, tag_path string, "
+                                     "numeric_value double, string_value string, "
+                                     "boolean_value boolean, data_type string")
+    assert {r.event_id for r in C.only_on_change(df).collect()} == expect
+    assert {r.event_id for r in C.only_on_change(df, unit="hour").collect()} == expect
