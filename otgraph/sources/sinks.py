@@ -37,10 +37,11 @@ def write_ntriples(df: DataFrame, path: str) -> None:
 
 def write_snapshot(df: DataFrame, base: str, version: str | None = None) -> str:
     """Write ``df`` to ``<base>/v=<version>`` and point ``<base>/_CURRENT`` at it; readers of
-    the previous version are never disturbed (S14, T5)."""
+    the previous version are never disturbed (S14, T5). Writing a version again (a replayed
+    micro-batch) overwrites that version, so a retried batch is idempotent."""
     version = version or time.strftime("%Y%m%d%H%M%S") + f"{int(time.time() * 1e6) % 1_000_000:06d}"
     target = f"{base.rstrip('/')}/v={version}"
-    df.write.mode("errorifexists").parquet(target)
+    df.write.mode("overwrite").parquet(target)
     spark = df.sparkSession
     spark.createDataFrame([(target,)], "value string").coalesce(1) \
         .write.mode("overwrite").text(f"{base.rstrip('/')}/_CURRENT")
