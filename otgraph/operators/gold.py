@@ -64,17 +64,32 @@ def forecast_vs_actual(forecast: DataFrame, actual: DataFrame, keys: Sequence[st
 
 def events_in_intervals(events: DataFrame, intervals: DataFrame, keys: Sequence[str],
                         ts: str = "ts", start: str = "start_ts", end: str = "end_ts",
-                        bucket_seconds: int = 86_400) -> DataFrame:
-    """Events inside ``[start, end]`` of an interval of the same key (J7) — a range join.
-
-    Intervals are expanded to the time buckets they cover and joined on (key, bucket), then
-    the exact bounds are checked; each event meets only the intervals of its own bucket, not
-    every interval of its key. Open intervals (NULL end) are closed at their start.
+                        disjoint: bool = True, bucket_seconds: int = 86_400) -> DataFrame:
+    """Events inside ``[start, end]`` of an interval of the same key (J7). Open intervals
+    (NULL end) are closed at their start.
+
+    ``disjoint`` (intervals of a key never overlap, e.g. episodes): an as-of lookup — the
+    latest interval starting at or before each event, then the end bound — so no event is
+    paired with any interval but its own. Otherwise a range join: intervals are expanded to the
+    time buckets they cover and joined on (key, bucket) before the exact bounds are checked.
     """
     keys = list(keys)
+    iv_cols = [c for c in intervals.columns if c not in keys]
+    end_c = F.coalesce(F.col(end), F.col(start))
+    if disjoint:
+        iv = intervals.select(*keys, F.col(start).alias(ts),
+                              F.struct(*[F.col(c) for c in iv_cols],
+                                       end_c.alias("_end")).alias("_iv"))
+        ev = events.withColumn("_iv", F.lit(None).cast(iv.schema["_iv"].dataType)) \
+            .withColumn("_is_ev", F.lit(True))
+        u = ev.unionByName(iv.withColumn("_is_ev", F.lit(False)), allowMissingColumns=True)
+        # at equal times the interval row sorts first, so an event at the start is inside
+        filled = ffill(u, keys, ts, F.col("_iv"), "_hit", order=["_is_ev"])
+        hit = filled.filter(F.col("_is_ev") & F.col("_hit").isNotNull()
+                            & (F.col(ts) <= F.col("_hit._end")))
+        return hit.select(*events.columns, *[F.col("_hit")[c].alias(c) for c in iv_cols])
     ev = events.withColumn("_b", F.floor(F.unix_seconds(F.col(ts).cast("timestamp"))
                                          / bucket_seconds))
-    end_c = F.coalesce(F.col(end), F.col(start))
     iv = intervals.withColumn("_b", F.explode(F.sequence(
         F.floor(F.unix_seconds(F.col(start).cast("timestamp")) / bucket_seconds),
         F.floor(F.unix_seconds(end_c.cast("timestamp")) / bucket_seconds))))

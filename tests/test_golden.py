@@ -252,3 +252,16 @@ def test_soc_clamped(spark):
     got = [r.soc for r in bess_soc_clamped(df, "k", "t", "net", 1000.0).orderBy("t").collect()]
     # 50 → +60 (clamped to 95) → 95 → 95 − 90 = 5
     assert got == [50.0, 95.0, 95.0, 5.0]
+
+
+def test_events_in_intervals_both_forms(spark):
+    from otgraph.operators.gold import events_in_intervals
+    ev = spark.createDataFrame([("a", ts(m), str(m)) for m in [0, 1, 5, 6, 9, 30]],
+                               "k string, ts timestamp, id string")
+    iv = spark.createDataFrame([("a", ts(1), ts(5)), ("a", ts(9), None), ("b", ts(0), ts(99))],
+                               "k string, start_ts timestamp, end_ts timestamp")
+    want = {("1", ts(1)), ("5", ts(1)), ("9", ts(9))}
+    for disjoint in (True, False):
+        got = {(r.id, r.start_ts) for r in
+               events_in_intervals(ev, iv, ["k"], disjoint=disjoint).collect()}
+        assert got == want
