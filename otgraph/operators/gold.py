@@ -156,14 +156,15 @@ def bess_metrics(df: DataFrame, keys: Sequence[str], ts: str, net_kw: str, capac
 
 def bess_soc_clamped(df: DataFrame, key: str, ts: str, net_kw: str, capacity_kwh: float,
                      soc0: float = 50.0, lo: float = 5.0, hi: float = 95.0,
-                     partitions: int | None = None) -> DataFrame:
+                     partitions: int | None = None, tie: Sequence[str] = ()) -> DataFrame:
     """SOC walk clamped to [lo, hi] after every step (W4) — a fold. Rows are hash-partitioned
     by key and sorted by (key, ts) inside each partition; ``mapInPandas`` walks the sorted
     stream batch by batch carrying the SOC, so memory is one Arrow batch per task.
     Output (key, ts, soc)."""
-    sub = df.select(F.col(key), F.col(ts), F.col(net_kw).cast("double").alias("_net"))
+    tie = list(tie)
+    sub = df.select(F.col(key), F.col(ts), *tie, F.col(net_kw).cast("double").alias("_net"))
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = sub.repartition(n, key).sortWithinPartitions(key, ts)
+    ordered = sub.repartition(n, key).sortWithinPartitions(key, ts, *tie)
 
     def walk(batches):
         cur, soc, prev_t = object(), soc0, None
@@ -177,10 +178,11 @@ def bess_soc_clamped(df: DataFrame, key: str, ts: str, net_kw: str, capacity_kwh
                 soc = min(max(soc - (net * h) / capacity_kwh * 100.0, lo), hi)
                 prev_t = tt
                 out.append(soc)
-            yield pd.DataFrame({key: pdf[key], ts: pdf[ts], "soc": out})
+            yield pd.DataFrame({key: pdf[key], ts: pdf[ts], **{c: pdf[c] for c in tie},
+                                "soc": out})
 
-    schema = f"{key} {sub.schema[key].dataType.simpleString()}, {ts} " \
-             f"{sub.schema[ts].dataType.simpleString()}, soc double"
+    schema = ", ".join(f"{c} {sub.schema[c].dataType.simpleString()}" for c in [key, ts] + tie) \
+        + ", soc double"
     return ordered.mapInPandas(walk, schema=schema)
 
 

@@ -408,3 +408,18 @@ def q_formulas(spark, sf):
         P.top_defect([(F.abs(v - 150) > 25.0, "Warp/crack"), (v > 120, "Lamination")],
                      "None").alias("top_defect"),
     )
+
+
+@register("bess_soc_clamped", with_ctes(
+    "SELECT asset_id, ts, event_id, soc FROM walk", "readings",
+    extra="""r AS (SELECT asset_id, ts, event_id, value - 150.0 AS n,
+  coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 / 3600.0, 0.0) AS h,
+  row_number() OVER w AS rn FROM readings WINDOW w AS (PARTITION BY asset_id ORDER BY ts, event_id)),
+walk AS (SELECT asset_id, ts, event_id, rn, greatest(5.0, least(50.0 - n * h / 1000.0 * 100.0, 95.0)) AS soc
+  FROM r WHERE rn = 1
+  UNION ALL SELECT r.asset_id, r.ts, r.event_id, r.rn,
+    greatest(5.0, least(w.soc - r.n * r.h / 1000.0 * 100.0, 95.0))
+  FROM walk w JOIN r ON r.asset_id = w.asset_id AND r.rn = w.rn + 1)""", recursive=True))
+def q_soc_clamped(spark, sf):
+    r = readings(spark, sf).withColumn("net", F.col("value") - 150.0)
+    return G.bess_soc_clamped(r, "asset_id", "ts", "net", 1000.0, tie=["event_id"])

@@ -245,3 +245,13 @@ def q_bgp_construct(spark, sf):
     f" AND b.p = '{HAS_STATE}' WHERE a.p = 'rdf:type' AND a.o = '{_T}Supplier'", "plant_graph"))
 def q_bgp_ask(spark, sf):
     return B.bgp_ask(_g(spark, sf), [("?x", RDF_TYPE, _T + "Supplier"), ("?x", HAS_STATE, "?st")])
+
+
+@register("property_path_star", with_ctes(
+    "SELECT DISTINCT x, y FROM pp UNION SELECT s, s FROM plant_graph WHERE p = '" + PROPAGATES + "'"
+    " UNION SELECT o, o FROM plant_graph WHERE p = '" + PROPAGATES + "'", "plant_graph",
+    extra=f"pp(x, y) AS (SELECT s, o FROM plant_graph WHERE p = '{PROPAGATES}'"
+          f" UNION SELECT pp.x, e.o FROM pp JOIN plant_graph e ON e.s = pp.y"
+          f" AND e.p = '{PROPAGATES}')", recursive=True))
+def q_property_path_star(spark, sf):
+    return G.property_path(_g(spark, sf), PROPAGATES, "*")

@@ -10,7 +10,12 @@ from otgraph.operators.triples import point_in_time
 from otgraph.plans.adapters import NS, PIT_AT, register_cte, table, triples, with_ctes
 from otgraph.plans.catalog import register
 from otgraph.schemas import TELEMETRY_SENSORS
-from otgraph.sources.sinks import ntriples_lines
+from otgraph.sources.events import read_ot_events, write_ot_events
+from otgraph.sources.sinks import ntriples_lines, read_snapshot, sync_latest
+from otgraph.sources.telemetry import append_telemetry, read_telemetry
+from otgraph.streaming.ingest import checkpoint_path
+from otgraph.plans.adapters import ot_events_from
+from otgraph.plans.q_events import OT_COLS
 from otgraph.sources.telemetry import coerce_telemetry, partial_rows, telemetry_mapping
 
 # sensor column ← event type
@@ -82,3 +87,28 @@ def q_partial(spark, sf):
     "triples"))
 def q_ntriples(spark, sf):
     return ntriples_lines(point_in_time(triples(table(spark, sf, "events")), PIT_AT))
+
+
+# The round trips below write under the session's checkpoint root and read the result back.
+
+@register("ot_events_roundtrip", with_ctes(f"SELECT {OT_COLS} FROM ot_events", "ot_events"))
+def q_ot_roundtrip(spark, sf):
+    path = checkpoint_path(spark, "ot-events")
+    write_ot_events(ot_events_from(table(spark, sf, "events")), path)
+    return read_ot_events(spark, path).select(*OT_COLS.split(", "))
+
+
+@register("telemetry_roundtrip", with_ctes("SELECT * FROM bronze", "bronze"))
+def q_telemetry_roundtrip(spark, sf):
+    path = checkpoint_path(spark, "bronze")
+    append_telemetry(coerce_telemetry(raw_bronze(table(spark, sf, "events"))), path)
+    return read_telemetry(spark, path)
+
+
+@register("snapshot_latest", with_ctes(
+    "SELECT s, p, arg_max(o, (timestamp, o)) AS o, max(timestamp) AS timestamp"
+    " FROM triples GROUP BY s, p", "triples"))
+def q_snapshot_latest(spark, sf):
+    base = checkpoint_path(spark, "latest-snapshot")
+    sync_latest(triples(table(spark, sf, "events")), base, version="1")
+    return read_snapshot(spark, base)

@@ -116,3 +116,14 @@ def q_clean_uris(spark, sf):
     # the namespace IRIs need no quoting, so cleaning must leave them unchanged
     return t.select("s", "p").distinct().select(clean_uri("s").alias("s_clean"),
                                                clean_uri("p").alias("p_clean"))
+
+
+@register("latest_telemetry_top50", with_ctes(
+    f"SELECT component_id, {_W2_COLS}, timestamp FROM telemetry"
+    f" WHERE timestamp >= TIMESTAMP '{NOW}' - INTERVAL 30 DAYS"
+    " QUALIFY row_number() OVER (PARTITION BY component_id ORDER BY timestamp DESC, event_id DESC) = 1"
+    " ORDER BY component_id LIMIT 50", "telemetry"))
+def q_latest_telemetry_top50(spark, sf):
+    """The telemetry endpoint's report: newest row per component, the first 50 components."""
+    return T.latest_telemetry(telemetry_wide(table(spark, sf, "events")), PIVOT, NOW, days=30,
+                              n=50, tie="event_id")
