@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from otgraph.functions.iri import (DEPENDS_ON, PART_OF, PROPAGATES, SUB_PROPERTY_OF,
-                                   is_type_predicate, local_name)
+from otgraph.functions.iri import (DEPENDS_ON, PART_OF, PROPAGATES,  # noqa: F401 (re-exported)
+                                   SUB_PROPERTY_OF, is_type_predicate, local_name)
 from otgraph.operators.recursion import reachable, walk_up
 
 

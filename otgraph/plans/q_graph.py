@@ -9,7 +9,7 @@ from otgraph.functions.iri import (DEPENDS_ON, PART_OF, PROPAGATES, RDF_TYPE, RD
                                    RDFS_LABEL, HAS_STATE)
 from otgraph.operators import bgp as B
 from otgraph.operators import graph as G
-from otgraph.plans.adapters import (BALANCE, LOCATED_IN, NS, SHIPPED_FROM, plant_graph, table,
+from otgraph.plans.adapters import (BALANCE, LOCATED_IN, NS, SHIPPED_FROM, plant_graph,
                                     with_ctes)
 from otgraph.plans.catalog import register
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from otgraph.functions.iri import (DEFAULT_NS, clean_uri, component_id_from_iri, local_name,
+from otgraph.functions.iri import (clean_uri, component_id_from_iri, local_name,
                                    predicate_iri)
 from otgraph.operators import triples as T
 from otgraph.plans.adapters import (NOW, PIT_AT, PIVOT, NS, table, telemetry_wide, triples,
