@@ -34,6 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Below the session's default parallelism, spread rows round-robin before CPU-heavy
+    per-row work (JSON parsing, whole-text search). The driver tables are single-row-group
+    files that Spark reads as one partition; real inputs have many splits and pass through."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 # ---------------------------------------------------------------- telemetry -------------------
 
 def telemetry_wide(events: DataFrame) -> DataFrame:
@@ -139,8 +147,8 @@ def ot_events_from(events: DataFrame) -> DataFrame:
     """Payload lines → parsed → defaults → 14-column OT events, ids taken from the source."""
     from otgraph.sources.events import (map_ot_event, parse_tag_payloads, payload_defaults,
                                         split_corrupt)
-    good, _dead = split_corrupt(tag_payload_lines(events))
-    parsed = parse_tag_payloads(good, keep=("event_id",))
+    good, _dead = split_corrupt(tag_payload_lines(spread(events)))
+    parsed = parse_tag_payloads(good, keep=("event_id",), parsed="_v")
     d = payload_defaults(parsed, now=F.to_timestamp(F.lit(NOW)), source="http")
     return map_ot_event(d, SOURCE_SYSTEM, include_quality=True, event_id=F.col("event_id"),
                         ingest_ts=F.col("event_ts") + F.expr("INTERVAL 1 SECOND"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from otgraph.operators import models as M
-from otgraph.plans.adapters import NOW, register_cte, table, with_ctes
+from otgraph.plans.adapters import NOW, register_cte, spread, table, with_ctes
 from otgraph.plans.catalog import register
 
 _EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC
@@ -47,7 +47,7 @@ def _out(df):
 
 
 def _reg(spark, sf):
-    return registry(table(spark, sf, "documents"))
+    return registry(spread(table(spark, sf, "documents")))
 
 
 @register("search_models", with_ctes(

@@ -27,14 +27,15 @@ def split_corrupt(lines: DataFrame, col: str = "line") -> tuple[DataFrame, DataF
 
 
 def parse_tag_payloads(lines: DataFrame, col: str = "line",
-                       keep: tuple[str, ...] = ()) -> DataFrame:
+                       keep: tuple[str, ...] = (), parsed: str | None = None) -> DataFrame:
     """JSON payload lines → one row per tag event.
 
     A line holds one object or an array of objects. The dynamic ``value`` stays a VARIANT; the
     other fields are read with their fixed types. Lines that are not JSON are dropped here —
-    use :func:`split_corrupt` first to keep them.
+    use :func:`split_corrupt` first to keep them; pass its ``_v`` column as ``parsed`` so
+    lines are parsed once.
     """
-    v = F.try_parse_json(F.col(col))
+    v = F.col(parsed) if parsed else F.try_parse_json(F.col(col))
     items = F.when(F.schema_of_variant(v).startswith("ARRAY"),
                    F.try_variant_get(v, "$", "ARRAY<VARIANT>")).otherwise(F.array(v))
     exploded = lines.select(*keep, F.explode(items).alias("_e"))

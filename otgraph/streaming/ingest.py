@@ -48,7 +48,7 @@ def stream_tag_payloads(spark: SparkSession, path: str) -> tuple[DataFrame, Data
     """(events, dead letters) from JSON payload lines arriving in a folder."""
     lines = spark.readStream.text(path).withColumnRenamed("value", "line")
     good, dead = split_corrupt(lines)
-    return parse_tag_payloads(good.drop("_v")), dead
+    return parse_tag_payloads(good, parsed="_v"), dead
 
 
 def stream_table(spark: SparkSession, path: str, fmt: str = "parquet",
@@ -93,7 +93,7 @@ def dead_letter_stream(lines: DataFrame, good_path: str, dead_path: str, checkpo
     """Write parsed events and unparsable lines to two sinks from one query."""
     def batch(df: DataFrame, _epoch: int) -> None:
         good, dead = split_corrupt(df)
-        parse_tag_payloads(good.drop("_v")).write.mode("append").parquet(good_path)
+        parse_tag_payloads(good, parsed="_v").write.mode("append").parquet(good_path)
         dead.write.mode("append").parquet(dead_path)
 
     w = lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
