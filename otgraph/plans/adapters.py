@@ -38,6 +38,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Below the session's default parallelism, spread rows round-robin before CPU-heavy
     per-row work (JSON parsing, whole-text search). The driver tables are single-row-group
     files that Spark reads as one partition; real inputs have many splits and pass through."""
+    if df.isStreaming:
+        return df
     want = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
