@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from otgraph.functions.iri import (DEPENDS_ON, PART_OF, PROPAGATES,  # noqa: F401 (re-exported)
                                    SUB_PROPERTY_OF, is_type_predicate, local_name)
+from otgraph.operators.joins import broadcast_if_small
 from otgraph.operators.recursion import reachable, walk_up
 
 
@@ -51,7 +52,9 @@ def classify_edges(df: DataFrame, target: str, transitive: bool = False,
     """Triples of ``df`` whose predicate is ``target`` or a sub-property of it (J3); the
     sub-property declarations are read from ``schema`` (default: ``df`` itself)."""
     preds = sub_properties(schema if schema is not None else df, target, transitive)
-    return df.join(F.broadcast(preds), on="p", how="left_semi").select("s", "p", "o")
+    # a hash join on the predicate would shuffle every triple by a low-cardinality key; the
+    # predicate set is broadcast after its size is checked
+    return df.join(broadcast_if_small(preds), on="p", how="left_semi").select("s", "p", "o")
 
 
 def sub_property_closure(df: DataFrame) -> DataFrame:
@@ -86,7 +89,7 @@ def node_attributes(df: DataFrame, with_parent: bool = False, part_of: str = PAR
     base = df
     if with_parent:
         preds = sub_properties(df, part_of, transitive).withColumn("_is_part", F.lit(True))
-        base = df.join(F.broadcast(preds), on="p", how="left")
+        base = df.join(broadcast_if_small(preds), on="p", how="left")
     keep = ~skipped()
     aggs = [
         F.min(F.when(_ends("p", "label") & ~_ends("p", "subPropertyOf"), F.col("o"))).alias("_label"),
