@@ -265,3 +265,20 @@ def test_events_in_intervals_both_forms(spark):
         got = {(r.id, r.start_ts) for r in
                events_in_intervals(ev, iv, ["k"], disjoint=disjoint).collect()}
         assert got == want
+
+
+def test_map_ot_event_defaults(spark):
+    from otgraph.sources.events import map_ot_event, parse_tag_payloads, payload_defaults
+    lines = spark.createDataFrame(
+        [('{"tagPath": "[p]A/x", "value": 2}',), ('[{"tagPath": "A/y", "value": "on", "quality": "Bad"}]',)],
+        "line string")
+    d = payload_defaults(parse_tag_payloads(lines), now=F.lit(T0).cast("timestamp"), source="direct")
+    rows = {r.tag_path: r for r in map_ot_event(d, "gw", compat_defaults=True,
+                                                  ingest_ts=F.lit(T0).cast("timestamp")).collect()}
+    x, y = rows["[p]A/x"], rows["A/y"]
+    assert (x.tag_provider, x.numeric_value, x.string_value, x.boolean_value, x.data_type) == \
+        ("p", 2.0, "", False, "DOUBLE")
+    assert (x.quality, x.quality_code, x.event_time) == ("UNKNOWN", 0, T0)
+    assert (y.tag_provider, y.numeric_value, y.string_value, y.quality) == ("default", 0.0, "on", "Bad")
+    plain = {r.tag_path: r for r in map_ot_event(d, "gw").collect()}
+    assert plain["A/y"].numeric_value is None and plain["[p]A/x"].string_value is None
