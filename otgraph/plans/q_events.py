@@ -167,7 +167,7 @@ def q_ingest_metrics(spark, sf):
     " avg(value_numeric) AS avg_value, min(value_numeric) AS min_value,"
     " max(value_numeric) AS max_value,"
     " arg_max(value_numeric, (event_time, ingestion_timestamp, value_numeric)) AS last_value,"
-    " count(*) AS n FROM normalized WHERE value_numeric IS NOT NULL GROUP BY ALL", "normalized"))
+    " count(*) AS n FROM normalized WHERE value_numeric IS NOT NULL GROUP BY ALL", "normalized"), rounded=('avg_value',))
 def q_rollup(spark, sf):
     mapping, _reg = _dims(spark, sf)
     return V.rollup_signals(V.normalize_events(_ot(spark, sf), mapping), "1 hour")

@@ -91,7 +91,7 @@ def q_fva(spark, sf):
 @register("forecast_accuracy", with_ctes(
     "SELECT time_bucket(INTERVAL 1 HOUR, target_time) AS bucket_start, avg(abs(error)) AS mae,"
     " avg(abs_pct_error) AS mape, avg(error) AS bias, avg(confidence) AS mean_confidence,"
-    " count(*) AS n FROM fva WHERE actual IS NOT NULL GROUP BY 1", "fva"))
+    " count(*) AS n FROM fva WHERE actual IS NOT NULL GROUP BY 1", "fva"), rounded=('mae', 'mape', 'bias', 'mean_confidence'))
 def q_fa(spark, sf):
     return G.forecast_accuracy(_fva(spark, sf))
 
@@ -106,7 +106,7 @@ _LAG = "lag({c}) OVER (PARTITION BY asset_id ORDER BY ts, event_id)"
     " sum(energy_kwh) OVER (PARTITION BY asset_id ORDER BY day ROWS UNBOUNDED PRECEDING) / 1000.0"
     " AS lifetime_mwh FROM (SELECT asset_id, CAST(ts AS DATE) AS day,"
     f" sum(coalesce(value * {_SEC.format(a='ts', b='pts')} / 3600.0, 0.0)) AS energy_kwh"
-    f" FROM (SELECT *, {_LAG.format(c='ts')} AS pts FROM readings) GROUP BY 1, 2)", "readings"))
+    f" FROM (SELECT *, {_LAG.format(c='ts')} AS pts FROM readings) GROUP BY 1, 2)", "readings"), rounded=('energy_kwh', 'energy_mwh', 'lifetime_mwh'))
 def q_energy(spark, sf):
     return G.energy_kwh(readings(spark, sf), ["asset_id"], "ts", "value", tie=["event_id"])
 
@@ -115,7 +115,7 @@ def q_energy(spark, sf):
     "SELECT asset_id, CAST(ts AS DATE) AS day, coalesce(sum(CASE WHEN c < 1.0 THEN"
     f" value * c / (1.0 - c) * {_SEC.format(a='ts', b='pts')} / 3600.0 END), 0.0) AS curtailed_kwh"
     " FROM (SELECT *, CASE WHEN signal = 'click' THEN 0.25 ELSE 0.0 END AS c,"
-    f" {_LAG.format(c='ts')} AS pts FROM readings) GROUP BY 1, 2", "readings"))
+    f" {_LAG.format(c='ts')} AS pts FROM readings) GROUP BY 1, 2", "readings"), rounded=('curtailed_kwh',))
 def q_curtailed(spark, sf):
     r = readings(spark, sf).withColumn(
         "c", F.when(F.col("signal") == "click", 0.25).otherwise(0.0))
@@ -128,7 +128,7 @@ def q_curtailed(spark, sf):
     " sum(abs(n) * h / 1000.0) / 2.0 AS cycles, 50.0 - sum(n * h) / 1000.0 * 100.0 AS soc_unclamped"
     f" FROM (SELECT asset_id, value - 150.0 AS n, coalesce({_SEC.format(a='ts', b='pts')} / 3600.0,"
     f" 0.0) AS h FROM (SELECT *, {_LAG.format(c='ts')} AS pts FROM readings)) GROUP BY 1",
-    "readings"))
+    "readings"), rounded=('charge_kwh', 'discharge_kwh', 'throughput_mwh', 'cycles', 'soc_unclamped'))
 def q_bess(spark, sf):
     r = readings(spark, sf).withColumn("net", F.col("value") - 150.0)
     return G.bess_metrics(r, ["asset_id"], "ts", "net", 1000.0, tie=["event_id"])
@@ -147,7 +147,7 @@ def _counters(spark, sf):
     " THEN counter ELSE counter - pc END AS delta FROM (SELECT *, lag(counter) OVER"
     " (PARTITION BY asset_id ORDER BY ts, event_id) AS pc FROM (SELECT *, sum(value) OVER"
     " (PARTITION BY asset_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"
-    " AS counter FROM readings))", "readings"))
+    " AS counter FROM readings))", "readings"), rounded=('counter', 'delta'))
 def q_counter_delta(spark, sf):
     c = G.counter_delta(_counters(spark, sf), ["asset_id"], "ts", "counter", tie=["event_id"])
     return c.select("event_id", "asset_id", "ts", "counter", "delta")
@@ -193,7 +193,7 @@ def q_events_in_intervals(spark, sf):
     "SELECT event_id, asset_id, ts, value - t AS error, avg(value - t) OVER (PARTITION BY asset_id"
     " ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS ma_error"
     " FROM (SELECT *, CASE WHEN signal = 'purchase' THEN 200.0 ELSE 100.0 END AS t FROM readings)",
-    "readings"))
+    "readings"), rounded=('ma_error',))
 def q_tracking(spark, sf):
     r = readings(spark, sf).withColumn(
         "t", F.when(F.col("signal") == "purchase", 200.0).otherwise(100.0))
@@ -237,7 +237,7 @@ def _kpis(spark, sf):
     return G.site_kpis(r, _SIGNALS, "1 hour", ts="ts", value="value")
 
 
-@register("site_kpis", with_ctes(_KPI_SQL, "readings"))
+@register("site_kpis", with_ctes(_KPI_SQL, "readings"), rounded=('signup', 'view', 'purchase', 'error', 'click'))
 def q_site_kpis(spark, sf):
     return _kpis(spark, sf)
 
@@ -246,14 +246,15 @@ def q_site_kpis(spark, sf):
     "SELECT site, CAST(bucket_start AS DATE) AS day, "
     + ", ".join(f"avg({s}) AS avg_{s}" for s in _SIGNALS)
     + ", count(*) AS buckets, sum(coalesce(purchase, 0.0) * coalesce(signup, 0.0)) AS cost_proxy"
-    f" FROM ({_KPI_SQL}) GROUP BY 1, 2", "readings"))
+    f" FROM ({_KPI_SQL}) GROUP BY 1, 2", "readings"), rounded=('avg_signup', 'avg_view', 'avg_purchase', 'avg_error', 'avg_click', 'cost_proxy'),
+          digits=9)  # averages of bucket averages end exactly at the 7th-8th place
 def q_site_kpis_daily(spark, sf):
     return G.site_kpis_daily(_kpis(spark, sf), _SIGNALS, "purchase", "signup")
 
 
 @register("availability_pct", with_ctes(
     "SELECT site, CAST(ts AS DATE) AS day, 100.0 * avg(CAST(signal <> 'error' AS DOUBLE))"
-    " AS availability_pct FROM readings GROUP BY 1, 2", "readings"))
+    " AS availability_pct FROM readings GROUP BY 1, 2", "readings"), rounded=('availability_pct',))
 def q_availability(spark, sf):
     r = readings(spark, sf).withColumn("day", F.to_date("ts")) \
         .withColumn("available", F.col("signal") != "error")
@@ -268,7 +269,7 @@ _KINDS = {"wind_kw": "signup", "solar_kw": "view", "bess_kw": "purchase"}
                                 for n, k in _KINDS.items())
     + ", " + " + ".join(f"coalesce(sum(value) FILTER (WHERE signal = '{k}'), 0.0)"
                         for k in _KINDS.values())
-    + " AS net_kw FROM readings GROUP BY 1", "readings"))
+    + " AS net_kw FROM readings GROUP BY 1", "readings"), rounded=('wind_kw', 'solar_kw', 'bess_kw', 'net_kw'))
 def q_power_totals(spark, sf):
     return K.power_totals(readings(spark, sf), ["site"], "signal", "value", _KINDS)
 
@@ -277,7 +278,7 @@ def q_power_totals(spark, sf):
     "SELECT site, pad, sum(liquid) AS liquid_total, sum(gas) AS gas_total, count(*) AS readings"
     " FROM (SELECT site, pad, CASE WHEN signal IN ('signup', 'view') THEN value ELSE 0.0 END"
     " AS liquid, CASE WHEN signal IN ('purchase', 'click') THEN value ELSE 0.0 END AS gas"
-    " FROM readings) GROUP BY ROLLUP (site, pad)", "readings"))
+    " FROM readings) GROUP BY ROLLUP (site, pad)", "readings"), rounded=('liquid_total', 'gas_total'))
 def q_well_totals(spark, sf):
     r = readings(spark, sf).select(
         "site", "pad",
@@ -291,7 +292,7 @@ SELECT l_partkey, mean, sigma, n, cpk, cpk < 1.0 OR abs(0.0) > 35.0 AS out_of_co
   SELECT *, greatest(0.0, least(least((24.5 - abs(mean - 25.5)) / (3.0 * greatest(0.0005,
     coalesce(sigma, 0.0))), 2.5), 2.5)) AS cpk
   FROM (SELECT l_partkey, avg(l_quantity) AS mean, stddev_samp(l_quantity) AS sigma,
-        count(*) AS n FROM lineitem GROUP BY 1))""")
+        count(*) AS n FROM lineitem GROUP BY 1))""", rounded=('mean', 'sigma', 'cpk'))
 def q_spc(spark, sf):
     return K.spc(table(spark, sf, "lineitem"), ["l_partkey"], "l_quantity", 25.5, 24.5)
 
@@ -301,7 +302,7 @@ SELECT l_suppkey, a, p, q, greatest(0.0, least(a * p * q / 10000.0, 99.9)) AS oe
   SELECT l_suppkey, 100.0 * avg(CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END) AS a,
     100.0 * avg(1.0 - l_discount) AS p,
     100.0 * (1.0 - avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END)) AS q
-  FROM lineitem GROUP BY 1)""")
+  FROM lineitem GROUP BY 1)""", rounded=('a', 'p', 'q', 'oee'))
 def q_oee(spark, sf):
     li = table(spark, sf, "lineitem")
     agg = li.groupBy("l_suppkey").agg(
@@ -314,7 +315,7 @@ def q_oee(spark, sf):
 @register("scrap_rate", """
 SELECT l_partkey, good, reject, CASE WHEN good + reject > 0 THEN 100.0 * reject / (good + reject)
   ELSE 0.0 END AS scrap_rate FROM (SELECT l_partkey, count(*) FILTER (WHERE l_returnflag <> 'R')
-  AS good, count(*) FILTER (WHERE l_returnflag = 'R') AS reject FROM lineitem GROUP BY 1)""")
+  AS good, count(*) FILTER (WHERE l_returnflag = 'R') AS reject FROM lineitem GROUP BY 1)""", rounded=('scrap_rate',))
 def q_scrap(spark, sf):
     li = table(spark, sf, "lineitem")
     agg = li.groupBy("l_partkey").agg(F.count_if(F.col("l_returnflag") != "R").alias("good"),
@@ -327,7 +328,7 @@ def q_scrap(spark, sf):
     " > 2.0 * p.sigma, false)) AS outliers, avg(CASE WHEN coalesce(abs(r.value - p.base) > 2.0 *"
     " p.sigma, false) THEN 1.0 ELSE 0.0 END) AS outlier_rate FROM readings r LEFT JOIN"
     " (SELECT line_id, signal, avg(value) AS base, stddev_pop(value) AS sigma FROM readings"
-    " GROUP BY 1, 2) p ON p.line_id = r.line_id AND p.signal = r.signal GROUP BY 1", "readings"))
+    " GROUP BY 1, 2) p ON p.line_id = r.line_id AND p.signal = r.signal GROUP BY 1", "readings"), rounded=('outlier_rate',))
 def q_outlier_rate(spark, sf):
     r = readings(spark, sf)
     prof = r.groupBy("line_id", "signal").agg(F.avg("value").alias("base"),
@@ -346,7 +347,7 @@ _PC = ("CASE WHEN v < 3 OR v >= 25 THEN 0.0 WHEN v >= 12 THEN 100.0"
     f" SELECT s.asset_id, {_PC} AS e, p.power FROM (SELECT asset_id, ts, value / 20 AS v FROM"
     " readings WHERE signal = 'signup') s ASOF LEFT JOIN (SELECT asset_id, ts, value AS power"
     " FROM readings WHERE signal = 'purchase') p ON s.asset_id = p.asset_id AND s.ts >= p.ts)"
-    " GROUP BY 1", "readings"))
+    " GROUP BY 1", "readings"), rounded=('avg_expected_kw', 'avg_actual_kw', 'performance_ratio'))
 def q_underperformance(spark, sf):
     r = readings(spark, sf)
     sp = r.filter(F.col("signal") == "signup").select("asset_id", "ts",
@@ -362,7 +363,7 @@ def q_underperformance(spark, sf):
     " export_kw FROM (SELECT site, time_bucket(INTERVAL 1 HOUR, ts) AS bucket_start,"
     " sum(value) AS plant_net_kw FROM readings WHERE ts >= TIMESTAMP '" + NOW + "' - INTERVAL 6 HOURS"
     " AND ts < TIMESTAMP '" + NOW + "' AND signal IN ('signup', 'view', 'purchase') GROUP BY 1, 2))",
-    "readings"))
+    "readings"), rounded=('plant_net_kw', 'export_kw', 'difference_kw'))
 def q_poi(spark, sf):
     return K.poi_vs_plant(readings(spark, sf), ["site"], "ts", "signal", "value",
                           ["signup", "view", "purchase"], 1000.0, 25.0, NOW, hours=6)
@@ -387,7 +388,7 @@ def q_poi(spark, sf):
     " greatest(0.0, value / 10 - 25.0) * 0.004, 1.05)) AS solar_kw,"
     " CASE WHEN abs(value - 150) > 25.0 THEN 'Warp/crack' WHEN value > 120 THEN 'Lamination'"
     " ELSE 'None' END AS top_defect"
-    " FROM readings", "readings"))
+    " FROM readings", "readings"), rounded=('power_kw', 'wrap_deg', 'ang_diff_deg', 'yaw_derate', 'reactive_kvar', 'current_a', 'clamped', 'solar_kw'))
 def q_formulas(spark, sf):
     r = readings(spark, sf)
     v, sig = F.col("value"), F.col("signal")
@@ -419,7 +420,7 @@ walk AS (SELECT asset_id, ts, event_id, rn, greatest(5.0, least(50.0 - n * h / 1
   FROM r WHERE rn = 1
   UNION ALL SELECT r.asset_id, r.ts, r.event_id, r.rn,
     greatest(5.0, least(w.soc - r.n * r.h / 1000.0 * 100.0, 95.0))
-  FROM walk w JOIN r ON r.asset_id = w.asset_id AND r.rn = w.rn + 1)""", recursive=True))
+  FROM walk w JOIN r ON r.asset_id = w.asset_id AND r.rn = w.rn + 1)""", recursive=True), rounded=('soc',))
 def q_soc_clamped(spark, sf):
     r = readings(spark, sf).withColumn("net", F.col("value") - 150.0)
     return G.bess_soc_clamped(r, "asset_id", "ts", "net", 1000.0, tie=["event_id"])

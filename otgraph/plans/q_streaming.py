@@ -47,7 +47,7 @@ def q_stream_deadband(spark, sf):
     " AS asset_id, event_type AS signal_name, avg(value) AS avg_value, min(value) AS min_value,"
     " max(value) AS max_value, count(*) AS n FROM events GROUP BY 1, 2, 3"
     " HAVING bucket_start + INTERVAL 1 HOUR <="
-    " (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES", "telemetry"))
+    " (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES", "telemetry"), rounded=('avg_value',))
 def q_stream_rollup(spark, sf):
     ev = _events_stream(spark, sf).select(
         F.col("ts").cast("timestamp").alias("event_time"),
