@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from otgraph.session import materialize
+
 # Largest side broadcast without a measured statistic; beyond it the plain join is kept.
 BROADCAST_MAX_ROWS = 100_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows (one small
-    ``count`` over at most ``max_rows + 1`` rows); otherwise return it unchanged so the planner
-    keeps a shuffle join (with AQE skew handling)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows; otherwise keep a
+    plain (shuffle) join with AQE skew handling.
+
+    ``df`` is materialised once with a reliable ``checkpoint`` (into ``spark.checkpoint.dir``),
+    so the size check and the join read the same small result instead of recomputing it from
+    the (large) input it was derived from."""
+    small = materialize(df)
+    n = small.limit(max_rows + 1).count()
+    return F.broadcast(small) if n <= max_rows else small

@@ -11,12 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from otgraph.session import ensure_checkpoint_dir
+from otgraph.session import materialize
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return materialize(df)
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None,

@@ -46,9 +46,15 @@ def latest_triples(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     return latest_by(df, ["s", "p"], ts, ["o"]).select("s", "p", "o", ts)
 
 
-def point_in_time(df: DataFrame, at, ts: str = "timestamp") -> DataFrame:
-    """Newest object per (s, p) strictly before ``at`` (W1). The filter reaches the scan."""
-    return latest_triples(df.filter(F.col(ts) < _ts_lit(at)), ts)
+def point_in_time(df: DataFrame, at, ts: str = "timestamp", date_col: str = "date"
+                  ) -> DataFrame:
+    """Newest object per (s, p) strictly before ``at`` (W1). The filter reaches the scan; on a
+    triple table partitioned by ``date`` (see ``sources.sinks.write_triples``) the same bound
+    on the partition column prunes every later day's files."""
+    cond = F.col(ts) < _ts_lit(at)
+    if date_col in df.columns:
+        cond = (F.col(date_col) <= F.to_date(_ts_lit(at))) & cond
+    return latest_triples(df.filter(cond), ts)
 
 
 def sensor_triples(df: DataFrame, predicates: Sequence[str], subject_prefix: str) -> DataFrame:

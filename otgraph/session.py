@@ -34,6 +34,20 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
     return spark
 
 
+def materialize(df):
+    """Reliable checkpoint of ``df`` into ``spark.checkpoint.dir`` computed once: the rows are
+    persisted while the checkpoint files are written (an unpersisted checkpoint recomputes its
+    input), then released. Lineage is cut; a lost executor re-reads the files."""
+    from pyspark import StorageLevel
+    ensure_checkpoint_dir(df.sparkSession)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        out = df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
+    return out
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 

@@ -113,3 +113,17 @@ def test_dims(spark):
     got = {(r.stage_name, r.sensor): r.base for r in dims.profiles_for(st, prof).collect()}
     assert got[("Frying", "oil_temperature")] == 178.0
     assert got[("Unknown", "oil_temperature")] == 20.0 and got[("Unknown", "product_weight")] == 500.0
+
+
+def test_partitioned_triples_prune_days(spark):
+    import datetime as dt
+    from otgraph.operators.triples import point_in_time
+    d = _tmp() + "/triples"
+    t0 = dt.datetime(2024, 1, 1, 12)
+    rows = [("s", "p", str(i), t0 + dt.timedelta(days=i)) for i in range(5)]
+    sinks.write_triples(spark.createDataFrame(rows, "s string, p string, o string, timestamp timestamp"), d)
+    back = spark.read.parquet(d)
+    pit = point_in_time(back, "2024-01-03 00:00:00")
+    assert [r.o for r in pit.collect()] == ["1"]
+    plan = pit._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "date#" in plan
