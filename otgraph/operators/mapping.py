@@ -50,13 +50,6 @@ def map_many(sources: dict[str, DataFrame], mappings: dict[str, TripleMapping]
     return {name: m.apply(sources[name]) for name, m in mappings.items()}
 
 
-def union_mapped(frames: list[DataFrame]) -> DataFrame:
-    """Several mapped sources into one triple table (by column name)."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
 
 def concat_batches(frames: list[DataFrame], allow_missing: bool = False) -> DataFrame:
     """Union of batches (lines, days, sources) by column name."""

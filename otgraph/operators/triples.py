@@ -8,7 +8,6 @@ rows costs no more than any other key. Ties on the timestamp go to the greater o
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -151,6 +150,3 @@ def order_by_component_property(df: DataFrame) -> DataFrame:
     """Sort by subject, predicate (L1)."""
     return df.orderBy("s", "p")
 
-
-def now_utc() -> dt.datetime:
-    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)

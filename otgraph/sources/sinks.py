@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,6 +62,3 @@ def sync_latest(triples: DataFrame, base: str, version: str | None = None) -> st
     """Snapshot of the newest triple per (s, p)."""
     return write_snapshot(latest_triples(triples), base, version)
 
-
-def local_exists(path: str) -> bool:
-    return os.path.exists(path)
