@@ -86,3 +86,18 @@ def test_dedupe_restart_from_checkpoint(spark):
     run()
     got = sorted(r.event_id for r in spark.read.parquet(f"{d}/out").collect())
     assert got == ["e0", "e1", "e2"]
+
+
+def test_stream_tag_payloads(spark):
+    d = tempfile.mkdtemp(prefix="otgraph-st-")
+    os.makedirs(f"{d}/in")
+    with open(f"{d}/in/a.jsonl", "w") as f:
+        f.write('{"tagPath": "[p]x", "value": 1.5, "quality": "Good", "timestamp": 1000}\n'
+                'broken\n[{"tagPath": "y", "value": "on"}]\n')
+    events, dead = S.stream_tag_payloads(spark, f"{d}/in")
+    q1 = events.writeStream.format("memory").queryName("payload_ev").trigger(availableNow=True).start()
+    q2 = dead.writeStream.format("memory").queryName("payload_dead").trigger(availableNow=True).start()
+    q1.awaitTermination()
+    q2.awaitTermination()
+    assert sorted(r.tag_path for r in spark.sql("SELECT * FROM payload_ev").collect()) == ["[p]x", "y"]
+    assert [r.line for r in spark.sql("SELECT * FROM payload_dead").collect()] == ["broken"]
