@@ -60,14 +60,25 @@ def payload_defaults(df: DataFrame, now: Column | None = None, source: str = "ht
     })
 
 
+def content_event_id(tag_path: Column, event_ts: Column, value: Column, quality: Column
+                     ) -> Column:
+    """A UUID-shaped id derived from the event's content: a recomputed partition (lost
+    executor) or a replayed event gets the same id, so downstream dedupe stays exact."""
+    h = F.md5(F.concat_ws("\u0001", tag_path, event_ts.cast("string"),
+                          F.to_json(value), quality))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
+                       F.substring(h, 17, 4), F.substring(h, 21, 12))
+
+
 def map_ot_event(df: DataFrame, source_system: str, include_quality: bool = True,
                  event_id: Column | None = None, ingest_ts: Column | None = None,
                  compat_defaults: bool = False) -> DataFrame:
     """Raw tag events (tag_path, value VARIANT, quality, event_ts) → the 14-column OT event (P10).
 
-    ``event_id`` defaults to a random UUID and ``ingest_ts`` to the current time, as the gateway
-    does; pass columns for deterministic output. With ``compat_defaults`` the typed value columns
-    that do not apply hold 0.0 / '' / false instead of NULL.
+    ``event_id`` defaults to :func:`content_event_id` (the gateway draws a random UUID; a Spark
+    task must give the same answer when it is re-run) and ``ingest_ts`` to the query's current
+    time. With ``compat_defaults`` the typed value columns that do not apply hold 0.0 / '' /
+    false instead of NULL.
     """
     tv = typed_value(F.col("value"))
     q = quality_fields(F.col("quality"), include_quality)
@@ -77,7 +88,9 @@ def map_ot_event(df: DataFrame, source_system: str, include_quality: bool = True
                          F.coalesce(boo, F.lit(False)))
     ingest = ingest_ts if ingest_ts is not None else F.current_timestamp()
     return df.select(
-        (event_id if event_id is not None else F.expr("uuid()")).cast("string").alias("event_id"),
+        (event_id if event_id is not None else content_event_id(
+            F.col("tag_path"), F.col("event_ts"), F.col("value"), F.col("quality")))
+        .cast("string").alias("event_id"),
         F.col("event_ts").cast("timestamp").alias("event_time"),
         F.coalesce(F.col("tag_path"), F.lit("")).alias("tag_path"),
         tag_provider(F.col("tag_path")).alias("tag_provider"),

@@ -282,3 +282,13 @@ def test_map_ot_event_defaults(spark):
     assert (y.tag_provider, y.numeric_value, y.string_value, y.quality) == ("default", 0.0, "on", "Bad")
     plain = {r.tag_path: r for r in map_ot_event(d, "gw").collect()}
     assert plain["A/y"].numeric_value is None and plain["[p]A/x"].string_value is None
+
+
+def test_default_event_id_is_stable(spark):
+    from otgraph.sources.events import map_ot_event, parse_tag_payloads, payload_defaults
+    lines = spark.createDataFrame([('{"tagPath": "a", "value": 1, "timestamp": 5}',)] * 2 +
+                                  [('{"tagPath": "a", "value": 2, "timestamp": 5}',)], "line string")
+    ev = map_ot_event(payload_defaults(parse_tag_payloads(lines)), "gw")
+    ids = [r.event_id for r in ev.collect()]
+    assert ids[0] == ids[1] != ids[2] and len(ids[0]) == 36
+    assert [r.event_id for r in ev.collect()] == ids
