@@ -88,12 +88,13 @@ def state_map(df: DataFrame) -> DataFrame:
 
     Numeric objects are rounded to two places (kept as text in the map), other objects are
     their text. Subjects that only carry a type get an empty map. Two predicates with the same
-    local name resolve to the greater predicate IRI. Entries are sorted by name.
+    local name resolve to the greater predicate IRI (then the greater object, so multi-valued
+    predicates give one deterministic value). Entries are sorted by name.
     """
     entries = (
         df.select("s", "p", "o", F.when(~is_type_predicate("p"), local_name("p")).alias("k"))
         .groupBy("s", "k")
-        .agg(F.max_by(F.col("o"), F.col("p")).alias("o"))
+        .agg(F.max(F.struct("p", "o"))["o"].alias("o"))
         .select("s", "k", F.coalesce(state_value_number("o").cast("string"),
                                      state_value_text("o")).alias("v"))
     )
