@@ -191,3 +191,11 @@ def q_latest_signals(spark, sf):
 def q_top_sources(spark, sf):
     counts = V.event_counts(_ot(spark, sf), ["source_system", "tag_provider"], NOW, "3650 days")
     return V.top_sources(counts, 3)
+
+
+@register("deadband_daily", with_ctes(
+    f"SELECT {OT_COLS} FROM fev JOIN fold USING (tag_path, rn) WHERE keep", "ot_events",
+    extra=fold_sql("ot_events", 50.0), recursive=True))
+def q_deadband_daily(spark, sf):
+    """The same deadband in day slices with carried per-tag state."""
+    return C.deadband_by_day(_ot(spark, sf), 50.0)
