@@ -7,6 +7,7 @@ Per-key sequences use :mod:`otgraph.operators.series`, so a hot asset is split b
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -155,34 +156,76 @@ def bess_metrics(df: DataFrame, keys: Sequence[str], ts: str, net_kw: str, capac
 
 def bess_soc_clamped(df: DataFrame, key: str, ts: str, net_kw: str, capacity_kwh: float,
                      soc0: float = 50.0, lo: float = 5.0, hi: float = 95.0,
-                     partitions: int | None = None, tie: Sequence[str] = ()) -> DataFrame:
-    """SOC walk clamped to [lo, hi] after every step (W4) — a fold. Rows are hash-partitioned
-    by key and sorted by (key, ts) inside each partition; ``mapInPandas`` walks the sorted
-    stream batch by batch carrying the SOC, so memory is one Arrow batch per task.
-    Output (key, ts, soc)."""
+                     partitions: int | None = None, tie: Sequence[str] = (),
+                     unit: str = "day") -> DataFrame:
+    """SOC walk clamped to [lo, hi] after every step (W4), output (key, ts, *tie, soc).
+
+    Each step is ``x → clamp(x + d, lo, hi)`` with ``d = −net·hours/capacity·100``, and such
+    maps compose into one of the same shape: ``(D, L, H): x → min(max(x + D, L), H)``. So
+    (1) every (key, day) composes its steps in a streamed fold, (2) the small day table gives
+    each day's starting SOC per key, (3) every (key, day) walks from its start — all days in
+    parallel, a hot key split by day, exact up to float reassociation."""
     tie = list(tie)
-    sub = df.select(F.col(key), F.col(ts), *tie, F.col(net_kw).cast("double").alias("_net"))
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = sub.repartition(n, key).sortWithinPartitions(key, ts, *tie)
+    p = with_prev(df.select(F.col(key), F.col(ts), *tie, F.col(net_kw).cast("double").alias("_net")),
+                  [key], ts, [], tie=tie)
+    hours = F.coalesce(seconds_between(ts, f"prev_{ts}") / 3600.0, F.lit(0.0))
+    steps = p.select(key, ts, *tie, F.date_trunc(unit, F.col(ts)).alias("_day"),
+                     (-F.col("_net") * hours / capacity_kwh * 100.0).alias("_d"))
+    order = [key, "_day", ts] + tie
+    ordered = steps.repartition(n, key, "_day").sortWithinPartitions(*order)
+    day_schema = (f"{key} {steps.schema[key].dataType.simpleString()}, "
+                  f"_day {steps.schema['_day'].dataType.simpleString()}, "
+                  "_D double, _L double, _H double")
+
+    def compose(batches):
+        cur, D, L, H = None, 0.0, -math.inf, math.inf
+        rows = []
+        for pdf in batches:
+            for k, day, d in zip(pdf[key], pdf["_day"], pdf["_d"]):
+                if cur is None or (k, day) != cur:
+                    if cur is not None:
+                        rows.append((cur[0], cur[1], D, L, H))
+                    cur, D, L, H = (k, day), 0.0, -math.inf, math.inf
+                D, L, H = D + d, min(max(L + d, lo), hi), min(max(H + d, lo), hi)
+            if len(rows) >= 10_000:
+                yield pd.DataFrame(rows, columns=[key, "_day", "_D", "_L", "_H"])
+                rows = []
+        if cur is not None:
+            rows.append((cur[0], cur[1], D, L, H))
+        yield pd.DataFrame(rows, columns=[key, "_day", "_D", "_L", "_H"])
+
+    days = ordered.mapInPandas(compose, schema=day_schema)
+    start_schema = (f"{key} {steps.schema[key].dataType.simpleString()}, "
+                    f"_day {steps.schema['_day'].dataType.simpleString()}, _start double")
+
+    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
+        # one row per day of one key: bounded by the time span, not by the readings
+        pdf = pdf.sort_values("_day")
+        x, out = soc0, []
+        for D, L, H in zip(pdf["_D"], pdf["_L"], pdf["_H"]):
+            out.append(x)
+            x = min(max(x + D, L), H)
+        return pd.DataFrame({key: pdf[key], "_day": pdf["_day"], "_start": out})
+
+    begin = days.groupBy(key).applyInPandas(starts, schema=start_schema)
+    seeded = steps.join(begin, on=[key, "_day"], how="left") \
+        .repartition(n, key, "_day").sortWithinPartitions(*order)
+    out_schema = ", ".join(f"{c} {steps.schema[c].dataType.simpleString()}"
+                           for c in [key, ts] + tie) + ", soc double"
 
     def walk(batches):
-        cur, soc, prev_t = object(), soc0, None
+        cur, x = None, soc0
         for pdf in batches:
-            t = pd.to_datetime(pdf[ts]).to_numpy()
             out = []
-            for k, tt, net in zip(pdf[key].to_numpy(), t, pdf["_net"].to_numpy()):
-                if k != cur:
-                    cur, soc, prev_t = k, soc0, None
-                h = 0.0 if prev_t is None else (tt - prev_t) / pd.Timedelta(hours=1)
-                soc = min(max(soc - (net * h) / capacity_kwh * 100.0, lo), hi)
-                prev_t = tt
-                out.append(soc)
-            yield pd.DataFrame({key: pdf[key], ts: pdf[ts], **{c: pdf[c] for c in tie},
-                                "soc": out})
-
-    schema = ", ".join(f"{c} {sub.schema[c].dataType.simpleString()}" for c in [key, ts] + tie) \
-        + ", soc double"
-    return ordered.mapInPandas(walk, schema=schema)
+            for k, day, d, st in zip(pdf[key], pdf["_day"], pdf["_d"], pdf["_start"]):
+                if cur is None or (k, day) != cur:
+                    cur, x = (k, day), st
+                x = min(max(x + d, lo), hi)
+                out.append(x)
+            yield pd.DataFrame({**{c: pdf[c] for c in [key, ts] + tie}, "soc": out})
+
+    return seeded.mapInPandas(walk, schema=out_schema)
 
 
 # ------------------------------------------------------------------ sequences -----------------

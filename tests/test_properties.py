@@ -124,3 +124,25 @@ def test_deadband_by_day_equals_deadband(spark):
     a = {r.event_id for r in C.deadband(df, 0.5).collect()}
     b = {r.event_id for r in C.deadband_by_day(df, 0.5).collect()}
     assert a == b
+
+
+def test_soc_composition_equals_sequential_walk(spark):
+    from otgraph.operators.gold import bess_soc_clamped
+    rnd = random.Random(3)
+    rows, want = [], {}
+    for k in ("a", "b"):
+        t, soc, prev = T0, 50.0, None
+        for i in range(80):
+            t = t + dt.timedelta(minutes=rnd.choice([10, 45, 130, 400]))
+            net = rnd.uniform(-900, 900)
+            h = 0.0 if prev is None else (t - prev).total_seconds() / 3600.0
+            soc = min(max(soc - net * h / 1000.0 * 100.0, 5.0), 95.0)
+            prev = t
+            rows.append((k, t, net))
+            want[(k, t)] = soc
+    df = spark.createDataFrame(rows, "k string, t timestamp, net double")
+    for unit in ("day", "hour"):
+        got = {(r.k, r.t): r.soc for r in
+               bess_soc_clamped(df, "k", "t", "net", 1000.0, unit=unit).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[x] - want[x]) < 1e-9 for x in want)
