@@ -15,8 +15,11 @@ true fold; it streams through tag-sorted partitions in ``mapInPandas`` (``deadba
 
 from __future__ import annotations
 
+import json
 import math
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -140,21 +143,25 @@ def _changed(k, n, s, lk, ln, lkey, threshold: float) -> bool:
 def deadband(df: DataFrame, threshold: float, tag: str = "tag_path",
              order: list[str] | None = None, kind: Column | None = None,
              num: Column | None = None, key: Column | None = None,
-             partitions: int | None = None) -> DataFrame:
+             partitions: int | None = None, split_by: str | None = "day") -> DataFrame:
     """Keep an event when ``|v - last kept| > threshold``; other types by equality.
+    Example: 1.0, 1.4, 1.8, 3.0 with 0.5 keeps 1.0, 1.8, 3.0.
 
-    The fold is sequential per tag. Events are hash-partitioned by tag (one shuffle) and sorted
-    by (tag, time) inside each partition; an Arrow-batched ``mapInPandas`` then walks the sorted
-    stream carrying the last kept value across batch boundaries, so memory stays at one batch
-    however long a tag's history is. Example: 1.0, 1.4, 1.8, 3.0 with 0.5 keeps 1.0, 1.8, 3.0.
+    ``split_by="day"`` (default): exact and parallel over (tag, day) — see
+    :func:`_deadband_split`; a hot tag is split by day. ``split_by=None``: one hash shuffle by
+    tag, sort within partitions, and an Arrow-batched ``mapInPandas`` that walks the sorted
+    stream carrying the last kept value across batches (memory is one batch, one tag is one
+    task).
     """
     order = order or ["event_time", "event_id"]
     cols = change_columns_from_typed() if kind is None else {"kind": kind, "num": num, "key": key}
     base = df.withColumns({"_kind": cols["kind"], "_num": cols["num"], "_key": cols["key"]})
     n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if split_by:
+        return _deadband_split(base, list(df.columns), float(threshold), tag, order, split_by,
+                               n_parts)
     ordered = base.repartition(n_parts, tag).sortWithinPartitions(tag, *order)
     out_cols = list(df.columns)
-    schema = df.schema
     thr = float(threshold)
 
     def fold(batches):
@@ -170,7 +177,181 @@ def deadband(df: DataFrame, threshold: float, tag: str = "tag_path",
                     lk, ln, lkey = k, n, s
             yield pdf.loc[keep, out_cols]
 
-    return ordered.mapInPandas(fold, schema=schema)
+    return ordered.mapInPandas(fold, schema=df.schema)
+
+
+def _day_summaries(batches, tag: str, thr: float):
+    """One summary per (tag, chunk) of rows streamed in (tag, chunk, time) order.
+
+    The state entering a chunk only decides which element is kept first; from there the fold
+    is fixed. For a numeric incoming state ``s`` that is the first element outside
+    ``[max(prefix) - thr, min(prefix) + thr]`` (NaN is never outside, a non-number always is),
+    so the incoming numbers split into a few intervals, each tied to a start index. Folds from
+    every start index (plus incoming NULL and incoming key equal to the first value) run in
+    lockstep and merge once their states coincide. The summary maps each kind of incoming
+    state to the chunk's end state."""
+    out, cur, st = [], None, None
+
+    def end_state(fid):
+        while fid in st["alias"]:
+            fid = st["alias"][fid]
+        return st["folds"][fid]
+
+    def finish():
+        pieces = [dict(lo=lo, hi=hi, lo_in=li, hi_in=hin,
+                       **dict(zip(("k", "n", "s"), end_state(fid))))
+                  for lo, hi, li, hin, fid in st["pieces"]]
+        nres, dres = end_state("N"), end_state(0)
+        kres = end_state("K") if st["k0"] else (None, None, None)
+        nanres = end_state(st["nan_fid"]) if st["nan_fid"] is not None else (None, None, None)
+        out.append({tag: cur[0], "_chunk": cur[1], "_pieces": json.dumps(pieces),
+                    "_n_k": nres[0], "_n_n": nres[1], "_n_s": nres[2],
+                    "_k0_kind": st["k0"][0] if st["k0"] else None,
+                    "_k0_key": st["k0"][1] if st["k0"] else None,
+                    "_kr_k": kres[0], "_kr_n": kres[1], "_kr_s": kres[2],
+                    "_d_k": dres[0], "_d_n": dres[1], "_d_s": dres[2],
+                    "_nan_k": nanres[0], "_nan_n": nanres[1], "_nan_s": nanres[2],
+                    "_has_nan": st["nan_fid"] is not None})
+
+    for pdf in batches:
+        for t, c, k, n, s in zip(pdf[tag], pdf["_chunk"], pdf["_kind"], pdf["_num"], pdf["_key"]):
+            n = float(n) if k == "NUMBER" else None
+            if cur is None or (t, c) != cur:
+                if cur is not None:
+                    finish()
+                cur = (t, c)
+                st = {"folds": {"N": ("NULL", None, None)}, "alias": {}, "pieces": [],
+                      "band": (-math.inf, math.inf), "nan_fid": None, "k0": None, "i": 0}
+                if k not in ("NULL", "NUMBER"):
+                    st["k0"] = (k, s)
+                    st["folds"]["K"] = (k, None, s)
+            i, folds = st["i"], st["folds"]
+            for fid, (lk, ln, lkey) in list(folds.items()):        # advance every fold
+                if _changed(k, math.nan if n is None else n, s, lk,
+                            math.nan if ln is None else ln, lkey, thr):
+                    folds[fid] = (k, n, s)
+            if i == 0:
+                folds[0] = (k, n, s)                                  # start: keep x0
+            if st["band"] is not None:
+                lo, hi = st["band"]
+                if k == "NUMBER" and not math.isnan(n):
+                    nlo, nhi = max(lo, n - thr), min(hi, n + thr)
+                    new = []
+                    if nlo > nhi:
+                        new.append((lo, hi, True, True))
+                        st["band"] = None
+                    else:
+                        if nlo > lo:
+                            new.append((lo, nlo, lo != -math.inf, False))
+                        if nhi < hi:
+                            new.append((nhi, hi, False, hi != math.inf))
+                        st["band"] = (nlo, nhi)
+                    if new:
+                        folds.setdefault(i, (k, n, s))
+                        st["pieces"].extend((a, b, ai, bi, i) for a, b, ai, bi in new)
+                elif k != "NUMBER":                                   # NaN leaves the band
+                    folds.setdefault(i, (k, n, s))
+                    st["pieces"].append((lo, hi, True, True, i))
+                    st["band"] = None
+            if k != "NUMBER" and st["nan_fid"] is None:
+                if i not in folds and i not in st["alias"]:
+                    folds[i] = (k, n, s)
+                st["nan_fid"] = i
+            seen = {}
+            for fid in list(folds):                                   # merge equal states
+                lk, ln, lkey = folds[fid]
+                sig = (lk, "nan" if ln is not None and math.isnan(ln) else ln, lkey)
+                if sig in seen:
+                    st["alias"][fid] = seen[sig]
+                    del folds[fid]
+                else:
+                    seen[sig] = fid
+            st["i"] = i + 1
+        if len(out) >= 5000:
+            yield pd.DataFrame(out)
+            out = []
+    if cur is not None:
+        finish()
+    if out:
+        yield pd.DataFrame(out)
+
+
+def _chain_days(tag: str):
+    """Over chunk summaries streamed in (tag, chunk) order: the state entering each chunk.
+    A tag's summaries are one row per chunk (day), so this is small."""
+    def chain(batches):
+        s, rows, cur = ("NULL", None, None), [], object()
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                if r[tag] != cur:
+                    cur, s = r[tag], ("NULL", None, None)
+                rows.append((r[tag], r["_chunk"], *s))
+                if s[0] == "NULL":
+                    s = (r["_n_k"], r["_n_n"], r["_n_s"])
+                elif s[0] == "NUMBER":
+                    x = s[1]
+                    if x is None or math.isnan(x):
+                        if r["_has_nan"]:
+                            s = (r["_nan_k"], r["_nan_n"], r["_nan_s"])
+                    else:
+                        for p in json.loads(r["_pieces"]):
+                            if ((x > p["lo"] or (p["lo_in"] and x == p["lo"]))
+                                    and (x < p["hi"] or (p["hi_in"] and x == p["hi"]))):
+                                s = (p["k"], p["n"], p["s"])
+                                break
+                elif r["_k0_kind"] is not None and (s[0], s[2]) == (r["_k0_kind"], r["_k0_key"]):
+                    s = (r["_kr_k"], r["_kr_n"], r["_kr_s"])
+                else:
+                    s = (r["_d_k"], r["_d_n"], r["_d_s"])
+                if s[0] != "NUMBER":
+                    s = (s[0], None, s[2])
+            if len(rows) >= 10_000:
+                yield pd.DataFrame(rows, columns=[tag, "_chunk", "_lk", "_ln", "_lkey"])
+                rows = []
+        yield pd.DataFrame(rows, columns=[tag, "_chunk", "_lk", "_ln", "_lkey"])
+    return chain
+
+
+def _deadband_split(base: DataFrame, out_cols: list[str], thr: float, tag: str,
+                    order: list[str], unit: str, n_parts: int) -> DataFrame:
+    """Exact deadband in three steps, all parallel: (1) a summary per (tag, chunk) — which end
+    state each possible incoming state leads to (:func:`_day_summaries`); (2) per tag, the
+    incoming state of every chunk from the small summary table; (3) every (tag, chunk) folds
+    from its incoming state. Tasks hold (tag, chunk) streams, never a whole tag."""
+    b = base.withColumn("_chunk", F.date_trunc(unit, F.col(order[0])))
+    tag_t = b.schema[tag].dataType.simpleString()
+    chunk_t = b.schema["_chunk"].dataType.simpleString()
+    summ_schema = (f"{tag} {tag_t}, _chunk {chunk_t}, _pieces string, _n_k string, "
+                   "_n_n double, _n_s string, _k0_kind string, _k0_key string, _kr_k string, "
+                   "_kr_n double, _kr_s string, _d_k string, _d_n double, _d_s string, "
+                   "_nan_k string, _nan_n double, _nan_s string, _has_nan boolean")
+    stream = b.select(tag, "_chunk", *order, "_kind", "_num", "_key") \
+        .repartition(n_parts, tag, "_chunk").sortWithinPartitions(tag, "_chunk", *order)
+    summaries = stream.mapInPandas(lambda it: _day_summaries(it, tag, thr), schema=summ_schema)
+    starts = summaries.repartition(n_parts, tag).sortWithinPartitions(tag, "_chunk").mapInPandas(
+        _chain_days(tag),
+        schema=f"{tag} {tag_t}, _chunk {chunk_t}, _lk string, _ln double, _lkey string")
+    seeded = b.join(starts, [tag, "_chunk"], "left") \
+        .repartition(n_parts, tag, "_chunk").sortWithinPartitions(tag, "_chunk", *order) \
+        .select(*out_cols, "_chunk", "_kind", "_num", "_key", "_lk", "_ln", "_lkey")
+    schema = base.select(*out_cols).schema
+
+    def fold(batches):
+        cur, lk, ln, lkey = None, "NULL", None, None
+        for pdf in batches:
+            keep = []
+            for t, c, k, n, s, sk, sn, skey in zip(pdf[tag], pdf["_chunk"], pdf["_kind"],
+                                                   pdf["_num"], pdf["_key"], pdf["_lk"],
+                                                   pdf["_ln"], pdf["_lkey"]):
+                if cur is None or (t, c) != cur:
+                    cur, lk, ln, lkey = (t, c), sk, sn, skey
+                ch = _changed(k, n, s, lk, math.nan if ln is None else ln, lkey, thr)
+                keep.append(ch)
+                if ch:
+                    lk, ln, lkey = k, n, s
+            yield pdf.loc[keep, out_cols]
+
+    return seeded.mapInPandas(fold, schema=schema)
 
 
 def deadband_by_day(df: DataFrame, threshold: float, tag: str = "tag_path",

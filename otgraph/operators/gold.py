@@ -199,16 +199,20 @@ def bess_soc_clamped(df: DataFrame, key: str, ts: str, net_kw: str, capacity_kwh
     start_schema = (f"{key} {steps.schema[key].dataType.simpleString()}, "
                     f"_day {steps.schema['_day'].dataType.simpleString()}, _start double")
 
-    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
-        # one row per day of one key: bounded by the time span, not by the readings
-        pdf = pdf.sort_values("_day")
-        x, out = soc0, []
-        for D, L, H in zip(pdf["_D"], pdf["_L"], pdf["_H"]):
-            out.append(x)
-            x = min(max(x + D, L), H)
-        return pd.DataFrame({key: pdf[key], "_day": pdf["_day"], "_start": out})
-
-    begin = days.groupBy(key).applyInPandas(starts, schema=start_schema)
+    def starts(batches):
+        # day summaries streamed in (key, day) order: one row per day of a key
+        cur, x = object(), soc0
+        for pdf in batches:
+            out = []
+            for k, D, L, H in zip(pdf[key], pdf["_D"], pdf["_L"], pdf["_H"]):
+                if k != cur:
+                    cur, x = k, soc0
+                out.append(x)
+                x = min(max(x + D, L), H)
+            yield pd.DataFrame({key: pdf[key], "_day": pdf["_day"], "_start": out})
+
+    begin = days.repartition(n, key).sortWithinPartitions(key, "_day") \
+        .mapInPandas(starts, schema=start_schema)
     seeded = steps.join(begin, on=[key, "_day"], how="left") \
         .repartition(n, key, "_day").sortWithinPartitions(*order)
     out_schema = ", ".join(f"{c} {steps.schema[c].dataType.simpleString()}"

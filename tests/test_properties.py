@@ -146,3 +146,26 @@ def test_soc_composition_equals_sequential_walk(spark):
                bess_soc_clamped(df, "k", "t", "net", 1000.0, unit=unit).collect()}
         assert got.keys() == want.keys()
         assert all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_split_deadband_matches_single_pass(spark):
+    """The day-split deadband against the single-pass fold: mixed types, NaN, NULL, booleans,
+    exact boundary distances, several thresholds and chunk sizes."""
+    for seed in range(3):
+        rnd = random.Random(100 + seed)
+        rows = []
+        for tag in range(6):
+            for i in range(rnd.randint(5, 90)):
+                v = rnd.choice([None, float("nan"), "a", "b", True, 1.0, 1.5, 2.0, 0.5, 2.6, 1.0])
+                rows.append((f"{tag}-{i:03d}", T0 + dt.timedelta(minutes=rnd.choice([1, 37, 300]) * i),
+                             f"t{tag}", v if isinstance(v, float) else None,
+                             v if isinstance(v, str) else None, v if isinstance(v, bool) else None,
+                             "UNKNOWN" if v is None else ("BOOLEAN" if isinstance(v, bool) else
+                                                          ("DOUBLE" if isinstance(v, float) else "STRING"))))
+        df = spark.createDataFrame(rows, "event_id string, event_time timestamp, tag_path string, "
+                                         "numeric_value double, string_value string, "
+                                         "boolean_value boolean, data_type string")
+        for thr in (0.0, 0.5):
+            a = {r.event_id for r in C.deadband(df, thr, split_by=None).collect()}
+            for unit in ("hour", "day"):
+                assert {r.event_id for r in C.deadband(df, thr, split_by=unit).collect()} == a
