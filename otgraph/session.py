@@ -31,6 +31,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -48,6 +49,31 @@ def materialize(df):
     return out
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``otgraph`` importable in the Python workers (the Arrow-batched folds import it):
+    zip the package once per SparkContext into the checkpoint root and ``addPyFile`` it."""
+    import zipfile
+
+    import otgraph
+    sc = spark.sparkContext
+    if getattr(sc, "_otgraph_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(otgraph.__file__))
+    root = ensure_checkpoint_dir(spark)
+    target_dir = root[len("file:"):] if root.startswith("file:") else root
+    zpath = os.path.join(target_dir, f"otgraph-{os.getpid()}.zip")
+    if "://" in target_dir:                 # shared store: build locally, Spark serves the file
+        zpath = os.path.join(tempfile.mkdtemp(prefix="otgraph-pkg-"), "otgraph.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for folder, _dirs, names in os.walk(pkg):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(zpath)
+    sc._otgraph_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
