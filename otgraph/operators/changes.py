@@ -9,8 +9,9 @@ otherwise → the values differ. No kept value yet counts as NULL.
 Every change of value class (NULL / number / other) is always kept (except leading NULLs), so
 the history of a tag falls into independent *runs*. Inside a run, with a zero deadband the
 relation is an equivalence (NaN aside), so the last kept value equals the previous value and
-window functions give the exact answer, split by (tag, day) (``only_on_change``). A positive deadband is a
-true fold; it streams through tag-sorted partitions in ``mapInPandas`` (``deadband``).
+window functions give the exact answer, split by (tag, day) (``only_on_change``). A positive
+deadband is a true fold; ``deadband`` splits it by (tag, day) with per-day summaries, a chain
+over days and a parallel re-fold, all streamed through Arrow-batched ``mapInPandas``.
 """
 
 from __future__ import annotations
@@ -19,12 +20,10 @@ import json
 import math
 
 import pandas as pd
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
 from otgraph.functions.events import variant_kind
 
 
