@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from otgraph.operators import changes as C
 from otgraph.operators import select as S
@@ -117,9 +116,17 @@ def q_rate_cap(spark, sf):
     f"SELECT {OT_COLS} FROM ot_events QUALIFY row_number() OVER ("
     "PARTITION BY tag_path ORDER BY event_time, event_id) > 1", "ot_events"))
 def q_drop_initial(spark, sf):
-    w = Window.partitionBy("tag_path").orderBy("event_time", "event_id")
-    ot = _ot(spark, sf).withColumn("is_initial", F.row_number().over(w) == 1)
-    return S.drop_initial(ot).drop("is_initial")
+    # the subscription's initial value stands for each tag's first event: found with a
+    # partially aggregated min per tag (no window over a whole tag), flagged by a left join
+    ot = _ot(spark, sf)
+    first = ot.groupBy("tag_path").agg(F.min(F.struct("event_time", "event_id")).alias("_f")) \
+        .select("tag_path", F.col("_f.event_time").alias("_ft"), F.col("_f.event_id").alias("_fid"),
+                F.lit(True).alias("is_initial"))
+    flagged = ot.join(first, (ot["tag_path"] == first["tag_path"])
+                      & (ot["event_time"] == first["_ft"]) & (ot["event_id"] == first["_fid"]),
+                      "left").select(ot["*"], F.coalesce(F.col("is_initial"), F.lit(False))
+                                     .alias("is_initial"))
+    return S.drop_initial(flagged).drop("is_initial")
 
 
 @register("recent_events", with_ctes(
