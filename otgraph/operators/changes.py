@@ -240,10 +240,12 @@ def _day_summaries(batches, tag: str, thr: float):
                         new.append((lo, hi, True, True))
                         st["band"] = None
                     else:
+                        # the band is closed, ±inf included: an infinite state is outside
+                        # every finite element's reach
                         if nlo > lo:
-                            new.append((lo, nlo, lo != -math.inf, False))
+                            new.append((lo, nlo, True, False))
                         if nhi < hi:
-                            new.append((nhi, hi, False, hi != math.inf))
+                            new.append((nhi, hi, False, True))
                         st["band"] = (nlo, nhi)
                     if new:
                         folds.setdefault(i, (k, n, s))

@@ -156,7 +156,8 @@ def test_split_deadband_matches_single_pass(spark):
         rows = []
         for tag in range(6):
             for i in range(rnd.randint(5, 90)):
-                v = rnd.choice([None, float("nan"), "a", "b", True, 1.0, 1.5, 2.0, 0.5, 2.6, 1.0])
+                v = rnd.choice([None, float("nan"), "a", "b", True, 1.0, 1.5, 2.0, 0.5, 2.6, 1.0,
+                                float("inf"), float("-inf")])
                 rows.append((f"{tag}-{i:03d}", T0 + dt.timedelta(minutes=rnd.choice([1, 37, 300]) * i),
                              f"t{tag}", v if isinstance(v, float) else None,
                              v if isinstance(v, str) else None, v if isinstance(v, bool) else None,
