@@ -40,8 +40,11 @@ def spread(df: DataFrame) -> DataFrame:
     files that Spark reads as one partition; real inputs have many splits and pass through."""
     if df.isStreaming:
         return df
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    except Exception:  # noqa: BLE001 - no RDD API (e.g. a Connect session): leave as is
+        return df
 
 
 # ---------------------------------------------------------------- telemetry -------------------

@@ -55,7 +55,10 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
 
     import otgraph
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no SparkContext here (Connect): ship with --py-files
+        return
     if getattr(sc, "_otgraph_shipped", False):
         return
     pkg = os.path.dirname(os.path.abspath(otgraph.__file__))
@@ -80,9 +83,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster the setting must point at shared storage and is only read here. Only a local
     master without the setting (tests, the benchmark) gets a private scratch folder.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or \
-        spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no SparkContext (Connect): the setting is required
+        if conf_dir:
+            return conf_dir
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+    conf_dir = conf_dir or sc.getConf().get("spark.checkpoint.dir", None)
     if conf_dir:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(conf_dir)
