@@ -170,3 +170,29 @@ def test_split_deadband_matches_single_pass(spark):
             a = {r.event_id for r in C.deadband(df, thr, split_by=None).collect()}
             for unit in ("hour", "day"):
                 assert {r.event_id for r in C.deadband(df, thr, split_by=unit).collect()} == a
+
+
+def test_asof_join_matches_pandas_merge_asof(spark):
+    import pandas as pd
+    from otgraph.operators.gold import asof_join
+    rnd = random.Random(21)
+    left, right = [], []
+    for k in ("a", "b", "c"):
+        for i in range(60):
+            t = T0 + dt.timedelta(hours=rnd.choice([0, 3, 7, 30, 55]) + i * 5)
+            if rnd.random() < 0.5:
+                left.append((k, t, f"{k}{i}"))
+            else:
+                right.append((k, t, float(i)))
+    ldf = spark.createDataFrame(left, "k string, ts timestamp, id string")
+    rdf = spark.createDataFrame(right, "k string, ts timestamp, v double")
+    for tol in (None, "10 hours"):
+        got = {r.id: r.v for r in asof_join(ldf, rdf, ["k"], "ts", ["v"], tolerance=tol).collect()}
+        lp = pd.DataFrame(left, columns=["k", "ts", "id"]).sort_values("ts")
+        rp = pd.DataFrame(right, columns=["k", "ts", "v"]).sort_values(["ts", "v"])
+        # equal times on the right: the greatest value wins, as documented
+        rp = rp.groupby(["k", "ts"], as_index=False)["v"].max().sort_values("ts")
+        m = pd.merge_asof(lp, rp, on="ts", by="k", direction="backward",
+                          tolerance=pd.Timedelta(hours=10) if tol else None)
+        want = {r.id: (None if pd.isna(r.v) else r.v) for r in m.itertuples()}
+        assert got == want
