@@ -196,3 +196,36 @@ def test_asof_join_matches_pandas_merge_asof(spark):
                           tolerance=pd.Timedelta(hours=10) if tol else None)
         want = {r.id: (None if pd.isna(r.v) else r.v) for r in m.itertuples()}
         assert got == want
+
+
+def test_lag_and_episodes_across_days(spark):
+    from otgraph.operators.gold import flag_intervals
+    from otgraph.operators.series import with_prev
+    rnd = random.Random(8)
+    rows = []
+    for k in ("a", "b"):
+        t = T0
+        for i in range(120):
+            t = t + dt.timedelta(hours=rnd.choice([1, 5, 20, 49]))
+            rows.append((k, t, f"{k}{i:03d}", rnd.random() < 0.4))
+    df = spark.createDataFrame(rows, "k string, ts timestamp, id string, flag boolean")
+    got = {r.id: r.prev_id for r in with_prev(df, ["k"], "ts", ["id"], tie=["id"]).collect()}
+    want, eps = {}, []
+    for k in ("a", "b"):
+        seq = [r for r in rows if r[0] == k]
+        start = None
+        for j, (_k, t, i, f) in enumerate(seq):
+            want[i] = seq[j - 1][2] if j else None
+            if f and start is None:
+                start, n = t, 0
+            if f:
+                n += 1
+            if not f and start is not None:
+                eps.append((k, start, t, n))
+                start = None
+        if start is not None:
+            eps.append((k, start, None, n))
+    assert got == want
+    ep = {(r.k, r.start_ts, r.end_ts, r.readings)
+          for r in flag_intervals(df, ["k"], "ts", "flag", tie=["id"]).collect()}
+    assert ep == set(eps)
