@@ -229,3 +229,30 @@ def test_lag_and_episodes_across_days(spark):
     ep = {(r.k, r.start_ts, r.end_ts, r.readings)
           for r in flag_intervals(df, ["k"], "ts", "flag", tie=["id"]).collect()}
     assert ep == set(eps)
+
+
+def test_range_frames_across_midnight(spark):
+    from otgraph.operators.gold import first_change, tracking_error
+    rnd = random.Random(13)
+    rows = []
+    t = T0
+    for i in range(150):
+        t = t + dt.timedelta(minutes=rnd.choice([7, 25, 70, 300]))
+        rows.append(("k", t, f"e{i:03d}", float(rnd.randint(0, 9)), rnd.choice(["x", "y", "z", "err"])))
+    df = spark.createDataFrame(rows, "k string, ts timestamp, id string, v double, sig string")
+    w = dt.timedelta(hours=1)
+    te = {r.id: r.ma_error for r in
+          tracking_error(df.withColumn("tgt", F.lit(4.0)), ["k"], "ts", "v", "tgt", 3600).collect()}
+    for _k, t0, i, _v, _s in rows:
+        win = [v - 4.0 for _k2, t2, _i2, v, _s2 in rows if t0 - w <= t2 <= t0]
+        assert abs(te[i] - sum(win) / len(win)) < 1e-9
+    ch = df.filter("sig != 'err'").select("k", "ts", F.col("sig").alias("signal"))
+    ev = df.filter("sig = 'err'").select("k", "ts", "id")
+    fc = {r.id: (r.first_signal, r.first_change_ts) for r in
+          first_change(ch, ev, ["k"], "ts", "signal", 3600, "id").collect()}
+    for _k, t0, i, _v, s in rows:
+        if s != "err":
+            continue
+        prior = sorted((t2, s2) for _k2, t2, _i2, _v2, s2 in rows
+                       if s2 != "err" and t0 - w <= t2 < t0)
+        assert fc[i] == ((prior[0][1], prior[0][0]) if prior else (None, None))
