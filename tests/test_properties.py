@@ -256,3 +256,28 @@ def test_range_frames_across_midnight(spark):
         prior = sorted((t2, s2) for _k2, t2, _i2, _v2, s2 in rows
                        if s2 != "err" and t0 - w <= t2 < t0)
         assert fc[i] == ((prior[0][1], prior[0][0]) if prior else (None, None))
+
+
+def test_reachability_on_cyclic_graph(spark):
+    from collections import deque
+    rnd = random.Random(17)
+    nodes = [f"n{i}" for i in range(40)]
+    edges = {(rnd.choice(nodes), rnd.choice(nodes)) for _ in range(70)}
+    df = spark.createDataFrame([(o, G.PROPAGATES, s) for s, o in edges], "s string, p string, o string")
+    faulty = ["n0", "n7"]
+    got = {(r.fault, r.node, r.depth) for r in
+           G.fault_impact(df, spark.createDataFrame([(f,) for f in faulty], "node string")).collect()}
+    adj = {}
+    for s, o in edges:                      # a fault in o ... here edges are (src, dst)
+        adj.setdefault(s, []).append(o)
+    want = set()
+    for f in faulty:
+        dist, q = {f: 0}, deque([f])
+        while q:
+            u = q.popleft()
+            for v in adj.get(u, []):
+                if v not in dist:
+                    dist[v] = dist[u] + 1
+                    q.append(v)
+        want |= {(f, v, d) for v, d in dist.items() if d > 0}
+    assert got == want
