@@ -281,3 +281,20 @@ def test_reachability_on_cyclic_graph(spark):
                     q.append(v)
         want |= {(f, v, d) for v, d in dist.items() if d > 0}
     assert got == want
+
+
+def test_ancestor_paths_random_forest_with_cycles(spark):
+    rnd = random.Random(29)
+    nodes = [f"v{i}" for i in range(30)]
+    parent = {n: rnd.choice(nodes + [None, None]) for n in nodes}
+    pairs = [(n, p) for n, p in parent.items() if p is not None]
+    df = spark.createDataFrame(pairs, "node string, parent string")
+    got = {r.node: r.path for r in G.ancestor_paths(df).collect()}
+    want = {}
+    for n in {x for pair in pairs for x in pair}:          # nodes of the parents table
+        path, cur = [], parent.get(n)
+        while cur is not None and cur not in path and cur != n:
+            path.append(cur)
+            cur = parent.get(cur)
+        want[n] = list(reversed(path))
+    assert got == want
