@@ -34,3 +34,24 @@ def test_construct_and_ask(spark):
     assert sorted(tuple(r) for r in c.collect()) == [("b", "knownBy", "a"), ("b", "knownBy", "b")]
     assert B.bgp_ask(g, [("?x", "label", "X")]).collect()[0].ask is True
     assert B.bgp_ask(g, [("?x", "label", "Y")]).collect()[0].ask is False
+
+
+def test_random_patterns_against_brute_force(spark):
+    import itertools
+    import random
+    rnd = random.Random(4)
+    nodes, preds = [f"n{i}" for i in range(8)], ["p", "q", "r"]
+    triples = {(rnd.choice(nodes), rnd.choice(preds), rnd.choice(nodes)) for _ in range(40)}
+    g = spark.createDataFrame(sorted(triples), "s string, p string, o string")
+    # ?x p ?y . ?y q ?z  OPTIONAL { ?z r ?w }  FILTER (x != z)
+    got = [tuple(r) for r in B.bgp_select(
+        g, [("?x", "p", "?y"), ("?y", "q", "?z")], optional=[[("?z", "r", "?w")]],
+        filters=["x != z"], select=["?x", "?y", "?z", "?w"]).collect()]
+    want = []
+    for (x, p1, y), (y2, p2, z) in itertools.product(triples, triples):
+        if p1 == "p" and p2 == "q" and y == y2 and x != z:
+            ws = [o for s, p3, o in triples if s == z and p3 == "r"]
+            want += [(x, y, z, w) for w in ws] or [(x, y, z, None)]
+    def key(t):
+        return tuple("" if v is None else v for v in t)
+    assert sorted(got, key=key) == sorted(want, key=key)
