@@ -22,3 +22,10 @@ def query(fn):
 def op1_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     from otgraph.llm.decontam import contamination
     return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    from otgraph.llm.toxicity import score_documents, train
+    docs = table(spark, sf, "documents")
+    return score_documents(docs, train(docs, table(spark, sf, "labels")))
