@@ -29,3 +29,9 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     from otgraph.llm.toxicity import score_documents, train
     docs = table(spark, sf, "documents")
     return score_documents(docs, train(docs, table(spark, sf, "labels")))
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from otgraph.llm.line_dedup import dedup_lines
+    return dedup_lines(table(spark, sf, "documents"))
