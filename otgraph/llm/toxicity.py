@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 P = 4                   # subsequence length
-DECAY = 0.75            # weight per spanned character
+DECAY = 0.6             # weight per spanned character
 POWER = 2               # polynomial over the share of K(z, z): keeps near misses small
 FLOOR = 0.1             # smaller values count as 0
 MAX_LANDMARKS = 96
-TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS = 2000, 4000, 40_000_000
+TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS = 1500, 3000, 20_000_000
 WORD_CHARS = 40         # longer words are cut into windows of this length, half overlapping
-CACHE_WORDS = 1_000_000  # words a worker remembers before it starts afresh
+CACHE_WORDS = 500_000  # words a worker remembers before it starts afresh
 
 _END = re.compile(r"[.!?]+(?:\s+|$)|\n")
 _SIGN = re.compile(r"[^\w\s]+")
@@ -182,49 +182,50 @@ class Model:
 
 def choose_landmarks(texts: list[str], toxic: np.ndarray) -> list[str]:
     """Strings that separate toxic from clean documents, by greedy cover of the toxic ones."""
-    words = [{p for s in sentences(t) for w in s for p in windows(w)} for t in texts]
-    memo: dict[str, tuple] = {}
-
-    def strings(ws, cand=None):
-        out = set()
-        for w in ws:
-            got = memo.get(w)
-            if got is None:
-                got = {w, *(w[:n] for n in range(P + 1, min(len(w), 10))),
-                       *(w[-n:] for n in range(P + 1, min(len(w), 10)))} if len(w) > P else ()
-                got = memo[w] = tuple(got if cand is None else cand.intersection(got))
-            out.update(got)
+    def words_of(t):
+        return {p for s in sentences(t) for w in s for p in windows(w)}
+
+    def strings(ws):
+        """The words, and their starts and ends of up to nine characters."""
+        out = {w for w in ws if len(w) > P}
+        for w in list(out):
+            for n in range(P + 1, min(len(w), 10)):
+                out.add(w[:n])
+                out.add(w[-n:])
         return out
 
     n_tox, n_clean = int(toxic.sum()), int((~toxic).sum())
     least = max(3, int(0.004 * n_tox))
     docs = [int(i) for i in np.flatnonzero(toxic)]
-    has = {i: strings(words[i]) for i in docs}
-    count = Counter()
-    for i in docs:
-        count.update(has[i])
-    cand = {s for s, c in count.items() if c >= least}
-    memo.clear()
-    clean = Counter()
-    for i in np.flatnonzero(~toxic):
-        clean.update(strings(words[i], cand))
-    cost = {s: 10 * max(n_tox / max(1, n_clean), 0.1) * clean[s] for s in cand}
+    words = {i: words_of(texts[i]) for i in docs}
+    # counted by hash first: only strings of enough toxic documents are kept as strings
+    seen, times = np.unique(np.concatenate([np.fromiter(map(hash, strings(words[i])), np.int64) for i in docs]), return_counts=True)
+    often = set(seen[times >= least].tolist())
+    del seen, times
+    has = {i: {s for s in strings(words[i]) if hash(s) in often} for i in docs}
     where = defaultdict(set)
     for i in docs:
-        has[i] &= cand
         for s in has[i]:
             where[s].add(i)
+    cand = {s for s in where if len(where[s]) >= least}
+    clean: Counter = Counter()
+    for i in np.flatnonzero(~toxic):
+        clean.update(cand.intersection(strings(words_of(texts[i]))))
+    cost = {s: 10 * max(n_tox / max(1, n_clean), 0.1) * clean[s] for s in cand}
     weight = dict.fromkeys(docs, 1.0)             # halves each time a document is covered
     gain = {s: len(where[s]) - cost[s] for s in cand}
+    has = {i: has[i] & cand for i in docs}
     marks: list[str] = []
     while gain and len(marks) < MAX_LANDMARKS:
         best = max(gain, key=lambda s: (gain[s], len(s), s))
         if gain[best] < least:
             break
+        # the longest form of it that says about the same
+        best = max((s for s in gain if best in s and gain[s] >= 0.95 * gain[best]), key=lambda s: (len(s), gain[s], s))
         marks.append(best)
         for i in list(where[best]):               # its words are explained: they count no more
             words[i] = {w for w in words[i] if best not in w}
-            new = strings(words[i], cand)
+            new = cand & strings(words[i])
             for s in has[i]:
                 gain[s] -= weight[i] / 2 if s in new else weight[i]
             for s in has[i] - new:
@@ -233,6 +234,7 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray) -> list[str]:
         del gain[best]
         for i in docs:
             has[i].discard(best)
+        cand.discard(best)
     return marks
 
 
@@ -281,6 +283,7 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
     feats = []
     for a in range(0, len(texts), 512):
         feats += empty.features([sentences(t) for t in texts[a:a + 512]])
+    empty.cache.clear()
     zero = np.zeros((1, len(marks)), np.float32)
     neg = np.unique(np.vstack([zero] + [f for f, t in zip(feats, toxic) if not t and len(f)]), axis=0)
     model = empty
