@@ -35,3 +35,9 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     from otgraph.llm.line_dedup import dedup_lines
     return dedup_lines(table(spark, sf, "documents"))
+
+
+@query
+def op8_near_dup(spark: SparkSession, sf: str) -> DataFrame:
+    from otgraph.llm.near_dup import near_duplicates
+    return near_duplicates(table(spark, sf, "documents"), k=3, num=85, den=100)
