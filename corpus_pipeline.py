@@ -2,24 +2,48 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a
 DataFrame, which is written as Parquet and reread as the next one's docs. All stages but the
-last return the columns of ``documents``.
+last return the columns of ``documents``; each works on all its predecessor kept.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from otgraph.llm import decontam, line_dedup, near_dup, packing, toxicity
 from otgraph.llm.common import table, written
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the string-kernel classifier calls toxic go."""
+    return toxicity.remove_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines equal or nearly equal to an earlier line go; so do documents that lose all lines."""
+    return line_dedup.remove_lines(docs)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays (five-word shingles, similarity 0.8)."""
+    return near_dup.drop_near_duplicates(docs, k=5, num=80, den=100)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark passage go."""
-    from otgraph.llm.decontam import decontaminate as clean
-    return clean(docs, table(spark, sf_dir, "benchmark"))
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the remaining documents with their sequence and offset."""
+    return packing.pack(docs)
 
 
 STAGES = [
-    ("decontaminate", decontaminate),
+    ("toxicity", drop_toxic),
+    ("line dedup", dedup_lines),
+    ("near duplicates", dedup_documents),
+    ("decontamination", decontaminate),
+    ("packing", pack),
 ]
 
 #: SQL cannot express the trained classifier nor the tokenizer; tests/llm checks the stages
@@ -28,7 +52,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to ``documents``, each result written in the shared folder and reread."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)

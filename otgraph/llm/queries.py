@@ -41,3 +41,9 @@ def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op8_near_dup(spark: SparkSession, sf: str) -> DataFrame:
     from otgraph.llm.near_dup import near_duplicates
     return near_duplicates(table(spark, sf, "documents"), k=3, num=85, den=100)
+
+
+@query
+def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
+    from otgraph.llm.packing import pack
+    return pack(table(spark, sf, "documents"))
