@@ -47,3 +47,9 @@ def op8_near_dup(spark: SparkSession, sf: str) -> DataFrame:
 def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     from otgraph.llm.packing import pack
     return pack(table(spark, sf, "documents"))
+
+
+@query
+def op4_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    from otgraph.llm.secrets import scan_secrets
+    return scan_secrets(table(spark, sf, "documents"))
