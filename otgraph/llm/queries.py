@@ -53,3 +53,10 @@ def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
 def op4_secrets(spark: SparkSession, sf: str) -> DataFrame:
     from otgraph.llm.secrets import scan_secrets
     return scan_secrets(table(spark, sf, "documents"))
+
+
+@query
+def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
+    from otgraph.llm.quality import judge, train
+    docs = table(spark, sf, "documents")
+    return judge(docs, train(docs, table(spark, sf, "labels")))
