@@ -60,3 +60,9 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     from otgraph.llm.quality import judge, train
     docs = table(spark, sf, "documents")
     return judge(docs, train(docs, table(spark, sf, "labels")))
+
+
+@query
+def op9_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    from otgraph.llm.lm_score import score_documents
+    return score_documents(table(spark, sf, "documents"), table(spark, sf, "labels").where("quality = 1"))
