@@ -66,3 +66,20 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
 def op9_lm_score(spark: SparkSession, sf: str) -> DataFrame:
     from otgraph.llm.lm_score import score_documents
     return score_documents(table(spark, sf, "documents"), table(spark, sf, "labels").where("quality = 1"))
+
+
+@query
+def op7_warc(spark: SparkSession, sf: str) -> DataFrame:
+    from otgraph.llm.warc import round_trip
+    return round_trip(table(spark, sf, "pages"))
+
+
+ORACLE_SQL["op7_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, coalesce(url, '') AS url, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS lead_id FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> lead_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> lead_id THEN lead_id END AS refers_to, url
+FROM g
+"""
