@@ -83,3 +83,9 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha1(payload) AS
        CASE WHEN payload_bytes >= 1000 AND page_id <> lead_id THEN lead_id END AS refers_to, url
 FROM g
 """
+
+
+@query
+def op6_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    from otgraph.llm.html_text import extract_text
+    return extract_text(table(spark, sf, "pages"))
