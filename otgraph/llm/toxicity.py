@@ -209,8 +209,20 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray) -> list[str]:
             where[s].add(i)
     cand = {s for s in where if len(where[s]) >= least}
     clean: Counter = Counter()
+    memo: dict[str, tuple] = {}
+
+    def known(ws):
+        """The candidates among the strings of some words."""
+        out = set()
+        for w in ws:
+            got = memo.get(w)
+            if got is None:
+                got = memo[w] = tuple(cand.intersection(strings((w,))))
+            out.update(got)
+        return out
+
     for i in np.flatnonzero(~toxic):
-        clean.update(cand.intersection(strings(words_of(texts[i]))))
+        clean.update(known(words_of(texts[i])))
     cost = {s: 10 * max(n_tox / max(1, n_clean), 0.1) * clean[s] for s in cand}
     weight = dict.fromkeys(docs, 1.0)             # halves each time a document is covered
     gain = {s: len(where[s]) - cost[s] for s in cand}
@@ -225,7 +237,7 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray) -> list[str]:
         marks.append(best)
         for i in list(where[best]):               # its words are explained: they count no more
             words[i] = {w for w in words[i] if best not in w}
-            new = cand & strings(words[i])
+            new = known(words[i]) - set(marks)
             for s in has[i]:
                 gain[s] -= weight[i] / 2 if s in new else weight[i]
             for s in has[i] - new:
