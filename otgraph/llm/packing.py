@@ -40,6 +40,7 @@ from otgraph.llm.common import text_key, written
 SIZE = 1024
 END_ID = 2
 RANKS = "byte_bpe_50k.tiktoken"     # the vocabulary of byte_bpe_50k.json as ranks
+WEIGHT_POWER = 1.0                  # of a length in the fit
 CACHE_WORDS = 400_000               # words a worker remembers before it starts afresh
 RANK_ROWS = 50_000                  # rows numbered by one task, on average
 
@@ -134,16 +135,18 @@ def exact_patterns(count: np.ndarray, size: int) -> np.ndarray:
     return np.vstack(out).astype(np.int64)
 
 
-def nnls(count: np.ndarray, pats: np.ndarray, rounds: int = 24, group: int = 160) -> np.ndarray:
-    """Repeat counts x >= 0 with least squares error of the pattern columns against ``count``."""
+def nnls(count: np.ndarray, pats: np.ndarray, rounds: int = 40, group: int = 160) -> np.ndarray:
+    """Repeat counts x >= 0 with least squares error of the pattern columns against ``count``. The
+    error of a length weighs as a power of it: short pieces left over fit in anywhere later."""
+    weight = (np.arange(len(count)) / (len(count) - 1)) ** WEIGHT_POWER
     x, on = np.zeros(len(pats)), np.zeros(len(pats), bool)
     best, best_x, stale = np.inf, x, 0
-    target = count.astype(float)
+    target = count * weight
 
     def columns(idx):
-        m = np.zeros((len(target), len(idx)), np.float32)
+        m = np.zeros((len(target), len(idx)))
         for k in range(3):
-            m[pats[idx, k], np.arange(len(idx))] += 1
+            m[pats[idx, k], np.arange(len(idx))] += weight[pats[idx, k]]
         m[0] = 0
         return m
 
@@ -155,14 +158,14 @@ def nnls(count: np.ndarray, pats: np.ndarray, rounds: int = 24, group: int = 160
         stale = stale + 1 if err > 0.999 * best else 0
         if err < best:
             best, best_x = err, x.copy()
-        if stale >= 3 or best < 1:
+        if stale >= 5 or best < 1e-3:
             break
-        grad = resid[pats].sum(axis=1)
+        grad = (resid * weight)[pats].sum(axis=1)
         grad[on] = -1
         order = np.argsort(-grad)[:40 * group]
         used, new = set(), []
         for j in order:                              # a group of columns that do not compete
-            if grad[j] <= 1e-6 or len(new) == group:
+            if grad[j] <= 1e-4 or len(new) == group:
                 break
             if not used & {*pats[j].tolist()} - {0}:
                 new.append(j)
@@ -173,7 +176,7 @@ def nnls(count: np.ndarray, pats: np.ndarray, rounds: int = 24, group: int = 160
         for _ in range(5):
             idx = np.flatnonzero(on)
             m = columns(idx)
-            s = np.linalg.solve(m.T @ m + np.float32(1e-3) * np.eye(len(idx), dtype=np.float32), m.T @ target)
+            s = np.linalg.solve(m.T @ m + 1e-6 * np.eye(len(idx)), m.T @ target)
             if (s > 0).all():
                 break
             on[idx[s <= 0]] = False
