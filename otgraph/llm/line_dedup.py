@@ -5,11 +5,12 @@ lines are linked when they are equal, or when both have ``MIN_FUZZY`` characters
 within one edit. A line goes when an earlier line (by doc_id, text hash, line number) is linked
 with it; blank lines and lines under ``MIN_CHARS`` characters are left alone.
 
-The join has two steps, both on hashed keys:
+The join works on hashed keys in two steps:
 
 1. *Block deletions*: with one of ``BLOCKS`` equal blocks deleted, lines within one edit of each
-   other are equal for the block that holds the edit. Only (line, block) rows whose key is shared
-   by another line go on; no linked pair is lost.
+   other are equal for the block that holds the edit. Keys shared by different lines are found by
+   a grouping that combines before its shuffle; a bitmap of them (fixed size, no false negatives) keeps all other lines from
+   moving at all. No linked pair is lost.
 2. *Character deletions*: inside the deleted block, the block itself and every variant with one
    character deleted are hashed. A line that equals another's variant lacks one character of it;
    two lines with the same variant at the same place differ by one substitution. Each key keeps
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,36 +35,121 @@ from otgraph.llm.common import mix, text_key, written
 
 MIN_CHARS = 8        # shorter lines are never removed
 MIN_FUZZY = 24       # shorter lines are removed only when equal
-BLOCKS = 8
+BLOCKS = 3
+BITS = 26            # log2 of the bitmap's bits: 8 MB whatever the data's size
+SEEN_LINES = 300_000  # lines a task remembers to skip repeats, before it starts afresh
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
+_FIRST = "struct<doc_id:bigint,_tk:bigint,line_no:int>"
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, _tk, line_no, line) of every line that may be removed."""
+def _texts(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.select("doc_id", text_key(F.col("text")).alias("_tk"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    rows = rows.withColumn("line", F.trim(F.regexp_replace("line", r"^[\s]+|[\s]+$", "")))
-    return rows.where(F.char_length("line") >= MIN_CHARS)
+    return rows.where("text is not null").select("doc_id", text_key(F.col("text")).alias("_tk"), "text")
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _lines(text: str):
+    """(line number, trimmed line, 128-bit hash) of the lines that may be removed."""
+    for i, line in enumerate(text.split("\n")):
+        line = line.strip(" \t\r")
+        if len(line) >= MIN_CHARS:
+            yield i, line, xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
+
+
+def line_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, _tk, line_no, h, h2, n) of every line that may be removed."""
+    def run(batches):
+        for batch in batches:
+            src, out = [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                for i, line, h in _lines(text):
+                    src.append(k)
+                    out.append((i, _signed(h & 0xFFFFFFFFFFFFFFFF), _signed(h >> 64), len(line)))
+            cols = list(zip(*out)) or [()] * 4
+            take = pa.array(src, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(take), batch.column("_tk").take(take), pa.array(cols[0], pa.int32()),
+                 pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32())],
+                names=["doc_id", "_tk", "line_no", "h", "h2", "n"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, _tk long, line_no int, h long, h2 long, n int")
 
 
 def _first():
     return F.min(F.struct("doc_id", "_tk", "line_no")).alias("first")
 
 
-def block_rows(lines: DataFrame) -> DataFrame:
-    """One row per (line, block): ``key`` hashes the line without the block, ``mid`` is the block."""
-    n = F.char_length("line")
-    units = F.array_distinct(F.array(F.floor(n / BLOCKS), F.floor((n - 1) / BLOCKS))).alias("us")
-    base = lines.where(n >= MIN_FUZZY).select("doc_id", "_tk", "line_no", "h", "line", F.explode(units).alias("u"))
-    g = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("g")
-    base = base.select("*", F.char_length("line").alias("n"), g)
-    left = F.expr("substring(line, 1, cast(g * u as int))")
-    tail = F.expr(f"cast(({BLOCKS - 1} - g) * u as int)")
-    right = F.when(tail > 0, F.expr(f"right(line, cast(({BLOCKS - 1} - g) * u as int))")).otherwise("")
-    mid = F.expr(f"substring(line, cast(g * u as int) + 1, cast(n - {BLOCKS - 1} * u as int))")
-    return base.select("doc_id", "_tk", "line_no", "h", F.xxhash64("u", "g", left, F.lit("\x00"), right).alias("key"), mid.alias("mid"))
+def block_keys(line: str):
+    """(key, start and end of the block) for every deleted block of a line."""
+    n = len(line)
+    for u in {n // BLOCKS, (n - 1) // BLOCKS}:
+        for g in range(BLOCKS):
+            a, b = g * u, n - (BLOCKS - 1 - g) * u
+            rest = f"{u},{g},{line[:a]}\x00{line[b:]}"
+            yield _signed(xxhash.xxh3_64_intdigest(rest.encode("utf-8", "surrogatepass"))), a, b
+
+
+def _new_lines(texts, seen: set):
+    """Lines long enough for the fuzzy join that the task has not met yet."""
+    for text in texts:
+        for _, line, h in _lines(text):
+            if len(line) >= MIN_FUZZY and h not in seen:
+                if len(seen) >= SEEN_LINES:
+                    seen.clear()
+                seen.add(h)
+                yield line, _signed(h & 0xFFFFFFFFFFFFFFFF), _signed(h >> 64)
+
+
+def shared_keys(docs: DataFrame) -> DataFrame:
+    """Block keys of two or more different lines."""
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            out = [(key, h) for line, h, _ in _new_lines(batch.column("text").to_pylist(), seen) for key, _, _ in block_keys(line)]
+            cols = list(zip(*out)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "h"])
+
+    keys = _texts(docs).select("text").mapInArrow(run, "key long, h long")
+    return keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
+
+
+def bitmap_of(keys: DataFrame) -> np.ndarray:
+    """Bits set at the keys' top ``BITS`` bits: at most 2^BITS / 8 bytes reach the driver."""
+    at = F.shiftrightunsigned("key", 64 - BITS) + 1
+    parts = keys.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).collect()
+    out = np.zeros(1 << BITS >> 3, np.uint8)
+    for r in parts:
+        m = np.frombuffer(bytes(r["m"]), np.uint8)
+        start = (r["b"] - 1) * len(m)
+        out[start:start + len(m)] = m[:len(out) - start]
+    return out
+
+
+def live_blocks(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """(key, h, h2, n, mid) of the blocks whose key is shared by another line."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(shared))
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            out, bm = [], bits.value
+            for line, h, h2 in _new_lines(batch.column("text").to_pylist(), seen):
+                for key, a, b in block_keys(line):
+                    at = (key & 0xFFFFFFFFFFFFFFFF) >> (64 - BITS)
+                    if bm[at >> 3] >> (at & 7) & 1:
+                        out.append((key, h, h2, len(line), line[a:b]))
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()))],
+                names=["key", "h", "h2", "n", "mid"])
+
+    rows = _texts(docs).select("text").mapInArrow(run, "key long, h long, h2 long, n int, mid string")
+    return rows.join(shared, "key", "left_semi").dropDuplicates(["key", "h", "h2"])
 
 
 def deletion_keys(mid: str) -> tuple[np.ndarray, np.ndarray, np.uint64]:
@@ -83,56 +170,64 @@ def deletion_keys(mid: str) -> tuple[np.ndarray, np.ndarray, np.uint64]:
 
 
 def _variants(batches):
-    """Rows (key, h, first...) → (k1, h, first..., own): ``k1`` hashed deletion keys."""
+    """Live rows → (vkey, kind, first, key, h): hashed deletion keys. Kind 1: the block itself, for
+    lines that meet longer ones; 0: its variants, for lines that meet shorter ones; 2: its variants by
+    place, for lines that meet others of their length."""
     for batch in batches:
-        keys, src, own = [], [], []
+        keys, src, kinds = [], [], []
         key = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
+        wants = [batch.column(c).to_pylist() for c in ("longer", "shorter", "same")]
         for i, mid in enumerate(batch.column("mid").to_pylist()):
-            k, at, self_key = deletion_keys(mid)
+            k, at, own = deletion_keys(mid)
             here = mix(k ^ key[i])
-            keys += [mix(np.array([self_key ^ key[i]], np.uint64)), here[at], mix(here + mix(np.arange(len(k), dtype=np.uint64) + _U(7)))]
-            own += [np.array([1], np.int8), np.zeros(len(at), np.int8), np.full(len(k), 2, np.int8)]
-            src.append(np.full(1 + len(at) + len(k), i))
+            for kind, want, v in ((1, wants[0][i], mix(np.array([own ^ key[i]], np.uint64))), (0, wants[1][i], here[at]),
+                                  (2, wants[2][i], mix(here + mix(np.arange(len(k), dtype=np.uint64) + _U(7))))):
+                if want:
+                    keys.append(v)
+                    kinds.append(np.full(len(v), kind, np.int8))
+                    src.append(np.full(len(v), i))
         if not src:
             continue
         take = pa.array(np.concatenate(src))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(own)), batch.column("key").take(take),
+            [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(kinds)), batch.column("key").take(take),
              batch.column("h").take(take), batch.column("first").take(take)], names=["vkey", "kind", "key", "h", "first"])
 
 
-def near_lines(lines: DataFrame) -> DataFrame:
-    """Distinct lines (by hash ``h``) with an earlier line one edit away."""
-    rows = block_rows(lines)
-    # equal lines meet before the shuffle; the key's smallest and largest line tell if it is shared
-    same = rows.groupBy("key", "h", "mid").agg(_first())
-    shared = rows.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
-    live = written(same.join(shared, "key", "left_semi"), "line-blocks")
-    first = "struct<doc_id:bigint,_tk:bigint,line_no:int>"
-    var = live.mapInArrow(_variants, f"vkey long, kind byte, key long, h long, first {first}")
-    best = lambda *kinds: F.min(F.when(F.col("kind").isin(*kinds), F.struct("first", "h")))
+def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(h, h2) of distinct lines with an earlier line one edit away. ``firsts``: (h, h2, first)."""
+    live = live_blocks(docs, written(shared_keys(docs), "line-keys"))
+    live = written(live.join(firsts, ["h", "h2"]), "line-blocks")
+    # which lengths meet under a key
+    sizes = live.groupBy("key", "n").agg((F.min("h") != F.max("h")).alias("same"))
+    longer = sizes.select("key", (F.col("n") - 1).alias("n"), F.lit(True).alias("longer"))
+    shorter = sizes.select("key", (F.col("n") + 1).alias("n"), F.lit(True).alias("shorter"))
+    meet = live.join(sizes, ["key", "n"]).join(longer, ["key", "n"], "left").join(shorter, ["key", "n"], "left")
+    meet = meet.where("same or longer or shorter")
+    var = meet.select("key", "h", "first", "mid", "longer", "shorter", "same").mapInArrow(
+        _variants, f"vkey long, kind byte, key long, h long, first {_FIRST}")
+    best = lambda kind: F.min(F.when(F.col("kind") == kind, F.struct("first", "h")))
     lead = var.groupBy("vkey", "key").agg(best(1).alias("own"), best(0).alias("lacks"), best(2).alias("subst"),
-                                          F.count("*").alias("n")).where("n > 1")
+                                          F.count("*").alias("c")).where("c > 1").drop("c")
     # kind 1 rows look at kind 0 leaders and the other way round; kind 2 rows at kind 2 leaders
-    cand = (var.join(lead, ["vkey", "key"])
-            .withColumn("to", F.when(F.col("kind") == 1, F.col("lacks")).when(F.col("kind") == 0, F.col("own")).otherwise(F.col("subst")))
-            .where("to is not null and to.h <> h and to.first < first")
-            .select("key", "h", F.col("to.h").alias("to_h")).distinct())
+    to = F.when(F.col("kind") == 1, F.col("lacks")).when(F.col("kind") == 0, F.col("own")).otherwise(F.col("subst"))
+    cand = var.join(lead, ["vkey", "key"]).withColumn("to", to).where("to is not null and to.h <> h and to.first < first")
+    cand = cand.select("key", "h", F.col("to.h").alias("to_h")).distinct()
     # verify the edit distance inside the block (all else is equal by the block key)
-    a = live.select("key", "h", F.col("mid").alias("mid_a"))
+    a = live.select("key", "h", "h2", F.col("mid").alias("mid_a"))
     b = live.select("key", F.col("h").alias("to_h"), F.col("mid").alias("mid_b"))
     ok = cand.join(a, ["key", "h"]).join(b, ["key", "to_h"]).where(F.expr("levenshtein(mid_a, mid_b, 1)") >= 0)
-    return ok.select("h").distinct()
+    return ok.select("h", "h2").distinct()
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, _tk, drop) for documents that lose lines: ``drop`` holds the line numbers."""
-    lines = line_rows(docs).withColumn("h", F.xxhash64("line", F.lit(1)))
-    near = near_lines(lines).withColumn("near", F.lit(True))
+    lines = written(line_rows(docs).dropDuplicates(["doc_id", "_tk", "line_no"]), "lines")
+    groups = lines.groupBy("h", "h2").agg(_first(), F.count("*").alias("c"))
+    near = near_lines(docs, groups.select("h", "h2", "first")).withColumn("near", F.lit(True))
     # repeated lines: all but the first; nearly equal to an earlier line: all
-    many = lines.groupBy("h").agg(_first(), F.count("*").alias("n")).where("n > 1").select("h", "first")
-    judged = many.join(near, "h", "full")
-    out = lines.select("doc_id", "_tk", "line_no", "h").join(judged, "h")
+    judged = written(groups.where("c > 1").select("h", "h2", "first").join(near, ["h", "h2"], "full"), "lines-judged")
+    out = lines.select("doc_id", "_tk", "line_no", "h", "h2").join(judged, ["h", "h2"])
     out = out.where("near or struct(doc_id, _tk, line_no) <> first")
     return out.groupBy("doc_id", "_tk").agg(F.sort_array(F.collect_set("line_no")).alias("drop"))
 
