@@ -13,9 +13,11 @@ have Jaccard similarity of at least ``num/den`` are linked; components follow li
   with probability 0.15; more than 15 of 40 differ with probability 1.5e-4.
 * In a bucket (documents of one key) each member is paired with the bucket's first one and verified
   on the full sets. Buckets that then still hold different components are searched
-  completely: members of different components within the radius are paired, block by block (a
-  large bucket is split into pairs of blocks of ``BLOCK`` members), and verified. So no link between
-  components is lost, and no group is listed pair by pair.
+  completely, block by block (a large bucket is split into pairs of blocks of ``BLOCK`` members):
+  members of different components within the radius are paired if a second signature of ``FINE`` one-byte
+  slots also lets them reach the similarity (all but 3e-6 of true links do), each pair in the first
+  of its common buckets only, and verified. So no link between components is lost, and the
+  unlinked pairs of a group are not listed.
 * Components: smallest label over links, with pointer jumping, from written tables.
 
 Defined results: null and empty texts (and texts of blanks) have an empty set, are linked with nothing and
@@ -36,11 +38,14 @@ from otgraph.llm.common import Words, chunked, mix, text_key, written
 CHUNKS, SLOTS, BITS = 8, 5, 16
 RADIUS = 2 * CHUNKS - 1
 BLOCK = 512
+FINE = 512
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(1, 1 << 63, CHUNKS * SLOTS, dtype=np.uint64) * _U(2) + _U(1)
 _B = _RNG.integers(0, 1 << 63, CHUNKS * SLOTS, dtype=np.uint64)
+_FA = _RNG.integers(1, 1 << 63, FINE, dtype=np.uint64) * _U(2) + _U(1)
+_FB = _RNG.integers(0, 1 << 63, FINE, dtype=np.uint64)
 
 
 def shingle_sets(texts: list, k: int) -> list[np.ndarray]:
@@ -64,23 +69,37 @@ def shingle_sets(texts: list, k: int) -> list[np.ndarray]:
     return out
 
 
+def _minima(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(s), 4096):
+        low = np.minimum(low, (s[None, i:i + 4096] * a[:, None] + b[:, None]).min(axis=1))
+    return mix(low)
+
+
 def signature(s: np.ndarray) -> np.ndarray:
-    low = np.full(len(_A), np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(s), 16384):
-        low = np.minimum(low, (s[None, a:a + 16384] * _A[:, None] + _B[:, None]).min(axis=1))
-    return (mix(low) & _U((1 << BITS) - 1)).astype(np.uint16)
+    return (_minima(s, _A, _B) & _U((1 << BITS) - 1)).astype(np.uint16)
+
+
+def fine_signature(s: np.ndarray) -> np.ndarray:
+    return (_minima(s, _FA, _FB) & _U(255)).astype(np.uint8)
 
 
-def masked_keys(sig: np.ndarray) -> np.ndarray:
-    """One key per (chunk, allowed error): the chunk's other slots."""
-    c = sig.reshape(CHUNKS, SLOTS).astype(np.uint64)
-    out = np.empty(CHUNKS * SLOTS, np.uint64)
+def fine_limit(num: int, den: int) -> int:
+    """Differing fine slots that pairs of the least similarity stay under, by 4.5 deviations."""
+    p = (1 - num / den) * 255 / 256
+    return int(FINE * p + 4.5 * (FINE * p * (1 - p)) ** 0.5 + 1)
+
+
+def masked_keys(sigs: np.ndarray) -> np.ndarray:
+    """Keys of each row's signature, one per (chunk, allowed error): the chunk's other slots."""
+    c = sigs.reshape(-1, CHUNKS, SLOTS).astype(np.uint64)
+    out = np.empty((len(c), CHUNKS * SLOTS), np.uint64)
     for j in range(SLOTS):
-        h = np.arange(CHUNKS, dtype=np.uint64) * _U(SLOTS) + _U(j + 1)
+        h = np.broadcast_to(np.arange(CHUNKS, dtype=np.uint64) * _U(SLOTS) + _U(j + 1), c.shape[:2])
         for i in range(SLOTS):
             if i != j:
-                h = mix(h) + c[:, i]
-        out[j::SLOTS] = mix(h)
+                h = mix(h) + c[:, :, i]
+        out[:, j::SLOTS] = mix(h)
     return out
 
 
@@ -109,27 +128,35 @@ def bucket_rows(reps: DataFrame) -> DataFrame:
             sigs = batch.column("sig").to_pylist()
             if not sigs:
                 continue
-            keys = np.concatenate([masked_keys(np.frombuffer(s, np.uint16)) for s in sigs])
+            keys = masked_keys(np.frombuffer(b"".join(sigs), np.uint16)).ravel()
             take = pa.array(np.repeat(np.arange(len(sigs)), CHUNKS * SLOTS))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column("rep").take(take)], names=["key", "rep"])
 
     return reps.select("rep", "sig").mapInArrow(run, "key long, rep long")
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of representatives whose full sets reach the similarity."""
-    need = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+def _texts_of(need: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, text) of some representatives."""
     which = reps.join(need, "rep").select("rep", F.col("doc_id").alias("_id"), F.col("_tk").alias("_t"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("_tk", text_key(F.col("text")))
-    rows = rows.join(which, rows["doc_id"].eqNullSafe(which["_id"]) & (rows["_tk"] == which["_t"])).select("rep", "text")
+    return rows.join(which, rows["doc_id"].eqNullSafe(which["_id"]) & (rows["_tk"] == which["_t"])).select("rep", "text")
+
 
+def _of_sets(rows: DataFrame, k: int, make, kind, schema: str, name: str) -> DataFrame:
+    """(rep, make(set)) for (rep, text) rows, written; repeated rows count once."""
     def run(batches):
         for batch in batches:
-            sets = [s.view(np.int64) for s in shingle_sets(batch.column("text").to_pylist(), k)]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "s"])
+            out = [make(s) for s in shingle_sets(batch.column("text").to_pylist(), k)]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(out, kind)], names=["rep", "s"])
+
+    return written(rows.mapInArrow(run, schema).dropDuplicates(["rep"]), name)
+
 
-    sets = written(rows.mapInArrow(run, "rep long, s array<long>").dropDuplicates(["rep"]), "nd-sets")
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of representatives whose full sets reach the similarity."""
+    need = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    sets = _of_sets(_texts_of(need, reps, docs), k, lambda s: s.view(np.int64), pa.list_(pa.int64()), "rep long, s array<long>", "nd-sets")
     j = (pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
          .join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
@@ -156,18 +183,29 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def _near_pairs(keys: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Members of different components within the radius, of one pair of blocks."""
-    a = np.frombuffer(b"".join(left["sig"]), np.uint16).reshape(len(left), -1)
-    b = np.frombuffer(b"".join(right["sig"]), np.uint16).reshape(len(right), -1) if len(right) else a[:0]
-    ra, rb = left["rep"].to_numpy(), right["rep"].to_numpy()
-    ca, cb = left["comp"].to_numpy(), right["comp"].to_numpy()
-    out = []
-    for i in range(len(left)):
-        d = (b != a[i]).sum(axis=1)
-        hit = np.flatnonzero((d <= RADIUS) & (cb != ca[i]) & (rb != ra[i]))
-        out += [(min(ra[i], rb[h]), max(ra[i], rb[h])) for h in hit]
-    return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+def _near_pairs(limit: int):
+    """Pairs of one pair of blocks of a bucket: of different components, within the radius and the
+    fine limit, in the first bucket they share."""
+    def run(keys: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            part = lambda x: (np.frombuffer(b"".join(x["sig"]), np.uint16).reshape(len(x), -1),
+                              np.frombuffer(b"".join(x["fine"]), np.uint8).reshape(len(x), -1), x["rep"].to_numpy(), x["comp"].to_numpy())
+            sa, fa, ra, ca = part(left)
+            sb, fb, rb, cb = part(right)
+            ka, kb = masked_keys(sa), masked_keys(sb)
+            here = np.array([keys[0]], np.int64).view(np.uint64)[0]
+            for i in range(len(ra)):
+                j = np.flatnonzero((cb != ca[i]) & (rb > ra[i] if keys[1] == keys[2] else True))
+                j = j[(sb[j] != sa[i]).sum(axis=1) <= RADIUS]
+                if len(j):
+                    j = j[ka[i][np.argmax(kb[j] == ka[i], axis=1)] == here]
+                if len(j):
+                    j = j[(fb[j] != fa[i]).sum(axis=1) <= limit]
+                out += [(min(ra[i], r), max(ra[i], r)) for r in rb[j]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
 
 
 def near_classes(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100) -> DataFrame:
@@ -187,12 +225,15 @@ def near_classes(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100) ->
     # buckets that still hold more than one component
     named = member.join(comp, member["rep"] == comp["node"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
     open_ = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x <> y").select("key", "c")
-    left = written(named.join(open_.where("c > 2"), "key").join(reps.select("rep", "sig"), "rep"), "nd-open")
+    left = written(named.join(open_.where("c > 2"), "key"), "nd-open")
+    fine = _of_sets(_texts_of(left.select("rep").distinct(), reps, docs), k, lambda s: fine_signature(s).tobytes(), pa.binary(), "rep long, s binary", "nd-fine")
+    left = left.join(reps.select("rep", "sig"), "rep").join(fine.select("rep", F.col("s").alias("fine")), "rep")
     nb = F.ceil(F.col("c") / BLOCK).cast("int")
-    blk = left.select("key", "rep", "comp", "sig", nb.alias("nb"), F.pmod(F.xxhash64("rep", F.lit(5)), nb).cast("int").alias("blk"))
-    one = blk.withColumn("other", F.explode(F.expr("sequence(blk, nb - 1)"))).select("key", F.col("blk").alias("i"), F.col("other").alias("j"), "rep", "comp", "sig")
-    two = blk.withColumn("other", F.explode(F.expr("sequence(0, blk)"))).select("key", F.col("other").alias("i"), F.col("blk").alias("j"), "rep", "comp", "sig")
-    more = one.groupBy("key", "i", "j").cogroup(two.groupBy("key", "i", "j")).applyInPandas(_near_pairs, "a long, b long").distinct()
+    blk = left.select("key", "rep", "comp", "sig", "fine", nb.alias("nb"), F.pmod(F.xxhash64("rep", F.lit(5)), nb).cast("int").alias("blk"))
+    one = blk.withColumn("other", F.explode(F.expr("sequence(blk, nb - 1)"))).select("key", F.col("blk").alias("i"), F.col("other").alias("j"), "rep", "comp", "sig", "fine")
+    two = blk.withColumn("other", F.explode(F.expr("sequence(0, blk)"))).select(F.col("key").alias("key"), F.col("other").alias("i"), F.col("blk").alias("j"), "rep", "comp", "sig", "fine")
+    two = two.select(*[F.col(c).alias(c) for c in two.columns])          # attributes of its own
+    more = one.groupBy("key", "i", "j").cogroup(two.groupBy("key", "i", "j")).applyInPandas(_near_pairs(fine_limit(num, den)), "a long, b long").distinct()
     more = written(more.join(stars_done(stars), ["a", "b"], "left_anti"), "nd-more")
     if more.limit(1).count():
         comp = components(links.union(verified(more, reps, docs, k, num, den)))
