@@ -77,16 +77,29 @@ def _as_col(f) -> Column:
     return F.expr(f) if isinstance(f, str) else f
 
 
+def _order(v) -> Column:
+    """A sort key by variable name; a leading ``-`` sorts descending."""
+    if isinstance(v, Column):
+        return v
+    down, name = v.startswith("-"), v.lstrip("-")
+    c = F.col(_vname(name) if _is_var(name) else name)
+    return c.desc() if down else c.asc()
+
+
 def bgp_select(triples: DataFrame, patterns: Sequence[Pattern] = (),
                optional: Sequence[Sequence[Pattern]] = (), filters: Sequence = (),
                union: Sequence[Sequence[Pattern]] = (), select: Sequence[str] | None = None,
                distinct: bool = False, order_by: Sequence[str] | None = None,
-               limit: int | None = None) -> DataFrame:
+               limit: int | None = None, group_by: Sequence[str] | None = None,
+               aggregates: dict[str, Column | str] | None = None,
+               having: Column | str | None = None) -> DataFrame:
     """SELECT over basic graph patterns.
 
     ``union`` alternatives are matched separately and stacked by variable name, then joined to
     ``patterns`` (or used alone). ``optional`` groups are left joins on shared variables;
-    ``filters`` apply after the optional groups, like SPARQL FILTER at group level.
+    ``filters`` apply after the optional groups, like SPARQL FILTER at group level. With
+    ``aggregates`` (output name → aggregate) the bindings are grouped by ``group_by`` and ``having``
+    filters the groups.
     """
     result: DataFrame | None = bgp_match(triples, patterns) if patterns else None
     if union:
@@ -111,12 +124,17 @@ def bgp_select(triples: DataFrame, patterns: Sequence[Pattern] = (),
         result = result.join(g, on=shared, how="left")
     for f in filters:
         result = result.filter(_as_col(f))
+    if aggregates:
+        keys = [_vname(v) if _is_var(v) else v for v in group_by or ()]
+        result = result.groupBy(*keys).agg(*[_as_col(a).alias(n) for n, a in aggregates.items()])
+        if having is not None:
+            result = result.filter(_as_col(having))
     if select:
         result = result.select(*[_vname(v) if _is_var(v) else v for v in select])
     if distinct:
         result = result.distinct()
     if order_by:
-        result = result.orderBy(*order_by)
+        result = result.orderBy(*[_order(v) for v in order_by])
     if limit is not None:
         result = result.limit(int(limit))
     return result

@@ -355,77 +355,6 @@ def _deadband_split(base: DataFrame, out_cols: list[str], thr: float, tag: str,
     return seeded.mapInPandas(fold, schema=schema)
 
 
-def deadband_by_day(df: DataFrame, threshold: float, tag: str = "tag_path",
-                    order: list[str] | None = None, kind: Column | None = None,
-                    num: Column | None = None, key: Column | None = None,
-                    unit: str = "day") -> DataFrame:
-    """The deadband (F6) in day slices with carried state — a hot tag never becomes one task.
-
-    Slices are processed in time order; each slice is one distributed job over all tags
-    (shuffle by tag, sort, streamed fold seeded with the tag's last kept value). The last kept
-    value per tag is a small state table cut with a reliable checkpoint after every slice, and
-    each slice's kept rows are materialised once. The slice list (one value per day) is the
-    only thing the driver reads. Same result as :func:`deadband`; on a table partitioned by
-    date each slice reads only its own files.
-    """
-    from otgraph.session import materialize
-    order = order or ["event_time", "event_id"]
-    ts = order[0]
-    cols = change_columns_from_typed() if kind is None else {"kind": kind, "num": num, "key": key}
-    base = df.withColumns({"_kind": cols["kind"], "_num": cols["num"], "_key": cols["key"],
-                           "_slice": F.date_trunc(unit, F.col(ts))})
-    spark = df.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tag_type = base.schema[tag].dataType.simpleString()
-    state = spark.createDataFrame([], f"{tag} {tag_type}, _lk string, _ln double, _lkey string")
-    slices = [r[0] for r in base.select("_slice").distinct().orderBy("_slice").collect()]
-    out_cols = list(df.columns)
-    thr = float(threshold)
-    work_schema = base.select(*out_cols, "_kind", "_num", "_key").schema
-    kept_parts = []
-
-    def fold(batches):
-        cur = object()
-        lk, ln, lkey = "NULL", None, None
-        for pdf in batches:
-            keep = []
-            for t, k, n, s, sk, sn, skey in zip(pdf[tag], pdf["_kind"], pdf["_num"], pdf["_key"],
-                                                pdf["_lk"], pdf["_ln"], pdf["_lkey"]):
-                if t != cur:
-                    cur = t
-                    lk = sk if isinstance(sk, str) else "NULL"
-                    ln, lkey = sn, skey
-                ch = _changed(k, n, s, lk, ln, lkey, thr)
-                keep.append(ch)
-                if ch:
-                    lk, ln, lkey = k, n, s
-            yield pdf.loc[keep, list(work_schema.names)]
-
-    for sl in slices:
-        part = base.filter(F.col("_slice") == F.lit(sl)).drop("_slice")
-        seeded = part.join(state, on=tag, how="left")
-        kept = materialize(seeded.repartition(n_parts, tag).sortWithinPartitions(tag, *order)
-                           .mapInPandas(fold, schema=work_schema))
-        kept_parts.append(kept.select(*out_cols))
-        last = kept.groupBy(tag).agg(F.max(F.struct(*[F.col(c) for c in order],
-                                                     F.col("_kind"), F.col("_num"),
-                                                     F.col("_key"))).alias("_l"))
-        new = last.select(tag, F.col("_l._kind").alias("_nk"), F.col("_l._num").alias("_nn"),
-                          F.col("_l._key").alias("_nkey"))
-        state = materialize(state.join(new, on=tag, how="full").select(
-            tag,
-            F.when(F.col("_nk").isNotNull(), F.col("_nk")).otherwise(F.col("_lk")).alias("_lk"),
-            F.when(F.col("_nk").isNotNull(), F.col("_nn")).otherwise(F.col("_ln")).alias("_ln"),
-            F.when(F.col("_nk").isNotNull(), F.col("_nkey")).otherwise(F.col("_lkey"))
-            .alias("_lkey")))
-    if not kept_parts:
-        return df.limit(0)
-    out = kept_parts[0]
-    for k in kept_parts[1:]:
-        out = out.unionByName(k)
-    return out
-
-
 def rate_cap(df: DataFrame, n: int, ts: str = "ingest_ts", unit: str = "second",
              tie: str = "event_id") -> DataFrame:
     """The first ``n`` events of each ``unit`` bucket over all tags.

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from otgraph.functions.formulas import clamp
 from otgraph.operators.series import ffill, seconds_between, with_context, with_prev
 
 
@@ -29,6 +30,8 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str,
     timestamps on the right resolve to the greatest values."""
     keys, values = list(keys), list(values)
     lcols = left.columns
+    # SQL: a NULL key matches nothing
+    right = right.dropna(subset=keys)
     r = right.select(*keys, F.col(ts), F.struct(F.col(ts).alias("t"),
                                                 *[F.col(v).alias(v) for v in values]).alias("_rv"),
                      F.lit(0).alias("_side"))
@@ -64,7 +67,8 @@ def forecast_vs_actual(forecast: DataFrame, actual: DataFrame, keys: Sequence[st
 
 def events_in_intervals(events: DataFrame, intervals: DataFrame, keys: Sequence[str],
                         ts: str = "ts", start: str = "start_ts", end: str = "end_ts",
-                        disjoint: bool = True, bucket_seconds: int = 86_400) -> DataFrame:
+                        disjoint: bool = True, bucket_seconds: int = 86_400,
+                        unit: str = "day") -> DataFrame:
     """Events inside ``[start, end]`` of an interval of the same key (J7). Open intervals
     (NULL end) are closed at their start.
 
@@ -74,6 +78,7 @@ def events_in_intervals(events: DataFrame, intervals: DataFrame, keys: Sequence[
     time buckets they cover and joined on (key, bucket) before the exact bounds are checked.
     """
     keys = list(keys)
+    intervals = intervals.dropna(subset=keys)        # SQL: a NULL key matches nothing
     iv_cols = [c for c in intervals.columns if c not in keys]
     end_c = F.coalesce(F.col(end), F.col(start))
     if disjoint:
@@ -84,7 +89,7 @@ def events_in_intervals(events: DataFrame, intervals: DataFrame, keys: Sequence[
             .withColumn("_is_ev", F.lit(True))
         u = ev.unionByName(iv.withColumn("_is_ev", F.lit(False)), allowMissingColumns=True)
         # at equal times the interval row sorts first, so an event at the start is inside
-        filled = ffill(u, keys, ts, F.col("_iv"), "_hit", order=["_is_ev"])
+        filled = ffill(u, keys, ts, F.col("_iv"), "_hit", order=["_is_ev"], unit=unit)
         hit = filled.filter(F.col("_is_ev") & F.col("_hit").isNotNull()
                             & (F.col(ts) <= F.col("_hit._end")))
         return hit.select(*events.columns, *[F.col("_hit")[c].alias(c) for c in iv_cols])
@@ -100,16 +105,16 @@ def events_in_intervals(events: DataFrame, intervals: DataFrame, keys: Sequence[
 # ------------------------------------------------------------------ integrals -----------------
 
 def energy_kwh(df: DataFrame, keys: Sequence[str], ts: str, power_kw: str,
-               dt_bounds: tuple[float, float] | None = None, tie: Sequence[str] = ()
-               ) -> DataFrame:
+               dt_bounds: tuple[float, float] | None = None, tie: Sequence[str] = (),
+               unit: str = "day") -> DataFrame:
     """∫ p dt per key and day (W3): each reading contributes ``p·dt/3600`` kWh with dt the
     seconds since the previous reading of the key (optionally clamped, e.g. (0.2, 5));
     ``energy_mwh`` is kWh/1000 and ``lifetime_mwh`` the running total over days."""
     keys = list(keys)
-    p = with_prev(df, keys, ts, [power_kw], tie=tie)
+    p = with_prev(df, keys, ts, [power_kw], tie=tie, unit=unit)
     dt = seconds_between(ts, f"prev_{ts}")
     if dt_bounds:
-        dt = F.greatest(F.lit(dt_bounds[0]), F.least(dt, F.lit(dt_bounds[1])))
+        dt = clamp(dt, *dt_bounds)                     # NULL (first reading) stays NULL
     contrib = F.coalesce(F.col(power_kw) * dt / 3600.0, F.lit(0.0))
     daily = (p.withColumn("_e", contrib)
              .groupBy(*keys, F.to_date(F.col(ts)).alias("day"))
@@ -121,11 +126,11 @@ def energy_kwh(df: DataFrame, keys: Sequence[str], ts: str, power_kw: str,
 
 
 def curtailed_kwh(df: DataFrame, keys: Sequence[str], ts: str, power_kw: str, curtail: str,
-                  tie: Sequence[str] = ()) -> DataFrame:
+                  tie: Sequence[str] = (), unit: str = "day") -> DataFrame:
     """Energy spilled by curtailment (W9): delivered power is p·(1−c), so the spill is
     ∫ p·c/(1−c) dt over readings with c < 1, per key and day."""
     keys = list(keys)
-    p = with_prev(df, keys, ts, [power_kw, curtail], tie=tie)
+    p = with_prev(df, keys, ts, [power_kw, curtail], tie=tie, unit=unit)
     dt = seconds_between(ts, f"prev_{ts}")
     c = F.col(curtail)
     spill = F.when(c < 1.0, F.col(power_kw) * c / (1.0 - c) * dt / 3600.0)
@@ -135,12 +140,12 @@ def curtailed_kwh(df: DataFrame, keys: Sequence[str], ts: str, power_kw: str, cu
 
 
 def bess_metrics(df: DataFrame, keys: Sequence[str], ts: str, net_kw: str, capacity_kwh: float,
-                 soc0: float = 50.0, tie: Sequence[str] = ()) -> DataFrame:
+                 soc0: float = 50.0, tie: Sequence[str] = (), unit: str = "day") -> DataFrame:
     """Battery totals per key (W4): charge / discharge kWh (net > 0 discharges), throughput
     MWh, cycles = throughput / max(0.001, 2·capacity MWh), and the unclamped SOC walk
     ``soc0 − Σ net·dt/3600 / capacity · 100`` — all exact running sums."""
     keys = list(keys)
-    p = with_prev(df, keys, ts, [net_kw], tie=tie)
+    p = with_prev(df, keys, ts, [net_kw], tie=tie, unit=unit)
     h = F.coalesce(seconds_between(ts, f"prev_{ts}") / 3600.0, F.lit(0.0))
     n = F.col(net_kw)
     agg = (p.groupBy(*keys).agg(
@@ -168,7 +173,7 @@ def bess_soc_clamped(df: DataFrame, key: str, ts: str, net_kw: str, capacity_kwh
     tie = list(tie)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     p = with_prev(df.select(F.col(key), F.col(ts), *tie, F.col(net_kw).cast("double").alias("_net")),
-                  [key], ts, [], tie=tie)
+                  [key], ts, [], tie=tie, unit=unit)
     hours = F.coalesce(seconds_between(ts, f"prev_{ts}") / 3600.0, F.lit(0.0))
     steps = p.select(key, ts, *tie, F.date_trunc(unit, F.col(ts)).alias("_day"),
                      (-F.col("_net") * hours / capacity_kwh * 100.0).alias("_d"))
@@ -235,28 +240,32 @@ def bess_soc_clamped(df: DataFrame, key: str, ts: str, net_kw: str, capacity_kwh
 # ------------------------------------------------------------------ sequences -----------------
 
 def counter_delta(df: DataFrame, keys: Sequence[str], ts: str, counter: str,
-                  tie: Sequence[str] = ()) -> DataFrame:
+                  tie: Sequence[str] = (), unit: str = "day") -> DataFrame:
     """Increment of a cumulative counter since the previous reading (W5); after a reset
     (value below the previous) the increment is the value itself; the first reading adds 0."""
-    p = with_prev(df, list(keys), ts, [counter], tie=tie)
+    p = with_prev(df, list(keys), ts, [counter], tie=tie, unit=unit)
     v, pv = F.col(counter), F.col(f"prev_{counter}")
     delta = F.when(pv.isNull(), F.lit(0.0)).when(v < pv, v).otherwise(v - pv)
     return p.withColumn("delta", delta.cast("double")).drop(f"prev_{ts}", f"prev_{counter}")
 
 
 def flag_intervals(df: DataFrame, keys: Sequence[str], ts: str, flag: str,
-                   reason: str | None = None, tie: Sequence[str] = ()) -> DataFrame:
+                   reason: str | None = None, tie: Sequence[str] = (), unit: str = "day"
+                   ) -> DataFrame:
     """Episodes of consecutive flagged readings per key (W6): start (first flagged reading),
     end (first following unflagged reading, NULL while open), duration in seconds, readings,
     reason (of the first reading).
 
     Gaps and islands in one pass: every row is labelled with the last *unflagged* row strictly
     before it (a skew-safe forward fill); an episode is the flagged rows sharing a label, and
-    its end is the unflagged row carrying the same label."""
+    its end is the unflagged row carrying the same label. Unflagged rows that follow an unflagged
+    one are dropped before the episodes are grouped."""
     keys, tie = list(keys), list(tie)
     f = F.coalesce(F.col(flag).cast("boolean"), F.lit(False))
     pos = F.struct(F.col(ts).alias("t"), *[F.col(c) for c in tie])
-    labelled = ffill(df, keys, ts, F.when(~f, pos), "_ep", order=tie, strict=True)
+    labelled = ffill(df, keys, ts, F.when(~f, pos), "_ep", order=tie, unit=unit, strict=True,
+                     lagged=f)
+    labelled = labelled.filter(f | F.coalesce(F.col("_lagged"), F.lit(True)))
     aggs = [F.count_if(f).alias("readings"),
             F.min(F.when(f, F.col(ts))).alias("start_ts"),
             F.min(F.when(~f, F.col(ts))).alias("end_ts")]

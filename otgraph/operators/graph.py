@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from otgraph.functions.iri import (DEPENDS_ON, PART_OF, PROPAGATES,  # noqa: F401 (re-exported)
                                    SUB_PROPERTY_OF, is_type_predicate, local_name)
-from otgraph.operators.joins import broadcast_if_small
 from otgraph.operators.recursion import reachable, walk_up
 
 
@@ -52,9 +51,8 @@ def classify_edges(df: DataFrame, target: str, transitive: bool = False,
     """Triples of ``df`` whose predicate is ``target`` or a sub-property of it (J3); the
     sub-property declarations are read from ``schema`` (default: ``df`` itself)."""
     preds = sub_properties(schema if schema is not None else df, target, transitive)
-    # a hash join on the predicate would shuffle every triple by a low-cardinality key; the
-    # predicate set is broadcast after its size is checked
-    return df.join(broadcast_if_small(preds), on="p", how="left_semi").select("s", "p", "o")
+    # lazy and unhinted: the planner broadcasts the few predicates when it sees their size
+    return df.join(preds, on="p", how="left_semi").select("s", "p", "o")
 
 
 def sub_property_closure(df: DataFrame) -> DataFrame:
@@ -66,33 +64,36 @@ def sub_property_closure(df: DataFrame) -> DataFrame:
     return r.select(F.col("root").alias("sub"), F.col("node").alias("super"), "depth")
 
 
-def dependency_edges(df: DataFrame, target: str = DEPENDS_ON, transitive: bool = False
-                     ) -> DataFrame:
+def dependency_edges(df: DataFrame, target: str = DEPENDS_ON, transitive: bool = False,
+                     schema: DataFrame | None = None) -> DataFrame:
     """Edges from object to subject for ``dependsOn`` and its sub-properties."""
-    e = classify_edges(skip_schema_triples(df), target, transitive, schema=df)
+    e = classify_edges(skip_schema_triples(df), target, transitive,
+                       schema=schema if schema is not None else df)
     return e.select(F.col("o").alias("source"), F.col("s").alias("target"),
                     local_name("p").alias("label"))
 
 
-def parents(df: DataFrame, target: str = PART_OF, transitive: bool = False) -> DataFrame:
+def parents(df: DataFrame, target: str = PART_OF, transitive: bool = False,
+            schema: DataFrame | None = None) -> DataFrame:
     """``partOf`` parent per node; of several parents the least IRI."""
-    e = classify_edges(skip_schema_triples(df), target, transitive, schema=df)
+    e = classify_edges(skip_schema_triples(df), target, transitive,
+                       schema=schema if schema is not None else df)
     return e.groupBy(F.col("s").alias("node")).agg(F.min("o").alias("parent"))
 
 
 def node_attributes(df: DataFrame, with_parent: bool = False, part_of: str = PART_OF,
-                    transitive: bool = False) -> DataFrame:
+                    transitive: bool = False, schema: DataFrame | None = None) -> DataFrame:
     """One row per (typed subject, type) with label (fallback local name), state (local name
     of ``hasState``, fallback 'operational') and comment (fallback '') (J4); with
     ``with_parent`` also the least ``partOf`` parent (G1). One aggregation per subject over the
     triples — types per subject are bounded by the vocabulary, never by the data."""
     base = df
     if with_parent:
-        preds = sub_properties(df, part_of, transitive).withColumn("_is_part", F.lit(True))
-        base = df.join(broadcast_if_small(preds), on="p", how="left")
+        preds = sub_properties(schema if schema is not None else df, part_of, transitive)
+        base = df.join(preds.withColumn("_is_part", F.lit(True)), on="p", how="left")
     keep = ~skipped()
     aggs = [
-        F.min(F.when(_ends("p", "label") & ~_ends("p", "subPropertyOf"), F.col("o"))).alias("_label"),
+        F.min(F.when(_ends("p", "label"), F.col("o"))).alias("_label"),
         F.min(F.when(_ends("p", "hasState"), local_name("o"))).alias("_state"),
         F.min(F.when(_ends("p", "comment"), F.col("o"))).alias("_comment"),
         F.collect_set(F.when(is_type_predicate("p") & keep, F.col("o"))).alias("_types"),
@@ -108,9 +109,10 @@ def node_attributes(df: DataFrame, with_parent: bool = False, part_of: str = PAR
         *(["parent"] if with_parent else []))
 
 
-def structure_nodes(df: DataFrame, part_of: str = PART_OF) -> DataFrame:
+def structure_nodes(df: DataFrame, part_of: str = PART_OF, schema: DataFrame | None = None
+                    ) -> DataFrame:
     """Typed nodes with attributes and their parent (G1)."""
-    return node_attributes(df, with_parent=True, part_of=part_of)
+    return node_attributes(df, with_parent=True, part_of=part_of, schema=schema)
 
 
 def node_types(nodes: DataFrame) -> DataFrame:
@@ -118,12 +120,12 @@ def node_types(nodes: DataFrame) -> DataFrame:
     return nodes.select("type").distinct()
 
 
-def graph_elements(df: DataFrame, part_of: str = PART_OF, depends_on: str = DEPENDS_ON
-                   ) -> DataFrame:
+def graph_elements(df: DataFrame, part_of: str = PART_OF, depends_on: str = DEPENDS_ON,
+                   schema: DataFrame | None = None) -> DataFrame:
     """Nodes and edges in one shape (U3): kind, id, label, type, state, comment, parent,
     source, target."""
-    nodes = structure_nodes(df, part_of).withColumn("kind", F.lit("node"))
-    edges = dependency_edges(df, depends_on).select(
+    nodes = structure_nodes(df, part_of, schema).withColumn("kind", F.lit("node"))
+    edges = dependency_edges(df, depends_on, schema=schema).select(
         F.lit("edge").alias("kind"), F.concat_ws("|", "source", "label", "target").alias("id"),
         "label", "source", "target")
     return nodes.unionByName(edges, allowMissingColumns=True)

@@ -59,10 +59,10 @@ def scrap_rate(good: Column, reject: Column) -> Column:
 
 
 def limit_hits(df: DataFrame, keys: Sequence[str], ts: str, value: str, lo: float, hi: float,
-               tie: Sequence[str] = ()) -> DataFrame:
+               tie: Sequence[str] = (), unit: str = "day") -> DataFrame:
     """How often a signal reached its low / high limit per key and day (A19): rising edges
     of ``v <= lo`` and ``v >= hi``."""
-    p = with_prev(df, list(keys), ts, [value], tie=tie)
+    p = with_prev(df, list(keys), ts, [value], tie=tie, unit=unit)
     v, pv = F.col(value), F.col(f"prev_{value}")
     low = (v <= lo) & ~F.coalesce(pv <= lo, F.lit(False))
     high = (v >= hi) & ~F.coalesce(pv >= hi, F.lit(False))

@@ -10,15 +10,10 @@ from pyspark.sql import functions as F
 
 from otgraph.functions.events import is_good_quality, tag_provider
 
-# Fixed value: the gateway's safety cap on tags resolved from one pattern.
-PATTERN_CAP = 50_000
-
-
 def select_explicit(df: DataFrame, paths: Sequence[str] | DataFrame, col: str = "tag_path"
                     ) -> DataFrame:
     """Keep events whose tag path is listed (F1). A Python list is trimmed and blanks are
-    ignored; its size is the caller's, so it is joined as a broadcast literal table. A
-    DataFrame of paths (one ``tag_path`` column) is semi-joined and left to the planner."""
+    ignored. Both forms are semi-joins left to the planner, which knows a literal table's size."""
     if isinstance(paths, DataFrame):
         listed = paths.select(F.trim(F.col(paths.columns[0])).alias(col)) \
             .filter(F.col(col) != "").distinct()
@@ -27,7 +22,7 @@ def select_explicit(df: DataFrame, paths: Sequence[str] | DataFrame, col: str =
     if not clean:
         return df.limit(0)
     listed = df.sparkSession.createDataFrame([(p,) for p in clean], f"{col} string")
-    return df.join(F.broadcast(listed), on=col, how="left_semi")
+    return df.join(listed, on=col, how="left_semi")
 
 
 def select_folder(df: DataFrame, root: str, recursive: bool = True, col: str = "tag_path"
@@ -46,13 +41,13 @@ def full_match(c: Column, regex: str) -> Column:
     return c.rlike(f"^(?:{regex})$")
 
 
-def select_pattern(df: DataFrame, regex: str, cap: int | None = PATTERN_CAP,
+def select_pattern(df: DataFrame, regex: str, cap: int | None = None,
                    col: str = "tag_path", prune_providers: bool = True) -> DataFrame:
     """Events of tags whose path fully matches ``regex``.
 
     When the regex names its providers (F4), an ``IN`` on the provider is added so a scan
-    partitioned by provider is pruned. ``cap`` keeps the first ``cap`` matching tags in path
-    order, as the gateway does; the tag list is distinct paths, never events.
+    partitioned by provider is pruned. All matching tags are kept; a caller who asks for a
+    ``cap`` gets the events of the first ``cap`` matching tags in path order.
     """
     cond = full_match(F.col(col), regex)
     provs = provider_filter(regex) if prune_providers else None
@@ -70,23 +65,44 @@ _PROVIDER_RE = re.compile(r"^\^?\\\[(?:\(([A-Za-z0-9_\-|]+)\)|([A-Za-z0-9_\-]+))
 
 def provider_filter(regex: str) -> list[str] | None:
     """Providers a path regex can only match, read from a literal leading ``\\[name]`` or
-    ``\\[(a|b)]``; None when the regex does not pin them (F4). Driver-side parse of a parameter."""
+    ``\\[(a|b)]``; None when the regex does not pin them, as with an alternation outside groups
+    (F4). Driver-side parse of a parameter."""
     m = _PROVIDER_RE.match(regex.strip())
-    if not m:
+    if not m or _open_alternation(regex):
         return None
     names = (m.group(1) or m.group(2)).split("|")
     return sorted({n for n in names if n})
 
 
+def _open_alternation(regex: str) -> bool:
+    """Does ``|`` stand outside every group and character class?"""
+    depth, in_class = 0, False
+    for token in re.findall(r"\\.|.", regex, re.S):
+        if in_class:
+            in_class = token != "]"
+        elif token == "[":
+            in_class = True
+        elif token in "()":
+            depth += 1 if token == "(" else -1
+        elif token == "|" and depth == 0:
+            return True
+    return False
+
+
 def drop_initial(df: DataFrame, flag: str = "is_initial") -> DataFrame:
     """Ignore the initial value a subscription delivers (F8)."""
     return df.filter(~F.coalesce(F.col(flag), F.lit(False)))
 
 
-def recent(df: DataFrame, col: str, interval: str, now) -> DataFrame:
-    """Rows with ``col >= now - interval`` (F9); ``now`` is a parameter, never the wall clock."""
+def recent(df: DataFrame, col: str, interval: str, now, date_col: str = "event_date") -> DataFrame:
+    """Rows with ``col >= now - interval`` (F9); ``now`` is a parameter, never the wall clock. On a
+    table partitioned by the event's date the same bound prunes the older days' files."""
     now_c = now if isinstance(now, Column) else F.to_timestamp(F.lit(str(now)))
-    return df.filter(F.col(col) >= now_c - F.expr(f"INTERVAL {interval}"))
+    since = now_c - F.expr(f"INTERVAL {interval}")
+    cond = F.col(col) >= since
+    if date_col in df.columns:
+        cond = (F.col(date_col) >= F.to_date(since)) & cond
+    return df.filter(cond)
 
 
 def good_quality(df: DataFrame, col: str = "quality") -> DataFrame:

@@ -1,11 +1,12 @@
 """Exact, skew-safe building blocks for per-key time series.
 
 A window partitioned by the key alone puts a hot key's whole history in one task. These
-helpers partition by (key, time bucket) instead. The boundary value a bucket needs from the
-previous non-empty bucket is read off the last row of each bucket of the same windowed pass
-(Spark reuses that shuffle), carried forward over the small one-row-per-bucket table, and
-joined back on (key, bucket) — a join the big side needs no new shuffle for. Results are exact
-while a hot key is split over as many tasks as it has buckets.
+helpers partition by (key, time bucket) instead. What a bucket needs from earlier buckets comes
+from a small aggregate of the input (one row per key and bucket, combined before its shuffle)
+and enters the bucket's window as one extra leading row, which is dropped afterwards: the
+rows themselves are shuffled and sorted once, and keys compare as groups do (NULL is a key).
+Results are exact while a hot key is split over as many tasks as it has buckets; choose a
+smaller ``unit`` for denser data.
 """
 
 from __future__ import annotations
@@ -23,8 +24,11 @@ def _bucket(ts: str, unit: str) -> Column:
     return F.date_trunc(unit, F.col(ts))
 
 
-def _bucket_window(keys, ts, order):
-    return Window.partitionBy(*keys, BUCKET).orderBy(*[F.col(c) for c in [ts] + list(order)])
+def _led(rows: DataFrame, carry: DataFrame, keys, ts, order):
+    """``rows`` and the carried rows before them, and the window of a bucket."""
+    u = rows.withColumn("_real", F.lit(True)).unionByName(
+        carry.withColumn("_real", F.lit(False)), allowMissingColumns=True)
+    return u, Window.partitionBy(*keys, BUCKET).orderBy("_real", *[F.col(c) for c in [ts] + list(order)])
 
 
 def with_prev(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str],
@@ -33,47 +37,47 @@ def with_prev(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str],
     (ts, *tie) order, NULL for the first row."""
     keys, cols, tie = list(keys), list(cols), list(tie)
     carried = [ts] + [c for c in tie if c != ts] + [c for c in cols if c not in tie and c != ts]
-    w = _bucket_window(keys, ts, tie)
     rec = F.struct(*[F.col(c).alias(c) for c in carried])
-    inner = (df.withColumn(BUCKET, _bucket(ts, unit))
-             .withColumn("_prev", F.lag(rec).over(w))
-             .withColumn("_is_last", F.lead(F.lit(1)).over(w).isNull()))
+    rows = df.withColumn(BUCKET, _bucket(ts, unit))
+    ends = rows.groupBy(*keys, BUCKET).agg(F.max_by(rec, F.struct(ts, *tie)).alias("_last"))
     wb = Window.partitionBy(*keys).orderBy(BUCKET)
-    carry = (inner.filter("_is_last").select(*keys, BUCKET, rec.alias("_last"))
-             .select(*keys, BUCKET, F.lag("_last").over(wb).alias("_carry")))
-    j = inner.join(carry, on=keys + [BUCKET], how="left")
-    prev = F.coalesce(F.col("_prev"), F.col("_carry"))
-    out = j.withColumns({f"{prefix}{c}": prev[c] for c in [ts] + cols})
-    return out.drop("_prev", "_carry", "_is_last", BUCKET)
+    carry = ends.select(*keys, BUCKET, F.lag("_last").over(wb).alias("_rec")).filter("_rec is not null")
+    u, w = _led(rows.withColumn("_rec", rec), carry, keys, ts, tie)
+    out = u.withColumn("_prev", F.lag("_rec").over(w)).filter("_real")
+    out = out.withColumns({f"{prefix}{c}": F.col("_prev")[c] for c in [ts] + cols})
+    return out.drop("_prev", "_rec", "_real", BUCKET)
 
 
 def ffill(df: DataFrame, keys: Sequence[str], ts: str, value: Column, name: str,
-          order: Sequence[str] = (), unit: str = "day", strict: bool = False) -> DataFrame:
-    """Add ``name``: the last non-NULL ``value`` (any type) of the same key at or before each
-    row (strictly before with ``strict``), in (ts, *order) order."""
+          order: Sequence[str] = (), unit: str = "day", strict: bool = False,
+          lagged: Column | None = None) -> DataFrame:
+    """Add ``name``: the last non-NULL ``value`` (any orderable type) of the same key at or before
+    each row (strictly before with ``strict``), in (ts, *order) order. ``lagged`` adds
+    ``_lagged``: that expression on the row before within the bucket, NULL on its first row."""
     keys, order = list(keys), list(order)
-    w = _bucket_window(keys, ts, order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    frame = w.rowsBetween(Window.unboundedPreceding, -1) if strict else upto
-    inner = (df.withColumn(BUCKET, _bucket(ts, unit)).withColumn("_v", value)
-             .withColumn("_in", F.last("_v", ignorenulls=True).over(frame))
-             .withColumn("_upto", F.last("_v", ignorenulls=True).over(upto))
-             .withColumn("_is_last", F.lead(F.lit(1)).over(w).isNull()))
+    rows = df.withColumn(BUCKET, _bucket(ts, unit)).withColumn("_v", value)
+    if lagged is not None:
+        rows = rows.withColumn("_l", lagged)
+    last = F.max(F.when(F.col("_v").isNotNull(), F.struct(F.col(ts).alias("t"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
+                                                          F.col("_v").alias("v"))))
+    ends = rows.groupBy(*keys, BUCKET).agg(last.alias("_e"))
     wb = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (inner.filter("_is_last").select(*keys, BUCKET, "_upto")
-             .select(*keys, BUCKET, F.last("_upto", ignorenulls=True).over(wb).alias("_carry")))
-    j = inner.join(carry, on=keys + [BUCKET], how="left")
-    return j.withColumn(name, F.coalesce("_in", "_carry")) \
-        .drop("_in", "_upto", "_carry", "_v", "_is_last", BUCKET)
+    carry = ends.select(*keys, BUCKET, F.last("_e", ignorenulls=True).over(wb)["v"].alias("_v")).filter("_v is not null")
+    u, w = _led(rows, carry, keys, ts, order)
+    frame = w.rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+    out = u.withColumn(name, F.last("_v", ignorenulls=True).over(frame))
+    if lagged is not None:
+        out = out.withColumn("_lagged", F.lag("_l").over(w)).drop("_l")
+    return out.filter("_real").drop("_v", "_real", BUCKET)
 
 
 def with_context(df: DataFrame, keys: Sequence[str], ts: str, seconds: int,
-                 unit_seconds: int = 86_400) -> DataFrame:
+                 unit_seconds: int | None = None) -> DataFrame:
     """Rows tagged with a bucket (``_cb``) plus, for rows in the last ``seconds`` of their
     bucket, a context copy (``_ctx`` true) in the next bucket — so a RANGE frame reaching
-    ``seconds`` back can run per (key, bucket) and stay exact (needs seconds ≤ bucket)."""
-    if seconds > unit_seconds:
-        raise ValueError("the look-back must not exceed the bucket size")
+    ``seconds`` back can run per (key, bucket) and stay exact. The bucket is a day, or the
+    look-back if that is longer."""
+    unit_seconds = max(unit_seconds or 86_400, int(seconds))
     sec = F.unix_seconds(F.col(ts).cast("timestamp"))
     b = F.floor(sec / unit_seconds)
     near_end = (sec - b * unit_seconds) >= (unit_seconds - seconds)

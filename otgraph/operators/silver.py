@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from otgraph.functions.events import scale_offset
@@ -48,10 +48,11 @@ def with_asset(df: DataFrame, registry: DataFrame) -> DataFrame:
 def event_counts(df: DataFrame, keys: Sequence[str], now, interval: str = "2 minutes",
                  ingest_col: str = "ingestion_timestamp") -> DataFrame:
     """Recent event count and last ingest time per key (A4). ``ingest_col`` holds epoch µs."""
-    now_c = F.to_timestamp(F.lit(str(now))) if not hasattr(now, "_jc") else now
+    now_c = now if isinstance(now, Column) else F.to_timestamp(F.lit(str(now)))
     ts = F.timestamp_micros(F.col(ingest_col))
+    # the stored epoch is compared with an epoch literal, so the filter reaches the scan
     return (
-        df.filter(ts >= now_c - F.expr(f"INTERVAL {interval}"))
+        df.filter(F.col(ingest_col) >= F.unix_micros(now_c - F.expr(f"INTERVAL {interval}")))
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("events"), F.max(ts).alias("last_ingested_at"))
     )

@@ -115,12 +115,11 @@ def as_sensor_columns(df: DataFrame, sensors: dict[str, str]) -> DataFrame:
 
 
 def latest_telemetry(df: DataFrame, sensors: dict[str, str], now, days: int = 30,
-                     n: int | None = 50, key: str = "component_id",
+                     n: int | None = None, key: str = "component_id",
                      ts: str = "timestamp", tie: str | None = None) -> DataFrame:
     """Newest telemetry row per component in the last ``days`` days.
 
-    The reference caps the answer at ``n`` rows without an order; here the cap is applied after
-    ordering by component so the answer is deterministic; ``n=None`` returns every component.
+    Every component is returned; a report that asks for ``n`` rows gets the first by component.
     """
     since = _ts_lit(now) - F.expr(f"INTERVAL {int(days)} DAYS")
     order = [F.col(ts).desc()] + ([F.col(tie).desc()] if tie else [])

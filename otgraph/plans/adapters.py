@@ -34,17 +34,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Below the session's default parallelism, spread rows round-robin before CPU-heavy
-    per-row work (JSON parsing, whole-text search). The driver tables are single-row-group
-    files that Spark reads as one partition; real inputs have many splits and pass through."""
-    if df.isStreaming:
-        return df
-    try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        return df.repartition(want) if df.rdd.getNumPartitions() < want else df
-    except Exception:  # noqa: BLE001 - no RDD API (e.g. a Connect session): leave as is
-        return df
+def round_half_even_sql(x: str) -> str:
+    """Two places by the exact binary value, ties to even, in whole-number arithmetic."""
+    a = f"greatest(abs({x}), 0.0025)"
+    unit = f"CAST(pow(2.0, 53 - CAST(floor(log2({a})) AS INTEGER)) AS HUGEINT)"
+    n = f"(CAST({a} * pow(2.0, 53 - CAST(floor(log2({a})) AS INTEGER)) AS HUGEINT) * 100)"
+    up = (f"CASE WHEN ({n} % {unit}) * 2 > {unit} OR (({n} % {unit}) * 2 = {unit} AND ({n} // {unit}) % 2 = 1)"
+          " THEN 1 ELSE 0 END")
+    return (f"(CASE WHEN {x} IS NULL THEN NULL WHEN abs({x}) >= 35184372088832 THEN {x} WHEN abs({x}) < 0.0025 THEN 0.0"
+            f" ELSE sign({x}) * CAST({n} // {unit} + {up} AS DOUBLE) / 100 END)")
 
 
 # ---------------------------------------------------------------- telemetry -------------------
@@ -152,7 +150,7 @@ def ot_events_from(events: DataFrame) -> DataFrame:
     """Payload lines → parsed → defaults → 14-column OT events, ids taken from the source."""
     from otgraph.sources.events import (map_ot_event, parse_tag_payloads, payload_defaults,
                                         split_corrupt)
-    good, _dead = split_corrupt(tag_payload_lines(spread(events)))
+    good, _dead = split_corrupt(tag_payload_lines(events))
     parsed = parse_tag_payloads(good, keep=("event_id",), parsed="_v")
     d = payload_defaults(parsed, now=F.to_timestamp(F.lit(NOW)), source="http")
     return map_ot_event(d, SOURCE_SYSTEM, include_quality=True, event_id=F.col("event_id"),

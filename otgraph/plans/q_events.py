@@ -204,5 +204,5 @@ def q_top_sources(spark, sf):
     f"SELECT {OT_COLS} FROM fev JOIN fold USING (tag_path, rn) WHERE keep", "ot_events",
     extra=fold_sql("ot_events", 50.0), recursive=True))
 def q_deadband_daily(spark, sf):
-    """The same deadband in day slices with carried per-tag state."""
-    return C.deadband_by_day(_ot(spark, sf), 50.0)
+    """The same deadband, each tag split by day."""
+    return C.deadband(_ot(spark, sf), 50.0)

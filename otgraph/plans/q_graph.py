@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from otgraph.functions.iri import (DEPENDS_ON, PART_OF, PROPAGATES, RDF_TYPE, RDF_TYPE_IRI,
                                    RDFS_LABEL, HAS_STATE)
@@ -150,9 +149,9 @@ def q_type_hier(spark, sf):
     g = _g(spark, sf)
     paths = G.ancestor_paths(G.parents(g, transitive=True))
     h = G.type_hierarchies(G.node_attributes(g), paths)
-    # one row per type: the global maximum is a window over that small table
     return h.select("type", "representative", F.array_join("path", " > ").alias("path_text"),
-                    "depth", F.max("depth").over(Window.partitionBy()).alias("max_depth"))
+                    "depth", F.lit(1).alias("_one")) \
+        .join(G.max_depth(h).withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
 _IMPACT = f"""prop AS (SELECT o AS src, s AS dst FROM plant_graph

@@ -45,7 +45,7 @@ def q_stream_deadband(spark, sf):
 @register("stream_rollup", with_ctes(
     "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket_start, 'asset-' || CAST(user_id AS VARCHAR)"
     " AS asset_id, event_type AS signal_name, avg(value) AS avg_value, min(value) AS min_value,"
-    " max(value) AS max_value, count(*) AS n FROM events GROUP BY 1, 2, 3"
+    " max(value) AS max_value, arg_max(value, (ts, value)) AS last_value, count(*) AS n FROM events GROUP BY 1, 2, 3"
     " HAVING bucket_start + INTERVAL 1 HOUR <="
     " (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES", "telemetry"), rounded=('avg_value',))
 def q_stream_rollup(spark, sf):
@@ -77,4 +77,5 @@ def q_stream_dead(spark, sf):
     q = S.dead_letter_stream(lines, f"{base}/good", f"{base}/dead", f"{base}/_ckpt",
                              available_now=True)
     q.awaitTermination()
-    return spark.read.schema("event_id bigint, line string").parquet(f"{base}/dead")
+    return spark.read.schema("event_id bigint, line string").option("recursiveFileLookup", "true") \
+        .parquet(f"{base}/dead")

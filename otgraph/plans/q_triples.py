@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from otgraph.functions.iri import (clean_uri, component_id_from_iri, local_name,
                                    predicate_iri)
 from otgraph.operators import triples as T
-from otgraph.plans.adapters import (NOW, PIT_AT, PIVOT, NS, table, telemetry_wide, triples,
+from otgraph.plans.adapters import (NOW, PIT_AT, PIVOT, NS, round_half_even_sql, table, telemetry_wide, triples,
                                     with_ctes)
 from otgraph.plans.catalog import register
 
@@ -62,7 +62,7 @@ def q_telemetry_from_triples(spark, sf):
 @register("state_map", with_ctes(
     "SELECT s, count(k) AS n_values, '{' || coalesce(string_agg('\"' || k || '\":\"' || v || '\"', ','"
     " ORDER BY k), '') || '}' AS state_json FROM ("
-    " SELECT s, k, coalesce(CAST(round(TRY_CAST(o AS DOUBLE), 2) AS VARCHAR), o) AS v FROM ("
+    " SELECT s, k, coalesce(CAST(" + round_half_even_sql("TRY_CAST(o AS DOUBLE)") + " AS VARCHAR), o) AS v FROM ("
     "  SELECT s, k, arg_max(o, p) AS o FROM ("
     "   SELECT s, p, o, CASE WHEN p <> 'rdf:type' THEN regexp_extract(rtrim(p, '/'), '[^#/]*$') END AS k"
     "   FROM (SELECT s, p, o FROM triples WHERE timestamp < TIMESTAMP '" + PIT_AT + "'"

@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 
 from otgraph.functions.iri import RDF_TYPE
 from otgraph.schemas import MODEL_TRIPLES, TAG_LEAF
+from otgraph.session import materialize
 
 
 # ------------------------------------------------------------------ tag trees -----------------
 
-def load_tag_tree(spark: SparkSession, sources: dict[str, str], max_depth: int = 12
-                  ) -> DataFrame:
+def load_tag_tree(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
     """Flatten nested tag-folder exports to their leaf AtomicTags.
 
     ``sources`` maps provider → file (or glob); each file is one JSON document. Folders are
-    expanded level by level with ``explode`` of the VARIANT ``tags`` array, so every level is
-    a distributed step and only leaves are kept. Path: ``[provider]Root/…/Name``.
+    expanded level by level with ``explode`` of the VARIANT ``tags`` array until no folder is
+    left; the folders of a level are checkpointed once, so no level restarts from the text. Path: ``[provider]Root/…/Name``.
     """
     roots = None
     for provider, path in sources.items():
@@ -32,13 +32,16 @@ def load_tag_tree(spark: SparkSession, sources: dict[str, str], max_depth: int =
     name = F.try_variant_get(F.col("node"), "$.name", "string")
     level = roots.select("provider", name.alias("path"), "node")
     leaves = []
-    for _ in range(max_depth):
+    level = materialize(level)
+    while not level.isEmpty():
         kind = F.try_variant_get(F.col("node"), "$.tagType", "string")
         leaves.append(level.filter(kind == "AtomicTag"))
         kids = level.filter(kind == "Folder").select(
             "provider", "path",
             F.explode(F.try_variant_get(F.col("node"), "$.tags", "array<variant>")).alias("node"))
-        level = kids.select("provider", F.concat_ws("/", "path", name).alias("path"), "node")
+        level = materialize(kids.select("provider", F.concat_ws("/", "path", name).alias("path"), "node"))
+    if not leaves:
+        return spark.createDataFrame([], TAG_LEAF)
     out = leaves[0]
     for lf in leaves[1:]:
         out = out.unionByName(lf)
@@ -68,8 +71,13 @@ _TOKEN = re.compile(r'''
 _XSD = "http://www.w3.org/2001/XMLSchema#"
 
 
+_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))", re.S)
+# Turtle's one-letter escapes.
+_ESCAPED = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f"}
+
+
 def _unescape(s: str) -> str:
-    return s.replace('\\"', '"').replace("\\n", "\n").replace("\\\\", "\\")
+    return _ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else _ESCAPED.get(m[3], m[3]), s)
 
 
 def parse_turtle(text: str, graph: str) -> list[tuple[str, str, str, str, str]]:
@@ -169,12 +177,16 @@ def load_turtle(spark: SparkSession, paths: str) -> DataFrame:
 def template_fields(file_name, content) -> dict[str, F.Column]:
     """Name, description and category of a template file."""
     fn = F.regexp_extract(file_name, r"([^/]*)$", 1)
-    name = F.initcap(F.replace(F.replace(fn, F.lit(".ttl"), F.lit("")), F.lit("_"), F.lit(" ")))
+    words = F.lower(F.replace(F.replace(fn, F.lit(".ttl"), F.lit("")), F.lit("_"), F.lit(" ")))
+    # title case: every run of letters starts with a capital
+    runs = F.regexp_extract_all(words, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    name = F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 20))), "")
     lines = F.filter(F.split(content, "\n"),
                      lambda x: F.trim(x).startswith("# ") & ~F.lower(x).contains("prefix"))
     desc = F.coalesce(F.substring(F.trim(F.try_element_at(lines, F.lit(1))), 3, 1 << 20),
                       F.lit("Local TTL file template"))
     low = F.lower(fn)
+    # Category words, id prefix and default description.
     cat = (F.when(low.contains("oil") | low.contains("rig"), "oil-gas")
            .when(low.contains("factory"), "manufacturing").otherwise("template"))
     return {"id": F.concat(F.lit("local_"), fn), "name": name, "description": desc,
@@ -185,7 +197,7 @@ def ttl_template_catalog(spark: SparkSession, directory: str) -> DataFrame:
     """One row per ``*.ttl`` file: id, title-cased name, first '# ' comment without 'prefix'
     as description, category by file name, content (S11)."""
     files = spark.read.text(f"{directory.rstrip('/')}/*.ttl", wholetext=True) \
-        .select(F.input_file_name().alias("path"), F.col("value").alias("content"))
+        .select(F.col("_metadata.file_name").alias("path"), F.col("value").alias("content"))
     f = template_fields(F.col("path"), F.col("content"))
     return files.select(f["id"].alias("id"), f["name"].alias("name"),
                         f["description"].alias("description"), f["category"].alias("category"),

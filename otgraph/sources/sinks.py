@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from otgraph.functions.iri import RDF_TYPE, RDF_TYPE_IRI, clean_uri
 from otgraph.operators.triples import latest_triples
@@ -41,21 +43,45 @@ def write_triples(df: DataFrame, path: str, ts: str = "timestamp", mode: str = "
 
 
 def write_snapshot(df: DataFrame, base: str, version: str | None = None) -> str:
-    """Write ``df`` to ``<base>/v=<version>`` and point ``<base>/_CURRENT`` at it; readers of
-    the previous version are never disturbed (S14, T5). Writing a version again (a replayed
-    micro-batch) overwrites that version, so a retried batch is idempotent."""
-    version = version or time.strftime("%Y%m%d%H%M%S") + f"{int(time.time() * 1e6) % 1_000_000:06d}"
-    target = f"{base.rstrip('/')}/v={version}"
-    df.write.mode("overwrite").parquet(target)
+    """Write ``df`` to a fresh folder ``<base>/v=<version>-<id>`` and append a pointer to it
+    (S14, T5). Nothing that a reader may use is overwritten: pointers are small tables of their
+    own, committed as any Spark output is, and the greatest complete one counts."""
     spark = df.sparkSession
-    spark.createDataFrame([(target,)], "value string").coalesce(1) \
-        .write.mode("overwrite").text(f"{base.rstrip('/')}/_CURRENT")
+    version = version or f"{time.time_ns():020d}"
+    target = f"{base.rstrip('/')}/v={version}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(target)
+    number = (_pointer(spark, base) or (0, ""))[0] + 1
+    spark.createDataFrame([(number, target)], "number long, target string").coalesce(1) \
+        .write.mode("append").parquet(_pointers(base))
     return target
 
 
+def _pointers(base: str) -> str:
+    return f"{base.rstrip('/')}/_pointers"
+
+
+def _pointer(spark: SparkSession, base: str) -> tuple[int, str] | None:
+    """(number, folder) of the current snapshot; None if none was ever written. Errors other than
+    a missing pointer folder are raised."""
+    try:
+        rows = spark.read.schema("number long, target string").option("recursiveFileLookup", "true").parquet(_pointers(base))
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    best = rows.agg(F.max(F.struct("number", "target")).alias("p")).first()["p"]
+    return tuple(best) if best else None
+
+
+def has_snapshot(spark: SparkSession, base: str) -> bool:
+    return _pointer(spark, base) is not None
+
+
 def read_snapshot(spark: SparkSession, base: str) -> DataFrame:
-    cur = spark.read.text(f"{base.rstrip('/')}/_CURRENT").first()[0]
-    return spark.read.parquet(cur)
+    current = _pointer(spark, base)
+    if current is None:
+        raise FileNotFoundError(f"no snapshot in {base}")
+    return spark.read.parquet(current[1])
 
 
 def sync_latest(triples: DataFrame, base: str, version: str | None = None) -> str:

@@ -24,12 +24,13 @@ def read_telemetry(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
 
 def with_event_time(df: DataFrame, col: str = "timestamp", out: str = "event_ts") -> DataFrame:
     """Parse the text timestamp once at the bronze boundary."""
-    return df.withColumn(out, F.to_timestamp(F.col(col), TS_FORMAT))
+    return df.withColumn(out, F.try_to_timestamp(F.col(col), F.lit(TS_FORMAT)))
 
 
 def coerce_telemetry(raw: DataFrame) -> DataFrame:
     """Record coercion before ingest (S4): readings to double, ids and timestamp to text,
-    damage flag to boolean, a missing ``abnormal_sensor`` to ''; columns in bronze order."""
+    damage flag to boolean, a missing ``abnormal_sensor`` to ''; columns in bronze order. A value
+    that does not convert becomes NULL instead of failing the job."""
     cols = []
     for f in TELEMETRY.fields:
         c = F.col(f.name) if f.name in raw.columns else F.lit(None)
@@ -38,7 +39,7 @@ def coerce_telemetry(raw: DataFrame) -> DataFrame:
         elif f.name == "timestamp" and f.name in raw.columns and \
                 raw.schema[f.name].dataType.typeName().startswith("timestamp"):
             c = F.date_format(c, TS_FORMAT)
-        cols.append(c.cast(f.dataType).alias(f.name))
+        cols.append(c.try_cast(f.dataType).alias(f.name))
     return raw.select(*cols)
 
 
@@ -73,4 +74,4 @@ def telemetry_mapping(ns: str = DEFAULT_NS) -> TripleMapping:
     return TripleMapping(
         subject=component_iri("component_id", ns), rdf_type=type_iri("component", ns),
         predicate_objects=pos,
-        metadata={"timestamp": F.to_timestamp(F.col("timestamp").cast("string"))})
+        metadata={"timestamp": F.try_to_timestamp(F.col("timestamp").cast("string"))})

@@ -20,7 +20,7 @@ from otgraph.operators.triples import latest_triples
 from otgraph.schemas import TELEMETRY
 from otgraph.session import ensure_checkpoint_dir
 from otgraph.sources.events import parse_tag_payloads, split_corrupt
-from otgraph.sources.sinks import write_snapshot
+from otgraph.sources.sinks import has_snapshot, read_snapshot, write_snapshot
 
 __all__ = ["checkpoint_path", "stream_telemetry", "stream_tag_payloads", "stream_table",
            "map_stream", "write_append", "dedupe_events", "dead_letter_stream",
@@ -90,37 +90,46 @@ def dedupe_events(stream: DataFrame, within: str = "10 minutes", ts: str = "even
 
 def dead_letter_stream(lines: DataFrame, good_path: str, dead_path: str, checkpoint: str,
                        available_now: bool = False) -> StreamingQuery:
-    """Write parsed events and unparsable lines to two sinks from one query."""
-    def batch(df: DataFrame, _epoch: int) -> None:
-        good, dead = split_corrupt(df)
-        parse_tag_payloads(good, parsed="_v").write.mode("append").parquet(good_path)
-        dead.write.mode("append").parquet(dead_path)
+    """Write parsed events and unparsable lines to two sinks from one query (T6). Each epoch owns
+    one folder per sink (``epoch=<n>``) and overwrites it, so a replayed epoch changes nothing."""
+    def batch(df: DataFrame, epoch: int) -> None:
+        df.persist()
+        try:
+            good, dead = split_corrupt(df)
+            parse_tag_payloads(good, parsed="_v").write.mode("overwrite").parquet(f"{good_path.rstrip('/')}/epoch={epoch}")
+            dead.write.mode("overwrite").parquet(f"{dead_path.rstrip('/')}/epoch={epoch}")
+        finally:
+            df.unpersist()
 
     w = lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()
 
 
-def observe_ingest(stream: DataFrame, name: str = "ingest", quality: str = "quality"
-                   ) -> DataFrame:
-    """Per-batch counts (received, good quality) reported in the query progress."""
+def observe_ingest(stream: DataFrame, name: str = "ingest", quality: str = "quality",
+                   dropped: str | None = None, filtered: str | None = None) -> DataFrame:
+    """Per-batch counts reported in the query progress (T7): received and good quality, and, from
+    boolean columns that mark rows over the rate cap and rows the change filter removes, dropped,
+    filtered and accepted."""
+    is_ = lambda c: F.coalesce(F.col(c), F.lit(False)) if c else F.lit(False)
+    over, same = is_(dropped), is_(filtered)
     return stream.observe(name, F.count(F.lit(1)).alias("received"),
-                          F.count_if(F.lower(F.col(quality)).contains("good")).alias("good"))
+                          F.count_if(F.lower(F.col(quality)).contains("good")).alias("good"),
+                          F.count_if(over).alias("dropped"), F.count_if(~over & same).alias("filtered"),
+                          F.count_if(~over & ~same).alias("accepted"))
 
 
 def latest_stream(triples: DataFrame, base: str, checkpoint: str,
                   available_now: bool = False) -> StreamingQuery:
     """Keep the newest triple per (s, p) current (T5): each micro-batch is merged with the
-    previous snapshot and written as the next version."""
-    def batch(df: DataFrame, epoch: int) -> None:
-        spark = df.sparkSession
-        try:
-            cur = spark.read.text(f"{base.rstrip('/')}/_CURRENT").first()[0]
-            prev = spark.read.parquet(cur)
-            merged = latest_triples(prev.unionByName(df.select(*prev.columns)))
-        except Exception:  # noqa: BLE001 - first batch: no snapshot yet
-            merged = latest_triples(df)
-        write_snapshot(merged, base, version=f"{epoch:012d}")
+    previous snapshot and written as a fresh version. Only a missing pointer means there is no
+    snapshot yet; a snapshot that cannot be read fails the batch. A replayed epoch merges rows that
+    are in the snapshot already, which changes nothing."""
+    def batch(df: DataFrame, _epoch: int) -> None:
+        if has_snapshot(df.sparkSession, base):
+            prev = read_snapshot(df.sparkSession, base)
+            df = prev.unionByName(df.select(*prev.columns))
+        write_snapshot(latest_triples(df), base)
 
     w = triples.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w
@@ -134,9 +143,10 @@ def rollup_stream(stream: DataFrame, every: str = "1 minute", watermark: str = "
     return (stream.filter(F.col(value).isNotNull()).withWatermark(ts, watermark)
             .groupBy(F.window(F.col(ts), every).alias("w"), *keys)
             .agg(F.avg(value).alias("avg_value"), F.min(value).alias("min_value"),
-                 F.max(value).alias("max_value"), F.count(F.lit(1)).alias("n"))
+                 F.max(value).alias("max_value"), F.max_by(value, F.struct(ts, value)).alias("last_value"),
+                 F.count(F.lit(1)).alias("n"))
             .select(F.col("w.start").alias("bucket_start"), *keys, "avg_value", "min_value",
-                    "max_value", "n"))
+                    "max_value", "last_value", "n"))
 
 
 def run_available(stream: DataFrame, spark: SparkSession, name: str,

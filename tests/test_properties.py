@@ -109,23 +109,6 @@ def test_change_filter_across_days(spark):
     assert {r.event_id for r in C.only_on_change(df, unit="hour").collect()} == expect
 
 
-def test_deadband_by_day_equals_deadband(spark):
-    rnd = random.Random(5)
-    rows = []
-    for tag in range(6):
-        for i in range(60):
-            v = rnd.choice([None, float("nan"), "a", 1.0, 1.2, 2.0, 3.5])
-            rows.append((f"{tag}-{i:03d}", T0 + dt.timedelta(hours=5 * i), f"t{tag}",
-                         v if isinstance(v, float) else None, v if isinstance(v, str) else None,
-                         None, "UNKNOWN" if v is None else ("DOUBLE" if isinstance(v, float) else "STRING")))
-    df = spark.createDataFrame(rows, "event_id string, event_time timestamp, tag_path string, "
-                                     "numeric_value double, string_value string, "
-                                     "boolean_value boolean, data_type string")
-    a = {r.event_id for r in C.deadband(df, 0.5).collect()}
-    b = {r.event_id for r in C.deadband_by_day(df, 0.5).collect()}
-    assert a == b
-
-
 def test_soc_composition_equals_sequential_walk(spark):
     from otgraph.operators.gold import bess_soc_clamped
     rnd = random.Random(3)
