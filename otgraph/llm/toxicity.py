@@ -37,8 +37,9 @@ DECAY = 0.6             # weight per spanned character
 POWER = 2               # polynomial over the share of K(z, z): keeps near misses small
 FLOOR = 0.1             # smaller values count as 0
 MAX_LANDMARKS = 96
-TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS = 1500, 3000, 20_000_000
+TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS = 1500, 3000, 15_000_000
 WORD_CHARS = 40         # longer words are cut into windows of this length, half overlapping
+MEMO_WORDS = 100_000    # words remembered while landmarks are chosen
 CACHE_WORDS = 500_000  # words a worker remembers before it starts afresh
 
 _END = re.compile(r"[.!?]+(?:\s+|$)|\n")
@@ -197,36 +198,43 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray) -> list[str]:
     n_tox, n_clean = int(toxic.sum()), int((~toxic).sum())
     least = max(3, int(0.004 * n_tox))
     docs = [int(i) for i in np.flatnonzero(toxic)]
-    words = {i: words_of(texts[i]) for i in docs}
-    # counted by hash first: only strings of enough toxic documents are kept as strings
-    seen, times = np.unique(np.concatenate([np.fromiter(map(hash, strings(words[i])), np.int64) for i in docs]), return_counts=True)
-    often = set(seen[times >= least].tolist())
-    del seen, times
-    has = {i: {s for s in strings(words[i]) if hash(s) in often} for i in docs}
-    where = defaultdict(set)
-    for i in docs:
-        for s in has[i]:
-            where[s].add(i)
-    cand = {s for s in where if len(where[s]) >= least}
-    clean: Counter = Counter()
-    memo: dict[str, tuple] = {}
+    # counted by hash, so that only candidates are ever kept as strings
+    hashes = lambda ws: np.fromiter(map(hash, strings(ws)), np.int64)
+    seen, times = np.unique(np.concatenate([hashes(words_of(texts[i])) for i in docs]), return_counts=True)
+    seen, times = seen[times >= least], times[times >= least]
+    clean, memo = np.zeros(len(seen) + 1, np.int64), {}
+    for i in np.flatnonzero(~toxic):
+        hit = set()
+        for w in words_of(texts[i]):
+            at = memo.get(w)
+            if at is None:
+                if len(memo) > MEMO_WORDS:
+                    memo.clear()
+                h = hashes((w,))
+                at = np.searchsorted(seen, h)
+                at = memo[w] = tuple(at[seen[np.minimum(at, len(seen) - 1)] == h].tolist()) if len(seen) else ()
+            hit.update(at)
+        clean[list(hit)] += 1
+    price = 10 * max(n_tox / max(1, n_clean), 0.1) * clean[:-1]
+    worth = times - price >= least
+    cost_of = dict(zip(seen[worth].tolist(), price[worth].tolist()))
+    del seen, times, clean, memo, price
+    canon: dict[str, str] = {}
+    words, has, where = {}, {}, defaultdict(set)
 
     def known(ws):
         """The candidates among the strings of some words."""
-        out = set()
-        for w in ws:
-            got = memo.get(w)
-            if got is None:
-                got = memo[w] = tuple(cand.intersection(strings((w,))))
-            out.update(got)
-        return out
+        return {canon.setdefault(s, s) for s in strings(ws) if hash(s) in cost_of}
 
-    for i in np.flatnonzero(~toxic):
-        clean.update(known(words_of(texts[i])))
-    cost = {s: 10 * max(n_tox / max(1, n_clean), 0.1) * clean[s] for s in cand}
+    for i in docs:
+        words[i] = {w for w in words_of(texts[i]) if known((w,))}
+        has[i] = known(words[i])
+        for s in has[i]:
+            where[s].add(i)
+    cand = set(where)
+    cost = {s: cost_of[hash(s)] for s in cand}
     weight = dict.fromkeys(docs, 1.0)             # halves each time a document is covered
     gain = {s: len(where[s]) - cost[s] for s in cand}
-    has = {i: has[i] & cand for i in docs}
     marks: list[str] = []
     while gain and len(marks) < MAX_LANDMARKS:
         best = max(gain, key=lambda s: (gain[s], len(s), s))
@@ -237,7 +245,7 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray) -> list[str]:
         marks.append(best)
         for i in list(where[best]):               # its words are explained: they count no more
             words[i] = {w for w in words[i] if best not in w}
-            new = known(words[i]) - set(marks)
+            new = known(words[i]).difference(marks)
             for s in has[i]:
                 gain[s] -= weight[i] / 2 if s in new else weight[i]
             for s in has[i] - new:
@@ -246,7 +254,6 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray) -> list[str]:
         del gain[best]
         for i in docs:
             has[i].discard(best)
-        cand.discard(best)
     return marks
 
 
