@@ -95,6 +95,31 @@ def out_of_control(cpk, deviation, cpk_min: float = 1.0, dev_max: float = 35.0)
     return (_c(cpk) < cpk_min) | (F.abs(_c(deviation)) > dev_max)
 
 
+def ooc_reason(cpk, deviation, cpk_min: float = 1.0, dev_max: float = 35.0) -> Column:
+    """Why a process is out of control, '' when it is not; a low Cpk comes first."""
+    return (F.when(_c(cpk) < cpk_min, F.lit("Low Cpk"))
+            .when(F.abs(_c(deviation)) > dev_max, F.lit("Kiln deviation")).otherwise(F.lit("")))
+
+
+# The order, limits and names of the defect rules.
+DEFECT_KILN, DEFECT_MOISTURE, DEFECT_WEAR = 25.0, 1.2, 0.7
+DEFECT_NAMES = ("Warp/crack (sinter profile)", "Lamination (moisture)",
+                "Chipping (press handling)", "Surface finish (tool wear)")
+
+
+def press_defect(kiln_dev, moisture, press_alarm, tool_wear) -> Column:
+    """The ordered defect rules of a press line: kiln deviation, moisture, press alarm, tool wear
+    (P22)."""
+    conds = [F.abs(_c(kiln_dev)) > DEFECT_KILN, _c(moisture) > DEFECT_MOISTURE,
+             F.coalesce(_c(press_alarm), F.lit(False)), _c(tool_wear) > DEFECT_WEAR]
+    return top_defect(list(zip(conds, DEFECT_NAMES)), "None")
+
+
+def smoke_assist(flare, limit: float = 4.0) -> Column:
+    """Steam assist is on while the flare is above its limit."""
+    return F.coalesce(_c(flare) > limit, F.lit(False))
+
+
 def severity(metric, warn, crit) -> Column:
     """'CRITICAL' from crit, 'WARNING' from warn, else 'ok' (P23)."""
     m = _c(metric)

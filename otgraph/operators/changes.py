@@ -16,8 +16,8 @@ over days and a parallel re-fold, all streamed through Arrow-batched ``mapInPand
 
 from __future__ import annotations
 
-import json
 import math
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -179,31 +179,96 @@ def deadband(df: DataFrame, threshold: float, tag: str = "tag_path",
     return ordered.mapInPandas(fold, schema=df.schema)
 
 
+class _Folds:
+    """Folds that run side by side, each identified by where it started. Folds in the same state are
+    one from then on (``alias``). Numeric states are kept in order, so a value moves only those
+    farther than the threshold away, taken off both ends and merged into one: O(log n) a row."""
+
+    def __init__(self, thr: float):
+        self.thr, self.alias, self.state = thr, {}, {}
+        self.vals, self.ids, self.head = [], [], 0       # live numeric states from ``head`` on
+        self.others: dict[tuple, object] = {}            # NULL, keys, NaN: a handful
+
+    def start(self, fid, state: tuple) -> None:
+        if fid in self.state or fid in self.alias:
+            return
+        k, n, s = state
+        if k == "NUMBER" and n is not None and not math.isnan(n):
+            at = bisect_left(self.vals, n, self.head)
+            if at < len(self.vals) and self.vals[at] == n:
+                self.alias[fid] = self.ids[at]
+                return
+            self.vals.insert(at, n)
+            self.ids.insert(at, fid)
+        else:
+            sig = (k, None if n is None else "nan", s)
+            if sig in self.others:
+                self.alias[fid] = self.others[sig]
+                return
+            self.others[sig] = fid
+        self.state[fid] = state
+
+    def feed(self, k, n, s) -> None:
+        if k != "NUMBER":
+            lo, hi = len(self.vals), len(self.vals)
+        elif math.isnan(n):
+            lo, hi = self.head, len(self.vals)
+        else:
+            lo = bisect_left(self.vals, True, self.head, key=lambda v: not n - v > self.thr)
+            hi = bisect_left(self.vals, True, lo, key=lambda v: v - n > self.thr)
+        moved = self.ids[self.head:lo] + self.ids[hi:]
+        del self.vals[hi:], self.ids[hi:]
+        self.head = min(lo, len(self.vals))
+        if self.head > 4096 and self.head * 2 > len(self.vals):
+            del self.vals[:self.head], self.ids[:self.head]
+            self.head = 0
+        for sig, fid in list(self.others.items()):
+            lk, ln, lkey = self.state[fid]
+            if _changed(k, math.nan if n is None else n, s, lk, math.nan if ln is None else ln, lkey, self.thr):
+                del self.others[sig]
+                moved.append(fid)
+        if moved:
+            for fid in moved:
+                del self.state[fid]
+            for fid in moved[1:]:
+                self.alias[fid] = moved[0]
+            self.start(moved[0], (k, n, s))
+
+    def end(self, fid) -> tuple:
+        path = []
+        while fid in self.alias:
+            path.append(fid)
+            fid = self.alias[fid]
+        for p in path:
+            self.alias[p] = fid
+        return self.state[fid]
+
+
 def _day_summaries(batches, tag: str, thr: float):
     """One summary per (tag, chunk) of rows streamed in (tag, chunk, time) order.
 
     The state entering a chunk only decides which element is kept first; from there the fold
     is fixed. For a numeric incoming state ``s`` that is the first element outside
     ``[max(prefix) - thr, min(prefix) + thr]`` (NaN is never outside, a non-number always is),
-    so the incoming numbers split into a few intervals, each tied to a start index. Folds from
-    every start index (plus incoming NULL and incoming key equal to the first value) run in
-    lockstep and merge once their states coincide. The summary maps each kind of incoming
-    state to the chunk's end state."""
-    out, cur, st = [], None, None
-
-    def end_state(fid):
-        while fid in st["alias"]:
-            fid = st["alias"][fid]
-        return st["folds"][fid]
+    so the incoming numbers split into intervals, each tied to a start index. Folds from
+    every start index (plus incoming NULL and incoming key equal to the first value) run
+    side by side (:class:`_Folds`). The summary maps each kind of incoming state to the chunk's
+    end state; neighbouring intervals with the same end state are one."""
+    out, cur, st, folds = [], None, None, None
 
     def finish():
-        pieces = [dict(lo=lo, hi=hi, lo_in=li, hi_in=hin,
-                       **dict(zip(("k", "n", "s"), end_state(fid))))
-                  for lo, hi, li, hin, fid in st["pieces"]]
-        nres, dres = end_state("N"), end_state(0)
-        kres = end_state("K") if st["k0"] else (None, None, None)
-        nanres = end_state(st["nan_fid"]) if st["nan_fid"] is not None else (None, None, None)
-        out.append({tag: cur[0], "_chunk": cur[1], "_pieces": json.dumps(pieces),
+        pieces = []
+        for lo, hi, lo_in, hi_in, fid in sorted(st["pieces"], key=lambda p: (p[0], p[1])):
+            k, n, s = folds.end(fid)
+            last = pieces[-1] if pieces else None
+            if last and last["hi"] == lo and (last["hi_in"] or lo_in) and (last["k"], last["n"], last["s"]) == (k, n, s):
+                last.update(hi=hi, hi_in=hi_in)
+            else:
+                pieces.append({"lo": lo, "hi": hi, "lo_in": lo_in, "hi_in": hi_in, "k": k, "n": n, "s": s})
+        nres, dres = folds.end("N"), folds.end(0)
+        kres = folds.end("K") if st["k0"] else (None, None, None)
+        nanres = folds.end(st["nan_fid"]) if st["nan_fid"] is not None else (None, None, None)
+        out.append({tag: cur[0], "_chunk": cur[1], "_pieces": pieces,
                     "_n_k": nres[0], "_n_n": nres[1], "_n_s": nres[2],
                     "_k0_kind": st["k0"][0] if st["k0"] else None,
                     "_k0_key": st["k0"][1] if st["k0"] else None,
@@ -219,18 +284,16 @@ def _day_summaries(batches, tag: str, thr: float):
                 if cur is not None:
                     finish()
                 cur = (t, c)
-                st = {"folds": {"N": ("NULL", None, None)}, "alias": {}, "pieces": [],
-                      "band": (-math.inf, math.inf), "nan_fid": None, "k0": None, "i": 0}
+                st = {"pieces": [], "band": (-math.inf, math.inf), "nan_fid": None, "k0": None, "i": 0}
+                folds = _Folds(thr)
+                folds.start("N", ("NULL", None, None))
                 if k not in ("NULL", "NUMBER"):
                     st["k0"] = (k, s)
-                    st["folds"]["K"] = (k, None, s)
-            i, folds = st["i"], st["folds"]
-            for fid, (lk, ln, lkey) in list(folds.items()):        # advance every fold
-                if _changed(k, math.nan if n is None else n, s, lk,
-                            math.nan if ln is None else ln, lkey, thr):
-                    folds[fid] = (k, n, s)
+                    folds.start("K", (k, None, s))
+            i = st["i"]
+            folds.feed(k, n, s)
             if i == 0:
-                folds[0] = (k, n, s)                                  # start: keep x0
+                folds.start(0, (k, n, s))                             # start: keep x0
             if st["band"] is not None:
                 lo, hi = st["band"]
                 if k == "NUMBER" and not math.isnan(n):
@@ -248,25 +311,15 @@ def _day_summaries(batches, tag: str, thr: float):
                             new.append((nhi, hi, False, True))
                         st["band"] = (nlo, nhi)
                     if new:
-                        folds.setdefault(i, (k, n, s))
+                        folds.start(i, (k, n, s))
                         st["pieces"].extend((a, b, ai, bi, i) for a, b, ai, bi in new)
                 elif k != "NUMBER":                                   # NaN leaves the band
-                    folds.setdefault(i, (k, n, s))
+                    folds.start(i, (k, n, s))
                     st["pieces"].append((lo, hi, True, True, i))
                     st["band"] = None
             if k != "NUMBER" and st["nan_fid"] is None:
-                if i not in folds and i not in st["alias"]:
-                    folds[i] = (k, n, s)
+                folds.start(i, (k, n, s))
                 st["nan_fid"] = i
-            seen = {}
-            for fid in list(folds):                                   # merge equal states
-                lk, ln, lkey = folds[fid]
-                sig = (lk, "nan" if ln is not None and math.isnan(ln) else ln, lkey)
-                if sig in seen:
-                    st["alias"][fid] = seen[sig]
-                    del folds[fid]
-                else:
-                    seen[sig] = fid
             st["i"] = i + 1
         if len(out) >= 5000:
             yield pd.DataFrame(out)
@@ -295,7 +348,7 @@ def _chain_days(tag: str):
                         if r["_has_nan"]:
                             s = (r["_nan_k"], r["_nan_n"], r["_nan_s"])
                     else:
-                        for p in json.loads(r["_pieces"]):
+                        for p in r["_pieces"]:
                             if ((x > p["lo"] or (p["lo_in"] and x == p["lo"]))
                                     and (x < p["hi"] or (p["hi_in"] and x == p["hi"]))):
                                 s = (p["k"], p["n"], p["s"])
@@ -322,7 +375,8 @@ def _deadband_split(base: DataFrame, out_cols: list[str], thr: float, tag: str,
     b = base.withColumn("_chunk", F.date_trunc(unit, F.col(order[0])))
     tag_t = b.schema[tag].dataType.simpleString()
     chunk_t = b.schema["_chunk"].dataType.simpleString()
-    summ_schema = (f"{tag} {tag_t}, _chunk {chunk_t}, _pieces string, _n_k string, "
+    summ_schema = (f"{tag} {tag_t}, _chunk {chunk_t}, _pieces array<struct<lo:double,hi:double,"
+                   "lo_in:boolean,hi_in:boolean,k:string,n:double,s:string>>, _n_k string, "
                    "_n_n double, _n_s string, _k0_kind string, _k0_key string, _kr_k string, "
                    "_kr_n double, _kr_s string, _d_k string, _d_n double, _d_s string, "
                    "_nan_k string, _nan_n double, _nan_s string, _has_nan boolean")

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from otgraph.functions.formulas import clamp, out_of_control, poi_flows, power_curve
+from otgraph.functions.formulas import clamp, ooc_reason, out_of_control, poi_flows, power_curve
 from otgraph.operators.gold import asof_join
 from otgraph.operators.series import with_prev
 
@@ -35,16 +35,20 @@ def well_totals(df: DataFrame, site: str, pad: str, liquid: str, gas: str) -> Da
                                     F.count(F.lit(1)).alias("readings"))
 
 
-def spc(df: DataFrame, keys: Sequence[str], value: str, target: float, tol: float) -> DataFrame:
+def spc(df: DataFrame, keys: Sequence[str], value: str, target: float, tol: float,
+        deviation: Column | None = None) -> DataFrame:
     """mean, sigma (sample), Cpk = clamp(min((tol − |mean − target|)/(3·max(0.0005, σ)), 2.5),
-    0, 2.5) and out-of-control (Cpk < 1) per key (A16)."""
+    0, 2.5), the mean ``deviation`` of the process (0 if not given), out-of-control (Cpk < 1 or
+    |deviation| > 35) and its reason per key (A16)."""
+    dev = F.lit(0.0) if deviation is None else deviation
     agg = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sigma"),
-                                F.count(F.lit(1)).alias("n"))
+                                F.count(F.lit(1)).alias("n"), F.avg(dev).alias("deviation"))
     raw = (F.lit(tol) - F.abs(F.col("mean") - F.lit(target))) / \
         (3.0 * F.greatest(F.lit(0.0005), F.coalesce(F.col("sigma"), F.lit(0.0))))
     cpk = clamp(F.least(raw, F.lit(2.5)), 0.0, 2.5)
-    return agg.withColumn("cpk", cpk).withColumn(
-        "out_of_control", out_of_control(F.col("cpk"), F.lit(0.0)))
+    return agg.withColumn("cpk", cpk).withColumns(
+        {"out_of_control": out_of_control(F.col("cpk"), F.col("deviation")),
+         "ooc_reason": ooc_reason(F.col("cpk"), F.col("deviation"))})
 
 
 def oee(availability: Column, performance: Column, quality: Column) -> Column:

@@ -83,17 +83,24 @@ def insert_if_absent(models: DataFrame, new: DataFrame, now=None, order: str = "
 def update_models(models: DataFrame, patch: DataFrame, now) -> DataFrame:
     """Partial update by id (J9): every updatable column present in ``patch`` replaces the
     stored value of the matching rows, and ``updated_at`` becomes ``now``. A patch without
-    updatable columns is rejected."""
+    updatable columns is rejected. Patches of different shapes go in one call with a column
+    ``set_fields`` (array of names): a row then changes only the fields it names. Of several patch
+    rows for one id the greatest (by its fields in order) counts, so no model row is doubled."""
     fields = [c for c in patch.columns if c in UPDATABLE]
     if not fields:
         raise ValueError("No updatable fields provided")
-    p = patch.select(F.col("id").alias("_pid"), *[F.col(c).alias(f"_p_{c}") for c in fields])
+    named = "set_fields" in patch.columns
+    one = F.struct(*[F.col(c) for c in fields], *([F.array_sort("set_fields").alias("set_fields")] if named else []))
+    p = patch.groupBy(F.col("id").alias("_pid")).agg(F.max(one).alias("_one"))
+    p = p.select("_pid", *[F.col("_one")[c].alias(f"_p_{c}") for c in fields],
+                 *([F.col("_one.set_fields").alias("_p_set")] if named else []))
     j = models.join(p, models["id"] == p["_pid"], "left")
     hit = F.col("_pid").isNotNull()
     cols = []
     for c in models.columns:
         if c in fields:
-            cols.append(F.when(hit, F.col(f"_p_{c}")).otherwise(F.col(c)).alias(c))
+            this = hit & F.array_contains("_p_set", c) if named else hit
+            cols.append(F.when(this, F.col(f"_p_{c}")).otherwise(F.col(c)).alias(c))
         elif c == "updated_at":
             cols.append(F.when(hit, _ts(now)).otherwise(F.col(c)).alias(c))
         else:

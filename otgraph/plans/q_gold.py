@@ -288,13 +288,16 @@ def q_well_totals(spark, sf):
 
 
 @register("spc", """
-SELECT l_partkey, mean, sigma, n, cpk, cpk < 1.0 OR abs(0.0) > 35.0 AS out_of_control FROM (
-  SELECT *, greatest(0.0, least(least((24.5 - abs(mean - 25.5)) / (3.0 * greatest(0.0005,
+SELECT l_partkey, mean, sigma, n, deviation, cpk, cpk < 1.0 OR abs(deviation) > 35.0 AS out_of_control,
+  CASE WHEN cpk < 1.0 THEN 'Low Cpk' WHEN abs(deviation) > 35.0 THEN 'Kiln deviation' ELSE '' END AS ooc_reason FROM (
+  SELECT *, greatest(0.0, least(least((45.0 - abs(mean - 25.5)) / (3.0 * greatest(0.0005,
     coalesce(sigma, 0.0))), 2.5), 2.5)) AS cpk
   FROM (SELECT l_partkey, avg(l_quantity) AS mean, stddev_samp(l_quantity) AS sigma,
-        count(*) AS n FROM lineitem GROUP BY 1))""", rounded=('mean', 'sigma', 'cpk'))
+        count(*) AS n, avg((l_discount * 1000 - 50) * 10) AS deviation FROM lineitem GROUP BY 1))""",
+          rounded=('mean', 'sigma', 'cpk', 'deviation'))
 def q_spc(spark, sf):
-    return K.spc(table(spark, sf, "lineitem"), ["l_partkey"], "l_quantity", 25.5, 24.5)
+    return K.spc(table(spark, sf, "lineitem"), ["l_partkey"], "l_quantity", 25.5, 45.0,
+                 deviation=(F.col("l_discount") * 1000 - 50) * 10)
 
 
 @register("oee", """
@@ -387,8 +390,11 @@ def q_poi(spark, sf):
     " 500.0 * greatest(0.0, least(value * 3 / 1000.0, 1.15)) * greatest(0.8, least(1.0 -"
     " greatest(0.0, value / 10 - 25.0) * 0.004, 1.05)) AS solar_kw,"
     " CASE WHEN abs(value - 150) > 25.0 THEN 'Warp/crack' WHEN value > 120 THEN 'Lamination'"
-    " ELSE 'None' END AS top_defect"
-    " FROM readings", "readings"), rounded=('power_kw', 'wrap_deg', 'ang_diff_deg', 'yaw_derate', 'reactive_kvar', 'current_a', 'clamped', 'solar_kw'))
+    " ELSE 'None' END AS top_defect,"
+    " CASE WHEN abs(value - 150) > 25.0 THEN 'Warp/crack (sinter profile)' WHEN value / 125 > 1.2 THEN 'Lamination (moisture)'"
+    " WHEN signal = 'error' THEN 'Chipping (press handling)' WHEN value / 200 > 0.7 THEN 'Surface finish (tool wear)'"
+    " ELSE 'None' END AS press_defect, value / 40 > 4.0 AS smoke_assist"
+    " FROM readings", "readings"), rounded=('power_kw', 'wrap_deg', 'ang_diff_deg', 'yaw_derate', 'reactive_kvar', 'current_a', 'solar_kw'))
 def q_formulas(spark, sf):
     r = readings(spark, sf)
     v, sig = F.col("value"), F.col("signal")
@@ -408,6 +414,8 @@ def q_formulas(spark, sf):
         P.solar_expected(v * 3, v / 10, 500.0).alias("solar_kw"),
         P.top_defect([(F.abs(v - 150) > 25.0, "Warp/crack"), (v > 120, "Lamination")],
                      "None").alias("top_defect"),
+        P.press_defect(v - 150, v / 125, sig == "error", v / 200).alias("press_defect"),
+        P.smoke_assist(v / 40).alias("smoke_assist"),
     )
 
 

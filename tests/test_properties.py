@@ -281,3 +281,47 @@ def test_ancestor_paths_random_forest_with_cycles(spark):
             cur = parent.get(cur)
         want[n] = list(reversed(path))
     assert got == want
+
+
+def test_slow_drift_summary_is_not_quadratic():
+    import time
+
+    import pandas as pd
+    n = 200_000
+    pdf = pd.DataFrame({"tag": "a", "_chunk": 1, "_kind": "NUMBER", "_num": [i * 0.001 for i in range(n)], "_key": None}, index=range(n))
+    t0 = time.process_time()
+    row = next(iter(C._day_summaries(iter([pdf]), "tag", 50.0))).iloc[0]
+    assert time.process_time() - t0 < 60
+    vals, last = pdf["_num"], None
+    for v in vals:
+        if last is None or abs(v - last) > 50.0:
+            last = v
+    assert row["_n_n"] == last
+
+
+def test_fold_summaries_against_plain_folds():
+    import pandas as pd
+    rnd = random.Random(1)
+
+    def plain(vals, state, thr):
+        for k, n, s in vals:
+            if C._changed(k, math.nan if n is None else n, s, state[0], math.nan if state[1] is None else state[1], state[2], thr):
+                state = (k, n, s)
+        return state
+
+    for _ in range(300):
+        thr = rnd.choice([.5, 1., .45])
+        vals = []
+        for _ in range(rnd.randrange(1, 14)):
+            v = rnd.choice([None, math.nan, "a", "b", *[rnd.choice([0., .5, 1., 1.5, 2., 3., -1.]) for _ in range(12)]])
+            vals.append(("NULL", None, None) if v is None else ("NUMBER", v, None) if isinstance(v, float) else ("STRING", None, v))
+        pdf = pd.DataFrame({"tag": "a", "_chunk": 1, "_kind": [v[0] for v in vals], "_num": [v[1] for v in vals], "_key": [v[2] for v in vals]})
+        r = next(iter(C._day_summaries(iter([pdf]), "tag", thr))).iloc[0]
+        for x in (-2., -.5, 0., .5, .7, 1., 1.5, 2.5, 9., math.inf):
+            want = plain(vals, ("NUMBER", x, None), thr)
+            got = ("NUMBER", x, None)
+            for p in r["_pieces"]:
+                if (x > p["lo"] or p["lo_in"] and x == p["lo"]) and (x < p["hi"] or p["hi_in"] and x == p["hi"]):
+                    got = (p["k"], p["n"], p["s"])
+                    break
+            assert str(got) == str(want), (vals, thr, x)
