@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from otgraph.functions.iri import (clean_uri, component_id_from_iri, local_name,
-                                   predicate_iri)
+from otgraph.functions.iri import (clean_uri, component_id_from_iri, component_iri, local_name,
+                                   predicate_iri, type_iri)
 from otgraph.operators import triples as T
+from otgraph.operators.mapping import TripleMapping, concat_batches, map_many
 from otgraph.plans.adapters import (NOW, PIT_AT, PIVOT, NS, round_half_even_sql, table, telemetry_wide, triples,
                                     with_ctes)
 from otgraph.plans.catalog import register
@@ -127,3 +129,65 @@ def q_latest_telemetry_top50(spark, sf):
     """The telemetry endpoint's report: newest row per component, the first 50 components."""
     return T.latest_telemetry(telemetry_wide(table(spark, sf, "events")), PIVOT, NOW, days=30,
                               n=50, tie="event_id")
+
+
+@register("sensor_columns", with_ctes(f"SELECT event_id, {_W2_COLS} FROM telemetry", "telemetry"))
+def q_sensor_columns(spark, sf):
+    """Readings under their output names, absent ones 0."""
+    return T.as_sensor_columns(telemetry_wide(table(spark, sf, "events")),
+                               {**PIVOT, "event_id": "event_id"}) \
+        .withColumn("event_id", F.col("event_id").cast("long"))
+
+
+@register("ordered_triples", with_ctes(
+    "SELECT s, p, o, timestamp, rank() OVER (ORDER BY s, p) AS place FROM ("
+    " SELECT s, p, o, timestamp FROM triples"
+    " QUALIFY row_number() OVER (PARTITION BY s, p ORDER BY timestamp DESC, o DESC) = 1)",
+    "triples"))
+def q_ordered_triples(spark, sf):
+    """Latest triples in subject, predicate order (L1); ``place`` is the position in it."""
+    t = T.order_by_component_property(T.latest_triples(triples(table(spark, sf, "events"))))
+    # rows before each range partition of the sorted result: one row per partition
+    t = t.withColumn("_n", F.monotonically_increasing_id())
+    part = F.shiftright("_n", 33)
+    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    size = t.groupBy(part.alias("_p")).count().select("_p", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("_b"))
+    place = (F.col("_b") + F.col("_n").bitwiseAND((1 << 33) - 1) + 1).alias("place")
+    return t.withColumn("_p", part).join(size, "_p").select("s", "p", "o", "timestamp", place)
+
+
+@register("line_batches", with_ctes(
+    "SELECT line_id, event_id, signup, view, purchase, click, error FROM telemetry", "telemetry"))
+def q_line_batches(spark, sf):
+    """Batches of three lines stacked again by column name."""
+    t = telemetry_wide(table(spark, sf, "events"))
+    cols = ["line_id", "event_id", "signup", "view", "purchase", "click", "error"]
+    parts = [t.filter(F.col("line_id") == f"line-{i}").select(*(cols if i % 2 else cols[::-1])) for i in range(3)]
+    return concat_batches(parts).select(*cols)
+
+
+@register("mapped_targets",
+          f"SELECT 'customer' AS target, '{NS}/component-c' || CAST(c_custkey AS VARCHAR) AS s, p, o FROM customer,"
+          f" LATERAL (VALUES ('rdf:type', '{NS}/type/Customer'), ('{NS}/pred/name', c_name)) v(p, o) WHERE o IS NOT NULL"
+          f" UNION ALL SELECT 'supplier', '{NS}/component-s' || CAST(s_suppkey AS VARCHAR), p, o FROM supplier,"
+          f" LATERAL (VALUES ('rdf:type', '{NS}/type/Supplier'), ('{NS}/pred/name', s_name)) v(p, o) WHERE o IS NOT NULL")
+def q_mapped_targets(spark, sf):
+    """Two tables mapped to two targets in one call (M3)."""
+    def mapping(prefix, key, name, kind):
+        return TripleMapping(subject=component_iri(F.concat(F.lit(prefix), F.col(key).cast("string")), NS),
+                             rdf_type=type_iri(kind, NS),
+                             predicate_objects={predicate_iri("name", NS): F.col(name)}, metadata={})
+    got = map_many({n: table(spark, sf, n) for n in ("customer", "supplier")},
+                   {"customer": mapping("c", "c_custkey", "c_name", "Customer"),
+                    "supplier": mapping("s", "s_suppkey", "s_name", "Supplier")})
+    return concat_batches([d.select(F.lit(n).alias("target"), "s", "p", "o") for n, d in sorted(got.items())])
+
+
+@register("quoted_uris",
+          "SELECT p_partkey, 'http://parts.example.com/' || replace(p_name, ' ', '%20') || '?a=1&b=%22' || CAST(p_partkey AS VARCHAR)"
+          " AS uri FROM part")
+def q_quoted_uris(spark, sf):
+    """IRIs with blanks, brackets and HTML entities cleaned."""
+    raw = F.concat(F.lit("< http://parts.example.com/"), F.col("p_name"), F.lit("?a=1&amp;b=&quot;"),
+                   F.col("p_partkey").cast("string"), F.lit(" >"))
+    return table(spark, sf, "part").select("p_partkey", clean_uri(raw).alias("uri"))
