@@ -26,7 +26,7 @@ from otgraph.llm.common import Words, chunked, mix
 
 HASH_BITS = 18
 CHAR_N = 4
-FIT_ROWS, FIT_CHARS = 4000, 12_000_000
+FIT_ROWS, FIT_CHARS = 4000, 7_000_000
 THRESHOLD = 0.5
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 10, 5, 20
 SYMBOLS = "#*$%&|<>"
