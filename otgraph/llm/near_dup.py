@@ -16,7 +16,8 @@ have Jaccard similarity of at least ``num/den`` are linked; components follow li
   completely, block by block (a large bucket is split into pairs of blocks of ``BLOCK`` members):
   members of different components within the radius are paired if a second signature of ``FINE`` one-byte
   slots also lets them reach the similarity (all but 3e-6 of true links do), each pair in the first
-  of its common buckets only, and verified. So no link between components is lost, and the
+  of its common buckets only, and verified: first each member with its most similar other one, then,
+  in the buckets still open, all. So no link between components is lost, and the
   unlinked pairs of a group are not listed.
 * Components: smallest label over links, with pointer jumping, from written tables.
 
@@ -183,9 +184,9 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def _near_pairs(limit: int):
+def _near_pairs(limit: int, best: bool):
     """Pairs of one pair of blocks of a bucket: of different components, within the radius and the
-    fine limit, in the first bucket they share."""
+    fine limit, in the first bucket they share; with ``best`` only each member's most similar."""
     def run(keys: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
@@ -201,13 +202,29 @@ def _near_pairs(limit: int):
                 if len(j):
                     j = j[ka[i][np.argmax(kb[j] == ka[i], axis=1)] == here]
                 if len(j):
-                    j = j[(fb[j] != fa[i]).sum(axis=1) <= limit]
+                    d = (fb[j] != fa[i]).sum(axis=1)
+                    j = j[d <= limit]
+                    if best and len(j):
+                        j = j[[np.argmin(d[d <= limit])]]
                 out += [(min(ra[i], r), max(ra[i], r)) for r in rb[j]]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def _open_pairs(left: DataFrame, reps: DataFrame, fine: DataFrame, limit: int, best: bool) -> DataFrame:
+    """Pairs to verify among the members (key, rep, comp, c) of open buckets."""
+    left = left.join(reps.select("rep", "sig"), "rep").join(fine.select("rep", F.col("s").alias("fine")), "rep")
+    nb = F.ceil(F.col("c") / BLOCK).cast("int")
+    blk = left.select("key", "rep", "comp", "sig", "fine", nb.alias("nb"), F.pmod(F.xxhash64("rep", F.lit(5)), nb).cast("int").alias("blk"))
+    rest = ["rep", "comp", "sig", "fine"]
+    one = blk.withColumn("other", F.explode(F.expr("sequence(blk, nb - 1)"))).select("key", F.col("blk").alias("i"), F.col("other").alias("j"), *rest)
+    two = blk.withColumn("other", F.explode(F.expr("sequence(0, blk)"))).select(
+        F.col("key").alias("key"), F.col("other").alias("i"), F.col("blk").alias("j"), *rest)
+    two = two.select(*[F.col(c).alias(c) for c in two.columns])          # attributes of its own
+    return one.groupBy("key", "i", "j").cogroup(two.groupBy("key", "i", "j")).applyInPandas(_near_pairs(limit, best), "a long, b long").distinct()
+
+
 def near_classes(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100) -> DataFrame:
     """(doc_id, _tk, n_shingles, component_id, kept) for every distinct (doc_id, text) row."""
     sig = written(signatures(docs, k).dropDuplicates(["doc_id", "_tk"]), "nd-sig")
@@ -222,21 +239,21 @@ def near_classes(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100) ->
     stars = member.where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
     links = written(verified(written(stars, "nd-pairs"), reps, docs, k, num, den), "nd-links")
     comp = components(links)
-    # buckets that still hold more than one component
-    named = member.join(comp, member["rep"] == comp["node"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    open_ = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x <> y").select("key", "c")
-    left = written(named.join(open_.where("c > 2"), "key"), "nd-open")
-    fine = _of_sets(_texts_of(left.select("rep").distinct(), reps, docs), k, lambda s: fine_signature(s).tobytes(), pa.binary(), "rep long, s binary", "nd-fine")
-    left = left.join(reps.select("rep", "sig"), "rep").join(fine.select("rep", F.col("s").alias("fine")), "rep")
-    nb = F.ceil(F.col("c") / BLOCK).cast("int")
-    blk = left.select("key", "rep", "comp", "sig", "fine", nb.alias("nb"), F.pmod(F.xxhash64("rep", F.lit(5)), nb).cast("int").alias("blk"))
-    one = blk.withColumn("other", F.explode(F.expr("sequence(blk, nb - 1)"))).select("key", F.col("blk").alias("i"), F.col("other").alias("j"), "rep", "comp", "sig", "fine")
-    two = blk.withColumn("other", F.explode(F.expr("sequence(0, blk)"))).select(F.col("key").alias("key"), F.col("other").alias("i"), F.col("blk").alias("j"), "rep", "comp", "sig", "fine")
-    two = two.select(*[F.col(c).alias(c) for c in two.columns])          # attributes of its own
-    more = one.groupBy("key", "i", "j").cogroup(two.groupBy("key", "i", "j")).applyInPandas(_near_pairs(fine_limit(num, den)), "a long, b long").distinct()
-    more = written(more.join(stars_done(stars), ["a", "b"], "left_anti"), "nd-more")
-    if more.limit(1).count():
-        comp = components(links.union(verified(more, reps, docs, k, num, den)))
+    # buckets that still hold more than one component: first each member with its most similar other
+    # one (which joins most of a group), then all that are left
+    done, fine = stars_done(stars), None
+    for best in (True, False):
+        named = member.join(comp, member["rep"] == comp["node"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+        open_ = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x <> y").select("key", "c")
+        left = written(named.join(open_.where("c > 2"), "key"), "nd-open")
+        if fine is None:
+            fine = _of_sets(_texts_of(left.select("rep").distinct(), reps, docs), k, lambda s: fine_signature(s).tobytes(), pa.binary(), "rep long, s binary", "nd-fine")
+        more = _open_pairs(left, reps, fine, fine_limit(num, den), best)
+        more = written(more.join(done, ["a", "b"], "left_anti"), "nd-more")
+        if more.limit(1).count():
+            links = written(links.union(verified(more, reps, docs, k, num, den)), "nd-links")
+            comp = components(links)
+        done = done.union(more)
     # back to documents: class → component → smallest document id
     doc = sig.select("doc_id", "_tk", "n", F.when(F.col("n") > 0, F.xxhash64("n", "s1", "s2")).alias("rep"))
     cid = reps.select("rep", F.col("doc_id").alias("rep_doc")).join(comp, reps["rep"] == comp["node"], "left").select("rep", "rep_doc", F.coalesce("comp", "rep").alias("comp"))
