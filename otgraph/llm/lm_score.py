@@ -99,16 +99,26 @@ def slot_counts(rows: DataFrame) -> DataFrame:
     return part.groupBy("slot").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
+def _packed(batches):
+    """Each batch of counts as one row of three arrays' bytes."""
+    for batch in batches:
+        cols = [batch.column(0).to_numpy().astype(np.int32), batch.column(1).to_numpy(), batch.column(2).to_numpy()]
+        yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cols], names=["slot", "background", "target"])
+
+
 def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ce_target, ce_background (bits a token) and score, their difference.
     ``target`` holds the ids (``doc_id``) of the target's documents."""
     rows = _flagged(docs, target)
-    got = slot_counts(rows).toPandas()                   # at most SLOTS rows
-    tables = np.zeros((2, SLOTS))
-    tables[0, got["slot"]] = got["background"]
-    tables[1, got["slot"]] = got["target"]
-    sizes = tables[:, :WORD_IDS].sum(axis=1).astype(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast((tables.astype(np.float32), sizes))
+    tables, sizes = np.zeros((2, SLOTS), np.float32), np.zeros(2, np.int64)
+    for r in slot_counts(rows).mapInArrow(_packed, "slot binary, background binary, target binary").collect():
+        slot = np.frombuffer(bytes(r["slot"]), np.int32)     # at most SLOTS slots in all
+        word = slot < WORD_IDS
+        for k, name in enumerate(("background", "target")):
+            count = np.frombuffer(bytes(r[name]), np.int64)
+            tables[k, slot] = count
+            sizes[k] += count[word].sum()
+    shared = docs.sparkSession.sparkContext.broadcast((tables, sizes))
 
     def run(batches):
         (background, target), (n_all, n_target) = shared.value
