@@ -4,9 +4,10 @@ A page becomes text lines (one per block element) with the zone they stand in. L
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are no text.
 Within each host the pages are ordered by URL path and paired with the neighbour that shares
 the longer path start; the lines of the pair are aligned by longest common subsequence and shared lines are
-deleted. An exact check follows: a line inside the page's article (``article``, else ``main`` element)
-belongs to the article and stays, whoever shares it; a page without such an element keeps the lines that
-no alignment deleted, and all its lines if every one was shared (a copy of its neighbour).
+deleted, on every page and in every zone. A check follows: if the shared lines of the page's article
+(``article``, else ``main`` element) have ``COPY_SHARE`` of the characters that are left without the shared lines
+around it, the page is a copy of its neighbour and the article's lines stay; a page without such an element keeps all
+its lines if every one was shared.
 
 Only line hashes travel between pages, found by rank (equi-joins on rank +- 1), so a host with a third of
 all pages is spread like any other.
@@ -51,6 +52,9 @@ SKIP_NAMES = re.compile(
     r"commentlist|respond|replies|reply|disqus|pagination|pager|toolbar|widgets?|login|signup|search|skip-link)(?:$|[\s_-])", re.I)
 
 
+COPY_SHARE = 0.5                # of a page's characters: from here on it is a copy
+
+
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)}
 
@@ -130,6 +134,15 @@ def page_lines(source: str | None) -> list[tuple[int, str]]:
     return out
 
 
+def deleted(lines: list[tuple[bool, int]], shared: list[int]) -> list[int]:
+    """The shared lines that go; ``lines``: whether the line is of the article, and its length."""
+    around = [i for i in shared if not lines[i][0]]
+    if not any(on for on, _ in lines):
+        return shared if len(shared) < len(lines) else []
+    rest = sum(n for _, n in lines) - sum(lines[i][1] for i in around)
+    return around if sum(lines[i][1] for i in shared if lines[i][0]) >= COPY_SHARE * rest else shared
+
+
 def content_zone(lines: list[tuple[int, str]]) -> int:
     """The innermost kind of main element the page has text in; 0: none."""
     return max((z for z, _ in lines), default=0)
@@ -178,20 +191,22 @@ def _place(url: str | None) -> tuple[str, str]:
 
 
 def outlines(pages: DataFrame) -> DataFrame:
-    """(page_id, _hk, host, path, open, h): line hashes of every page; ``open`` if it has no
-    article or main element with text."""
+    """(page_id, _hk, host, path, h, main, n): of every page the line hashes, whether the line is of
+    the article, and its length."""
     def run(batches):
         for batch in batches:
             rows = []
             for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
                 lines = page_lines(source)
-                rows.append((*_place(url), content_zone(lines) == 0 and bool(lines), [line_hash(x) for _, x in lines]))
-            cols = list(zip(*rows)) or [()] * 4
+                zone = content_zone(lines)
+                rows.append((*_place(url), [line_hash(x) for _, x in lines], [0 < zone == z for z, _ in lines], [len(x) for _, x in lines]))
+            cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("_hk"), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()),
-                 pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.list_(pa.int64()))], names=["page_id", "_hk", "host", "path", "open", "h"])
+                 pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.list_(pa.bool_())), pa.array(cols[4], pa.list_(pa.int32()))],
+                names=["page_id", "_hk", "host", "path", "h", "main", "n"])
 
-    return _rows(pages).mapInArrow(run, "page_id long, _hk long, host string, path string, open boolean, h array<long>")
+    return _rows(pages).mapInArrow(run, "page_id long, _hk long, host string, path string, h array<long>, main array<boolean>, n array<int>")
 
 
 def _rows(pages: DataFrame) -> DataFrame:
@@ -200,7 +215,7 @@ def _rows(pages: DataFrame) -> DataFrame:
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """(page_id, _hk, drop): lines that an open page shares with its nearest neighbour."""
+    """(page_id, _hk, drop): lines that a page shares with its nearest neighbour and that go."""
     order = ["host", "path", "page_id", "_hk"]
     placed = outlines(pages).dropDuplicates(["page_id", "_hk"]).repartitionByRange(*order).sortWithinPartitions(*order)
     ranked = written(placed.withColumn("_n", F.monotonically_increasing_id()), "html-lines")
@@ -209,9 +224,9 @@ def shared_lines(pages: DataFrame) -> DataFrame:
     size = ranked.groupBy(part.alias("_p")).count()
     size = size.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     rank = ranked.withColumn("_p", part).join(size, "_p").withColumn("rank", F.col("_b") + F.col("_n").bitwiseAND((1 << 33) - 1))
-    rank = written(rank.select("rank", "page_id", "_hk", "host", "path", "open", "h"), "html-rank")
+    rank = written(rank.select("rank", "page_id", "_hk", "host", "path", "h", "main", "n"), "html-rank")
     near = lambda step, name: rank.select((F.col("rank") + step).alias("rank"), F.struct("host", "path", "h").alias(name))
-    pairs = rank.where("open").join(near(1, "before"), "rank", "left").join(near(-1, "after"), "rank", "left")
+    pairs = rank.where(F.size("h") > 0).join(near(1, "before"), "rank", "left").join(near(-1, "after"), "rank", "left")
 
     def run(batches):
         for batch in batches:
@@ -224,21 +239,17 @@ def shared_lines(pages: DataFrame) -> DataFrame:
                         if same > most:
                             best, most = n, same
                 got = common_lines(r["h"], best["h"]) if best else []
-                drops.append(got if len(got) < len(r["h"]) else [])
+                drops.append(deleted(list(zip(r["main"], r["n"])), got))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("_hk"), pa.array(drops, pa.list_(pa.int32()))],
                                              names=["page_id", "_hk", "drop"])
 
-    out = pairs.select("page_id", "_hk", "host", "path", "h", "before", "after").mapInArrow(run, "page_id long, _hk long, drop array<int>")
+    out = pairs.select("page_id", "_hk", "host", "path", "h", "main", "n", "before", "after").mapInArrow(run, "page_id long, _hk long, drop array<int>")
     return written(out.where(F.size("drop") > 0), "html-drop")
 
 
 def main_text(source: str | None, drop=()) -> str:
-    lines = page_lines(source)
-    zone = content_zone(lines)
-    if zone:
-        return " ".join(x for z, x in lines if z == zone)
     gone = set(drop or ())
-    return " ".join(x for i, (_, x) in enumerate(lines) if i not in gone)
+    return " ".join(x for i, (_, x) in enumerate(page_lines(source)) if i not in gone)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

@@ -209,6 +209,17 @@ def test_html_differencing_without_article(spark, clash):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def test_html_differencing_in_and_around_articles(spark):
+    def page(i):
+        return (f"<p>Slogan</p><article><p>Teaser {i}</p><p>Read our terms</p></article><p>The real text of {i}</p><p>More of {i}</p>", f"Teaser {i} The real text of {i} More of {i}")
+    copy = [f"<p>Slogan</p><article><p>A long paragraph that both hold</p><p>edit {i}</p></article>" for i in range(2)]
+    rows = [(i, f"http://h.org/{i}", page(i)[0]) for i in range(4)] + [(10 + i, f"http://c.org/{i}", c) for i, c in enumerate(copy)] + [(20, "http://solo.org/", page(20)[0])]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(4)] == [page(i)[1] for i in range(4)]
+    assert [got[10 + i] for i in range(2)] == [f"A long paragraph that both hold edit {i}" for i in range(2)]
+    assert got[20] == "Slogan Teaser 20 Read our terms The real text of 20 More of 20"
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     rng = random.Random(2)
     for _ in range(300):
