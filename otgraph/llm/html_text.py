@@ -1,7 +1,9 @@
 """Main text of web pages: page structure and nearest-URL page differencing.
 
 A page becomes text lines (one per block element) with the zone they stand in. Lines of menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are no text.
+footers, sidebars, adverts, forms, scripts, styles and reader comments are no text. Elements are known by their
+tag and role, or by a whole class token or id of ``SKIP_NAMES`` if they neither are nor hold an article or main;
+other names are left to the differencing.
 Within each host the pages are ordered by URL path and paired with the neighbour that shares
 the longer path start; the lines of the pair are aligned by longest common subsequence and shared lines are
 deleted, on every page and in every zone. A check follows: if the shared lines of the page's article
@@ -45,13 +47,12 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
           "tt", "u", "var", "wbr", "img"}
 SKIP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu",
               "menubar", "toolbar", "tablist"}
-SKIP_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert(?:s|isements?|ising)?|sponsor(?:ed|s)?|promos?|promotion|banner|sidebar|side-bar|nav|navbar|navigation|"
-    r"menus?|breadcrumbs?|site-header|page-header|site-footer|page-footer|footer|masthead|cookies?|consent|gdpr|notices?|popup|"
-    r"modal|overlay|newsletter|subscribe|subscription|share|sharing|social|related|recommend(?:ed|ations)?|comments?|"
-    r"commentlist|respond|replies|reply|disqus|pagination|pager|toolbar|widgets?|login|signup|search|skip-link)(?:$|[\s_-])", re.I)
-
-
+SKIP_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertisements", "advertising", "sponsored", "promos", "sidebar", "side-bar",
+              "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "site-header", "page-header", "site-footer",
+              "page-footer", "footer", "masthead", "cookies", "cookie-notice", "cookie-banner", "cookie-bar", "cookie-consent", "gdpr",
+              "newsletter", "share-buttons", "social-links", "related", "related-posts", "related-articles", "comments", "comment-list",
+              "commentlist", "disqus", "disqus_thread", "pagination", "pager", "skip-link"}
+TITLED = {"section", "h1", "h2", "h3", "h4", "h5", "h6"}    # their ids are made from headings
 COPY_SHARE = 0.5                # of a page's characters: from here on it is a copy
 
 
@@ -59,24 +60,30 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)}
 
 
-def _skips(tag: str, raw: str) -> bool:
+def _skips(tag: str, raw: str) -> tuple[bool, bool]:
+    """Whether the element is no text, and whether it is none by its name unless it holds an article or main."""
     if tag in SKIP:
-        return True
+        return True, False
     if not raw.strip() or tag in ("html", "body"):
-        return False
+        return False, False
     a = _attributes(raw)
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in SKIP_ROLES:
-        return True
+        return True, False
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
-        return True
-    return any(SKIP_NAMES.search(a.get(k, "")) for k in ("class", "id"))
+        return True, False
+    if tag in ("article", "main") or a.get("role", "").lower() in ("main", "article"):
+        return False, False
+    names = a.get("class", "").lower().split()
+    if tag not in TITLED and "section" not in names:
+        names.append(a.get("id", "").strip().lower())
+    return False, not SKIP_NAMES.isdisjoint(names)
 
 
 def page_lines(source: str | None) -> list[tuple[int, str]]:
     """(zone, line) of the visible blocks, in page order. Zone 2: inside an article, 1: inside
     main, 0: elsewhere."""
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, bool, int]] = []           # open elements: name, skipped, zone
+    stack: list[list] = []                            # open elements: name, skipped, zone, first line if named for skipping or -1
     buf: list[str] = []
     skip, zone, at = False, 0, 0
     source = source or ""
@@ -88,6 +95,15 @@ def page_lines(source: str | None) -> list[tuple[int, str]]:
             if line:
                 out.append((zone, line))
 
+    def close(i: int):
+        nonlocal skip, zone
+        named = [e[3] for e in stack[i:] if e[3] >= 0]
+        if named:
+            flush()
+            del out[min(named):]
+        del stack[i:]
+        skip, zone = stack[-1][1:3] if stack else (False, 0)
+
     end = len(source)
     while at < end:
         m = _TOKEN.search(source, at)
@@ -109,28 +125,30 @@ def page_lines(source: str | None) -> list[tuple[int, str]]:
         if m[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    if tag in INLINE and (stack[i][1] or stack[i][2] != zone):
+                    if tag in INLINE and (stack[i][1] or stack[i][2] != zone or stack[i][3] >= 0):
                         flush()
-                    del stack[i:]
-                    skip, zone = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+                    close(i)
                     break
             continue
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
             continue
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
-            stack.pop()                                # an unclosed element ends where the next begins
-            skip, zone = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+            close(len(stack) - 1)                      # an unclosed element ends where the next begins
         if tag in RAW:
             stop = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
             at = stop.end() if stop else end
             continue
-        hides = skip or _skips(tag, m[3])
-        if hides and not skip:
+        hides, named = (True, False) if skip else _skips(tag, m[3])
+        if (hides or named) and not skip:
             flush()
         inner = 2 if tag == "article" else max(zone, 1) if tag == "main" or 'role="main"' in m[3] else zone
-        stack.append((tag, hides, inner))
+        if not hides and (tag in ("article", "main") or 'role="main"' in m[3]):
+            for e in stack:
+                e[3] = -1                              # what holds an article or main is not skipped by its name
+        stack.append([tag, hides, inner, len(out) if named else -1])
         skip, zone = hides, inner
     flush()
+    close(0)
     return out
 
 

@@ -209,6 +209,15 @@ def test_html_differencing_without_article(spark, clash):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def test_html_names_are_whole_tokens():
+    for page in ("<article class='post comments-open'><p>text</p></article>", "<div class='content has-sidebar'><p>text</p></div>",
+                 "<main id=search-results><p>text</p></main>", "<article><section id='related-work'><p>text</p></section></article>",
+                 "<article><div class=notice><p>text</p></div></article>", "<article class=comments>text</article>", "<main><section id=related>text</section></main>",
+                 "<div class=sidebar><div><article>text</article></div></div>", "<div class='Sidebar'><p>no<p>no</div>text", "<p>text<div id=comments><p>no"):
+        assert html_text.main_text(page) == "text", page
+    assert html_text.main_text("a<span class=ad>no</span>b<div class=menu>no<div class=ad>no</div>no</div>c") == "a b c"
+
+
 def test_html_differencing_in_and_around_articles(spark):
     def page(i):
         return (f"<p>Slogan</p><article><p>Teaser {i}</p><p>Read our terms</p></article><p>The real text of {i}</p><p>More of {i}</p>", f"Teaser {i} The real text of {i} More of {i}")
