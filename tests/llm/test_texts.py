@@ -282,6 +282,43 @@ def test_lm_scores_against_dictionaries(spark, clash):
     assert lm_score.score_documents(_docs(spark, rows).limit(0), target).count() == 0
 
 
+def test_lm_counts_grow_with_the_data(spark, monkeypatch):
+    """More distinct words and pairs than the former 2^17 and 2^20 table slots, in several units with
+    and without hot keys: the scores are those of exact counts."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in np.r_[rng.integers(0, 600_000, 3_000), rng.integers(0, 50, 50)]) for _ in range(400)]
+    rows, good = list(enumerate(texts)), set(range(0, 400, 3))
+    df, target = _docs(spark, rows).repartition(4), spark.createDataFrame([(i,) for i in good], "doc_id long")
+    monkeypatch.setattr(lm_score, "UNIT_CHARS", 300_000)
+    got = {r.doc_id: r for r in lm_score.score_documents(df, target).collect()}
+    monkeypatch.setattr(lm_score, "HOT", 0)
+    cold = {r.doc_id: r.score for r in lm_score.score_documents(df, target).collect()}
+    uni, hist, pair = ([Counter(), Counter()] for _ in range(3))
+    for d, t in rows:
+        w = t.split()
+        for k in ((0, 1) if d in good else (0,)):
+            uni[k].update(w)
+            hist[k].update(w[:-1])
+            pair[k].update(zip(w, w[1:]))
+    n, v = [sum(u.values()) for u in uni], len(uni[0])
+    assert v > lm_score.WORD_IDS and len(pair[0]) > 1 << 20 and len(got) == len(cold) == 400
+    for d in (0, 1, 2, 3, 200, 399):
+        w = texts[d].split()
+        own, ce = (Counter(w), Counter(w[:-1]), Counter(zip(w, w[1:]))), []
+        for k in (0, 1):
+            o = k == 0 or d in good
+            loss = 0.0
+            for i, x in enumerate(w):
+                p = (uni[k][x] - o * own[0][x] + lm_score.ALPHA) / (n[k] - o * len(w) + lm_score.ALPHA * v)
+                h = hist[k][w[i - 1]] - o * own[1][w[i - 1]] if i else 0
+                if h > 0:
+                    p = lm_score.LAMBDA * (pair[k][w[i - 1], x] - o * own[2][w[i - 1], x]) / h + (1 - lm_score.LAMBDA) * p
+                loss -= np.log2(p)
+            ce.append(loss / len(w))
+        assert got[d].ce_background == pytest.approx(ce[0], rel=1e-9) and got[d].ce_target == pytest.approx(ce[1], rel=1e-9)
+        assert got[d].score == pytest.approx(cold[d], abs=1e-9)
+
+
 # ---- quality ----
 def _counts(t):
     t = t or ""
