@@ -3,7 +3,7 @@
 Features of a text are the shares of its hashed word 1- and 2-grams and of its hashed byte
 4-grams in two tables of 2^18 weights (bounded, the same at every size). The regression is
 fitted on at most ``FIT_ROWS`` labelled rows and ``FIT_CHARS`` characters, taken in the order of a hash of
-the id; a fifth of them is kept apart to calibrate the probability (Platt). Scoring runs in Arrow
+the id (texts that do not fit are passed over); a fifth of them is kept apart to calibrate the probability (Platt). Scoring runs in Arrow
 batches over whole texts and compares the probability with the fixed ``THRESHOLD``.
 
 Next to the verdict stand counts with fixed limits: word characters, symbols, repeated lines, words in
@@ -11,7 +11,8 @@ Next to the verdict stand counts with fixed limits: word characters, symbols, re
 when over 20 percent of its words stand in repeated windows.
 
 Defined results: null text has no words and fails; empty likewise; conflicting label rows of one id
-take the lower; null labels are ignored; without both labels the classifier keeps everything;
+take the lower; null labels are ignored; without both labels the classifier keeps everything, a sample
+without texts of one of them is an error;
 repeated rows get equal results; an empty table gives no rows.
 """
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from otgraph.llm.common import Words, chunked, mix
+from otgraph.llm.common import Words, chunked, mix, need_both, sample_texts
 
 HASH_BITS = 18
 CHAR_N = 4
@@ -167,25 +168,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on a bounded sample of the labelled rows."""
     lab = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
            .where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")))
-    rank = F.xxhash64("doc_id")
     count = {r[0]: r[1] for r in lab.groupBy(F.col("quality") > 0).count().collect()}
-    rows, share = [], []
+    rows, share, many = [], [], {}
     for want in (True, False):
-        # at most FIT_ROWS / 2 ids of each label: bounded by the parameter
-        ids = lab.where((F.col("quality") > 0) == want).orderBy(rank, "doc_id").limit(FIT_ROWS // 2)
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        hit = texts.join(F.broadcast(ids.select("doc_id")), "doc_id").where("text is not null")
-        size = F.sum(F.char_length("text")).alias("n")
-        keep, total = [], 0
-        for r in hit.groupBy("doc_id").agg(size).orderBy(rank, "doc_id").collect():
-            total += r["n"]
-            if total > FIT_CHARS // 2:
-                break
-            keep.append((r["doc_id"],))
-        chosen = docs.sparkSession.createDataFrame(keep, "doc_id long")
-        got = {(r["doc_id"], r["text"]) for r in texts.join(F.broadcast(chosen), "doc_id").where("text is not null").toLocalIterator()}
-        rows += [(k, t, want) for k, t in sorted(got)]
+        got = sample_texts(docs, lab.where((F.col("quality") > 0) == want), FIT_ROWS // 2, FIT_CHARS // 2)
+        rows += [(k, t, want) for k, t in got]
         share.append(count.get(want, 0) / max(1, len(got)))
+        many[want] = len(got)
+    need_both(docs, count, many)
     apart = np.array([k * 2654435761 % 4294967296 % 5 == 0 for k, _, _ in rows], bool)
     return fit([t for _, t, _ in rows], np.array([q for _, _, q in rows], bool), apart, tuple(share))
 

@@ -14,12 +14,12 @@ landmarks, trained on labelled sentences.
 * **Document**: the largest sentence margin, calibrated to a probability.
 
 The fit uses at most ``TOXIC_ROWS`` + ``CLEAN_ROWS`` labelled rows and ``SAMPLE_CHARS`` characters,
-taken in the order of a hash of the id, and only rows whose crc32(doc_id) mod 5 is not 0. Scoring
+taken in the order of a hash of the id (texts that do not fit are passed over), and only rows whose crc32(doc_id) mod 5 is not 0. Scoring
 covers every character of every text.
 
 Defined results: null or empty texts score as a text without any known word; conflicting label rows
 of one id count as toxic; null labels or ids are ignored for fitting; without toxic labels every
-score is 0; repeated rows get equal scores; a null doc_id is held out (it has no remainder).
+score is 0, a sample without texts of one of both labels is an error; repeated rows get equal scores; a null doc_id is held out (it has no remainder).
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from otgraph.llm.common import need_both, sample_texts
+
 P = 4                   # subsequence length
 DECAY = 0.6             # weight per spanned character
 POWER = 2               # polynomial over the share of K(z, z): keeps near misses small
@@ -333,24 +335,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     lab = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
            .where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
            .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    rank = F.xxhash64("doc_id")
     counts = {r[0]: r[1] for r in lab.groupBy((F.col("toxic") > 0)).count().collect()}
-    rows = []
-    for want, most in ((True, TOXIC_ROWS), (False, CLEAN_ROWS)):
-        ids = lab.where((F.col("toxic") > 0) == want).orderBy(rank, "doc_id").limit(most)
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        # at most ``most`` ids: bounded by the parameter
-        hit = texts.join(F.broadcast(ids.select("doc_id")), "doc_id").where("text is not null")
-        picked = hit.select("doc_id", F.char_length("text").alias("n")).distinct().orderBy(rank, "doc_id", "n").limit(2 * most).collect()
-        size, keep = 0, []
-        for r in picked:
-            size += r["n"]
-            if size > SAMPLE_CHARS * (0.4 if want else 0.6):
-                break
-            keep.append(r["doc_id"])
-        chosen = docs.sparkSession.createDataFrame([(k,) for k in sorted(set(keep))], "doc_id long")
-        got = {(r["doc_id"], r["text"]) for r in texts.join(F.broadcast(chosen), "doc_id").where("text is not null").toLocalIterator()}
-        rows += [(k, t, want) for k, t in sorted(got)]
+    rows, many = [], {}
+    for want, most, part in ((True, TOXIC_ROWS, 0.4), (False, CLEAN_ROWS, 0.6)):
+        got = sample_texts(docs, lab.where((F.col("toxic") > 0) == want), most, int(SAMPLE_CHARS * part))
+        rows += [(k, t, want) for k, t in got]
+        many[want] = len(got)
+    need_both(docs, counts, many)
     toxic = np.array([r[2] for r in rows], bool)
     share = {w: counts.get(w, 0) / max(1, int((toxic == w).sum())) for w in (True, False)}
     return fit([r[1] for r in rows], toxic, np.where(toxic, share[True], share[False]) if rows else np.zeros(0))

@@ -349,6 +349,36 @@ def test_quality_counts_and_held_out_accuracy(spark, clash):
     assert quality.train(docs, labels.limit(0)).word is None
 
 
+def _hash_order(spark, ids):
+    return [r.doc_id for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").orderBy(F.xxhash64("doc_id")).collect()]
+
+
+def test_samples_pass_over_texts_that_do_not_fit(spark, monkeypatch):
+    order = _hash_order(spark, range(40))
+    good = ["a plain sentence about rivers and hills number", "!!## buy $$$ ||| now %%% <<<"]
+    texts = {d: f"{good[i % 2]} {d}" for i, d in enumerate(order)}
+    texts[order[0]] = texts[order[1]] = "long " * 1000            # the first ids of both classes
+    rows = [*texts.items(), *[(order[2], f"other text {i}") for i in range(200)], *[(order[4], None)] * 3]
+    docs = _docs(spark, rows)
+    labels = spark.createDataFrame([(d, (i + 1) % 2, i % 2) for i, d in enumerate(order)], "doc_id long, quality int, toxic int")
+    seen = {}
+    monkeypatch.setattr(quality, "FIT_CHARS", 8000)
+    monkeypatch.setattr(quality, "fit", lambda t, y, *_: seen.update(quality=Counter(y.tolist())))
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 8000)
+    monkeypatch.setattr(toxicity, "held_out", lambda c: F.lit(False))
+    monkeypatch.setattr(toxicity, "fit", lambda t, y, *_: seen.update(toxicity=Counter(y.tolist())))
+    quality.train(docs, labels)
+    toxicity.train(docs, labels)
+    for n in seen.values():
+        assert 19 <= n[True] <= 24 and 19 <= n[False] <= 24
+    monkeypatch.setattr(quality, "FIT_CHARS", 10)
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 10)
+    for m in (quality, toxicity):
+        with pytest.raises(ValueError, match="sample"):
+            m.train(docs, labels)
+        m.train(docs.limit(0), labels)
+
+
 def test_words_are_the_contract_pattern():
     texts = ["a\x0bB\x1cc  d", "", "ÉÀ éà", None, "x"]
     w = Words(texts)
