@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from otgraph.llm.common import chunked
 
 # Fixed values: (kind, regex, group that must have the length, least length). A run of hex digits
-# under 16 never counts, so its rule asks for 16 at once: the runs found are the same.
+# under 16 never counts, so its rule asks for 16 at once: the runs found are the same. If a rule has a
+# group ``span``, that is the span; url_login looks at each run of scheme characters once.
 RULES = [
     ("assign", r"((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
                r"|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
@@ -43,7 +44,7 @@ RULES = [
     ("google", r"AIza[0-9A-Za-z_-]{35}", 0, 0),
     ("stripe", r"[sr]k_(?:live|test)_[0-9a-zA-Z]{16,}", 0, 0),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
-    ("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{1,64}@", 0, 0),
+    ("url_login", r"(?<![a-z0-9+.-])[0-9+.-]*+(?P<span>[a-z][a-z0-9+.-]++://[^\s/:@]++:[^\s/:@]++@)", 0, 0),
 ]
 BASE = ("assign", "access", "hex")
 MAX_ALTERNATIVES = 256
@@ -171,10 +172,11 @@ class Scanner:
             index = self.postings(part)
             for k, ((regex, group, least), query) in enumerate(zip(self.rules, self.queries)):
                 rows = self.candidates(query, index, len(part)) if query else range(len(part))
+                span = regex.groupindex.get("span", 0)
                 for i in rows:
                     for m in regex.finditer(part[i]):
                         if m.end(group) - m.start(group) >= least:
-                            found[a + i].append((m.start(), k, m.end()))
+                            found[a + i].append((m.start(span), k, m.end(span)))
         for f in found:
             f.sort()
         return found

@@ -129,6 +129,15 @@ def test_secrets_against_plain_regexes(spark, clash):
     assert got[6].base_sha256 == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
+def test_login_urls_of_any_length():
+    urls = ["https://bot:" + "t" * 500 + "@h/x", "git+ssh://" + "u" * 90 + ":pw@h", "a" * 40 + "://u:p@h", "http://u:p@h"]
+    text = " ".join(f"see 1-{u} and http://h/p:q@" for u in urls)
+    want = [text.index(u) for u in urls]
+    found = secrets.Scanner(secrets.RULES[-1:]).scan([text, "://" + "a1" * 500_000, None])
+    assert [(s, text[s:e]) for s, _, e in found[0]] == [(s, u[:u.index("@") + 1]) for s, u in zip(want, urls)] and not found[1] and not found[2]
+    assert secrets.trigram_query(secrets.RULES[-1][1]) == [[frozenset({"://"})]]
+
+
 def test_trigram_queries_are_mandatory():
     assert secrets.trigram_query("[0-9a-f]{16,}") == []
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == [[frozenset({"aki", "kia"})]]
