@@ -1,7 +1,7 @@
 """Every registered query against its DuckDB oracle on the smallest driver tables, plus the
 smoke entry point."""
 
-from conftest import SF_SMALL
+from small_data import SF_SMALL
 
 
 def test_entry(spark):

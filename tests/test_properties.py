@@ -11,7 +11,7 @@ from otgraph.operators import changes as C
 from otgraph.operators import graph as G
 from otgraph.operators import triples as T
 from otgraph.plans.adapters import table, telemetry_wide, triples
-from conftest import SF_SMALL
+from small_data import SF_SMALL
 
 T0 = dt.datetime(2024, 1, 1)
 
