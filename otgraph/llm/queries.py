@@ -89,3 +89,9 @@ FROM g
 def op6_html_text(spark: SparkSession, sf: str) -> DataFrame:
     from otgraph.llm.html_text import extract_text
     return extract_text(table(spark, sf, "pages"))
+
+
+@query
+def op11_runs(spark: SparkSession, sf: str) -> DataFrame:
+    from otgraph.llm.runs import periodic_runs
+    return periodic_runs(table(spark, sf, "documents"))
