@@ -36,5 +36,5 @@ def register(name: str, sql: str | None, rounded: tuple[str, ...] = (), digits:
 def load_all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     # Importing the modules registers their queries.
     from otgraph.plans import (q_events, q_gold, q_graph, q_models, q_sources,  # noqa: F401
-                               q_streaming, q_triples)
+                               q_stores, q_streaming, q_triples)
     return REGISTRY

@@ -20,11 +20,12 @@ from otgraph.operators.triples import latest_triples
 from otgraph.schemas import TELEMETRY
 from otgraph.session import ensure_checkpoint_dir
 from otgraph.sources.events import parse_tag_payloads, split_corrupt
+from otgraph.sources.latest_store import LatestStore
 from otgraph.sources.sinks import has_snapshot, read_snapshot, write_snapshot
 
 __all__ = ["checkpoint_path", "stream_telemetry", "stream_tag_payloads", "stream_table",
            "map_stream", "write_append", "dedupe_events", "dead_letter_stream",
-           "observe_ingest", "latest_stream", "rollup_stream", "run_available"]
+           "observe_ingest", "latest_stream", "latest_store_stream", "rollup_stream", "run_available"]
 
 
 def checkpoint_path(spark: SparkSession, name: str) -> str:
@@ -136,6 +137,15 @@ def latest_stream(triples: DataFrame, base: str, checkpoint: str,
     return w.start()
 
 
+def latest_store_stream(triples: DataFrame, store: LatestStore, checkpoint: str, origin: str = "stream",
+                        available_now: bool = False) -> StreamingQuery:
+    """Keep a bucketed store current (T5): a micro-batch writes the buckets it touches and nothing else. A replayed
+    epoch is recognised by its number and skipped."""
+    w = triples.writeStream.foreachBatch(lambda df, epoch: store.merge(df, origin, epoch) and None).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w
+    return w.start()
+
+
 def rollup_stream(stream: DataFrame, every: str = "1 minute", watermark: str = "10 minutes",
                   ts: str = "event_time", keys: tuple[str, ...] = ("asset_id", "signal_name"),
                   value: str = "value_numeric") -> DataFrame:
