@@ -1,4 +1,4 @@
-"""Graph-pattern queries over a triple DataFrame.
+"""Graph-pattern queries over a triple DataFrame.
 
 A pattern is a tuple ``(s, p, o)``; a term starting with ``?`` is a variable, anything else a
 constant matched on the lexical form (so an object can join a subject). Each pattern becomes a
@@ -6,16 +6,61 @@ filtered projection of the triples; patterns are joined on their shared variable
 groups are left-joined, filters are Spark SQL expressions over the variable names. A pattern
 that shares no variable with the rest would need a cartesian product and is rejected.
 SPARQL text is not parsed; this is the builder a Spark user calls.
+
+With ``stats`` (``predicate_stats``, collected once per graph) patterns that share a subject are one star: one scan
+and one aggregation per subject instead of a scan and a join per pattern. Predicates of which a subject may
+have more than ``STAR_MOST`` objects stay joins, so no subject's values pile up in a row. Stars and patterns are
+joined in order of the rows the counts let expect.
+
+A predicate may be a ``Path(predicate, "+" or "*")``: it is matched after the other patterns, from whichever end is
+bound (a constant, or the values the other patterns leave; of two bound ends the smaller), and never lists the pairs
+of the whole graph unless both ends are free.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Pattern = tuple[str, str, str]
+from otgraph.operators.graph import property_path
+
+#: Objects of one subject and predicate that a star may hold in a row.
+STAR_MOST = 16
+
+
+class Path(NamedTuple):
+    """One or more (``+``) or any number (``*``) of hops along a predicate."""
+
+    predicate: str
+    mode: str = "+"
+
+
+class Stat(NamedTuple):
+    """Of one predicate: triples, distinct subjects and objects (about), and the most objects of a subject."""
+
+    rows: int
+    subjects: int
+    objects: int
+    most: int
+
+
+Pattern = tuple[str, str | Path, str]
+Stats = dict[str, Stat]
+
+
+def predicate_stats(triples: DataFrame, patterns: Sequence[Pattern] | None = None) -> Stats:
+    """Counts per predicate: of all, or of those that ``patterns`` name."""
+    if patterns is not None:
+        triples = triples.where(F.col("p").isin(sorted({p for _, p, _ in patterns if isinstance(p, str) and not isinstance(p, Path) and not _is_var(p)})))
+    subjects = triples.groupBy("p", "s").agg(F.count("*").alias("n")).groupBy("p").agg(
+        F.sum("n").alias("rows"), F.count("*").alias("subjects"), F.max("n").alias("most"))
+    objects = triples.groupBy("p").agg(F.approx_count_distinct("o").alias("objects"))
+    return {r["p"]: Stat(r["rows"], r["subjects"], r["objects"], r["most"])
+            for r in subjects.join(objects, "p").collect()}              # a row per predicate
 
 
 def _is_var(t: str) -> bool:
@@ -46,11 +91,135 @@ def _n_consts(p: Pattern) -> int:
     return sum(0 if _is_var(t) else 1 for t in p)
 
 
-def bgp_match(triples: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
-    """Join the patterns on shared variables, most constrained first."""
-    todo = sorted(patterns, key=lambda p: -_n_consts(p))
-    if not todo:
+def match_star(triples: DataFrame, subject: str, parts: Sequence[tuple[str, str]]) -> DataFrame:
+    """Bindings of patterns (subject, p, o) with constant predicates: one scan, one aggregation per subject."""
+    preds = sorted({p for p, _ in parts})
+    df = triples.where(F.col("p").isin(preds) & F.col("s").isNotNull())
+    if not _is_var(subject):
+        df = df.where(F.col("s") == F.lit(subject))
+    held = df.groupBy("s").agg(*[F.collect_list(F.when(F.col("p") == p, F.struct("o"))).alias(f"_o{i}") for i, p in enumerate(preds)])
+    held = held.where(" and ".join(f"size(_o{i}) > 0" for i in range(len(preds))))
+    out, seen = held.withColumnRenamed("s", "_s"), {subject: "_s"}
+    for k, (p, o) in enumerate(sorted(parts, key=lambda x: _is_var(x[1]))):          # constants first: they only thin out
+        objects = F.col(f"_o{preds.index(p)}")
+        if not _is_var(o) or o in seen:
+            same = F.lit(o) if not _is_var(o) else F.col(seen[o])
+            out = out.withColumn("_one", F.explode(F.filter(objects, lambda x: x["o"] == same))).drop("_one")
+        else:
+            out = out.withColumn(f"_v{k}", F.explode(objects)).withColumn(f"_v{k}", F.col(f"_v{k}")["o"])
+            seen[o] = f"_v{k}"
+    return out.select(*[F.col(c).alias(_vname(v)) for v, c in seen.items() if _is_var(v)])
+
+
+def _expected(pattern: Pattern, stats: Stats) -> float:
+    """Rows to expect of a pattern."""
+    s, p, o = pattern
+    if _is_var(p):
+        return float(sum(x.rows for x in stats.values()))
+    x = stats.get(p, Stat(0, 1, 1, 0))
+    return x.rows / (1 if _is_var(s) else max(1, x.subjects)) / (1 if _is_var(o) else max(1, x.objects))
+
+
+def _units(triples: DataFrame, patterns: Sequence[Pattern], stats: Stats) -> list[tuple[float, list[str], DataFrame]]:
+    """(expected rows, variables, bindings) of the stars and of the patterns outside of them."""
+    by: dict[str, list[Pattern]] = defaultdict(list)
+    rest = []
+    for pat in patterns:
+        s, p, _ = pat
+        if not _is_var(p) and stats.get(p, Stat(0, 0, 0, 0)).most <= STAR_MOST:
+            by[s].append(pat)
+        else:
+            rest.append(pat)
+    out = []
+    for s, pats in by.items():
+        if len(pats) == 1:
+            rest += pats
+            continue
+        names = list(dict.fromkeys(v for p in pats for v in match_pattern_vars(p)))
+        out.append((min(_expected(p, stats) for p in pats), names, match_star(triples, s, [(p, o) for _, p, o in pats])))
+    return out + [(_expected(p, stats), match_pattern_vars(p), match_pattern(triples, p)) for p in rest]
+
+
+def _joined(units: list[tuple[float, list[str], DataFrame]]) -> DataFrame:
+    """All units joined, the least expected rows first, each to what it shares a variable with."""
+    todo = sorted(units, key=lambda u: u[0])
+    _, names, result = todo.pop(0)
+    names = list(names)
+    while todo:
+        i = next((i for i, u in enumerate(todo) if set(u[1]) & set(names)), None)
+        if i is None:
+            raise ValueError("patterns are not connected; a cartesian product is not built")
+        _, more, df = todo.pop(i)
+        result = result.join(df, on=[v for v in more if v in names], how="inner")
+        names += [v for v in more if v not in names]
+    return result
+
+
+def match_path(triples: DataFrame, pattern: Pattern, left: DataFrame | None = None, right: DataFrame | None = None) -> DataFrame:
+    """Bindings of a pattern with a ``Path``, joined to the bindings that know its subject (``left``) and its object
+    (``right``; may be the same frame)."""
+    s, path, o = pattern
+
+    def side(term: str, known: DataFrame | None) -> DataFrame | None:
+        """The nodes of an end that is bound."""
+        if not _is_var(term):
+            return triples.sparkSession.createDataFrame([(term,)], "node string")
+        return None if known is None else known.select(F.col(_vname(term)).alias("node")).distinct()
+
+    start, end = side(s, left), side(o, right)
+    if start is not None and end is not None:            # walk from the smaller end
+        n = [1 if not _is_var(t) else df.count() for t, df in ((s, start), (o, end))]
+        start, end = (start, None) if n[0] <= n[1] else (None, end)
+    pairs = property_path(triples, path.predicate, path.mode, start, end)
+    for c, term in (("x", s), ("y", o)):
+        if not _is_var(term):
+            pairs = pairs.where(F.col(c) == F.lit(term))
+    if s == o:
+        pairs = pairs.where("x = y").drop("y")
+    pairs = pairs.select(*[F.col(c).alias(_vname(t)) for c, t in (("x", s), ("y", o)) if c in pairs.columns and _is_var(t)])
+    out = pairs
+    for known in [df for i, df in enumerate((left, right)) if df is not None and not (i and df is left)]:
+        shared = [c for c in out.columns if c in known.columns]
+        if shared:
+            out = known.join(out, on=shared, how="inner")
+        else:                                            # both ends constant: all bindings or none
+            out = known if not out.isEmpty() else known.limit(0)
+    return out
+
+
+def _groups(patterns: Sequence[Pattern]) -> list[list[Pattern]]:
+    """Patterns that hang together by variables."""
+    out: list[list[Pattern]] = []
+    for p in patterns:
+        mine = [g for g in out if any(set(match_pattern_vars(p)) & set(match_pattern_vars(q)) for q in g)]
+        out = [g for g in out if g not in mine] + [[q for g in mine for q in g] + [p]]
+    return out
+
+
+def bgp_match(triples: DataFrame, patterns: Sequence[Pattern], stats: Stats | None = None) -> DataFrame:
+    """Join the patterns on shared variables: by the counts of ``stats``, else most constrained first; paths last, those
+    with a bound end first. A path may be what joins two groups of patterns."""
+    paths = [p for p in patterns if isinstance(p[1], Path)]
+    todo = sorted((p for p in patterns if not isinstance(p[1], Path)), key=lambda p: -_n_consts(p))
+    if not todo and not paths:
         raise ValueError("no patterns")
+    found = [_joined(_units(triples, g, stats)) if stats is not None else _in_order(triples, g)
+             for g in (_groups(todo) if paths else [todo] if todo else [])]
+    while paths:
+        knows = lambda t: next((d for d in found if _is_var(t) and _vname(t) in d.columns), None)
+        paths.sort(key=lambda p: -sum(not _is_var(t) or knows(t) is not None for t in (p[0], p[2])))
+        path = paths.pop(0)
+        left, right = knows(path[0]), knows(path[2])
+        if left is None and right is None and not match_pattern_vars(path):
+            left = right = found[0] if found else None   # two constants: a condition on the rest
+        found = [match_path(triples, path, left, right)] + [d for d in found if d is not left and d is not right]
+    if len(found) > 1:
+        raise ValueError("patterns are not connected; a cartesian product is not built")
+    return found[0]
+
+
+def _in_order(triples: DataFrame, todo: list[Pattern]) -> DataFrame:
+    todo = list(todo)
     first = todo.pop(0)
     result = match_pattern(triples, first)
     while todo:
@@ -92,18 +261,18 @@ def bgp_select(triples: DataFrame, patterns: Sequence[Pattern] = (),
                distinct: bool = False, order_by: Sequence[str] | None = None,
                limit: int | None = None, group_by: Sequence[str] | None = None,
                aggregates: dict[str, Column | str] | None = None,
-               having: Column | str | None = None) -> DataFrame:
+               having: Column | str | None = None, stats: Stats | None = None) -> DataFrame:
     """SELECT over basic graph patterns.
 
     ``union`` alternatives are matched separately and stacked by variable name, then joined to
     ``patterns`` (or used alone). ``optional`` groups are left joins on shared variables;
     ``filters`` apply after the optional groups, like SPARQL FILTER at group level. With
     ``aggregates`` (output name → aggregate) the bindings are grouped by ``group_by`` and ``having``
-    filters the groups.
+    filters the groups. ``stats`` (``predicate_stats``) orders the joins and joins stars in one scan.
     """
-    result: DataFrame | None = bgp_match(triples, patterns) if patterns else None
+    result: DataFrame | None = bgp_match(triples, patterns, stats) if patterns else None
     if union:
-        alts = [bgp_match(triples, g) for g in union]
+        alts = [bgp_match(triples, g, stats) for g in union]
         u = alts[0]
         for a in alts[1:]:
             u = u.unionByName(a, allowMissingColumns=True)
@@ -117,7 +286,7 @@ def bgp_select(triples: DataFrame, patterns: Sequence[Pattern] = (),
     if result is None:
         raise ValueError("nothing to match")
     for group in optional:
-        g = bgp_match(triples, group)
+        g = bgp_match(triples, group, stats)
         shared = [c for c in g.columns if c in result.columns]
         if not shared:
             raise ValueError("OPTIONAL group shares no variable with the patterns")

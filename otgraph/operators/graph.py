@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from otgraph.functions.iri import (DEPENDS_ON, PART_OF, PROPAGATES,  # noqa: F401 (re-exported)
                                    SUB_PROPERTY_OF, is_type_predicate, local_name)
-from otgraph.operators.recursion import reachable, walk_up
+from otgraph.operators.recursion import closure, reachable, walk_up
 
 
 def _ends(c: str, suffix: str):
@@ -59,8 +59,7 @@ def sub_property_closure(df: DataFrame) -> DataFrame:
     """Transitive ``subPropertyOf``: (sub, super, depth)."""
     edges = df.filter(_ends("p", "subPropertyOf")).select(F.col("s").alias("src"),
                                                          F.col("o").alias("dst"))
-    seeds = edges.select(F.col("src").alias("root"), F.col("dst").alias("node"))
-    r = reachable(edges, seeds, start_depth=1)
+    r = closure(edges)
     return r.select(F.col("root").alias("sub"), F.col("node").alias("super"), "depth")
 
 
@@ -161,16 +160,30 @@ def fault_impact(df: DataFrame, faulty: DataFrame, target: str = PROPAGATES,
     return r.filter(F.col("depth") > 0).select(F.col("root").alias("fault"), "node", "depth")
 
 
-def property_path(df: DataFrame, predicate: str, mode: str = "+") -> DataFrame:
-    """Pairs (x, y) with y reachable from x along ``predicate`` (G11): ``+`` one or more hops,
-    ``*`` also (x, x) for every node of the predicate's triples."""
-    e = df.filter(F.col("p") == predicate).select(F.col("s").alias("src"), F.col("o").alias("dst"))
-    seeds = e.select(F.col("src").alias("root"), F.col("dst").alias("node"))
-    r = reachable(e, seeds, start_depth=1)
-    plus = r.select(F.col("root").alias("x"), F.col("node").alias("y"))
-    if mode == "+":
-        return plus
-    if mode != "*":
+def property_path(df: DataFrame, predicate: str, mode: str = "+", start: DataFrame | None = None,
+                  end: DataFrame | None = None) -> DataFrame:
+    """Pairs (x, y) with y reachable from x along ``predicate`` (G11): ``+`` one or more hops, ``*`` also (x, x).
+
+    ``start`` (column ``node``) bounds x, ``end`` bounds y; the walk begins at the bound end, at ``start`` if both
+    are, and visits nothing that it does not lead to. A bound node is a zero-length path of its own
+    under ``*`` whether or not the predicate's triples name it; without a bound end all nodes of the triples are."""
+    if mode not in ("+", "*"):
         raise ValueError("mode must be '+' or '*'")
-    ends = e.select(F.col("src").alias("x")).unionByName(e.select(F.col("dst").alias("x")))
-    return plus.unionByName(ends.distinct().select("x", F.col("x").alias("y"))).distinct()
+    e = df.filter(F.col("p") == predicate).select(F.col("s").alias("src"), F.col("o").alias("dst"))
+    if start is None and end is None:
+        pairs = closure(e).select(F.col("root").alias("x"), F.col("node").alias("y"))
+        if mode == "+":
+            return pairs
+        ends = e.select(F.col("src").alias("x")).unionByName(e.select(F.col("dst").alias("x")))
+        return pairs.unionByName(ends.distinct().select("x", F.col("x").alias("y"))).distinct()
+    if start is None:
+        e = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    seeds = (end if start is None else start).select("node").where("node is not null").distinct()
+    first = seeds.join(e, seeds["node"] == e["src"]).select(F.col("src").alias("root"), F.col("dst").alias("node"))
+    pairs = reachable(e, first, start_depth=1).select("root", "node")
+    if mode == "*":
+        pairs = pairs.unionByName(seeds.select(F.col("node").alias("root"), "node")).distinct()
+    if start is None:
+        return pairs.select(F.col("node").alias("x"), F.col("root").alias("y"))
+    pairs = pairs.select(F.col("root").alias("x"), F.col("node").alias("y"))
+    return pairs if end is None else pairs.join(end.select(F.col("node").alias("y")).distinct(), "y", "left_semi").select("x", "y")

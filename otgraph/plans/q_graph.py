@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from otgraph.functions.iri import (DEPENDS_ON, PART_OF, PROPAGATES, RDF_TYPE, RDF_TYPE_IRI,
-                                   RDFS_LABEL, HAS_STATE)
+                                   RDFS_LABEL, RDFS_COMMENT, HAS_STATE)
 from otgraph.operators import bgp as B
 from otgraph.operators import graph as G
 from otgraph.plans.adapters import (BALANCE, LOCATED_IN, NS, SHIPPED_FROM, plant_graph,
@@ -254,3 +254,39 @@ def q_bgp_ask(spark, sf):
           f" AND e.p = '{PROPAGATES}')", recursive=True))
 def q_property_path_star(spark, sf):
     return G.property_path(_g(spark, sf), PROPAGATES, "*")
+
+
+@register("bgp_star", with_ctes(
+    "SELECT t.s AS c, l.o AS name, b.o AS balance, m.o AS segment, n.o AS nation, nl.o AS nation_name, r.o AS region"
+    f" FROM plant_graph t JOIN plant_graph l ON l.s = t.s AND l.p = '{RDFS_LABEL}'"
+    f" JOIN plant_graph b ON b.s = t.s AND b.p = '{BALANCE}' JOIN plant_graph m ON m.s = t.s AND m.p = '{RDFS_COMMENT}'"
+    f" JOIN plant_graph n ON n.s = t.s AND n.p = '{LOCATED_IN}' JOIN plant_graph nl ON nl.s = n.o AND nl.p = '{RDFS_LABEL}'"
+    f" JOIN plant_graph r ON r.s = n.o AND r.p = '{PART_OF}' WHERE t.p = 'rdf:type' AND t.o = '{_T}Customer'", "plant_graph"))
+def q_bgp_star(spark, sf):
+    """Two stars (customer, nation): two scans and one join, ordered by the counts per predicate."""
+    g = _g(spark, sf)
+    pats = [("?c", RDF_TYPE, _T + "Customer"), ("?c", RDFS_LABEL, "?name"), ("?c", BALANCE, "?balance"), ("?c", RDFS_COMMENT, "?segment"),
+            ("?c", LOCATED_IN, "?nation"), ("?nation", RDFS_LABEL, "?nation_name"), ("?nation", PART_OF, "?region")]
+    return B.bgp_select(g, pats, select=["?c", "?name", "?balance", "?segment", "?nation", "?nation_name", "?region"],
+                        stats=B.predicate_stats(g, pats))
+
+
+@register("bgp_path_to_constant", with_ctes(
+    f"SELECT a.s AS x, a.o AS balance FROM plant_graph a WHERE a.p = '{BALANCE}' AND a.s IN (SELECT x FROM up)", "plant_graph",
+    extra=f"up(x) AS (SELECT s FROM plant_graph WHERE p = '{PROPAGATES}' AND o = '{NS}/region-1'"
+          f" UNION SELECT e.s FROM up JOIN plant_graph e ON e.o = up.x AND e.p = '{PROPAGATES}')", recursive=True))
+def q_bgp_path_constant(spark, sf):
+    """Customers that a fault of one region reaches: the walk begins at the region."""
+    return B.bgp_select(_g(spark, sf), [("?x", BALANCE, "?balance"), ("?x", B.Path(PROPAGATES, "+"), f"{NS}/region-1")],
+                        select=["?x", "?balance"])
+
+
+@register("bgp_path_from_bindings", with_ctes(
+    "SELECT x, y, l.o AS name FROM up JOIN plant_graph l ON l.s = up.y"
+    f" AND l.p = '{RDFS_LABEL}'", "plant_graph",
+    extra=f"up(x, y) AS (SELECT s, s FROM plant_graph WHERE p = '{HAS_STATE}'"
+          f" UNION SELECT up.x, e.o FROM up JOIN plant_graph e ON e.s = up.y AND e.p = '{PROPAGATES}')", recursive=True))
+def q_bgp_path_bindings(spark, sf):
+    """Everything that degraded customers depend on, themselves included: the walk begins at the matched customers."""
+    return B.bgp_select(_g(spark, sf), [("?x", HAS_STATE, "?st"), ("?x", B.Path(PROPAGATES, "*"), "?y")],
+                        optional=[[("?y", RDFS_LABEL, "?name")]], filters=["name IS NOT NULL"], select=["?x", "?y", "?name"])

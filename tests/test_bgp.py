@@ -55,3 +55,73 @@ def test_random_patterns_against_brute_force(spark):
     def key(t):
         return tuple("" if v is None else v for v in t)
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def _random_graph(spark, rng, n=60):
+    names = [f"n{i}" for i in range(8)]
+    rows = [(rng.choice(names), rng.choice(["p", "q", "r", "t"]), rng.choice(names + ["x", "y", None])) for _ in range(n)]
+    return spark.createDataFrame(rows, "s string, p string, o string")
+
+
+PATTERNS = [
+    [("?a", "p", "?b"), ("?a", "q", "?c"), ("?a", "r", "x")],
+    [("?a", "p", "?b"), ("?a", "q", "?b"), ("?b", "t", "?d"), ("?b", "p", "?e"), ("?d", "?any", "?f")],
+    [("?a", "p", "?a"), ("?a", "q", "?c")],
+    [("n1", "p", "?b"), ("n1", "q", "?c"), ("?b", "t", "?c")],
+    [("?a", "p", "?b"), ("?a", "p", "?c"), ("?a", "missing", "?d")],
+    [("?a", "p", "x"), ("?a", "q", "y")],
+]
+
+
+def test_stars_and_join_order_give_the_same(spark, monkeypatch):
+    import random
+    rng = random.Random(2)
+    g = _random_graph(spark, rng)
+    stats = B.predicate_stats(g)
+    for most in (16, 2):                                 # with 2 some predicates stay joins
+        monkeypatch.setattr(B, "STAR_MOST", most)
+        for pats in PATTERNS:
+            plain, star = B.bgp_match(g, pats), B.bgp_match(g, pats, stats)
+            cols = sorted(plain.columns)
+            assert sorted(star.columns) == cols
+            rows = [sorted((tuple(r) for r in df.select(*cols).collect()), key=str) for df in (plain, star)]
+            assert rows[0] == rows[1], (most, pats)
+    with pytest.raises(ValueError):
+        B.bgp_match(g, [("?x", "p", "?y"), ("?z", "q", "x")], stats)
+
+
+def test_one_scan_per_star(spark, tmp_path):
+    _random_graph(spark, __import__("random").Random(3)).write.parquet(str(tmp_path / "g"))
+    g = spark.read.parquet(str(tmp_path / "g"))
+    pats = [("?a", "p", "?b"), ("?a", "q", "?c"), ("?a", "r", "?d"), ("?b", "t", "?e"), ("?b", "p", "?f")]
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+    assert scans(B.bgp_match(g, pats)) == 5
+    assert scans(B.bgp_match(g, pats, B.predicate_stats(g, pats))) == 2
+
+
+def _reach(rows, pred, mode):
+    edges = {(s, o) for s, p, o in rows if p == pred and s and o}
+    pairs = set(edges)
+    while more := {(a, d) for a, b in pairs for c, d in edges if b == c} - pairs:
+        pairs |= more
+    return pairs | ({(x, x) for e in edges for x in e} if mode == "*" else set())
+
+
+@pytest.mark.parametrize("mode", ["+", "*"])
+def test_paths_with_bound_ends(spark, mode):
+    import random
+    g = _random_graph(spark, random.Random(4), 40).where("o is not null")
+    rows = [tuple(r) for r in g.collect()]
+    pairs, path = _reach(rows, "p", mode), B.Path("p", mode)
+    zero = {("n1", "n1"), ("y", "y")} if mode == "*" else set()
+    got = lambda pats, *c: sorted(map(tuple, B.bgp_match(g, pats).select(*c).distinct().collect()))
+    assert got([("n1", path, "?y")], "y") == sorted({(b,) for a, b in pairs | zero if a == "n1"})
+    assert got([("?x", path, "y")], "x") == sorted({(a,) for a, b in pairs | zero if b == "y"})
+    q = {(s, o) for s, p, o in rows if p == "q" and s and o}
+    star = pairs | {(x, x) for e in q for x in e} if mode == "*" else pairs
+    assert got([("?a", "q", "?x"), ("?x", path, "?y")], "a", "x", "y") == sorted((a, x, y) for a, x in q for c, y in star if c == x)
+    assert got([("?x", "q", "?b"), ("?x", path, "?y"), ("?y", "q", "?d")], "x", "y", "d") == sorted({(x, y, d) for x, _ in q for c, y in star if c == x for e, d in q if e == y})
+    assert got([("?x", "q", "?y"), ("?x", path, "?y")], "x", "y") == sorted(q & star)
+    both = [("?x", "q", "?y"), ("n1", path, "n2")]
+    assert len(got(both, "x", "y")) == (len(q) if ("n1", "n2") in pairs else 0)
+    assert got([("?x", path, "?y")], "x", "y") == sorted(pairs)
