@@ -15,7 +15,7 @@ numbered by many tasks, and look up their slot in the broadcast plan (bounded by
 size, not by the data).
 
 Token ids are those of the byte-level BPE file of ``tokenizers``; the same vocabulary as ranks is
-read with tiktoken, and words that recur are encoded once per worker (tests compare the ids).
+read with tiktoken (tests compare the ids).
 
 Defined results: null and empty texts are one piece of the end token; repeated rows are packed
 once per row; null ids are packed like others; an empty table gives no rows.
@@ -24,8 +24,6 @@ once per row; null ids are packed like others; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
-import re
-import sys
 import zlib
 from array import array
 from collections import defaultdict
@@ -41,16 +39,12 @@ SIZE = 1024
 END_ID = 2
 RANKS = "byte_bpe_50k.tiktoken"     # the vocabulary of byte_bpe_50k.json as ranks
 WEIGHT_POWER = 1.0                  # of a length in the fit
-CACHE_WORDS = 400_000               # words a worker remembers before it starts afresh
 RANK_ROWS = 50_000                  # rows numbered by one task, on average
 
 
-class _Unusual(Exception):
-    """The fast split may differ from the tokenizer's: encode the whole text."""
-
-
-class Encoder(dict):
-    """Text → token ids (bytes of little-endian uint32); a dict of encoded words."""
+class Encoder:
+    """Text → token ids (bytes of little-endian uint32). The library splits and encodes a text in one pass over it
+    with its own Unicode tables, which agree with the tokenizer's."""
 
     def __init__(self, ranks: str = RANKS):
         import public_tokenizers as P
@@ -59,28 +53,9 @@ class Encoder(dict):
         with open(path, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("corpus", pat_str=P.PATTERN, mergeable_ranks=table, special_tokens={})
-        # The tokenizer's split in terms of ``re``; letters and digits differ from \p{L}, \p{N} only
-        # in numerals that are no decimal digits, and blanks in four control characters.
-        odd = "".join(chr(c) for c in range(sys.maxunicode + 1)
-                      if (s := chr(c)).isalnum() and not s.isalpha() and not s.isdecimal())
-        self.odd = re.compile(f"[{odd}\x1c-\x1f\x85]")
-        self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
-
-    def __missing__(self, word: str) -> bytes:
-        if not word.isascii() and self.odd.search(word) or word < "\x20" and self.odd.search(word):
-            raise _Unusual
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        out = self[word] = array("I", self.bpe.encode_ordinary(word)).tobytes()
-        return out
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        try:
-            return b"".join(map(self.__getitem__, self.split(text)))
-        except (_Unusual, UnicodeEncodeError):
-            return array("I", self.bpe.encode_ordinary(text)).tobytes()
+        return array("I", self.bpe.encode_ordinary(text)).tobytes() if text else b""
 
 
 _ENCODERS: dict[str, Encoder] = {}
