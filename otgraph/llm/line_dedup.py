@@ -3,15 +3,18 @@
 Lines are the ``\\n``-split parts of a text, compared after trimming blanks at their ends. Two
 lines are linked when they are equal, or when both have ``MIN_FUZZY`` characters or more and lie
 within one edit. A line goes when an earlier line (by doc_id, text hash, line number) is linked
-with it; blank lines and lines under ``MIN_CHARS`` characters are left alone.
+with it; blank lines are left alone.
 
-The join works on hashed keys in two steps:
+The join works on hashed keys in three steps:
 
 1. *Block deletions*: with one of ``BLOCKS`` equal blocks deleted, lines within one edit of each
    other are equal for the block that holds the edit. Keys shared by different lines are found by
    a grouping that combines before its shuffle; a bitmap of them (fixed size, no false negatives) keeps all other lines from
    moving at all. No linked pair is lost.
-2. *Character deletions*: inside the deleted block, the block itself and every variant with one
+2. *Narrowing*: the deleted block of the lines that share a key is cut into blocks in turn, again and again until it
+   has ``LEAF`` characters, and only keys shared by different lines go on. Lines that differ in more than one place, or by
+   a whole word, part here, so large groups of edited copies do not reach the last step.
+3. *Character deletions*: inside the deleted block, the block itself and every variant with one
    character deleted are hashed. A line that equals another's variant lacks one character of it;
    two lines with the same variant at the same place differ by one substitution. Each key keeps
    only its earliest line, so no pairs within a group are listed, and the edit distance to that
@@ -19,8 +22,9 @@ The join works on hashed keys in two steps:
 
 Defined results: null texts stay null and have no lines; repeated rows (same id, same text) are one
 row with equal verdicts; null ids come first; a document all of whose non-blank lines went has an
-empty text (``remove_lines`` drops it, as its content stands elsewhere); empty tables give
-empty tables.
+empty text (``remove_lines`` drops it, as its content stands elsewhere); of lines with the same place in the order
+none exist; extra columns of any name pass through ``remove_lines`` and are ignored elsewhere; empty tables give
+empty tables. A very long line is hashed ten times over and moves only if it shares a key.
 """
 
 from __future__ import annotations
@@ -33,9 +37,10 @@ from pyspark.sql import functions as F
 
 from otgraph.llm.common import mix, text_key, written
 
-MIN_CHARS = 8        # shorter lines are never removed
+MIN_CHARS = 1        # characters of the lines that are compared
 MIN_FUZZY = 24       # shorter lines are removed only when equal
 BLOCKS = 3
+LEAF = 8             # characters of a block that is not cut further
 BITS = 26            # log2 of the bitmap's bits: 8 MB whatever the data's size
 SEEN_LINES = 300_000  # lines a task remembers to skip repeats, before it starts afresh
 
@@ -152,6 +157,39 @@ def live_blocks(docs: DataFrame, shared: DataFrame) -> DataFrame:
     return rows.join(shared, "key", "left_semi").dropDuplicates(["key", "h", "h2"])
 
 
+def _cut_blocks(batches):
+    """Live rows with longer blocks → a row for every deleted block of the block."""
+    for batch in batches:
+        out, src = [], []
+        for i, (key, mid) in enumerate(zip(batch.column("key").to_pylist(), batch.column("mid").to_pylist())):
+            for k, a, b in block_keys(mid):
+                src.append(i)
+                out.append((_signed(int(mix(np.array([(k ^ key * 0x9E3779B1) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0])), mid[a:b]))
+        take, cols = pa.array(src, pa.int64()), list(zip(*out)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[batch.column(c).take(take) for c in ("h", "h2", "n", "first")],
+                                          pa.array(cols[1], pa.string())], names=["key", "h", "h2", "n", "first", "mid"])
+
+
+def narrowed(live: DataFrame) -> DataFrame:
+    """(key, h, h2, n, first, mid) with blocks of ``LEAF`` + 1 characters at most, whose key another line shares. Two
+    blocks one edit apart differ by one character at most: at each step both are cut, or both are leaves."""
+    leaves = []
+    size = F.char_length("mid")
+    while True:
+        leaves.append(live.where(size <= LEAF + 1))
+        longer = live.where(size > LEAF)
+        if longer.isEmpty():
+            break
+        parts = longer.select("key", "h", "h2", "n", "first", "mid").mapInArrow(
+            _cut_blocks, f"key long, h long, h2 long, n int, first {_FIRST}, mid string").dropDuplicates(["key", "h", "h2"])
+        shared = parts.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
+        live = written(parts.join(shared, "key", "left_semi"), "line-parts")
+    out = leaves[0]
+    for x in leaves[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def deletion_keys(mid: str) -> tuple[np.ndarray, np.ndarray, np.uint64]:
     """Hashes of all one-character deletions of ``mid``, by place; the places that give different
     variants (deletions inside a run of one character agree); and its own hash."""
@@ -197,7 +235,7 @@ def _variants(batches):
 def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """(h, h2) of distinct lines with an earlier line one edit away. ``firsts``: (h, h2, first)."""
     live = live_blocks(docs, written(shared_keys(docs), "line-keys"))
-    live = written(live.join(firsts, ["h", "h2"]), "line-blocks")
+    live = written(narrowed(written(live.join(firsts, ["h", "h2"]), "line-blocks")), "line-leaves")
     # which lengths meet under a key
     sizes = live.groupBy("key", "n").agg((F.min("h") != F.max("h")).alias("same"))
     longer = sizes.select("key", (F.col("n") - 1).alias("n"), F.lit(True).alias("longer"))

@@ -38,6 +38,12 @@ def _rows():
                 s = _edit(rng, s)
             lines.append(s)
         rows.append((d, "\n".join(lines)))
+    long = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    for d in range(100, 140):                            # copies of a long line: equal, one edit, a word, two places
+        s = long
+        for _ in range(d % 4):
+            s = _edit(rng, s) if d % 3 else s[:50 * (d % 7)] + "word" + s[50 * (d % 7):]
+        rows.append((d, s + "\nMenu\n" + rng.choice(["x", "OK", "", " "])))
     return rows + [(None, "null id line that is long enough to count"), (70, None), (71, ""), (5, rows[5][1])]
 
 
