@@ -11,7 +11,7 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -67,15 +67,17 @@ def forecast_vs_actual(forecast: DataFrame, actual: DataFrame, keys: Sequence[st
 
 def events_in_intervals(events: DataFrame, intervals: DataFrame, keys: Sequence[str],
                         ts: str = "ts", start: str = "start_ts", end: str = "end_ts",
-                        disjoint: bool = True, bucket_seconds: int = 86_400,
+                        disjoint: bool = True, bucket_seconds: int = 3600,
                         unit: str = "day") -> DataFrame:
     """Events inside ``[start, end]`` of an interval of the same key (J7). Open intervals
     (NULL end) are closed at their start.
 
     ``disjoint`` (intervals of a key never overlap, e.g. episodes): an as-of lookup — the
     latest interval starting at or before each event, then the end bound — so no event is
-    paired with any interval but its own. Otherwise a range join: intervals are expanded to the
-    time buckets they cover and joined on (key, bucket) before the exact bounds are checked.
+    paired with any interval but its own. Otherwise a range join: an interval is cut into dyadic pieces of cells of
+    ``bucket_seconds``, at most two of each scale, and an event looks up its cell at every scale that
+    occurs, so a ten-year interval is some thirty rows and all joins are on (key, scale, cell). Only events in the
+    cells that an interval covers in part are compared with its exact bounds in vain.
     """
     keys = list(keys)
     intervals = intervals.dropna(subset=keys)        # SQL: a NULL key matches nothing
@@ -93,13 +95,28 @@ def events_in_intervals(events: DataFrame, intervals: DataFrame, keys: Sequence[
         hit = filled.filter(F.col("_is_ev") & F.col("_hit").isNotNull()
                             & (F.col(ts) <= F.col("_hit._end")))
         return hit.select(*events.columns, *[F.col("_hit")[c].alias(c) for c in iv_cols])
-    ev = events.withColumn("_b", F.floor(F.unix_seconds(F.col(ts).cast("timestamp"))
-                                         / bucket_seconds))
-    iv = intervals.withColumn("_b", F.explode(F.sequence(
-        F.floor(F.unix_seconds(F.col(start).cast("timestamp")) / bucket_seconds),
-        F.floor(F.unix_seconds(end_c.cast("timestamp")) / bucket_seconds))))
-    j = ev.join(iv, on=keys + ["_b"], how="inner")
-    return j.filter((F.col(ts) >= F.col(start)) & (F.col(ts) <= end_c)).drop("_b")
+    cell = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / bucket_seconds)
+    iv = intervals.where(F.col(start) <= end_c).withColumn("_piece", F.explode(dyadic_pieces(cell(F.col(start)), cell(end_c) + 1)))
+    iv = iv.withColumn("_k", F.col("_piece.k")).withColumn("_c", F.col("_piece.c")).drop("_piece")
+    scales = sorted(r["_k"] for r in iv.select("_k").distinct().collect())           # at most 63
+    ev = events.withColumn("_k", F.explode(F.array(*[F.lit(k) for k in scales]).cast("array<int>"))) \
+        .withColumn("_c", F.call_function("shiftright", cell(F.col(ts)), F.col("_k")))
+    j = ev.join(iv, on=keys + ["_k", "_c"], how="inner")
+    return j.filter((F.col(ts) >= F.col(start)) & (F.col(ts) <= end_c)).drop("_k", "_c")
+
+
+def dyadic_pieces(first: Column, end: Column) -> Column:
+    """The cells [first, end) as an array of (k, c): piece c of scale k covers the cells from c * 2^k on, 2^k of them;
+    pieces do not overlap and at most two share a scale. At scale k the cells left are those from ceil(first / 2^k) to
+    floor(end / 2^k): an odd first and an odd end belong to no piece of the next scale."""
+    def at(k: Column) -> Column:
+        lo, hi = -F.call_function("shiftright", -first, k), F.call_function("shiftright", end, k)
+        left = F.when((lo < hi) & (lo % 2 != 0), F.struct(k.alias("k"), lo.alias("c")))
+        right = F.when((lo < hi) & (hi % 2 != 0), F.struct(k.alias("k"), (hi - 1).alias("c")))
+        return F.array(left, right)
+
+    scales = F.sequence(F.lit(0), F.ceil(F.log2(end - first)).cast("int") + 1)
+    return F.filter(F.flatten(F.transform(scales, at)), lambda x: x.isNotNull())
 
 
 # ------------------------------------------------------------------ integrals -----------------

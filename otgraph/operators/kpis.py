@@ -116,3 +116,18 @@ def poi_vs_plant(df: DataFrame, keys: Sequence[str], ts: str, kind: str, power:
     return agg.select(*keys, "bucket_start", "plant_net_kw",
                       flows["export_kw"].alias("export_kw"),
                       (flows["export_kw"] - F.col("plant_net_kw")).alias("difference_kw"))
+
+
+def meter_vs_plant(plant: DataFrame, meter: DataFrame, keys: Sequence[str], ts: str, kind: str, power: str,
+                   kinds: Sequence[str], reading: str, now, hours: int = 6, every: str = "1 hour",
+                   tolerance: str | None = None) -> DataFrame:
+    """The meter's reading against the plant net per key and bucket over the last ``hours`` before ``now`` (A22). The plant
+    net sums the ``kinds`` of the bucket; the meter is read as of the bucket's end (J5), not earlier than
+    ``tolerance`` before it. Without a reading the difference is NULL."""
+    now_c = F.to_timestamp(F.lit(str(now)))
+    recent = plant.filter((F.col(ts) >= now_c - F.expr(f"INTERVAL {int(hours)} HOURS")) & (F.col(ts) < now_c) & F.col(kind).isin(list(kinds)))
+    net = recent.groupBy(*keys, F.window(F.col(ts), every).alias("_w")).agg(F.sum(power).alias("plant_net_kw"))
+    net = net.select(*keys, F.col("_w.start").alias("bucket_start"), F.col("_w.end").alias("bucket_end"), "plant_net_kw")
+    at_end = meter.select(*keys, F.col(ts).alias("bucket_end"), F.col(reading).alias("meter_kw"))
+    j = asof_join(net, at_end, keys, "bucket_end", ["meter_kw"], tolerance=tolerance, right_ts="meter_ts")
+    return j.select(*keys, "bucket_start", "plant_net_kw", "meter_kw", "meter_ts", (F.col("meter_kw") - F.col("plant_net_kw")).alias("difference_kw"))

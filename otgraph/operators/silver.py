@@ -94,6 +94,39 @@ def rollup_signals(df: DataFrame, every: str = "1 minute", ts: str = "event_time
     )
 
 
+def rollup_state(df: DataFrame, every: str, ts: str = "event_time", keys: Sequence[str] = ("asset_id", "signal_name"),
+                 value: str = "value_numeric", tie: str = "ingestion_timestamp") -> DataFrame:
+    """Mergeable state per key and tumbling bucket of ``every``: keys, window ``w``, ``total``, ``n``, ``least``, ``most`` and
+    ``last`` (time, tie, value). Sums of sums, greatest of greatest and so on give the states of larger
+    buckets (``rollup_merge``), so raw rows are read once for all sizes."""
+    return (df.filter(F.col(value).isNotNull()).groupBy(F.window(F.col(ts), every).alias("w"), *keys)
+            .agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"),
+                 F.max(F.struct(F.col(ts).alias("t"), F.col(tie).alias("tie"), F.col(value).alias("v"))).alias("last")))
+
+
+def rollup_merge(state: DataFrame, every: str, keys: Sequence[str] = ("asset_id", "signal_name")) -> DataFrame:
+    """The states of buckets of ``every`` from those of smaller ones that divide it. Works on streams too: the
+    window of a state carries its event time on."""
+    return (state.groupBy(F.window(F.window_time("w"), every).alias("w"), *keys)
+            .agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"),
+                 F.max("last").alias("last")))
+
+
+def rollup_values(state: DataFrame, keys: Sequence[str] = ("asset_id", "signal_name")) -> DataFrame:
+    """bucket_start, keys, avg, min, max, last and count of a state, as ``rollup_signals`` gives them."""
+    return state.select(F.col("w.start").alias("bucket_start"), *keys, (F.col("total") / F.col("n")).alias("avg_value"),
+                        F.col("least").alias("min_value"), F.col("most").alias("max_value"), F.col("last.v").alias("last_value"), "n")
+
+
+def rollup_chain(df: DataFrame, sizes: Sequence[str], **names) -> dict[str, DataFrame]:
+    """States of all ``sizes`` (ascending, each a multiple of the one before), every size from the next smaller one."""
+    keys = names.get("keys", ("asset_id", "signal_name"))
+    out = {sizes[0]: rollup_state(df, sizes[0], **names)}
+    for small, large in zip(sizes, sizes[1:]):
+        out[large] = rollup_merge(out[small], large, keys)
+    return out
+
+
 def latest_signals(df: DataFrame, keys: Sequence[str] = ("asset_id", "signal_name"),
                    ts: str = "event_time", values: Sequence[str] = ("value_numeric",),
                    tie: Sequence[str] = ("ingestion_timestamp",)) -> DataFrame:

@@ -189,6 +189,25 @@ def q_events_in_intervals(spark, sf):
                                                                "start_ts")
 
 
+register_cte("alarm_windows", """
+SELECT event_id AS window_id, asset_id, ts AS start_ts, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 5 = 0 THEN ts + INTERVAL 3650 DAYS
+  ELSE ts + INTERVAL 1 SECOND * CAST(floor(value * 1000) AS BIGINT) END AS end_ts
+FROM readings WHERE signal = 'error' AND value > 100""", ["readings"])
+
+
+@register("events_in_windows", with_ctes(
+    "SELECT r.event_id, r.asset_id, r.ts, w.window_id FROM readings r JOIN alarm_windows w"
+    " ON r.asset_id = w.asset_id AND r.ts BETWEEN w.start_ts AND coalesce(w.end_ts, w.start_ts)", "readings", "alarm_windows"))
+def q_events_in_windows(spark, sf):
+    """Overlapping windows from minutes to ten years, some without an end."""
+    r = readings(spark, sf)
+    end = (F.when(F.col("event_id") % 7 == 0, None).when(F.col("event_id") % 5 == 0, F.col("ts") + F.expr("INTERVAL 3650 DAYS"))
+           .otherwise(F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.floor(F.col("value") * 1000) * 1_000_000)))
+    windows = r.where("signal = 'error' and value > 100").select(F.col("event_id").alias("window_id"), "asset_id", F.col("ts").alias("start_ts"), end.alias("end_ts"))
+    return G.events_in_intervals(r.select("event_id", "asset_id", "ts"), windows, ["asset_id"], disjoint=False) \
+        .select("event_id", "asset_id", "ts", "window_id")
+
+
 @register("tracking_error", with_ctes(
     "SELECT event_id, asset_id, ts, value - t AS error, avg(value - t) OVER (PARTITION BY asset_id"
     " ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS ma_error"
@@ -372,6 +391,21 @@ def q_poi(spark, sf):
                           ["signup", "view", "purchase"], 1000.0, 25.0, NOW, hours=6)
 
 
+@register("meter_vs_plant", with_ctes(
+    "SELECT site, bucket_start, plant_net_kw, m.v AS meter_kw, m.ts AS meter_ts, m.v - plant_net_kw AS difference_kw FROM (SELECT *,"
+    " (SELECT max(struct_pack(ts := r.ts, v := r.value * 4)) FROM readings r WHERE r.site = b.site AND r.signal = 'click' AND r.ts <= b.bucket_start"
+    " + INTERVAL 1 HOUR AND r.ts >= b.bucket_start + INTERVAL 1 HOUR - INTERVAL 90 MINUTES) AS m"
+    " FROM (SELECT site, time_bucket(INTERVAL 1 HOUR, ts) AS bucket_start, sum(value) AS plant_net_kw FROM readings"
+    f" WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 72 HOURS AND ts < TIMESTAMP '{NOW}' AND signal IN ('signup', 'view', 'purchase') GROUP BY 1, 2) b)",
+    "readings"), rounded=('plant_net_kw', 'meter_kw', 'difference_kw'))
+def q_meter_vs_plant(spark, sf):
+    """Click readings stand in for the grid meter of a site."""
+    r = readings(spark, sf)
+    meter = r.where("signal = 'click'").select("site", "ts", (F.col("value") * 4).alias("export"))
+    return K.meter_vs_plant(r, meter, ["site"], "ts", "signal", "value", ["signup", "view", "purchase"], "export", NOW, hours=72,
+                            tolerance="90 MINUTES")
+
+
 @register("kpi_formulas", with_ctes(
     f"SELECT event_id, {_PC.replace('v', '(value / 20)')} AS power_kw,"
     " ((value * 3) % 360 + 360) % 360 AS wrap_deg,"

@@ -11,6 +11,9 @@ from otgraph.operators import graph as G
 from otgraph.plans.adapters import (BALANCE, LOCATED_IN, NS, SHIPPED_FROM, plant_graph,
                                     with_ctes)
 from otgraph.plans.catalog import register
+from otgraph.sources.files import load_turtle
+from otgraph.sources.sinks import write_ntriples
+from otgraph.streaming.ingest import checkpoint_path
 
 SKIP = ("NOT (suffix(p, 'subPropertyOf') OR suffix(p, 'hasState') OR suffix(p, 'comment')"
         " OR suffix(p, 'label') OR suffix(p, 'range') OR suffix(p, 'domain')"
@@ -290,3 +293,13 @@ def q_bgp_path_bindings(spark, sf):
     """Everything that degraded customers depend on, themselves included: the walk begins at the matched customers."""
     return B.bgp_select(_g(spark, sf), [("?x", HAS_STATE, "?st"), ("?x", B.Path(PROPAGATES, "*"), "?y")],
                         optional=[[("?y", RDFS_LABEL, "?name")]], filters=["name IS NOT NULL"], select=["?x", "?y", "?name"])
+
+
+@register("turtle_roundtrip", with_ctes(
+    f"SELECT s, CASE WHEN p = 'rdf:type' THEN '{RDF_TYPE_IRI}' ELSE p END AS p, o,"
+    f" CASE WHEN p IN ('rdf:type', '{RDF_TYPE_IRI}') THEN 'iri' ELSE 'literal' END AS o_type FROM plant_graph", "plant_graph"))
+def q_turtle_roundtrip(spark, sf):
+    """The plant graph written as text and read back as Turtle, in ranges and chunks."""
+    path = f"{checkpoint_path(spark, 'turtle')}/graph"
+    write_ntriples(_g(spark, sf), path)
+    return load_turtle(spark, path).select("s", "p", "o", "o_type")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from otgraph.operators import models as M
 from otgraph.plans.adapters import NOW, register_cte, table, with_ctes
 from otgraph.plans.catalog import register
+from otgraph.sources.model_index import ModelIndex
+from otgraph.streaming.ingest import checkpoint_path
 
 _EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC
 
@@ -57,6 +59,22 @@ def q_search(spark, sf):
     return _out(M.search_models(_reg(spark, sf), text="license"))
 
 
+_TEXTS = ["license", "LICENSE", "model-1", "es model", "er%th", "q", "no such text at all"]
+
+
+@register("search_models_indexed", with_ctes(" UNION ALL ".join(
+    f"SELECT '{t}' AS asked, {_COLS} FROM registry WHERE name ILIKE '%{t}%' OR description ILIKE '%{t}%' OR content ILIKE '%{t}%'"
+    for t in _TEXTS), "registry"))
+def q_search_indexed(spark, sf):
+    """The registry written with its trigram postings, then searched for several texts."""
+    index = ModelIndex(spark, checkpoint_path(spark, "registry")).build(_reg(spark, sf))
+    out = None
+    for t in _TEXTS:
+        part = _out(index.search(t)).withColumn("asked", F.lit(t))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @register("search_models_category", with_ctes(
     f"SELECT {_COLS} FROM registry WHERE category = 'src3' AND (name ILIKE '%the%' OR"
     " description ILIKE '%the%' OR content ILIKE '%the%')", "registry"))

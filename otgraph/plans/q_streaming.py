@@ -6,12 +6,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from otgraph.plans.adapters import (fold_sql, ot_events_from, tag_payload_lines,
+from otgraph.plans.adapters import (fold_sql, ot_events_from, table, tag_payload_lines,
                                     telemetry_mapping, telemetry_wide, with_ctes)
 from otgraph.plans.catalog import register
 from otgraph.plans.q_events import OT_COLS
 from otgraph.sources.sinks import read_snapshot
 from otgraph.streaming import ingest as S
+from otgraph.streaming.metrics import MetricsListener, read_metrics, total_metrics
 from otgraph.streaming.stateful import deadband_stream
 
 
@@ -57,6 +58,22 @@ def q_stream_rollup(spark, sf):
     return S.run_available(st, spark, "rollup")
 
 
+@register("stream_rollup_chain", with_ctes(
+    "SELECT time_bucket(INTERVAL 1 DAY, ts) AS bucket_start, 'asset-' || CAST(user_id AS VARCHAR)"
+    " AS asset_id, event_type AS signal_name, avg(value) AS avg_value, min(value) AS min_value,"
+    " max(value) AS max_value, arg_max(value, (ts, event_id, value)) AS last_value, count(*) AS n FROM events GROUP BY 1, 2, 3"
+    " HAVING bucket_start + INTERVAL 1 DAY <="
+    " (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES", "telemetry"), rounded=('avg_value',))
+def q_stream_rollup_chain(spark, sf):
+    """Days from hours from 5 minutes, three stateful windows in a row."""
+    ev = _events_stream(spark, sf).select(
+        F.col("ts").cast("timestamp").alias("event_time"), "event_id",
+        F.concat(F.lit("asset-"), F.col("user_id").cast("string")).alias("asset_id"),
+        F.col("event_type").alias("signal_name"), F.col("value").alias("value_numeric"))
+    st = S.rollup_chain_stream(ev, ["5 minutes", "1 hour", "1 day"], "10 minutes", tie="event_id")
+    return S.run_available(st, spark, "rollup-chain")
+
+
 @register("stream_latest_triples", with_ctes(
     "SELECT s, p, arg_max(o, (timestamp, o)) AS o, max(timestamp) AS timestamp"
     " FROM triples GROUP BY s, p", "triples"))
@@ -79,3 +96,28 @@ def q_stream_dead(spark, sf):
     q.awaitTermination()
     return spark.read.schema("event_id bigint, line string").option("recursiveFileLookup", "true") \
         .parquet(f"{base}/dead")
+
+
+@register("stream_ingest_metrics", with_ctes(
+    "SELECT count(*) AS received, count_if(contains(lower(quality), 'good')) AS good, count_if(coalesce(numeric_value > 250, false)) AS dropped,"
+    " count_if(NOT coalesce(numeric_value > 250, false) AND data_type = 'BOOLEAN') AS filtered,"
+    " count_if(NOT coalesce(numeric_value > 250, false) AND data_type <> 'BOOLEAN') AS accepted, 4 AS epochs FROM ot_events", "ot_events"))
+def q_stream_metrics(spark, sf):
+    """Counts per epoch in a table, over two runs of one query that together read four files."""
+    base = S.checkpoint_path(spark, "metrics")
+    listener = MetricsListener(spark, f"{base}/metrics")
+    spark.streams.addListener(listener)
+    try:
+        parts = table(spark, sf, "events").withColumn("_f", F.pmod(F.xxhash64("event_id"), F.lit(4)))
+        for run in (0, 1):
+            for f in (2 * run, 2 * run + 1):
+                parts.where(F.col("_f") == f).drop("_f").coalesce(1).write.parquet(f"{base}/in/{f}")
+            events = S.stream_table(spark, f"{base}/in/*", max_files_per_trigger=1)
+            seen = S.observe_ingest(ot_events_from(events).withColumn("over", F.col("numeric_value") > 250).withColumn("same", F.col("data_type") == "BOOLEAN"),
+                                    dropped="over", filtered="same")
+            q = S.write_append(seen, f"{base}/out", f"{base}/ckpt", available_now=True)
+            q.awaitTermination()
+            listener.flush(q)
+    finally:
+        spark.streams.removeListener(listener)
+    return total_metrics(read_metrics(spark, f"{base}/metrics")).drop("query")

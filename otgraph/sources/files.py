@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from otgraph.functions.iri import RDF_TYPE
@@ -80,10 +80,11 @@ def _unescape(s: str) -> str:
     return _ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else _ESCAPED.get(m[3], m[3]), s)
 
 
-def parse_turtle(text: str, graph: str) -> list[tuple[str, str, str, str, str]]:
+def parse_turtle(text: str, graph: str, prefixes: dict[str, str] | None = None) -> list[tuple[str, str, str, str, str]]:
     """The Turtle subset the model files use: @prefix, ``a``, ``;`` and ``,`` lists, IRIs,
-    prefixed names, plain / typed / language literals, numbers, booleans, comments."""
-    prefixes: dict[str, str] = {}
+    prefixed names, plain / typed / language literals, numbers, booleans, comments. ``prefixes``: those in force
+    where the text begins; the text's own are added to them."""
+    prefixes = {} if prefixes is None else prefixes
     toks = []
     pos = 0
     while pos < len(text):
@@ -156,20 +157,126 @@ def parse_turtle(text: str, graph: str) -> list[tuple[str, str, str, str, str]]:
     return out
 
 
-def load_turtle(spark: SparkSession, paths: str) -> DataFrame:
-    """Turtle files → (graph, s, p, o, o_type) (S10); one task per file (Turtle is not
-    line-splittable), parsed by an Arrow-batched ``mapInPandas``; ``graph`` is the file path."""
-    files = spark.read.text(paths, wholetext=True).select(
-        F.input_file_name().alias("graph"), F.col("value").alias("text"))
+#: Characters of a file that one row holds and one parse reads; a longer line is a row of its own.
+CHUNK_CHARS = 1 << 20
+
+
+def _scan(text: str, inside: bool) -> tuple[bool, int, int]:
+    """From a line start, in a long literal or not: whether its end is in one, and the places after the first and the last
+    end of a statement (-1: none). Nothing else of the Turtle subset goes on over a line end."""
+    pos, first, last = 0, -1, -1
+    if inside:
+        pos = text.find('"""') + 3
+        if pos < 3:
+            return True, -1, -1
+    while pos < len(text):
+        if text.startswith('"""', pos) and text.find('"""', pos + 3) < 0:
+            return True, first, last
+        m = _TOKEN.match(text, pos)
+        if m is None:
+            pos += 1                                    # no Turtle here: the state that was assumed does not hold
+            continue
+        pos = m.end()
+        if m.lastgroup == "punct" and m.group("punct") == ".":
+            first, last = (pos if first < 0 else first), pos
+    return False, first, last
+
+
+def _chunks(spark: SparkSession, paths: str, chunk_chars: int) -> DataFrame:
+    """(graph, pos, text, from_out, from_in): runs of lines of a file, as Spark splits it, and whether they end in a long literal
+    if they begin outside or inside of one. ``pos`` orders a file's chunks."""
+    lines = spark.read.option("lineSep", "\n").text(paths).select(
+        F.input_file_name().alias("graph"), F.col("_metadata.file_block_start").alias("start"), F.col("value"))
+
+    def run(batches):
+        held, size, where, seq = [], 0, None, 0
+
+        def row():
+            text = "\n".join(held) + "\n"
+            plain = '"""' not in text                   # neither opens nor closes one
+            return {"graph": [where[0]], "start": [where[1]], "seq": [seq], "text": [text],
+                    "from_out": [False if plain else _scan(text, False)[0]], "from_in": [True if plain else _scan(text, True)[0]]}
+
+        for pdf in batches:
+            for g, s, v in zip(pdf["graph"], pdf["start"], pdf["value"]):
+                if where != (g, s) or size >= chunk_chars:
+                    if held:
+                        yield pd.DataFrame(row())
+                    seq = seq + 1 if where == (g, s) else 0
+                    held, size, where = [], 0, (g, s)
+                held.append(v)
+                size += len(v) + 1
+        if held:
+            yield pd.DataFrame(row())
+
+    out = lines.mapInPandas(run, "graph string, start long, seq int, text string, from_out boolean, from_in boolean")
+    return materialize(out.select("graph", F.struct("start", "seq").alias("pos"), "text", "from_out", "from_in"))
+
+
+def _statements(chunks: DataFrame) -> DataFrame:
+    """(graph, pos, place, text): whole statements in file order of (pos, place): the inside of each chunk, and the statements
+    that go on over chunk ends, put together from their parts."""
+    before = Window.partitionBy("graph").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    # what a chunk does to the state: sets it, turns it over or leaves it
+    sets = F.when(F.col("from_out") == F.col("from_in"), F.col("from_out"))
+    turns = F.when(F.col("from_out") & ~F.col("from_in"), 1).otherwise(0)
+    marks = chunks.select("graph", "pos", sets.alias("sets"), turns.alias("turns"))
+    upto = marks.withColumn("_t", F.sum("turns").over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    last = F.last(F.when(F.col("sets").isNotNull(), F.struct(F.col("sets").alias("v"), F.col("_t").alias("t"))), ignorenulls=True).over(before)
+    state = (upto.withColumn("_l", last).withColumn("_n", F.coalesce(F.last("_t").over(before), F.lit(0)) - F.coalesce(F.col("_l.t"), F.lit(0)))
+             .select("graph", "pos", (F.coalesce(F.col("_l.v"), F.lit(False)) != (F.col("_n") % 2 == 1)).alias("inside")))
+
+    def cut(batches):
+        for pdf in batches:
+            rows = []
+            for g, p, text, inside in zip(pdf["graph"], pdf["pos"], pdf["text"], pdf["inside"]):
+                _, a, b = _scan(text, inside)
+                rows.append((g, p, a >= 0, text[:a] if a >= 0 else text, text[a:b] if a >= 0 else "", text[b:] if a >= 0 else ""))
+            yield pd.DataFrame(rows, columns=["graph", "pos", "ends", "head", "body", "tail"])
+
+    pos = "struct<start:bigint,seq:int>"
+    parts = materialize(chunks.join(state, ["graph", "pos"]).select("graph", "pos", "text", "inside").mapInPandas(
+        cut, f"graph string, pos {pos}, ends boolean, head string, body string, tail string"))
+    opened = parts.select("graph", "pos", "head", F.max(F.when(F.col("ends"), F.col("pos"))).over(before).alias("of"))
+    pieces = (parts.where("ends").select("graph", F.col("pos").alias("of"), "pos", F.lit(0).alias("k"), F.col("tail").alias("text"))
+              .unionByName(opened.select("graph", "of", "pos", F.lit(1).alias("k"), F.col("head").alias("text"))))
+    joined = pieces.groupBy("graph", "of").agg(F.sort_array(F.collect_list(F.struct("pos", "k", "text"))).alias("x")).select(
+        "graph", F.col("of").alias("pos"), F.lit(1).alias("place"), F.array_join("x.text", "").alias("text"))
+    return parts.where("ends").select("graph", "pos", F.lit(0).alias("place"), F.col("body").alias("text")).unionByName(joined)
+
+
+def load_turtle(spark: SparkSession, paths: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """Turtle files → (graph, s, p, o, o_type) (S10); ``graph`` is the file path.
+
+    Files are read in the ranges that Spark splits them into. Every chunk of lines tells what it does to the one state that
+    outlasts a line end (inside a long literal or not), a window per file over these marks gives each chunk's own
+    state, and then the ends of its statements. Statements over chunk ends are put together from their parts. The
+    prefixes are read first, from the statements that declare any; a statement sees those before it in its file."""
+    statements = materialize(_statements(_chunks(spark, paths, chunk_chars)).where(F.col("text").rlike(r"\S")))
+    at = F.struct("pos", "place")
+
+    def declared(batches):
+        for pdf in batches:
+            rows = []
+            for g, p, k, text in zip(pdf["graph"], pdf["pos"], pdf["place"], pdf["text"]):
+                own: dict[str, str] = {}
+                parse_turtle(text, g, own)
+                rows += [(g, p, k, a, b) for a, b in own.items()]
+            yield pd.DataFrame(rows, columns=["graph", "pos", "place", "name", "iri"])
+
+    pos = "struct<start:bigint,seq:int>"
+    names = statements.where(F.col("text").contains("@prefix")).mapInPandas(declared, f"graph string, pos {pos}, place int, name string, iri string")
+    per_file = names.groupBy("graph").agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), "name", "iri"))).alias("names"))
 
     def parse(batches):
         for pdf in batches:
             rows = []
-            for g, txt in zip(pdf["graph"], pdf["text"]):
-                rows.extend(parse_turtle(txt, g))
+            for g, text, known in zip(pdf["graph"], pdf["text"], pdf["known"]):
+                rows += parse_turtle(text, g, {x["name"]: x["iri"] for x in known} if known is not None else {})
             yield pd.DataFrame(rows, columns=["graph", "s", "p", "o", "o_type"])
 
-    return files.mapInPandas(parse, schema=MODEL_TRIPLES)
+    known = statements.join(per_file, "graph", "left").select("graph", "text", F.filter("names", lambda x: x["at"] < at).alias("known"))
+    return known.mapInPandas(parse, schema=MODEL_TRIPLES)
 
 
 # ------------------------------------------------------------------ template catalogue --------

@@ -10,12 +10,14 @@ session's ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from otgraph.operators.mapping import TripleMapping
+from otgraph.operators.silver import rollup_merge, rollup_state, rollup_values
 from otgraph.operators.triples import latest_triples
 from otgraph.schemas import TELEMETRY
 from otgraph.session import ensure_checkpoint_dir
@@ -25,7 +27,7 @@ from otgraph.sources.sinks import has_snapshot, read_snapshot, write_snapshot
 
 __all__ = ["checkpoint_path", "stream_telemetry", "stream_tag_payloads", "stream_table",
            "map_stream", "write_append", "dedupe_events", "dead_letter_stream",
-           "observe_ingest", "latest_stream", "latest_store_stream", "rollup_stream", "run_available"]
+           "observe_ingest", "latest_stream", "latest_store_stream", "rollup_stream", "rollup_chain_stream", "run_available"]
 
 
 def checkpoint_path(spark: SparkSession, name: str) -> str:
@@ -159,6 +161,18 @@ def rollup_stream(stream: DataFrame, every: str = "1 minute", watermark: str = "
                     "max_value", "last_value", "n"))
 
 
+def rollup_chain_stream(stream: DataFrame, sizes: Sequence[str], watermark: str = "10 minutes", ts: str = "event_time",
+                        **names) -> DataFrame:
+    """Rollups of the last of ``sizes`` on a stream, fed by those of the next smaller size and so on down to the rows
+    (T4): chained stateful windows, each emitting a bucket when the watermark passes its end. The state of
+    the larger sizes holds a row per smaller bucket's key, never rows."""
+    state = rollup_state(stream.withWatermark(ts, watermark), sizes[0], ts=ts, **names)
+    keys = names.get("keys", ("asset_id", "signal_name"))
+    for size in sizes[1:]:
+        state = rollup_merge(state, size, keys)
+    return rollup_values(state, keys)
+
+
 def run_available(stream: DataFrame, spark: SparkSession, name: str,
                   output_mode: str = "append") -> DataFrame:
     """Run a stream over everything available into a parquet sink under the checkpoint root

@@ -45,6 +45,45 @@ def test_turtle_subset(spark):
     assert hit == {("Peeling", 1), ("Cutting", 1)}
 
 
+TURTLE = """@prefix ex: <http://e/> . # first . prefix
+ex:a a ex:T ; ex:label "one. \\"two\\" # no comment" ;
+  ex:note \"\"\"long
+text. with "quotes" and # signs
+@prefix ex: <http://wrong/> .
+end\"\"\" , "short"@en .
+# a comment with \"\"\" in it.
+<http://x/b.c#d> ex:v 1.5 , -2 , true .
+@prefix ex: <http://later/> .
+@prefix o: <http://o/> .
+ex:a o:p.q ex:z .
+o:last ex:note \"\"\"a
+b\"\"\"^^ex:md .
+"""
+
+
+def test_turtle_in_ranges_equals_a_single_read(spark):
+    import random
+    d = _tmp()
+    rng = random.Random(1)
+    texts = {"one.ttl": TURTLE, "empty.ttl": "", "comment.ttl": "# nothing\n", "noend.ttl": TURTLE.rstrip()}
+    parts = TURTLE.split("\n")
+    texts["many.ttl"] = "".join(TURTLE.replace("ex:a", f"ex:a{i}").replace("later", f"later{i}") + "\n" * rng.randrange(3) for i in range(30))
+    texts["open.ttl"] = "\n".join(["@prefix ex: <http://e/> ."] + ['ex:s ex:p """' + "\n".join(f"line {i}. <x> #" for i in range(60)) + '""" .'] * 3 + parts[:2]) + " ex:q 1 .\n"
+    for name, text in texts.items():
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    want = sorted(r for name, text in texts.items() for r in files.parse_turtle(text, name))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for chunk, split in ((1, "300b"), (200, "1k"), (1 << 20, "128m")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            got = sorted((r[0].split("/")[-1], *r[1:]) for r in map(tuple, files.load_turtle(spark, f"{d}/*.ttl", chunk_chars=chunk).collect()))
+            assert got == want, (chunk, split)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert any(r[2] == "http://o/p.q" for r in want) and any(r[1].startswith("http://later") for r in want)
+
+
 def test_template_catalog(spark):
     d = _tmp()
     with open(os.path.join(d, "oil_rig_template.ttl"), "w") as f:
