@@ -218,7 +218,7 @@ def q_top_sources(spark, sf):
 
 @register("deadband_daily", with_ctes(
     f"SELECT {OT_COLS} FROM fev JOIN fold USING (tag_path, rn) WHERE keep", "ot_events",
-    extra=fold_sql("ot_events", 50.0), recursive=True))
+    extra=fold_sql("ot_events", 12.5), recursive=True))
 def q_deadband_daily(spark, sf):
-    """The same deadband, each tag split by day."""
-    return C.deadband(_ot(spark, sf), 50.0)
+    """A narrower deadband, each tag split by hour."""
+    return C.deadband(_ot(spark, sf), 12.5, split_by="hour")
