@@ -13,6 +13,7 @@ from otgraph.plans.q_events import OT_COLS
 from otgraph.sources.sinks import read_snapshot
 from otgraph.streaming import ingest as S
 from otgraph.streaming.metrics import MetricsListener, read_metrics, total_metrics
+from otgraph.streaming.ordered import ordered_deadband_stream
 from otgraph.streaming.stateful import deadband_stream
 
 
@@ -121,3 +122,20 @@ def q_stream_metrics(spark, sf):
     finally:
         spark.streams.removeListener(listener)
     return total_metrics(read_metrics(spark, f"{base}/metrics")).drop("query")
+
+
+@register("stream_deadband_ordered", with_ctes(
+    f"SELECT {OT_COLS} FROM fev JOIN fold USING (tag_path, rn) WHERE keep"
+    " AND event_time < (SELECT max(event_time) FROM ot_events) - INTERVAL 3 DAYS", "ot_events",
+    extra=fold_sql("ot_events", 50.0), recursive=True))
+def q_stream_deadband_ordered(spark, sf):
+    """Events up to two days out of order in four files: what the batch deadband keeps, as far as the watermark came."""
+    base = S.checkpoint_path(spark, "ordered")
+    late = F.unix_seconds(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(2 * 86400))
+    parts = table(spark, sf, "events").withColumn("_f", F.least(F.lit(3), F.floor((late - F.unix_seconds(F.lit("2024-01-01").cast("timestamp"))) / (8 * 86400))))
+    for f in range(4):                                   # one after the other: files are read in order of their time
+        parts.where(F.col("_f") == f).drop("_f").orderBy(F.xxhash64("event_id", F.lit(1))).coalesce(1).write.parquet(f"{base}/in/{f}")
+    events = ot_events_from(S.stream_table(spark, f"{base}/in/*", max_files_per_trigger=1))
+    q = S.write_append(ordered_deadband_stream(events, 50.0, "3 days"), f"{base}/out", f"{base}/ckpt", available_now=True)
+    q.awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{base}/out")
