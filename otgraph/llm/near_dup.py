@@ -13,7 +13,8 @@ have Jaccard similarity of at least ``num/den`` are linked; components follow li
   with probability 0.15; more than 15 of 40 differ with probability 1.5e-4.
 * In a bucket (documents of one key) each member is paired with the bucket's first one and verified
   on the full sets. Buckets that then still hold different components are searched
-  completely, block by block (a large bucket is split into pairs of blocks of ``BLOCK`` members):
+  completely; of buckets with the same members the first is. Those of up to ``BLOCK`` members are read in sorted
+  batches, a larger one is split into pairs of blocks of that many:
   members of different components within the radius are paired if a second signature of ``FINE`` one-byte
   slots also lets them reach the similarity (all but 3e-6 of true links do), each pair in the first
   of its common buckets only, and verified: first each member with its most similar other one, then,
@@ -123,7 +124,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def bucket_rows(reps: DataFrame) -> DataFrame:
-    """(key, rep) for every masked chunk of every representative."""
+    """(key, place, rep) for every masked chunk, numbered, of every representative."""
     def run(batches):
         for batch in batches:
             sigs = batch.column("sig").to_pylist()
@@ -131,9 +132,10 @@ def bucket_rows(reps: DataFrame) -> DataFrame:
                 continue
             keys = masked_keys(np.frombuffer(b"".join(sigs), np.uint16)).ravel()
             take = pa.array(np.repeat(np.arange(len(sigs)), CHUNKS * SLOTS))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column("rep").take(take)], names=["key", "rep"])
+            place = pa.array(np.tile(np.arange(CHUNKS * SLOTS, dtype=np.int8), len(sigs)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), place, batch.column("rep").take(take)], names=["key", "place", "rep"])
 
-    return reps.select("rep", "sig").mapInArrow(run, "key long, rep long")
+    return reps.select("rep", "sig").mapInArrow(run, "key long, place byte, rep long")
 
 
 def _texts_of(need: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -144,20 +146,29 @@ def _texts_of(need: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.join(which, rows["doc_id"].eqNullSafe(which["_id"]) & (rows["_tk"] == which["_t"])).select("rep", "text")
 
 
-def _of_sets(rows: DataFrame, k: int, make, kind, schema: str, name: str) -> DataFrame:
-    """(rep, make(set)) for (rep, text) rows, written; repeated rows count once."""
+def sets_of(members: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(rep, s): the full sets of some representatives, shingled once and written."""
     def run(batches):
         for batch in batches:
-            out = [make(s) for s in shingle_sets(batch.column("text").to_pylist(), k)]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(out, kind)], names=["rep", "s"])
+            out = [s.view(np.int64) for s in shingle_sets(batch.column("text").to_pylist(), k)]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(out, pa.list_(pa.int64()))], names=["rep", "s"])
 
-    return written(rows.mapInArrow(run, schema).dropDuplicates(["rep"]), name)
+    rows = _texts_of(members, reps, docs).mapInArrow(run, "rep long, s array<long>")
+    return written(rows.dropDuplicates(["rep"]), "nd-sets")                     # repeated rows count once
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def fine_signatures(sets: DataFrame) -> DataFrame:
+    """(rep, fine) of (rep, s)."""
+    def run(batches):
+        for batch in batches:
+            out = [fine_signature(np.asarray(s).view(np.uint64)).tobytes() for s in (x.values.to_numpy() for x in batch.column("s"))]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(out, pa.binary())], names=["rep", "fine"])
+
+    return written(sets.select("rep", "s").mapInArrow(run, "rep long, fine binary"), "nd-fine")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of representatives whose full sets reach the similarity."""
-    need = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    sets = _of_sets(_texts_of(need, reps, docs), k, lambda s: s.view(np.int64), pa.list_(pa.int64()), "rep long, s array<long>", "nd-sets")
     j = (pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
          .join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
@@ -184,29 +195,75 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def _near_pairs(limit: int, best: bool):
-    """Pairs of one pair of blocks of a bucket: of different components, within the radius and the
-    fine limit, in the first bucket they share; with ``best`` only each member's most similar."""
+class _Members:
+    """Some members of buckets as arrays; ``keys``: their masked keys."""
+
+    def __init__(self, sig: list, fine: list, rep, comp):
+        self.sig = np.frombuffer(b"".join(sig), np.uint16).reshape(len(sig), -1)
+        self.fine = np.frombuffer(b"".join(fine), np.uint8).reshape(len(fine), -1)
+        self.rep, self.comp, self.keys = np.asarray(rep), np.asarray(comp), masked_keys(self.sig)
+
+
+def _pairs_in(a: _Members, rows_a: range, b: _Members, rows_b: slice, key: int, same: bool, limit: int, best: bool) -> list[tuple[int, int]]:
+    """Pairs of members of one bucket: of different components, within the radius and the fine limit, in the first
+    bucket they share; with ``best`` only each member's most similar."""
+    here = np.array([key], np.int64).view(np.uint64)[0]
+    sig, fine, rep, comp, keys = (x[rows_b] for x in (b.sig, b.fine, b.rep, b.comp, b.keys))
+    out = []
+    for i in rows_a:
+        j = np.flatnonzero((comp != a.comp[i]) & (rep > a.rep[i] if same else True))
+        if len(j):
+            j = j[(sig[j] != a.sig[i]).sum(axis=1) <= RADIUS]
+        if len(j):
+            j = j[a.keys[i][np.argmax(keys[j] == a.keys[i], axis=1)] == here]
+        if len(j):
+            d = (fine[j] != a.fine[i]).sum(axis=1)
+            j, d = j[d <= limit], d[d <= limit]
+            if best and len(j):
+                j = j[[np.argmin(d)]]
+            out += [(min(int(a.rep[i]), int(r)), max(int(a.rep[i]), int(r))) for r in rep[j]]
+    return out
+
+
+def _pair_batch(pairs: list) -> pa.RecordBatch:
+    p = np.array(pairs, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
+
+
+def _small_pairs(limit: int, best: bool):
+    """Pairs of whole buckets that follow one another in the rows of a sorted partition."""
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def pairs(table: pa.Table) -> list:
+            key = table.column("key").to_numpy()
+            m = _Members(table.column("sig").to_pylist(), table.column("fine").to_pylist(), table.column("rep").to_numpy(), table.column("comp").to_numpy())
+            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+            return [p for x, y in zip(edge, edge[1:]) for p in _pairs_in(m, range(x, y), m, slice(x, y), int(key[x]), True, limit, best)]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            key = batch.column("key").to_numpy()
+            cut = int((key != key[-1]).sum())
+            if cut:                                       # the last bucket may go on in the next batch
+                held[-1] = batch.slice(0, cut)
+                yield _pair_batch(pairs(pa.Table.from_batches(held)))
+                held = [batch.slice(cut)]
+        if held:
+            yield _pair_batch(pairs(pa.Table.from_batches(held)))
+
+    return run
+
+
+def _block_pairs(limit: int, best: bool):
+    """Pairs of one pair of blocks of a large bucket."""
     def run(keys: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            part = lambda x: (np.frombuffer(b"".join(x["sig"]), np.uint16).reshape(len(x), -1),
-                              np.frombuffer(b"".join(x["fine"]), np.uint8).reshape(len(x), -1), x["rep"].to_numpy(), x["comp"].to_numpy())
-            sa, fa, ra, ca = part(left)
-            sb, fb, rb, cb = part(right)
-            ka, kb = masked_keys(sa), masked_keys(sb)
-            here = np.array([keys[0]], np.int64).view(np.uint64)[0]
-            for i in range(len(ra)):
-                j = np.flatnonzero((cb != ca[i]) & (rb > ra[i] if keys[1] == keys[2] else True))
-                j = j[(sb[j] != sa[i]).sum(axis=1) <= RADIUS]
-                if len(j):
-                    j = j[ka[i][np.argmax(kb[j] == ka[i], axis=1)] == here]
-                if len(j):
-                    d = (fb[j] != fa[i]).sum(axis=1)
-                    j = j[d <= limit]
-                    if best and len(j):
-                        j = j[[np.argmin(d[d <= limit])]]
-                out += [(min(ra[i], r), max(ra[i], r)) for r in rb[j]]
+            a, b = (_Members(list(x["sig"]), list(x["fine"]), x["rep"], x["comp"]) for x in (left, right))
+            out = _pairs_in(a, range(len(left)), b, slice(0, len(right)), int(keys[0]), keys[1] == keys[2], limit, best)
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
@@ -214,15 +271,18 @@ def _near_pairs(limit: int, best: bool):
 
 def _open_pairs(left: DataFrame, reps: DataFrame, fine: DataFrame, limit: int, best: bool) -> DataFrame:
     """Pairs to verify among the members (key, rep, comp, c) of open buckets."""
-    left = left.join(reps.select("rep", "sig"), "rep").join(fine.select("rep", F.col("s").alias("fine")), "rep")
-    nb = F.ceil(F.col("c") / BLOCK).cast("int")
-    blk = left.select("key", "rep", "comp", "sig", "fine", nb.alias("nb"), F.pmod(F.xxhash64("rep", F.lit(5)), nb).cast("int").alias("blk"))
     rest = ["rep", "comp", "sig", "fine"]
+    left = left.join(reps.select("rep", "sig").join(fine, "rep"), "rep")
+    small = left.where(F.col("c") <= BLOCK).select("key", *rest)
+    found = small.repartition("key").sortWithinPartitions("key").mapInArrow(_small_pairs(limit, best), "a long, b long")
+    nb = F.ceil(F.col("c") / BLOCK).cast("int")
+    blk = left.where(F.col("c") > BLOCK).select("key", *rest, nb.alias("nb"), F.pmod(F.xxhash64("rep", F.lit(5)), nb).cast("int").alias("blk"))
     one = blk.withColumn("other", F.explode(F.expr("sequence(blk, nb - 1)"))).select("key", F.col("blk").alias("i"), F.col("other").alias("j"), *rest)
     two = blk.withColumn("other", F.explode(F.expr("sequence(0, blk)"))).select(
         F.col("key").alias("key"), F.col("other").alias("i"), F.col("blk").alias("j"), *rest)
     two = two.select(*[F.col(c).alias(c) for c in two.columns])          # attributes of its own
-    return one.groupBy("key", "i", "j").cogroup(two.groupBy("key", "i", "j")).applyInPandas(_near_pairs(limit, best), "a long, b long").distinct()
+    large = one.groupBy("key", "i", "j").cogroup(two.groupBy("key", "i", "j")).applyInPandas(_block_pairs(limit, best), "a long, b long")
+    return found.unionByName(large).distinct()
 
 
 def near_classes(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100) -> DataFrame:
@@ -236,22 +296,27 @@ def near_classes(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100) ->
     rows = bucket_rows(reps)
     lead = rows.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("c")).where("c > 1").select("key", "a")
     member = written(rows.join(lead, "key"), "nd-bucket")                       # buckets of two or more
-    stars = member.where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
-    links = written(verified(written(stars, "nd-pairs"), reps, docs, k, num, den), "nd-links")
+    sets = sets_of(member.select("rep").distinct(), reps, docs, k)
+    stars = written(member.where("a <> rep").select("a", F.col("rep").alias("b")).distinct(), "nd-pairs")
+    links = written(verified(stars, sets, num, den), "nd-links")
     comp = components(links)
     # buckets that still hold more than one component: first each member with its most similar other
     # one (which joins most of a group), then all that are left
     done, fine = stars_done(stars), None
     for best in (True, False):
-        named = member.join(comp, member["rep"] == comp["node"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-        open_ = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x <> y").select("key", "c")
-        left = written(named.join(open_.where("c > 2"), "key"), "nd-open")
+        named = member.join(comp, member["rep"] == comp["node"], "left").select("key", "place", "rep", F.coalesce("comp", "rep").alias("comp"))
+        open_ = (named.groupBy("key", "place").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c"),
+                                                   F.bit_xor(F.xxhash64("rep")).alias("m1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("m2"))
+                 .where("x <> y and c > 2"))
+        # of buckets with the same members the first holds every pair's first common bucket among them
+        open_ = open_.groupBy("c", "m1", "m2").agg(F.min(F.struct("place", "key")).alias("f")).select(F.col("f.key").alias("key"), "c")
+        left = written(named.drop("place").join(open_, "key"), "nd-open")
         if fine is None:
-            fine = _of_sets(_texts_of(left.select("rep").distinct(), reps, docs), k, lambda s: fine_signature(s).tobytes(), pa.binary(), "rep long, s binary", "nd-fine")
+            fine = fine_signatures(sets.join(left.select("rep").distinct(), "rep", "left_semi"))
         more = _open_pairs(left, reps, fine, fine_limit(num, den), best)
         more = written(more.join(done, ["a", "b"], "left_anti"), "nd-more")
         if more.limit(1).count():
-            links = written(links.union(verified(more, reps, docs, k, num, den)), "nd-links")
+            links = written(links.union(verified(more, sets, num, den)), "nd-links")
             comp = components(links)
         done = done.union(more)
     # back to documents: class → component → smallest document id
