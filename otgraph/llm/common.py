@@ -49,7 +49,7 @@ TEXTS_PER_ID = 4
 def sample_texts(docs: DataFrame, ids: DataFrame, rows: int, chars: int) -> list[tuple[int, str]]:
     """(doc_id, text), different texts of the ``rows`` first ids (``doc_id``) in hash order, first one of each
     id, then others, texts of over an eighth of ``chars`` last. At most ``rows`` texts of ``chars`` characters in all; a
-    text that does not fit is passed over."""
+    text that does not fit is passed over, but if none fits the shortest found is taken whole."""
     rank = F.xxhash64("doc_id")
     ids = ids.select("doc_id").orderBy(rank, "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
@@ -62,18 +62,14 @@ def sample_texts(docs: DataFrame, ids: DataFrame, rows: int, chars: int) -> list
         if total + r["n"] <= chars:
             total += r["n"]
             keep.append((r["doc_id"], r["_k"]))
+    if found and not keep:
+        r = min(found, key=lambda r: (r["n"], r["doc_id"], r["_k"]))
+        keep.append((r["doc_id"], r["_k"]))
     chosen = docs.sparkSession.createDataFrame(keep, "doc_id long, _k long")
     got = texts.join(F.broadcast(chosen), ["doc_id", "_k"]).dropDuplicates(["doc_id", "_k"])
     return sorted((r["doc_id"], r["text"]) for r in got.toLocalIterator())
 
 
-def need_both(docs: DataFrame, counts: dict, sampled: dict) -> None:
-    """Raises if there are labels of both kinds and texts, but a kind has no text in the sample."""
-    if counts.get(True) and counts.get(False) and not all(sampled.values()) and not docs.where("text is not null").isEmpty():
-        raise ValueError(f"labels of both kinds, but the sample has {sampled[True]} texts labelled over 0 and {sampled[False]} others: "
-                         "no labelled text is in the documents, or each is longer than the sample's characters")
-
-
 def chunked(texts: list, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Slices [a, b) of ``texts`` of at most ``limit`` characters (or one longer text)."""
     a, size = 0, 0

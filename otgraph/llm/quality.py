@@ -1,9 +1,9 @@
 """Quality rules: hashed word and character n-gram logistic regression, calibrated.
 
-Features of a text are the shares of its hashed word 1- and 2-grams and of its hashed byte
+Features of a text are the shares of its hashed word 1- and 2-grams and of its hashed character
 4-grams in two tables of 2^18 weights (bounded, the same at every size). The regression is
 fitted on at most ``FIT_ROWS`` labelled rows and ``FIT_CHARS`` characters, taken in the order of a hash of
-the id (texts that do not fit are passed over); a fifth of them is kept apart to calibrate the probability (Platt). Scoring runs in Arrow
+the id (texts that do not fit are passed over; if none of a label fits, its shortest is taken); a fifth of them is kept apart to calibrate the probability (Platt). Scoring runs in Arrow
 batches over whole texts and compares the probability with the fixed ``THRESHOLD``.
 
 Next to the verdict stand counts with fixed limits: word characters, symbols, repeated lines, words in
@@ -11,9 +11,9 @@ Next to the verdict stand counts with fixed limits: word characters, symbols, re
 when over 20 percent of its words stand in repeated windows.
 
 Defined results: null text has no words and fails; empty likewise; conflicting label rows of one id
-take the lower; null labels are ignored; without both labels the classifier keeps everything, a sample
-without texts of one of them is an error;
-repeated rows get equal results; an empty table gives no rows.
+take the lower; null labels are ignored; without texts of both labels the classifier keeps everything;
+repeated rows get equal results; extra columns of any name are ignored; very long texts are scored whole, a chunk of
+their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from otgraph.llm.common import Words, chunked, mix, need_both, sample_texts
+from otgraph.llm.common import Words, chunked, mix, sample_texts
 
 HASH_BITS = 18
 CHAR_N = 4
@@ -52,16 +52,21 @@ def word_grams(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([w.doc, w.doc[at]]), (mix(h) >> _U(64 - HASH_BITS)).astype(np.int64)
 
 
-def byte_grams(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of all byte 4-grams inside one text; blanks of any kind are one byte."""
-    b = np.where(w.sep, np.uint8(32), w.buf).astype(np.uint32)
-    h = b[:-3] | b[1:-2] << 8 | b[2:-1] << 16 | b[3:] << 24
-    bucket = (h * np.uint32(2654435761)) >> np.uint32(32 - HASH_BITS)
-    owner = np.repeat(np.arange(len(w.text_start)), np.diff(np.append(w.text_start, len(w.buf))))
-    lead = int(w.text_start[0]) if len(w.text_start) else len(w.buf)
-    own = np.concatenate([np.full(lead, -1), owner])
-    ok = (own[:-3] >= 0) & (own[:-3] == own[3:])
-    return own[:-3][ok], bucket[ok].astype(np.int64)
+def char_grams(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) of all character 4-grams inside one text; blanks of any kind are one character."""
+    lead = (w.buf & 0xC0) != 0x80                          # first bytes of characters
+    c = np.frombuffer(w.buf.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.where(w.sep[lead], np.uint32(32), c)
+    m = max(0, len(c) - CHAR_N + 1)
+    h = np.zeros(m, np.uint32)
+    for i in range(CHAR_N):
+        h = (h ^ c[i:m + i]) * np.uint32(2654435761)
+    bucket = (h ^ h >> np.uint32(15)) * np.uint32(2246822519) >> np.uint32(32 - HASH_BITS)
+    first = (np.cumsum(lead) - 1)[w.text_start] if len(w.text_start) else np.zeros(0, np.int64)
+    own = np.full(len(c), -1)
+    own[int(first[0]) if len(first) else len(c):] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(c))))
+    ok = (own[:m] >= 0) & (own[:m] == own[CHAR_N - 1:])
+    return own[:m][ok], bucket[ok].astype(np.int64)
 
 
 def base_counts(texts: list, w: Words) -> dict[str, np.ndarray]:
@@ -97,12 +102,12 @@ def base_counts(texts: list, w: Words) -> dict[str, np.ndarray]:
 class Model:
     """Weights of the two tables, offset and calibration; no weights: keep everything."""
 
-    def __init__(self, word=None, byte=None, bias=0.0, platt=(0.0, 0.0)):
-        self.word, self.byte, self.bias, self.platt = word, byte, bias, platt
+    def __init__(self, word=None, char=None, bias=0.0, platt=(0.0, 0.0)):
+        self.word, self.char, self.bias, self.platt = word, char, bias, platt
 
     def margins(self, w: Words, n: int) -> np.ndarray:
         out = np.full(n, self.bias)
-        for weights, (doc, bucket) in ((self.word, word_grams(w)), (self.byte, byte_grams(w))):
+        for weights, (doc, bucket) in ((self.word, word_grams(w)), (self.char, char_grams(w))):
             size = np.bincount(doc, minlength=n)
             out += SCALE * np.bincount(doc, weights[bucket], minlength=n) / np.maximum(size, 1)
         return out
@@ -119,7 +124,7 @@ def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     docs, cols, vals = [], [], []
     for a, b in chunked(texts, 500_000):
         w = Words(texts[a:b], lower=False)
-        for shift, (doc, bucket) in ((0, word_grams(w)), (1 << HASH_BITS, byte_grams(w))):
+        for shift, (doc, bucket) in ((0, word_grams(w)), (1 << HASH_BITS, char_grams(w))):
             key, count = np.unique(doc.astype(np.int64) << 32 | bucket, return_counts=True)
             d = key >> 32
             size = np.bincount(doc, minlength=b - a)
@@ -169,13 +174,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     lab = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
            .where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")))
     count = {r[0]: r[1] for r in lab.groupBy(F.col("quality") > 0).count().collect()}
-    rows, share, many = [], [], {}
+    rows, share = [], []
     for want in (True, False):
         got = sample_texts(docs, lab.where((F.col("quality") > 0) == want), FIT_ROWS // 2, FIT_CHARS // 2)
         rows += [(k, t, want) for k, t in got]
         share.append(count.get(want, 0) / max(1, len(got)))
-        many[want] = len(got)
-    need_both(docs, count, many)
     apart = np.array([k * 2654435761 % 4294967296 % 5 == 0 for k, _, _ in rows], bool)
     return fit([t for _, t, _ in rows], np.array([q for _, _, q in rows], bool), apart, tuple(share))
 

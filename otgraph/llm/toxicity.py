@@ -14,25 +14,28 @@ landmarks, trained on labelled sentences.
 * **Document**: the largest sentence margin, calibrated to a probability.
 
 The fit uses at most ``TOXIC_ROWS`` + ``CLEAN_ROWS`` labelled rows and ``SAMPLE_CHARS`` characters,
-taken in the order of a hash of the id (texts that do not fit are passed over), and only rows whose crc32(doc_id) mod 5 is not 0. Scoring
+taken in the order of a hash of the id (texts that do not fit are passed over; if none of a label fits, its shortest is
+taken), and only rows whose crc32(doc_id) mod 5 is not 0. Scoring
 covers every character of every text.
 
 Defined results: null or empty texts score as a text without any known word; conflicting label rows
-of one id count as toxic; null labels or ids are ignored for fitting; without toxic labels every
-score is 0, a sample without texts of one of both labels is an error; repeated rows get equal scores; a null doc_id is held out (it has no remainder).
+of one id count as toxic; null labels or ids are ignored for fitting; without texts of both labels every
+score is 0; repeated rows get equal scores; a null doc_id is held out (it has no remainder); extra columns of any name are
+ignored or pass through; a very long word is scored in windows of ``WORD_CHARS``, ``PIECES`` at a time; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from otgraph.llm.common import need_both, sample_texts
+from otgraph.llm.common import sample_texts
 
 P = 4                   # subsequence length
 DECAY = 0.6             # weight per spanned character
@@ -42,6 +45,7 @@ MAX_LANDMARKS = 96
 TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS = 1500, 3000, 15_000_000
 WORD_CHARS = 40         # longer words are cut into windows of this length, half overlapping
 MEMO_WORDS = 100_000    # words remembered while landmarks are chosen
+PIECES = 100_000       # parts of words whose kernel is computed at a time
 CACHE_WORDS = 500_000  # words a worker remembers before it starts afresh
 
 _END = re.compile(r"[.!?]+(?:\s+|$)|\n")
@@ -148,13 +152,14 @@ class Model:
             new = list(words)
         for a in range(0, len(new), 50_000):
             part = new[a:a + 50_000]
-            pieces = [(p, i) for i, w in enumerate(part) for p in windows(w)]
-            k = kernel([p for p, _ in pieces], self.marks)
             self.cache.update(dict.fromkeys(part))
-            for r in np.flatnonzero(k.any(axis=1)):
-                w = part[pieces[r][1]]
-                old = self.cache[w]
-                self.cache[w] = k[r] if old is None else np.maximum(old, k[r])
+            all_pieces = ((p, w) for w in part for p in windows(w))
+            while pieces := list(islice(all_pieces, PIECES)):        # a very long word has as many as letters
+                k = kernel([p for p, _ in pieces], self.marks)
+                for r in np.flatnonzero(k.any(axis=1)):
+                    w = pieces[r][1]
+                    old = self.cache[w]
+                    self.cache[w] = k[r] if old is None else np.maximum(old, k[r])
 
     def features(self, sents: list[list[list[str]]]) -> list[np.ndarray]:
         """Per text the kernel rows of its responding sentences."""
@@ -336,12 +341,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
            .where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
            .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     counts = {r[0]: r[1] for r in lab.groupBy((F.col("toxic") > 0)).count().collect()}
-    rows, many = [], {}
+    rows = []
     for want, most, part in ((True, TOXIC_ROWS, 0.4), (False, CLEAN_ROWS, 0.6)):
         got = sample_texts(docs, lab.where((F.col("toxic") > 0) == want), most, int(SAMPLE_CHARS * part))
         rows += [(k, t, want) for k, t in got]
-        many[want] = len(got)
-    need_both(docs, counts, many)
     toxic = np.array([r[2] for r in rows], bool)
     share = {w: counts.get(w, 0) / max(1, int((toxic == w).sum())) for w in (True, False)}
     return fit([r[1] for r in rows], toxic, np.where(toxic, share[True], share[False]) if rows else np.zeros(0))
