@@ -114,23 +114,24 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reachable(links: DataFrame) -> DataFrame:
-    """(file, offset) on the chain of successors from offset 0, by pointer jumping."""
+    """(file, offset) on the chain of successors from offset 0, by pointer jumping. The tables grow with the pages, so
+    none is broadcast."""
     jump = written(links.select("file", "offset", "succ"), "warc-jump")
     seen = written(jump.where("offset = 0").select("file", "offset"), "warc-seen")
     while jump.limit(1).count():
         there = links.select("file", F.col("offset").alias("to"))
-        ahead = (seen.join(jump, ["file", "offset"]).select("file", F.col("succ").alias("to"))
-                 .join(there, ["file", "to"], "left_semi").select("file", F.col("to").alias("offset")))
+        ahead = (seen.join(jump.hint("merge"), ["file", "offset"]).select("file", F.col("succ").alias("to"))
+                 .join(there.hint("merge"), ["file", "to"], "left_semi").select("file", F.col("to").alias("offset")))
         seen = written(seen.union(ahead).distinct(), "warc-seen")
         onward = jump.select("file", F.col("offset").alias("succ"), F.col("succ").alias("far"))
-        jump = written(jump.join(onward, ["file", "succ"]).select("file", "offset", F.col("far").alias("succ")), "warc-jump")
+        jump = written(jump.join(onward.hint("merge"), ["file", "succ"]).select("file", "offset", F.col("far").alias("succ")), "warc-jump")
     return seen
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url of every true record."""
     cand = written(candidates(spark, path), "warc-links")
-    true = cand.join(reachable(cand.where("succ is not null")), ["file", "offset"]).where("succ <= file_bytes")
+    true = cand.join(reachable(cand.where("succ is not null")).hint("merge"), ["file", "offset"]).where("succ <= file_bytes")
     plain = true.where("succ = next_magic or succ = file_bytes and next_magic >= succ")
     torn = written(true.where("succ > next_magic").select("file", "offset", "succ"), "warc-torn")
     fields = ["page_id", "record_type", "refers_to", "url", "stated_digest", "stated_bytes", "payload_bytes", "payload_digest"]
