@@ -25,6 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from otgraph.functions.events import variant_kind
+from otgraph.session import materialize
+
+
+#: Rows of at most so many (tag, chunk) states are broadcast: some 100 bytes each.
+BROADCAST_ROWS = 500_000
 
 
 def change_columns_from_variant(v) -> dict[str, Column]:
@@ -371,8 +376,10 @@ def _deadband_split(base: DataFrame, out_cols: list[str], thr: float, tag: str,
     """Exact deadband in three steps, all parallel: (1) a summary per (tag, chunk) — which end
     state each possible incoming state leads to (:func:`_day_summaries`); (2) per tag, the
     incoming state of every chunk from the small summary table; (3) every (tag, chunk) folds
-    from its incoming state. Tasks hold (tag, chunk) streams, never a whole tag."""
+    from its incoming state. Tasks hold (tag, chunk) streams, never a whole tag. The input is read, dealt and sorted once:
+    both passes over the rows read the checkpoint of that."""
     b = base.withColumn("_chunk", F.date_trunc(unit, F.col(order[0])))
+    b = materialize(b.repartition(n_parts, tag, "_chunk").sortWithinPartitions(tag, "_chunk", *order))
     tag_t = b.schema[tag].dataType.simpleString()
     chunk_t = b.schema["_chunk"].dataType.simpleString()
     summ_schema = (f"{tag} {tag_t}, _chunk {chunk_t}, _pieces array<struct<lo:double,hi:double,"
@@ -380,14 +387,17 @@ def _deadband_split(base: DataFrame, out_cols: list[str], thr: float, tag: str,
                    "_n_n double, _n_s string, _k0_kind string, _k0_key string, _kr_k string, "
                    "_kr_n double, _kr_s string, _d_k string, _d_n double, _d_s string, "
                    "_nan_k string, _nan_n double, _nan_s string, _has_nan boolean")
-    stream = b.select(tag, "_chunk", *order, "_kind", "_num", "_key") \
-        .repartition(n_parts, tag, "_chunk").sortWithinPartitions(tag, "_chunk", *order)
+    stream = b.select(tag, "_chunk", *order, "_kind", "_num", "_key")
     summaries = stream.mapInPandas(lambda it: _day_summaries(it, tag, thr), schema=summ_schema)
     starts = summaries.repartition(n_parts, tag).sortWithinPartitions(tag, "_chunk").mapInPandas(
         _chain_days(tag),
         schema=f"{tag} {tag_t}, _chunk {chunk_t}, _lk string, _ln double, _lkey string")
-    seeded = b.join(starts, [tag, "_chunk"], "left") \
-        .repartition(n_parts, tag, "_chunk").sortWithinPartitions(tag, "_chunk", *order) \
+    starts = materialize(starts)
+    if starts.count() <= BROADCAST_ROWS:                # rows stay where they are
+        seeded = b.join(F.broadcast(starts), [tag, "_chunk"], "left")
+    else:                                               # after the join: a skew join would split a chunk
+        seeded = b.join(starts, [tag, "_chunk"], "left").repartition(n_parts, tag, "_chunk")
+    seeded = seeded.sortWithinPartitions(tag, "_chunk", *order) \
         .select(*out_cols, "_chunk", "_kind", "_num", "_key", "_lk", "_ln", "_lkey")
     schema = base.select(*out_cols).schema
 

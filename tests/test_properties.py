@@ -325,3 +325,17 @@ def test_fold_summaries_against_plain_folds():
                     got = (p["k"], p["n"], p["s"])
                     break
             assert str(got) == str(want), (vals, thr, x)
+
+
+def test_deadband_states_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    import datetime as dt
+    import random
+
+    from otgraph.operators import changes as C
+    rng = random.Random(8)
+    rows = [(str(i), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randrange(4 * 1440)), rng.choice("ab"), float(rng.randrange(9)), None, None, "DOUBLE") for i in range(300)]
+    df = spark.createDataFrame(rows, "event_id string, event_time timestamp, tag_path string, numeric_value double, string_value string, boolean_value boolean, data_type string")
+    want = sorted(r.event_id for r in C.deadband(df, 2.0, split_by=None).collect())
+    assert sorted(r.event_id for r in C.deadband(df, 2.0).collect()) == want
+    monkeypatch.setattr(C, "BROADCAST_ROWS", 0)
+    assert sorted(r.event_id for r in C.deadband(df, 2.0).collect()) == want
