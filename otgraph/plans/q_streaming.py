@@ -13,7 +13,7 @@ from otgraph.plans.q_events import OT_COLS
 from otgraph.sources.sinks import read_snapshot
 from otgraph.streaming import ingest as S
 from otgraph.streaming.metrics import MetricsListener, read_metrics, total_metrics
-from otgraph.streaming.ordered import ordered_deadband_stream
+from otgraph.streaming.ordered import ordered_deadband_stream, rate_cap_stream
 from otgraph.streaming.stateful import deadband_stream
 
 
@@ -139,3 +139,20 @@ def q_stream_deadband_ordered(spark, sf):
     q = S.write_append(ordered_deadband_stream(events, 50.0, "3 days"), f"{base}/out", f"{base}/ckpt", available_now=True)
     q.awaitTermination()
     return spark.read.schema(events.schema).parquet(f"{base}/out")
+
+
+@register("stream_rate_cap", with_ctes(
+    f"SELECT {OT_COLS} FROM ot_events QUALIFY row_number() OVER (PARTITION BY date_trunc('hour', make_timestamp(ingestion_timestamp))"
+    " ORDER BY ingestion_timestamp, event_id) <= 3", "ot_events"))
+def q_stream_rate_cap(spark, sf):
+    """Three events an hour pass, over four files in order of time; an hour that two files share is counted on."""
+    base = S.checkpoint_path(spark, "cap")
+    day = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86400 - 0.3)
+    parts = table(spark, sf, "events").withColumn("_f", F.least(F.lit(3), F.floor((day - F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) / 86400) / 8)))
+    for f in range(4):
+        parts.where(F.greatest(F.col("_f"), F.lit(0)) == f).drop("_f").coalesce(1).write.parquet(f"{base}/in/{f}")
+    events = ot_events_from(S.stream_table(spark, f"{base}/in/*", max_files_per_trigger=1))
+    capped = rate_cap_stream(events.withColumn("ingest_ts", F.timestamp_micros("ingestion_timestamp")), 3, unit="hour", delay="2 hours")
+    q = S.write_append(capped, f"{base}/out", f"{base}/ckpt", available_now=True)
+    q.awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{base}/out")

@@ -1,4 +1,4 @@
-"""Deadband on a stream whose events come out of order (T3): exact, with bounded state.
+"""Deadband on a stream whose events come out of order (T3): exact, with bounded state; rate cap on a stream.
 
 Events wait in their tag's list state until the watermark has passed them; an event-time timer then folds them in the
 order of their times, so shuffled input over any micro-batches keeps what the batch deadband keeps. What is held is the
@@ -6,12 +6,16 @@ events newer than the watermark and one last kept value per tag. With ``expire``
 long (in event time) is forgotten; its next event counts as its first. ``initial`` hands over the last kept values
 of a batch run (``last_kept``), so a stream goes on where the batch ended.
 
+The rate cap counts the events of each ``unit`` of a gateway in a value state of its own, which an event-time timer clears when
+no more can come, and lets the first ``n`` pass; what exceeds them is dropped, as in the batch form.
+
 Needs the RocksDB state store: ``spark.sql.streaming.stateStore.providerClass`` is set on the session by
 ``use_rocksdb``.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -103,3 +107,43 @@ def ordered_deadband_stream(stream: DataFrame, threshold: float, delay: str, tag
     processor = OrderedDeadband(float(threshold), rows.schema, columns, ["_ms", ts, tie], expire_ms)
     return rows.groupBy(tag).transformWithState(processor, out, "Append", "EventTime",
                                                 initialState=initial.groupBy(tag) if initial is not None else None)
+
+
+class RateCap(StatefulProcessor):
+    """Rows carry the output columns, then ``_unit`` (milliseconds of the start of the unit)."""
+
+    def __init__(self, n: int, columns: list[str], order: list[str], keep_ms: int):
+        self.n, self.columns, self.order, self.keep_ms = n, columns, order, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.passed = handle.getValueState("passed", "n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        done = self.passed.get()[0] if self.passed.exists() else 0
+        room = max(0, self.n - done)
+        # at most n rows of a unit are held, however many come
+        first = heapq.nsmallest(room, rows, key=lambda r: tuple(r[c] for c in self.order))
+        for r in first:
+            yield Row(*self.columns)(*[r[c] for c in self.columns])
+        self.passed.update((done + len(first),))
+        self.handle.registerTimer(int(key[-1]) + self.keep_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.passed.clear()
+        return iter(())
+
+
+_UNIT_MS = {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
+
+
+def rate_cap_stream(stream: DataFrame, n: int, ts: str = "ingest_ts", unit: str = "second", tie: str = "event_id",
+                    gateway: str = "source_system", delay: str = "10 minutes") -> DataFrame:
+    """The first ``n`` events of each ``unit`` and gateway (F7): those of earlier micro-batches first, within one by (ts, tie).
+    Events more than ``delay`` late are dropped."""
+    use_rocksdb(stream.sparkSession)
+    columns = list(stream.columns)
+    rows = stream.withWatermark(ts, delay).withColumn("_unit", F.unix_millis(F.date_trunc(unit, F.col(ts))))
+    out = rows.select(*columns).schema
+    processor = RateCap(int(n), columns, [ts, tie], _UNIT_MS[unit])
+    return rows.groupBy(gateway, "_unit").transformWithState(processor, out, "Append", "EventTime")

@@ -60,3 +60,18 @@ def test_silent_tags_are_forgotten(spark):
     ev = lambda i, s, tag="a": (i, at(s), tag, 5.0, None, None, "DOUBLE")
     got, _ = _run(spark, base, "c", [[ev("0", 0), ev("1", 30)], [ev("2", 500)], [ev("z", 9000, "end")]], expire_ms=100_000)
     assert got - {"z"} == {"0", "2"}                                         # the value is the same, but the tag was silent for long
+
+
+def test_rate_cap_counts_over_micro_batches(spark):
+    from otgraph.streaming.ordered import rate_cap_stream
+    base = tempfile.mkdtemp(prefix="otgraph-rc-")
+    schema = "event_id string, ingest_ts timestamp, source_system string"
+    at = lambda i, s, g="g": (i, T0 + dt.timedelta(seconds=s), g)
+    batches = [[at("a", 0), at("c", 0.5), at("b", 0.5), at("x", 0, "h")], [at("d", 0.9), at("e", 1.0), at("f", 1.5), at("g", 1.7)], [at("h", 9000)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{base}/in/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
+    q = S.write_append(rate_cap_stream(stream, 2), f"{base}/out", f"{base}/ck", available_now=True)
+    q.awaitTermination()
+    assert sorted(r["event_id"] for r in spark.read.schema(schema).parquet(f"{base}/out").collect()) == ["a", "b", "e", "f", "h", "x"]
+    assert sum(op["numRowsTotal"] for op in q.lastProgress["stateOperators"]) <= 6        # passed seconds are forgotten
