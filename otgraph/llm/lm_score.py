@@ -30,14 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from otgraph.llm.common import Words, mix, written
+from otgraph.llm.common import Words, chunked, mix, written
 
 WORD_IDS = 1 << 17                     # least size of the vocabulary
 LAMBDA, ALPHA = 0.6, 0.5
 UNIT_CHARS = 2_000_000                 # of the texts of a unit; a longer single text is its own
+HASH_CHARS = 250_000                   # of the texts hashed at a time
 RANGE_CHARS = 2_000_000                # of input per key range
 HOT, SAMPLE_UNITS = 1 << 18, 16        # keys broadcast, units they are chosen from
 ROWS_OUT = 250_000                     # rows of one Arrow batch of counts
+PARTS_OUT = 16                         # key ranges of one Arrow batch of a unit's counts
 
 _U = np.uint64
 _COUNTS = ("n", "t", "hn", "ht")       # tokens of all and of target documents, and as history
@@ -49,13 +51,18 @@ class Tokens:
     first of their text)."""
 
     def __init__(self, texts: list):
-        w = Words(texts)
-        self.doc, self.n = w.doc, w.per_doc
-        self.after = np.flatnonzero(w.doc[1:] == w.doc[:-1]) + 1
-        word = w.hash | _U(1)
-        pair = mix(w.hash[self.after - 1] * _U(3) + w.hash[self.after]) & ~_U(1)
+        hashes, docs, many = [np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in chunked(texts, HASH_CHARS):           # hashing holds some fifty bytes a character
+            w = Words(texts[a:b])
+            hashes.append(w.hash)
+            docs.append(w.doc + a)
+            many.append(w.per_doc)
+        h, self.doc, self.n = np.concatenate(hashes), np.concatenate(docs), np.concatenate(many)
+        self.after = np.flatnonzero(self.doc[1:] == self.doc[:-1]) + 1
+        word = h | _U(1)
+        pair = mix(h[self.after - 1] * _U(3) + h[self.after]) & ~_U(1)
         self.keys, at = np.unique(np.concatenate((word, pair)), return_inverse=True)
-        self.word, self.pair = at[:w.n], at[w.n:]
+        self.word, self.pair = at[:len(h)], at[len(h):]
         self.hist = self.word[self.after - 1]
 
     def counts(self, target: np.ndarray) -> np.ndarray:
@@ -146,6 +153,7 @@ def _each(batches):
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]
+            pa.default_memory_pool().release_unused()
 
 
 def _packed(batches):
@@ -209,10 +217,11 @@ def answers(units: DataFrame, hot, bits: int) -> DataFrame:
             for i, unit in enumerate(batch.column("unit").to_pylist()):
                 t, on = _read(batch.slice(i, 1).to_pylist()[0])
                 place, cut = _cold(t, hot.value, bits)
-                keys, counts = t.keys[place], t.counts(on)[:, place].astype(np.int32)
+                keys, counts = t.keys[place], t.counts(on).astype(np.int32)[:, place]
+                del t, place
                 parts = np.flatnonzero(np.diff(cut))
-                for p0 in range(0, len(parts), 4096):
-                    some = parts[p0:p0 + 4096]
+                for p0 in range(0, len(parts), PARTS_OUT):
+                    some = parts[p0:p0 + PARTS_OUT]
                     data = [keys[cut[p]:cut[p + 1]].tobytes() + counts[:, cut[p]:cut[p + 1]].tobytes() for p in some]
                     yield pa.RecordBatch.from_arrays([pa.array([unit] * len(some), pa.int64()), pa.array(some.astype(np.int64)), pa.array(data, pa.binary())],
                                                      names=["unit", "part", "data"])
