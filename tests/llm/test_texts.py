@@ -65,7 +65,7 @@ def test_windows_at_every_letter_against_brute_force(spark, monkeypatch):
     letters = "abcdefghijklmnop"
     items = ["".join(rng.choice(letters) for _ in range(n)) for n in (30, 64, 70, 120, 200)] + ["a" * 90, "ab" * 40]
     rows = []
-    for _ in range(120):
+    for _ in range(70):
         p = rng.choice(items)
         n = min(len(p), rng.choice([50, 63, 64, 64, 65, 70, 90]))
         s = rng.randrange(len(p) - n + 1)
@@ -89,7 +89,7 @@ def test_windows_at_every_letter_against_brute_force(spark, monkeypatch):
     for block in (decontam.BLOCK_CHARS, 100):
         got = {r.doc_id: r["items"] for r in decontam.contamination(df, bench, block_chars=block).collect()}
         assert [got[i] for i in range(len(rows))] == want
-    assert sum(map(bool, want)) > 50 and not all(want)
+    assert sum(map(bool, want)) > 25 and not all(want)
 
 
 def test_every_exact_run_of_64_letters_is_found():
@@ -111,7 +111,7 @@ def test_runs_of_one_letter_take_time_in_proportion():
     import time
     index = decontam.build_index([(1, "b" * 500), (2, "c" * 40 + "d" * 40)])
     took = []
-    for n in (20_000, 80_000):
+    for n in (5_000, 20_000):
         t0 = time.time()
         assert [x[0] for x in decontam.scan_texts(["b" * n], [index])[0]] == [1]
         assert decontam.scan_texts([("c" * 30 + "x") * (n // 31)], [index])[0] == []
