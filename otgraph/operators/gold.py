@@ -77,7 +77,8 @@ def events_in_intervals(events: DataFrame, intervals: DataFrame, keys: Sequence[
     paired with any interval but its own. Otherwise a range join: an interval is cut into dyadic pieces of cells of
     ``bucket_seconds``, at most two of each scale, and an event looks up its cell at every scale that
     occurs, so a ten-year interval is some thirty rows and all joins are on (key, scale, cell). Only events in the
-    cells that an interval covers in part are compared with its exact bounds in vain.
+    cells that an interval covers in part are compared with its exact bounds in vain. The join is a merge join: the
+    planner does not see how often a row is repeated and would broadcast repeated events by the size of their file.
     """
     keys = list(keys)
     intervals = intervals.dropna(subset=keys)        # SQL: a NULL key matches nothing
@@ -101,7 +102,7 @@ def events_in_intervals(events: DataFrame, intervals: DataFrame, keys: Sequence[
     scales = sorted(r["_k"] for r in iv.select("_k").distinct().collect())           # at most 63
     ev = events.withColumn("_k", F.explode(F.array(*[F.lit(k) for k in scales]).cast("array<int>"))) \
         .withColumn("_c", F.call_function("shiftright", cell(F.col(ts)), F.col("_k")))
-    j = ev.join(iv, on=keys + ["_k", "_c"], how="inner")
+    j = ev.hint("merge").join(iv.hint("merge"), on=keys + ["_k", "_c"], how="inner")
     return j.filter((F.col(ts) >= F.col(start)) & (F.col(ts) <= end_c)).drop("_k", "_c")
 
 

@@ -40,6 +40,14 @@ def test_overlapping_and_long_intervals(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_repeated_events_are_not_broadcast(spark):
+    e = spark.createDataFrame([("a", T0 + dt.timedelta(hours=i), i) for i in range(9)], "k string, ts timestamp, id long")
+    w = spark.createDataFrame([("a", T0, T0 + dt.timedelta(days=9), 1)], "k string, start_ts timestamp, end_ts timestamp, name long")
+    out = events_in_intervals(e, w, ["k"], disjoint=False)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and out.count() == 9
+
+
 def test_indexed_search_equals_the_scan(spark):
     rng = random.Random(3)
     voc = ["pump", "Pumpe", "Kühler", "ÄRGER", "a%b", "x_y", "line\nbreak", "日本語", "fan", "pu", "\\"]
