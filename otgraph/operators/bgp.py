@@ -30,6 +30,8 @@ from otgraph.operators.graph import property_path
 
 #: Objects of one subject and predicate that a star may hold in a row.
 STAR_MOST = 16
+#: Triples that one task of an aggregation by subject holds.
+TASK_ROWS = 250_000
 
 
 class Path(NamedTuple):
@@ -56,11 +58,18 @@ def predicate_stats(triples: DataFrame, patterns: Sequence[Pattern] | None = Non
     """Counts per predicate: of all, or of those that ``patterns`` name."""
     if patterns is not None:
         triples = triples.where(F.col("p").isin(sorted({p for _, p, _ in patterns if isinstance(p, str) and not isinstance(p, Path) and not _is_var(p)})))
-    subjects = triples.groupBy("p", "s").agg(F.count("*").alias("n")).groupBy("p").agg(
-        F.sum("n").alias("rows"), F.count("*").alias("subjects"), F.max("n").alias("most"))
-    objects = triples.groupBy("p").agg(F.approx_count_distinct("o").alias("objects"))
-    return {r["p"]: Stat(r["rows"], r["subjects"], r["objects"], r["most"])
-            for r in subjects.join(objects, "p").collect()}              # a row per predicate
+    objects = {r["p"]: r for r in triples.groupBy("p").agg(F.count("*").alias("rows"), F.approx_count_distinct("o").alias("objects")).collect()}
+    n = _parts(triples, sum(r["rows"] for r in objects.values()))
+    # subjects by their hash, in parts of bounded size: counts for planning need not tell two of 2^64 apart
+    keyed = triples.select("p", F.xxhash64("s").alias("s")).repartition(n, "s")
+    subjects = keyed.groupBy("p", "s").agg(F.count("*").alias("n")).groupBy("p").agg(F.count("*").alias("subjects"), F.max("n").alias("most"))
+    return {r["p"]: Stat(objects[r["p"]]["rows"], r["subjects"], objects[r["p"]]["objects"], r["most"])
+            for r in subjects.collect() if r["p"] in objects}            # a row per predicate
+
+
+def _parts(df: DataFrame, rows: float) -> int:
+    """Partitions for an aggregation by subject: as many as shuffles have, or one per ``TASK_ROWS``."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(rows // TASK_ROWS) + 1)
 
 
 def _is_var(t: str) -> bool:
@@ -91,13 +100,18 @@ def _n_consts(p: Pattern) -> int:
     return sum(0 if _is_var(t) else 1 for t in p)
 
 
-def match_star(triples: DataFrame, subject: str, parts: Sequence[tuple[str, str]]) -> DataFrame:
-    """Bindings of patterns (subject, p, o) with constant predicates: one scan, one aggregation per subject."""
+def match_star(triples: DataFrame, subject: str, parts: Sequence[tuple[str, str]], rows: float = 0) -> DataFrame:
+    """Bindings of patterns (subject, p, o) with constant predicates: one scan, one aggregation per subject. ``rows``:
+    triples to expect of them."""
     preds = sorted({p for p, _ in parts})
-    df = triples.where(F.col("p").isin(preds) & F.col("s").isNotNull())
+    fixed = {p: sorted({o for q, o in parts if q == p}) for p in preds if not any(_is_var(o) for q, o in parts if q == p)}
+    wanted = F.col("p").isin([p for p in preds if p not in fixed])
+    for p, objects in fixed.items():                     # of a predicate with constant objects only, no other triple counts
+        wanted = wanted | ((F.col("p") == F.lit(p)) & F.col("o").isin(objects))
+    df = triples.where(wanted & F.col("s").isNotNull())
     if not _is_var(subject):
         df = df.where(F.col("s") == F.lit(subject))
-    held = df.groupBy("s").agg(*[F.collect_list(F.when(F.col("p") == p, F.struct("o"))).alias(f"_o{i}") for i, p in enumerate(preds)])
+    held = df.repartition(_parts(df, rows), "s").groupBy("s").agg(*[F.collect_list(F.when(F.col("p") == p, F.struct("o"))).alias(f"_o{i}") for i, p in enumerate(preds)])
     held = held.where(" and ".join(f"size(_o{i}) > 0" for i in range(len(preds))))
     out, seen = held.withColumnRenamed("s", "_s"), {subject: "_s"}
     for k, (p, o) in enumerate(sorted(parts, key=lambda x: _is_var(x[1]))):          # constants first: they only thin out
@@ -136,7 +150,7 @@ def _units(triples: DataFrame, patterns: Sequence[Pattern], stats: Stats) -> lis
             rest += pats
             continue
         names = list(dict.fromkeys(v for p in pats for v in match_pattern_vars(p)))
-        out.append((min(_expected(p, stats) for p in pats), names, match_star(triples, s, [(p, o) for _, p, o in pats])))
+        out.append((min(_expected(p, stats) for p in pats), names, match_star(triples, s, [(p, o) for _, p, o in pats], sum(stats[p].rows for p in {p for _, p, _ in pats} if p in stats))))
     return out + [(_expected(p, stats), match_pattern_vars(p), match_pattern(triples, p)) for p in rest]
 
 

@@ -99,6 +99,17 @@ def test_one_scan_per_star(spark, tmp_path):
     assert scans(B.bgp_match(g, pats, B.predicate_stats(g, pats))) == 2
 
 
+def test_stars_aggregate_matching_triples_in_parts_of_bounded_size(spark):
+    g = spark.createDataFrame([("a", "p", "x"), ("a", "q", "1"), ("b", "p", "y"), ("b", "q", "2")], "s string, p string, o string")
+    rows = 40 * B.TASK_ROWS
+    star = B.match_star(g, "?a", [("p", "x"), ("q", "?c")], rows)
+    plan = star._jdf.queryExecution().optimizedPlan().toString()
+    assert "= x)" in plan.split("RepartitionByExpression")[1]               # types that the star does not ask for are not dealt
+    assert star._jdf.queryExecution().analyzed().toString().count("RepartitionByExpression [s#") == 1 and ", 41" in plan
+    assert [tuple(r) for r in star.select("a", "c").collect()] == [("a", "1")]
+    assert B.predicate_stats(g) == {"p": B.Stat(2, 2, 2, 1), "q": B.Stat(2, 2, 2, 1)}
+
+
 def _reach(rows, pred, mode):
     edges = {(s, o) for s, p, o in rows if p == pred and s and o}
     pairs = set(edges)
