@@ -35,6 +35,16 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
     return spark
 
 
+def duration_ms(text: str) -> int:
+    """Milliseconds of a duration as Spark writes them: "10 minutes", "1 hour 30 seconds"."""
+    import re
+    unit = {"millisecond": 1, "second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000, "week": 604_800_000}
+    found = re.findall(r"(\d+)\s*([a-z]+?)s?\b", text.lower())
+    if not found or any(u not in unit for _, u in found):
+        raise ValueError(f"not a duration: {text!r}")
+    return sum(int(n) * unit[u] for n, u in found)
+
+
 def materialize(df):
     """Reliable checkpoint of ``df`` into ``spark.checkpoint.dir`` computed once: the rows are
     persisted while the checkpoint files are written (an unpersisted checkpoint recomputes its

@@ -37,6 +37,38 @@ def test_deadband_state_survives_micro_batches(spark):
     assert [v for _t, v in got] == [1.0, 1.8, 3.0]
 
 
+def test_deadband_tags_share_state_rows(spark):
+    """Many tags over micro-batches keep what the batch deadband keeps, with a state row per slot and not per tag."""
+    import random
+    from otgraph.operators.changes import deadband
+    rng, d = random.Random(5), tempfile.mkdtemp(prefix="otgraph-st-")
+    kinds = [("DOUBLE", 1.0, None, None), ("DOUBLE", 3.0, None, None), ("STRING", None, "x", None), ("BOOLEAN", None, None, True), ("UNKNOWN", None, None, None)]
+    rows = []
+    for i in range(240):
+        kind, n, s_, b = rng.choice(kinds)
+        rows.append((f"{i:04d}", T0 + dt.timedelta(seconds=i // 2), rng.choice([f"t{k}" for k in range(40)]), n, s_, b, kind))
+    for k in range(3):
+        _write(spark, d, rng.sample(rows[80 * k:80 * k + 80], 80), f"src/{k}")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{d}/src/*")
+    q = S.write_append(deadband_stream(stream, 0.5, slots=4), f"{d}/out", f"{d}/ck", available_now=True)
+    q.awaitTermination()
+    got = sorted(r.event_id for r in spark.read.schema(SCHEMA).parquet(f"{d}/out").collect())
+    assert got == sorted(r.event_id for r in deadband(spark.createDataFrame(rows, SCHEMA), 0.5).collect())
+    assert 0 < q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+
+
+def test_steps_of_a_fed_stream_have_as_many_files(spark, tmp_path, monkeypatch):
+    from otgraph.plans import q_streaming as Q
+    monkeypatch.setattr(Q, "_FILE_ROWS", 10, raising=False)
+    parts = spark.range(400, numPartitions=1).withColumn("_f", F.col("id") % 4)
+    write, files = Q._fed(parts, str(tmp_path))
+    for f in range(4):
+        write(f)
+    assert files == 10
+    assert [len([x for x in os.listdir(tmp_path / "in" / str(f)) if x.endswith(".parquet")]) for f in range(4)] == [10] * 4
+    assert spark.read.parquet(f"{tmp_path}/in/*").agg(F.count_distinct("id")).first()[0] == 400
+
+
 def test_dedupe_and_observe(spark):
     d = tempfile.mkdtemp(prefix="otgraph-st-")
     rows = [("e1", T0, "t", 1.0, None, None, "DOUBLE"), ("e1", T0, "t", 1.0, None, None, "DOUBLE"),
