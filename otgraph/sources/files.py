@@ -158,7 +158,9 @@ def parse_turtle(text: str, graph: str, prefixes: dict[str, str] | None = None)
 
 
 #: Characters of a file that one row holds and one parse reads; a longer line is a row of its own.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
+#: Triples that a worker holds before it hands them on.
+ROWS_OUT = 10_000
 
 
 def _scan(text: str, inside: bool) -> tuple[bool, int, int]:
@@ -228,11 +230,10 @@ def _statements(chunks: DataFrame) -> DataFrame:
 
     def cut(batches):
         for pdf in batches:
-            rows = []
             for g, p, text, inside in zip(pdf["graph"], pdf["pos"], pdf["text"], pdf["inside"]):
                 _, a, b = _scan(text, inside)
-                rows.append((g, p, a >= 0, text[:a] if a >= 0 else text, text[a:b] if a >= 0 else "", text[b:] if a >= 0 else ""))
-            yield pd.DataFrame(rows, columns=["graph", "pos", "ends", "head", "body", "tail"])
+                row = (g, p, a >= 0, text[:a] if a >= 0 else text, text[a:b] if a >= 0 else "", text[b:] if a >= 0 else "")
+                yield pd.DataFrame([row], columns=["graph", "pos", "ends", "head", "body", "tail"])
 
     pos = "struct<start:bigint,seq:int>"
     parts = materialize(chunks.join(state, ["graph", "pos"]).select("graph", "pos", "text", "inside").mapInPandas(
@@ -245,6 +246,18 @@ def _statements(chunks: DataFrame) -> DataFrame:
     return parts.where("ends").select("graph", "pos", F.lit(0).alias("place"), F.col("body").alias("text")).unionByName(joined)
 
 
+def _parsed(batches):
+    """Triples of (graph, text, known prefixes), handed on in frames of ``ROWS_OUT``."""
+    names, rows = ["graph", "s", "p", "o", "o_type"], []
+    for pdf in batches:
+        for g, text, known in zip(pdf["graph"], pdf["text"], pdf["known"]):
+            rows += parse_turtle(text, g, {x["name"]: x["iri"] for x in known} if known is not None else {})
+            while len(rows) >= ROWS_OUT:
+                yield pd.DataFrame(rows[:ROWS_OUT], columns=names)
+                del rows[:ROWS_OUT]
+    yield pd.DataFrame(rows, columns=names)
+
+
 def load_turtle(spark: SparkSession, paths: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Turtle files → (graph, s, p, o, o_type) (S10); ``graph`` is the file path.
 
@@ -268,15 +281,8 @@ def load_turtle(spark: SparkSession, paths: str, chunk_chars: int = CHUNK_CHARS)
     names = statements.where(F.col("text").contains("@prefix")).mapInPandas(declared, f"graph string, pos {pos}, place int, name string, iri string")
     per_file = names.groupBy("graph").agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), "name", "iri"))).alias("names"))
 
-    def parse(batches):
-        for pdf in batches:
-            rows = []
-            for g, text, known in zip(pdf["graph"], pdf["text"], pdf["known"]):
-                rows += parse_turtle(text, g, {x["name"]: x["iri"] for x in known} if known is not None else {})
-            yield pd.DataFrame(rows, columns=["graph", "s", "p", "o", "o_type"])
-
     known = statements.join(per_file, "graph", "left").select("graph", "text", F.filter("names", lambda x: x["at"] < at).alias("known"))
-    return known.mapInPandas(parse, schema=MODEL_TRIPLES)
+    return known.mapInPandas(_parsed, schema=MODEL_TRIPLES)
 
 
 # ------------------------------------------------------------------ template catalogue --------

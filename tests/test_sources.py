@@ -166,3 +166,12 @@ def test_partitioned_triples_prune_days(spark):
     assert [r.o for r in pit.collect()] == ["1"]
     plan = pit._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(date" in plan and "date#" in plan
+
+
+def test_turtle_triples_leave_in_frames_of_bounded_size(monkeypatch):
+    import pandas as pd
+    monkeypatch.setattr(files, "ROWS_OUT", 4, raising=False)
+    texts = ["".join(f"<s{i}> <p> <o{j}> .\n" for j in range(5)) for i in range(3)]
+    frames = list(files._parsed([pd.DataFrame({"graph": "g", "text": texts, "known": None})]))
+    assert max(map(len, frames)) <= 4
+    assert [tuple(r) for f in frames for r in f[["s", "o"]].itertuples(index=False)] == [(f"s{i}", f"o{j}") for i in range(3) for j in range(5)]
