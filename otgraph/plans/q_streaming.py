@@ -17,6 +17,22 @@ from otgraph.streaming.ordered import ordered_deadband_stream, rate_cap_stream
 from otgraph.streaming.stateful import deadband_stream
 
 
+#: Rows of one input file of a stream that is fed in steps.
+_FILE_ROWS = 200_000
+
+
+def _fed(parts, base):
+    """A function that writes step f (column ``_f``, 0 to 3) of a stream's input, and the files of each step: as many for every
+    step, so that ``maxFilesPerTrigger`` takes a step at a time; a step of few rows is one file."""
+    rows = {r["_f"]: r["count"] for r in parts.groupBy("_f").count().collect()}      # four rows
+    files = max(1, min(rows.get(f, 0) for f in range(4)) // _FILE_ROWS)
+
+    def write(f, deal=lambda df, n: df.repartition(n)):
+        step = parts.where(F.col("_f") == f).drop("_f")
+        deal(step, files).write.parquet(f"{base}/in/{f}")
+    return write, files
+
+
 def _events_stream(spark, sf):
     # the streaming file source wants a folder or a glob; this glob matches the one file
     return S.stream_table(spark, f"{sf}/events.parque[t]")
@@ -104,16 +120,17 @@ def q_stream_dead(spark, sf):
     " count_if(NOT coalesce(numeric_value > 250, false) AND data_type = 'BOOLEAN') AS filtered,"
     " count_if(NOT coalesce(numeric_value > 250, false) AND data_type <> 'BOOLEAN') AS accepted, 4 AS epochs FROM ot_events", "ot_events"))
 def q_stream_metrics(spark, sf):
-    """Counts per epoch in a table, over two runs of one query that together read four files."""
+    """Counts per epoch in a table, over two runs of one query that together read four steps of files."""
     base = S.checkpoint_path(spark, "metrics")
     listener = MetricsListener(spark, f"{base}/metrics")
     spark.streams.addListener(listener)
     try:
         parts = table(spark, sf, "events").withColumn("_f", F.pmod(F.xxhash64("event_id"), F.lit(4)))
+        write, files = _fed(parts, base)
         for run in (0, 1):
             for f in (2 * run, 2 * run + 1):
-                parts.where(F.col("_f") == f).drop("_f").coalesce(1).write.parquet(f"{base}/in/{f}")
-            events = S.stream_table(spark, f"{base}/in/*", max_files_per_trigger=1)
+                write(f)
+            events = S.stream_table(spark, f"{base}/in/*", max_files_per_trigger=files)
             seen = S.observe_ingest(ot_events_from(events).withColumn("over", F.col("numeric_value") > 250).withColumn("same", F.col("data_type") == "BOOLEAN"),
                                     dropped="over", filtered="same")
             q = S.write_append(seen, f"{base}/out", f"{base}/ckpt", available_now=True)
@@ -133,9 +150,10 @@ def q_stream_deadband_ordered(spark, sf):
     base = S.checkpoint_path(spark, "ordered")
     late = F.unix_seconds(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(2 * 86400))
     parts = table(spark, sf, "events").withColumn("_f", F.least(F.lit(3), F.floor((late - F.unix_seconds(F.lit("2024-01-01").cast("timestamp"))) / (8 * 86400))))
+    write, files = _fed(parts, base)
     for f in range(4):                                   # one after the other: files are read in order of their time
-        parts.where(F.col("_f") == f).drop("_f").orderBy(F.xxhash64("event_id", F.lit(1))).coalesce(1).write.parquet(f"{base}/in/{f}")
-    events = ot_events_from(S.stream_table(spark, f"{base}/in/*", max_files_per_trigger=1))
+        write(f, lambda df, n: df.repartition(n).sortWithinPartitions(F.xxhash64("event_id", F.lit(1))))
+    events = ot_events_from(S.stream_table(spark, f"{base}/in/*", max_files_per_trigger=files))
     q = S.write_append(ordered_deadband_stream(events, 50.0, "3 days"), f"{base}/out", f"{base}/ckpt", available_now=True)
     q.awaitTermination()
     return spark.read.schema(events.schema).parquet(f"{base}/out")

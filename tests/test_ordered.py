@@ -54,6 +54,18 @@ def test_shuffled_batches_equal_the_batch_deadband_and_go_on_from_it(spark):
     assert again - {"99999"} == _kept(spark, rows) - {r[0] for r in first}
 
 
+def test_tags_share_state_rows(spark):
+    rng = random.Random(6)
+    base = tempfile.mkdtemp(prefix="otgraph-or-")
+    rows = [(*r[:2], f"t{rng.randrange(30)}", *r[3:]) for r in _events(rng, 120)]
+    end = ("99999", T0 + dt.timedelta(days=1), "end", 0.0, None, None, "DOUBLE")
+    mixed = _shuffled(rng, rows, 15)
+    got, q = _run(spark, base, "d", [mixed[:60], mixed[60:], [end]], slots=4)
+    assert got - {"99999"} == _kept(spark, rows)
+    # of each slot the last values, the mark of its last fold and blocks of waiting events
+    assert sum(op["numRowsTotal"] for op in q.lastProgress["stateOperators"]) <= 16
+
+
 def test_silent_tags_are_forgotten(spark):
     base = tempfile.mkdtemp(prefix="otgraph-or-")
     at = lambda s: T0 + dt.timedelta(seconds=s)
