@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from otgraph.llm.common import Words, chunked, mix, written
+from otgraph.llm.common import Words, chunked, mix, shuffles_dropped, written
 
 WORD_IDS = 1 << 17                     # least size of the vocabulary
 LAMBDA, ALPHA = 0.6, 0.5
@@ -140,7 +140,8 @@ def _units(rows: DataFrame) -> DataFrame:
             yield unit()
 
     out = rows.mapInArrow(run, "chars long, doc_id array<long>, t array<boolean>, size array<long>, z binary")
-    return written(out.withColumn("unit", F.monotonically_increasing_id()), "lm-units")
+    with shuffles_dropped(rows.sparkSession):
+        return written(out.withColumn("unit", F.monotonically_increasing_id()), "lm-units")
 
 
 def _read(unit: dict) -> tuple[Tokens, np.ndarray]:
@@ -164,7 +165,8 @@ def _packed(batches):
 
 def _collected(df: DataFrame) -> list[np.ndarray]:
     """Columns of at most ``HOT`` + 1 rows of numbers."""
-    parts = df.mapInArrow(_packed, ", ".join(f"{c} binary" for c in df.columns)).collect()
+    with shuffles_dropped(df.sparkSession):
+        parts = df.mapInArrow(_packed, ", ".join(f"{c} binary" for c in df.columns)).collect()
     return [np.frombuffer(b"".join(bytes(r[c]) for r in parts), np.int64) for c in df.columns]
 
 
@@ -246,7 +248,8 @@ def answers(units: DataFrame, hot, bits: int) -> DataFrame:
                          "words": pa.array(words, pa.int64())})
 
     asked = units.select("unit", "chars", "t", "size", "z").mapInArrow(ask, "unit long, part long, data binary")
-    return written(asked.groupBy("part").applyInArrow(add, "unit long, part long, sums binary, words long"), "lm-sums")
+    with shuffles_dropped(units.sparkSession):                # what was asked is the largest shuffle
+        return written(asked.groupBy("part").applyInArrow(add, "unit long, part long, sums binary, words long"), "lm-sums")
 
 
 def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:

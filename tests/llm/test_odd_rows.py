@@ -88,3 +88,16 @@ def test_stages_of_odd_rows(spark, stage, tmp_path):
         assert out.columns == df.columns
     assert {r["doc_id"] for r in out.select("doc_id").collect()} <= {r[0] for r in rows} and out.count() > 0
     assert run(spark, df.limit(0), str(tmp_path)).count() == 0
+
+
+def test_a_written_table_leaves_no_shuffle_behind(spark):
+    from pyspark.sql import functions as F
+
+    from otgraph.llm.common import shuffles_dropped, written
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in manager.getAllFiles().mkString("\n").split("\n") if x.endswith(".data") and "shuffle_" in x}
+    before, conf = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    with shuffles_dropped(spark):
+        out = written(spark.range(1000).repartition(3).groupBy((F.col("id") % 10).alias("k")).count(), "test")
+    assert not files() - before and out.agg(F.sum("count")).first()[0] == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == conf
