@@ -38,18 +38,27 @@ def written(df: DataFrame, kind: str) -> DataFrame:
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession):
-    """Spark removes the shuffle files of a job that ends within, instead of when the driver next collects garbage: for large
-    shuffles whose rows are then in a written table or at the driver."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name)
-    spark.conf.set(name, "true")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def shuffles_dropped(spark: SparkSession):
+    """Spark removes the shuffle files of a job that ends within, instead of when the driver next collects garbage: for large
+    shuffles whose rows are then in a written table or at the driver."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def small_batches(spark: SparkSession, size: str = "2m"):
+    """Jobs within hand rows to Python workers in Arrow batches of about ``size`` bytes (or one larger row), instead of 10,000 rows:
+    executor and worker each hold a whole batch."""
+    return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def text_key(text: Column) -> Column:
     """64-bit content hash; with the document id it names a row (identical rows share it and
     get identical verdicts). Null and empty text differ."""

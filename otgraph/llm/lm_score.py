@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from otgraph.llm.common import Words, chunked, mix, shuffles_dropped, written
+from otgraph.llm.common import Words, chunked, mix, shuffles_dropped, small_batches, written
 
 WORD_IDS = 1 << 17                     # least size of the vocabulary
 LAMBDA, ALPHA = 0.6, 0.5
@@ -57,26 +57,32 @@ class Tokens:
             hashes.append(w.hash)
             docs.append(w.doc + a)
             many.append(w.per_doc)
-        h, self.doc, self.n = np.concatenate(hashes), np.concatenate(docs), np.concatenate(many)
+        h, self.doc, self.n = np.concatenate(hashes), np.concatenate(docs).astype(np.int32), np.concatenate(many)
         self.after = np.flatnonzero(self.doc[1:] == self.doc[:-1]) + 1
         word = h | _U(1)
         pair = mix(h[self.after - 1] * _U(3) + h[self.after]) & ~_U(1)
-        self.keys, at = np.unique(np.concatenate((word, pair)), return_inverse=True)
-        self.word, self.pair = at[:len(h)], at[len(h):]
+        del hashes, docs, many
+        both = np.concatenate((word, pair))
+        del word, pair
+        self.keys, at = np.unique(both, return_inverse=True)
+        self.word, self.pair = at[:len(h)].astype(np.int32), at[len(h):].astype(np.int32)
         self.hist = self.word[self.after - 1]
 
     def counts(self, target: np.ndarray) -> np.ndarray:
         """One row of ``_COUNTS`` each, over all documents; ``target``: per text."""
         m, d = len(self.keys), self.doc[self.after]
         on, late = target[self.doc], target[d]
-        many = lambda *parts: sum(np.bincount(x, minlength=m) for x in parts)
-        return np.stack([many(self.word, self.pair), many(self.word[on], self.pair[late]), many(self.hist), many(self.hist[late])]).astype(np.int64)
+        out = np.zeros((len(_COUNTS), m), np.int64)
+        for row, parts in zip(out, ((self.word, self.pair), (self.word[on], self.pair[late]), (self.hist,), (self.hist[late],))):
+            for x in parts:
+                row += np.bincount(x, minlength=m)
+        return out
 
 
 def _own(doc: np.ndarray, slot: np.ndarray) -> np.ndarray:
     """How often each token's slot occurs in its own text."""
     _, at, count = np.unique(doc.astype(np.int64) << 32 | slot, return_inverse=True, return_counts=True)
-    return count[at]
+    return count.astype(np.int32)[at]
 
 
 def losses(t: Tokens, own: tuple, count: np.ndarray, hist: np.ndarray, n_tokens: int, n_words: int, leave: np.ndarray) -> np.ndarray:
@@ -108,6 +114,8 @@ def _flagged(docs: DataFrame, target: DataFrame) -> DataFrame:
             z = [pa.compress(x, "zstd", asbytes=True) if x else b"" for x in raw]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(z, pa.binary()), pa.array([len(x) for x in raw], pa.int64())],
                                              names=["doc_id", "z", "size"])
+            del raw, z                                    # before the next batch is read
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.mapInArrow(run, "doc_id long, z binary, size long")
@@ -140,7 +148,7 @@ def _units(rows: DataFrame) -> DataFrame:
             yield unit()
 
     out = rows.mapInArrow(run, "chars long, doc_id array<long>, t array<boolean>, size array<long>, z binary")
-    with shuffles_dropped(rows.sparkSession):
+    with shuffles_dropped(rows.sparkSession), small_batches(rows.sparkSession):
         return written(out.withColumn("unit", F.monotonically_increasing_id()), "lm-units")
 
 
@@ -165,7 +173,7 @@ def _packed(batches):
 
 def _collected(df: DataFrame) -> list[np.ndarray]:
     """Columns of at most ``HOT`` + 1 rows of numbers."""
-    with shuffles_dropped(df.sparkSession):
+    with shuffles_dropped(df.sparkSession), small_batches(df.sparkSession):
         parts = df.mapInArrow(_packed, ", ".join(f"{c} binary" for c in df.columns)).collect()
     return [np.frombuffer(b"".join(bytes(r[c]) for r in parts), np.int64) for c in df.columns]
 
@@ -215,18 +223,17 @@ def answers(units: DataFrame, hot, bits: int) -> DataFrame:
     """(unit, part, sums, words): for each key range of each unit, in the order of the unit's keys, the
     counts of all other units if there are any; and with unit -1 the number of distinct words."""
     def ask(batches):
-        for batch in batches:
-            for i, unit in enumerate(batch.column("unit").to_pylist()):
-                t, on = _read(batch.slice(i, 1).to_pylist()[0])
-                place, cut = _cold(t, hot.value, bits)
-                keys, counts = t.keys[place], t.counts(on).astype(np.int32)[:, place]
-                del t, place
-                parts = np.flatnonzero(np.diff(cut))
-                for p0 in range(0, len(parts), PARTS_OUT):
-                    some = parts[p0:p0 + PARTS_OUT]
-                    data = [keys[cut[p]:cut[p + 1]].tobytes() + counts[:, cut[p]:cut[p + 1]].tobytes() for p in some]
-                    yield pa.RecordBatch.from_arrays([pa.array([unit] * len(some), pa.int64()), pa.array(some.astype(np.int64)), pa.array(data, pa.binary())],
-                                                     names=["unit", "part", "data"])
+        for unit in _each(batches):
+            t, on = _read(unit)
+            place, cut = _cold(t, hot.value, bits)
+            keys, counts = t.keys[place], t.counts(on)[:, place].astype(np.int32)
+            del t, place
+            parts = np.flatnonzero(np.diff(cut))
+            for p0 in range(0, len(parts), PARTS_OUT):
+                some = parts[p0:p0 + PARTS_OUT]
+                data = [keys[cut[p]:cut[p + 1]].tobytes() + counts[:, cut[p]:cut[p + 1]].tobytes() for p in some]
+                yield pa.RecordBatch.from_arrays([pa.array([unit["unit"]] * len(some), pa.int64()), pa.array(some.astype(np.int64)), pa.array(data, pa.binary())],
+                                                 names=["unit", "part", "data"])
 
     def add(table):
         data = [x.as_py() for x in table.column("data")]
@@ -248,7 +255,7 @@ def answers(units: DataFrame, hot, bits: int) -> DataFrame:
                          "words": pa.array(words, pa.int64())})
 
     asked = units.select("unit", "chars", "t", "size", "z").mapInArrow(ask, "unit long, part long, data binary")
-    with shuffles_dropped(units.sparkSession):                # what was asked is the largest shuffle
+    with shuffles_dropped(units.sparkSession), small_batches(units.sparkSession):     # what was asked is the largest shuffle
         return written(asked.groupBy("part").applyInArrow(add, "unit long, part long, sums binary, words long"), "lm-sums")
 
 
