@@ -13,13 +13,13 @@ have Jaccard similarity of at least ``num/den`` are linked; components follow li
   with probability 0.15; more than 15 of 40 differ with probability 1.5e-4.
 * In a bucket (documents of one key) each member is paired with the bucket's first one and verified
   on the full sets. Buckets that then still hold different components are searched
-  completely; of buckets with the same members the first is. Those of up to ``BLOCK`` members are read in sorted
-  batches, a larger one is split into pairs of blocks of that many:
-  members of different components within the radius are paired if a second signature of ``FINE`` one-byte
-  slots also lets them reach the similarity (all but 3e-6 of true links do), each pair in the first
-  of its common buckets only, and verified: first each member with its most similar other one, then,
-  in the buckets still open, all. So no link between components is lost, and the
-  unlinked pairs of a group are not listed.
+  completely, of buckets with the same members the first. The rows of a sorted partition are whole buckets; one of over
+  ``BLOCK`` members comes as pairs of blocks of that many. Members of different components within the radius
+  are candidates if a second signature of ``FINE`` one-byte slots also lets them reach the similarity (all but
+  3e-6 of true links do), each pair in the first of its common buckets only. Members with a candidate are given
+  their full sets and searched once more, in blocks of about ``BLOCK_VALUES`` shingles: candidates not yet joined
+  are verified there, the most similar first, and only links that join two components leave the
+  task. So no link between components is lost, and the pairs of a group, linked or not, are never rows.
 * Components: smallest label over links, with pointer jumping, from written tables.
 
 Defined results: null and empty texts (and texts of blanks) have an empty set, are linked with nothing and
@@ -30,16 +30,16 @@ null ids; an empty table gives an empty table.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from otgraph.llm.common import Words, chunked, mix, text_key, written
+from otgraph.llm.common import Words, chunked, mix, small_batches, text_key, written
 
 CHUNKS, SLOTS, BITS = 8, 5, 16
 RADIUS = 2 * CHUNKS - 1
-BLOCK = 512
+BLOCK = 4096                           # members of a bucket searched together
+BLOCK_VALUES = 1 << 20                 # shingles of members verified together
 FINE = 512
 
 _U = np.uint64
@@ -158,13 +158,15 @@ def sets_of(members: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> Dat
 
 
 def fine_signatures(sets: DataFrame) -> DataFrame:
-    """(rep, fine) of (rep, s)."""
+    """(rep, sig, fine, size) of (rep, s)."""
     def run(batches):
         for batch in batches:
-            out = [fine_signature(np.asarray(s).view(np.uint64)).tobytes() for s in (x.values.to_numpy() for x in batch.column("s"))]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(out, pa.binary())], names=["rep", "fine"])
+            sets = [np.asarray(x.values.to_numpy()).view(np.uint64) for x in batch.column("s")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rep"), pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array([fine_signature(s).tobytes() for s in sets], pa.binary()),
+                 pa.array([len(s) for s in sets], pa.int64())], names=["rep", "sig", "fine", "size"])
 
-    return written(sets.select("rep", "s").mapInArrow(run, "rep long, fine binary"), "nd-fine")
+    return written(sets.select("rep", "s").mapInArrow(run, "rep long, sig binary, fine binary, size long"), "nd-fine")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -196,93 +198,127 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class _Members:
-    """Some members of buckets as arrays; ``keys``: their masked keys."""
-
-    def __init__(self, sig: list, fine: list, rep, comp):
-        self.sig = np.frombuffer(b"".join(sig), np.uint16).reshape(len(sig), -1)
-        self.fine = np.frombuffer(b"".join(fine), np.uint8).reshape(len(fine), -1)
-        self.rep, self.comp, self.keys = np.asarray(rep), np.asarray(comp), masked_keys(self.sig)
-
-
-def _pairs_in(a: _Members, rows_a: range, b: _Members, rows_b: slice, key: int, same: bool, limit: int, best: bool) -> list[tuple[int, int]]:
-    """Pairs of members of one bucket: of different components, within the radius and the fine limit, in the first
-    bucket they share; with ``best`` only each member's most similar."""
-    here = np.array([key], np.int64).view(np.uint64)[0]
-    sig, fine, rep, comp, keys = (x[rows_b] for x in (b.sig, b.fine, b.rep, b.comp, b.keys))
-    out = []
-    for i in rows_a:
-        j = np.flatnonzero((comp != a.comp[i]) & (rep > a.rep[i] if same else True))
-        if len(j):
-            j = j[(sig[j] != a.sig[i]).sum(axis=1) <= RADIUS]
-        if len(j):
-            j = j[a.keys[i][np.argmax(keys[j] == a.keys[i], axis=1)] == here]
-        if len(j):
-            d = (fine[j] != a.fine[i]).sum(axis=1)
-            j, d = j[d <= limit], d[d <= limit]
-            if best and len(j):
-                j = j[[np.argmin(d)]]
-            out += [(min(int(a.rep[i]), int(r)), max(int(a.rep[i]), int(r))) for r in rep[j]]
-    return out
-
-
-def _pair_batch(pairs: list) -> pa.RecordBatch:
-    p = np.array(pairs, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
-
-
-def _small_pairs(limit: int, best: bool):
-    """Pairs of whole buckets that follow one another in the rows of a sorted partition."""
+    """Rows of buckets as arrays; ``keys``: their masked keys, ``group``: key and pair of blocks."""
+
+    def __init__(self, table: pa.Table):
+        col = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "blk", "rep", "comp", "size")}
+        self.blk, self.rep, self.comp, self.size = (col[c] for c in ("blk", "rep", "comp", "size"))
+        self.group = np.stack([col["key"], col["i"].astype(np.int64), col["j"].astype(np.int64)], axis=1)
+        n = table.num_rows
+        self.sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(n, -1)
+        self.fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(n, -1)
+        self.keys = masked_keys(self.sig)
+        self.sets = [x.values.to_numpy().view(np.uint64) for x in table.column("s")] if "s" in table.column_names else []
+
+    def groups(self):
+        edge = np.flatnonzero(np.concatenate(([True], (self.group[1:] != self.group[:-1]).any(axis=1), [True])))
+        return zip(edge.tolist(), edge[1:].tolist())
+
+    def candidates(self, x: int, y: int, limit: int):
+        """(row, rows) of the group in rows [x, y): of different components, within the radius and the fine limit (the most
+        similar first), in the first bucket they share."""
+        key, i, j = self.group[x]
+        here, rows = np.array([key], np.int64).view(np.uint64)[0], np.arange(x, y)
+        left, right = rows[self.blk[x:y] == i], rows[self.blk[x:y] == j]
+        for nth, a in enumerate(left):
+            b = right[nth + 1:] if i == j else right
+            b = b[self.comp[b] != self.comp[a]]
+            if len(b):
+                b = b[(self.sig[b] != self.sig[a]).sum(axis=1) <= RADIUS]
+            if len(b):
+                b = b[self.keys[a][np.argmax(self.keys[b] == self.keys[a], axis=1)] == here]
+            if len(b):
+                d = (self.fine[b] != self.fine[a]).sum(axis=1)
+                b = b[np.argsort(d, kind="stable")][:int((d <= limit).sum())]
+            if len(b):
+                yield int(a), b
+
+
+def _groups(search):
+    """``search`` over the groups of rows that follow one another in a sorted partition."""
     def run(batches):
         held: list[pa.RecordBatch] = []
-
-        def pairs(table: pa.Table) -> list:
-            key = table.column("key").to_numpy()
-            m = _Members(table.column("sig").to_pylist(), table.column("fine").to_pylist(), table.column("rep").to_numpy(), table.column("comp").to_numpy())
-            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-            return [p for x, y in zip(edge, edge[1:]) for p in _pairs_in(m, range(x, y), m, slice(x, y), int(key[x]), True, limit, best)]
-
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            key = batch.column("key").to_numpy()
-            cut = int((key != key[-1]).sum())
-            if cut:                                       # the last bucket may go on in the next batch
+            same = np.logical_and.reduce([(x := batch.column(c).to_numpy()) == x[-1] for c in ("key", "i", "j")])
+            cut = int((~same).sum())
+            if cut:                                       # the last group may go on in the next batch
                 held[-1] = batch.slice(0, cut)
-                yield _pair_batch(pairs(pa.Table.from_batches(held)))
+                yield search(_Members(pa.Table.from_batches(held)))
                 held = [batch.slice(cut)]
         if held:
-            yield _pair_batch(pairs(pa.Table.from_batches(held)))
+            yield search(_Members(pa.Table.from_batches(held)))
 
     return run
 
 
-def _block_pairs(limit: int, best: bool):
-    """Pairs of one pair of blocks of a large bucket."""
-    def run(keys: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            a, b = (_Members(list(x["sig"]), list(x["fine"]), x["rep"], x["comp"]) for x in (left, right))
-            out = _pairs_in(a, range(len(left)), b, slice(0, len(right)), int(keys[0]), keys[1] == keys[2], limit, best)
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return run
-
-
-def _open_pairs(left: DataFrame, reps: DataFrame, fine: DataFrame, limit: int, best: bool) -> DataFrame:
-    """Pairs to verify among the members (key, rep, comp, c) of open buckets."""
-    rest = ["rep", "comp", "sig", "fine"]
-    left = left.join(reps.select("rep", "sig").join(fine, "rep"), "rep")
-    small = left.where(F.col("c") <= BLOCK).select("key", *rest)
-    found = small.repartition("key").sortWithinPartitions("key").mapInArrow(_small_pairs(limit, best), "a long, b long")
-    nb = F.ceil(F.col("c") / BLOCK).cast("int")
-    blk = left.where(F.col("c") > BLOCK).select("key", *rest, nb.alias("nb"), F.pmod(F.xxhash64("rep", F.lit(5)), nb).cast("int").alias("blk"))
-    one = blk.withColumn("other", F.explode(F.expr("sequence(blk, nb - 1)"))).select("key", F.col("blk").alias("i"), F.col("other").alias("j"), *rest)
-    two = blk.withColumn("other", F.explode(F.expr("sequence(0, blk)"))).select(
-        F.col("key").alias("key"), F.col("other").alias("i"), F.col("blk").alias("j"), *rest)
-    two = two.select(*[F.col(c).alias(c) for c in two.columns])          # attributes of its own
-    large = one.groupBy("key", "i", "j").cogroup(two.groupBy("key", "i", "j")).applyInPandas(_block_pairs(limit, best), "a long, b long")
-    return found.unionByName(large).distinct()
+def _promising(limit: int):
+    """(key, rep, comp, size) of the members with a candidate."""
+    def search(m: _Members) -> pa.RecordBatch:
+        found = np.zeros(len(m.rep), bool)
+        for x, y in m.groups():
+            for a, b in m.candidates(x, y, limit):
+                found[a] = found[b] = True
+        return pa.RecordBatch.from_arrays([pa.array(c[found]) for c in (m.group[:, 0], m.rep, m.comp, m.size)], names=["key", "rep", "comp", "size"])
+
+    return _groups(search)
+
+
+def _joining(limit: int, num: int, den: int):
+    """Links (a, b), verified on the full sets, that join two components of a group."""
+    def search(m: _Members) -> pa.RecordBatch:
+        links = []
+        for x, y in m.groups():
+            root: dict = {}
+
+            def find(c):
+                while root.get(c, c) != c:
+                    root[c] = root.get(root[c], root[c])
+                    c = root[c]
+                return c
+
+            for a, rows in m.candidates(x, y, limit):
+                for b in rows.tolist():
+                    ca, cb = find(int(m.comp[a])), find(int(m.comp[b]))
+                    if ca != cb and similar(m.sets[a], m.sets[b], num, den):
+                        root[ca] = cb
+                        links.append(sorted((int(m.rep[a]), int(m.rep[b]))))
+        p = np.array(links, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
+
+    return _groups(search)
+
+
+def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    if len(a) > len(b):
+        a, b = b, a
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return both * den >= (len(a) + len(b) - both) * num
+
+
+def _dealt(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Members of a bucket by pairs (i, j) of its blocks; nearly all have one block. One row per block of the bucket."""
+    rows = rows.withColumn("nb", blocks).withColumn("blk", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("nb")))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, nb - 1)")))
+    rows = rows.withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other")).drop("nb", "other")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def open_links(left: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Verified links that join the components among the members (key, rep, comp, c) of open buckets."""
+    limit, spark = fine_limit(num, den), left.sparkSession
+    fine = fine_signatures(sets.join(left.select("rep").distinct(), "rep", "left_semi"))
+    rows = _dealt(left.join(fine, "rep"), F.ceil(F.col("c") / BLOCK))
+    with small_batches(spark):
+        some = written(rows.mapInArrow(_promising(limit), "key long, rep long, comp long, size long").distinct(), "nd-some")
+    many = some.groupBy("key").agg(F.sum("size").alias("values"), F.count("*").alias("c"))
+    rows = some.drop("size").join(many, "key").join(fine, "rep").join(sets, "rep")
+    rows = _dealt(rows, F.least(F.ceil(F.col("values") / BLOCK_VALUES), F.col("c")))
+    with small_batches(spark):
+        return written(rows.mapInArrow(_joining(limit, num, den), "a long, b long").distinct(), "nd-more")
 
 
 def near_classes(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100) -> DataFrame:
@@ -300,25 +336,17 @@ def near_classes(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100) ->
     stars = written(member.where("a <> rep").select("a", F.col("rep").alias("b")).distinct(), "nd-pairs")
     links = written(verified(stars, sets, num, den), "nd-links")
     comp = components(links)
-    # buckets that still hold more than one component: first each member with its most similar other
-    # one (which joins most of a group), then all that are left
-    done, fine = stars_done(stars), None
-    for best in (True, False):
-        named = member.join(comp, member["rep"] == comp["node"], "left").select("key", "place", "rep", F.coalesce("comp", "rep").alias("comp"))
-        open_ = (named.groupBy("key", "place").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c"),
-                                                   F.bit_xor(F.xxhash64("rep")).alias("m1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("m2"))
-                 .where("x <> y and c > 2"))
-        # of buckets with the same members the first holds every pair's first common bucket among them
-        open_ = open_.groupBy("c", "m1", "m2").agg(F.min(F.struct("place", "key")).alias("f")).select(F.col("f.key").alias("key"), "c")
-        left = written(named.drop("place").join(open_, "key"), "nd-open")
-        if fine is None:
-            fine = fine_signatures(sets.join(left.select("rep").distinct(), "rep", "left_semi"))
-        more = _open_pairs(left, reps, fine, fine_limit(num, den), best)
-        more = written(more.join(done, ["a", "b"], "left_anti"), "nd-more")
-        if more.limit(1).count():
-            links = written(links.union(verified(more, sets, num, den)), "nd-links")
-            comp = components(links)
-        done = done.union(more)
+    # buckets that still hold more than one component
+    named = member.join(comp, member["rep"] == comp["node"], "left").select("key", "place", "rep", F.coalesce("comp", "rep").alias("comp"))
+    open_ = (named.groupBy("key", "place").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c"),
+                                               F.bit_xor(F.xxhash64("rep")).alias("m1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("m2"))
+             .where("x <> y and c > 2"))
+    # of buckets with the same members the first holds every pair's first common bucket among them
+    open_ = open_.groupBy("c", "m1", "m2").agg(F.min(F.struct("place", "key")).alias("f")).select(F.col("f.key").alias("key"), "c")
+    left = written(named.drop("place").join(open_, "key"), "nd-open")
+    more = open_links(left, sets, num, den)
+    if more.limit(1).count():
+        comp = components(links.union(more))
     # back to documents: class → component → smallest document id
     doc = sig.select("doc_id", "_tk", "n", F.when(F.col("n") > 0, F.xxhash64("n", "s1", "s2")).alias("rep"))
     cid = reps.select("rep", F.col("doc_id").alias("rep_doc")).join(comp, reps["rep"] == comp["node"], "left").select("rep", "rep_doc", F.coalesce("comp", "rep").alias("comp"))
@@ -329,10 +357,6 @@ def near_classes(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100) ->
     return out.select("doc_id", "_tk", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
-def stars_done(stars: DataFrame) -> DataFrame:
-    return stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document row."""
     cls = near_classes(docs, k, num, den)

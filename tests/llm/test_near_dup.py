@@ -79,3 +79,30 @@ def test_masked_keys_guarantee_the_radius():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert N.near_duplicates(df).count() == 0 and N.drop_near_duplicates(df).count() == 0
+
+
+def test_pairs_of_a_group_are_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 24)                       # several blocks per bucket, in both searches
+    monkeypatch.setattr(N, "BLOCK_VALUES", 4000, raising=False)
+    rng = random.Random(8)
+    voc = [f"w{i}" for i in range(5000)]
+    p = rng.sample(voc, 400)
+    rows = []
+    for i in range(72):                                       # most of the pairs at similarities just below the limit
+        u = u if i and i % 6 == 0 else list(p)                # every sixth is linked to the one before
+        for j in rng.sample(range(3, 397, 6), 7 if i % 6 else 1):
+            u[j] = rng.choice(voc)
+        rows.append((i, " ".join(u)))
+    made = {}
+
+    def spy(df, kind, f=N.written):
+        out = f(df, kind)
+        made[kind] = made.get(kind, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(N, "written", spy)
+    sets, root = _components(rows)
+    low = {r: min(d for (d, _), x in zip(rows, root) if x == r) for r in root}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: (len(s), low[r]) for (d, _), s, r in zip(rows, sets, root)}
+    assert 1 < len(set(root)) < len(rows) and made["nd-more"] <= len(rows)
