@@ -89,8 +89,8 @@ def test_pairs_of_a_group_are_no_rows(spark, monkeypatch):
     p = rng.sample(voc, 400)
     rows = []
     for i in range(72):                                       # most of the pairs at similarities just below the limit
-        u = u if i and i % 6 == 0 else list(p)                # every sixth is linked to the one before
-        for j in rng.sample(range(3, 397, 6), 7 if i % 6 else 1):
+        u = u if i % 6 == 5 else list(p)                      # every sixth is linked to the one before
+        for j in rng.sample(range(3, 397, 6), 1 if i % 6 == 5 else 7):
             u[j] = rng.choice(voc)
         rows.append((i, " ".join(u)))
     made = {}
